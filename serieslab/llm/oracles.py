@@ -13,6 +13,35 @@ SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
 FROM lines LEFT JOIN gone USING (key) GROUP BY r, doc_id
 """
 
+OP2 = f"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+items AS (
+  SELECT DISTINCT id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM words WHERE kind = 'b' AND len(w) > 0)),
+spans AS (
+  SELECT id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM items) WHERE kind = 'd' AND len(w) >= n)),
+hits AS (SELECT s.id AS doc_id, s.i, s.n, b.id AS item FROM spans s JOIN items b ON s.win = b.win AND s.n = b.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item::VARCHAR, ',' ORDER BY item::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered c ON w.id = c.doc_id LEFT JOIN found f ON w.id = f.doc_id WHERE w.kind = 'd'
+"""
+
+OP6 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM r
+"""
+
 OP9 = f"""
 WITH t AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -21,4 +50,4 @@ FROM t WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op9_exact_dedup": OP9}
+    return {"op1_line_dedup": OP1, "op2_decontaminate": OP2, "op6_warc": OP6, "op9_exact_dedup": OP9}
