@@ -12,9 +12,11 @@ from serieslab.llm import warc
 from serieslab.llm.common import shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.exact_dedup import exact_dedup
+from serieslab.llm.language import identify
 from serieslab.llm.line_dedup import line_dedup
 from serieslab.llm.mix import mix
 from serieslab.llm.tokens import token_output, with_crc
+from serieslab.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_warc(directory, f"{path}/index", f"{path}/warc"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), holdout=(4, 2)).drop("shares")
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc(token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -51,5 +57,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity(table(spark, sf_dir, "documents"), labels, holdout=(5, 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -11,47 +11,80 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serieslab.llm.common import arrow_map, shared_dir
+from serieslab.llm.words import together
 
 #: Distinct words whose ids a task keeps.
 REMEMBERED = 400_000
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Bytes of text that are encoded together.
+TOGETHER = 4 << 20
+
+
+def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[b : b + n] for each b and n, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins across blanks: it encodes each distinct word once.
 
-    The tokenizer drops white space and splits words before its merges, so the ids of a text are those
-    of its blank-separated pieces one after another (tested against whole texts).
+    The tokenizer drops white space, lower-cases, and splits words from punctuation before its merges,
+    so the ids of a text are those of its blank-separated pieces one after another, and the ids of a
+    piece that ends in ASCII punctuation after a letter or digit are those of both parts. Pieces that may
+    hold the text of a special token stay as they are. Tested against whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.ids, self.starts = [np.zeros(0, np.uint32)], [0]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = [w for w in dict.fromkeys(words) if w]
+        coded: list[list[int]] = []
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            # nothing to normalise or split in words of a-z: the tokenizer's model can have them as they are
+            plain = [w.isascii() and w.isalpha() and w.islower() for w in part]
+            rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
+            coded += [[t.id for t in self.tokenizer.model.tokenize(w)] if p else next(rest).ids for w, p in zip(part, plain, strict=True)]
+        base = len(self.known)
+        self.known.update((w, base + j) for j, w in enumerate(new))
+        self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
 
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); ``end`` closes each text."""
         pieces = pc.ascii_split_whitespace(texts)
         flat = pieces.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known, self.ids, self.starts = {}, [np.zeros(0, np.uint32)], [0]
-        new = [w for w in distinct if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            base = len(self.starts) - 1
-            self.known.update((w, base + j) for j, w in enumerate(part))
-            self.ids.append(np.fromiter((x for c in coded for x in c), np.uint32))
-            self.starts.extend((self.starts[-1] + np.cumsum([len(c) for c in coded])).tolist())
-        self.ids = [np.concatenate(self.ids)]
-        starts = np.array(self.starts)
-        word = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[flat.indices.to_numpy()]
-        begins, sizes = starts[word], starts[word + 1] - starts[word]
-        offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        running = np.concatenate([[0], np.cumsum(sizes)])
-        per_text = np.diff(running[offsets])
-        out = self.ids[0][np.repeat(begins - running[:-1], sizes) + np.arange(running[-1])]
+        special = pc.match_substring(flat.dictionary, "<|")
+        low = pc.if_else(special, flat.dictionary, pc.ascii_lower(flat.dictionary))
+        core = pc.utf8_rtrim(low, characters=PUNCTUATION)
+        core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), special), core, low)
+        cores = core.to_pylist()
+        tails = [""] * len(cores)
+        for i in np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(low)).to_numpy(zero_copy_only=False)):
+            tails[i] = low[int(i)].as_py()[len(cores[i]) :]
+        self.learn(cores + tails)
+        parts = np.empty((len(cores), 2), np.int64)
+        parts[:, 0] = np.fromiter(map(self.known.__getitem__, cores), np.int64, len(cores))
+        parts[:, 1] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(cores))
+        sizes = np.diff(self.starts)[parts]
+        own = ragged(self.ids, self.starts[parts].ravel(), sizes.ravel())
+        per_word = sizes.sum(axis=1)
+        word = flat.indices.to_numpy()
+        out = ragged(own, (np.cumsum(per_word) - per_word)[word], per_word[word])
+        offsets = pieces.offsets.to_numpy()
+        per_text = np.diff(np.concatenate([[0], np.cumsum(per_word[word])])[offsets - offsets[0]])
         if end is not None:
             out = np.insert(out, np.cumsum(per_text), end)
             per_text = per_text + 1
@@ -78,7 +111,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int |
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal before
-            ids, counts = coder.encode(pc.fill_null(batch.column(1), ""), end_id)
+            coded = [coder.encode(part, end_id) for _, part in together(pc.fill_null(batch.column(1), ""), TOGETHER)]
+            ids, counts = (np.concatenate(x) for x in zip(*coded, strict=True))
             ends = np.cumsum(counts)
             starts, before = before + ends - counts, before + int(ends[-1])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))

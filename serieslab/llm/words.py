@@ -61,12 +61,12 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(column, ""))
 
 
-def together(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of the array of about TOGETHER bytes (a longer text comes alone), with their first index."""
+def together(texts: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of the array of about ``most`` bytes (a longer text comes alone), with their first index."""
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     start = size = 0
     for i, n in enumerate(sizes):
-        if i > start and size + n > TOGETHER:
+        if i > start and size + n > most:
             yield start, texts.slice(start, i - start)
             start, size = i, 0
         size += n
@@ -77,3 +77,20 @@ def together(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 def count_words(texts: pa.Array) -> np.ndarray:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each text."""
     return np.concatenate([np.zeros(0, np.int64), *(Words(part, NOT_BLANK).counts for _, part in together(texts))])
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Blank-separated pieces: (number of the distinct piece of each, distinct pieces, offsets of the texts).
+
+    White space here is [\\x20\\x09-\\x0D]; empty pieces, which blanks at an end leave, are not counted.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten().dictionary_encode()
+    codes, offsets = flat.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    empty = pc.index(flat.dictionary, "").as_py()
+    if empty >= 0:
+        full = codes != empty
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        codes = codes[full]
+    return codes, flat.dictionary, offsets
