@@ -46,10 +46,11 @@ class WordEncoder:
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        """Encode those of the words that are not known yet; known ones are forgotten when they are too many."""
+        new = list(set(words).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-            new = [w for w in dict.fromkeys(words) if w]
+            new = list(set(words).difference(self.known))
         coded: list[list[int]] = []
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
@@ -70,14 +71,14 @@ class WordEncoder:
         low = pc.if_else(special, flat.dictionary, pc.ascii_lower(flat.dictionary))
         core = pc.utf8_rtrim(low, characters=PUNCTUATION)
         core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), special), core, low)
-        cores = core.to_pylist()
-        tails = [""] * len(cores)
-        for i in np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(low)).to_numpy(zero_copy_only=False)):
-            tails[i] = low[int(i)].as_py()[len(cores[i]) :]
-        self.learn(cores + tails)
-        parts = np.empty((len(cores), 2), np.int64)
-        parts[:, 0] = np.fromiter(map(self.known.__getitem__, cores), np.int64, len(cores))
-        parts[:, 1] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(cores))
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(low)).to_numpy(zero_copy_only=False))
+        tails = [w[len(c) :] for w, c in zip(low.take(pa.array(cut)).to_pylist(), core.take(pa.array(cut)).to_pylist(), strict=True)]
+        core = core.dictionary_encode()
+        cores = core.dictionary.to_pylist()
+        self.learn(cores + list(dict.fromkeys(tails)))
+        parts = np.zeros((len(low), 2), np.int64)
+        parts[:, 0] = np.fromiter(map(self.known.__getitem__, cores), np.int64, len(cores))[core.indices.to_numpy()]
+        parts[cut, 1] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(tails))
         sizes = np.diff(self.starts)[parts]
         own = ragged(self.ids, self.starts[parts].ravel(), sizes.ravel())
         per_word = sizes.sum(axis=1)
