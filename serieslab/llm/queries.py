@@ -15,6 +15,7 @@ from serieslab.llm.exact_dedup import exact_dedup
 from serieslab.llm.language import identify
 from serieslab.llm.line_dedup import line_dedup
 from serieslab.llm.mix import mix
+from serieslab.llm.near_dedup import near_dedup
 from serieslab.llm.tokens import token_output, with_crc
 from serieslab.llm.toxicity import toxicity
 
@@ -34,6 +35,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), k=4, threshold=0.8).drop("row")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), most=3)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
