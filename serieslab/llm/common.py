@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that reaches Python tasks comes in batches of about this many bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.llm.common import arrow_map, crc_mod, splitmix
-from serieslab.llm.words import lowered, pieces
+from serieslab.llm.words import lowered, pieces, together
 
 #: Rows of the table of feature weights, which features share by hash.
 ROWS = 1 << 16
@@ -241,16 +241,17 @@ def identify(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), **bounds
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_docs = batch.num_rows
-            codes, distinct, offsets = pieces(lowered(batch.column(1)))
-            share = np.zeros((n_docs, max(1, len(languages))))
-            spelt = pc.match_substring_regex(distinct, r"\p{L}").to_numpy(zero_copy_only=False)
-            counted = spelt[codes] if len(codes) else np.zeros(0, bool)
-            if languages and len(codes):
-                emitted = emissions(own, *word_features(distinct))
-                found = posteriors(codes, offsets, emitted, move) * counted[:, None]
-                sums = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found, axis=0, dtype=np.float64)])
-                share = sums[offsets[1:]] - sums[offsets[:-1]]
-            n_counted = np.diff(np.concatenate([[0], np.cumsum(counted)])[offsets])
+            share, n_counted = np.zeros((n_docs, max(1, len(languages)))), np.zeros(n_docs, np.int64)
+            for first, part in together(lowered(batch.column(1))):
+                codes, distinct, offsets = pieces(part)
+                if not len(codes):
+                    continue
+                counted = pc.match_substring_regex(distinct, r"\p{L}").to_numpy(zero_copy_only=False)[codes]
+                n_counted[first : first + len(part)] = np.diff(np.concatenate([[0], np.cumsum(counted)])[offsets])
+                if languages:
+                    found = posteriors(codes, offsets, emissions(own, *word_features(distinct)), move) * counted[:, None]
+                    sums = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found, axis=0, dtype=np.float64)])
+                    share[first : first + len(part)] = sums[offsets[1:]] - sums[offsets[:-1]]
             share = np.clip(share / np.maximum(n_counted, 1)[:, None], 0, 1)
             best = share.argmax(axis=1)
             und = (n_counted == 0) | (not languages)

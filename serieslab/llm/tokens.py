@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serieslab.llm.common import arrow_map, shared_dir
-from serieslab.llm.words import together
+from serieslab.llm.words import pieces, together
 
 #: Distinct words whose ids a task keeps.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Bytes of text that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
 
 def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -39,17 +40,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.ids, self.starts, self.again = np.zeros(0, np.uint32), np.zeros(2, np.int64), np.ones(1, bool)
 
     def learn(self, words: list[str]) -> None:
-        """Encode those of the words that are not known yet; known ones are forgotten when they are too many."""
+        """Encode those of the words that are not known yet. When too many are known, those met once go."""
         new = list(set(words).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
+            keep = np.flatnonzero(self.again)[: REMEMBERED // 2]
+            names, sizes = list(self.known), np.diff(self.starts)[keep]
+            self.ids, self.starts = ragged(self.ids, self.starts[keep], sizes), np.concatenate([[0], np.cumsum(sizes)])
+            self.known, self.again = {names[i]: j for j, i in enumerate(keep)}, np.arange(len(keep)) == 0
             new = list(set(words).difference(self.known))
         coded: list[list[int]] = []
         for i in range(0, len(new), 2000):
@@ -62,36 +63,49 @@ class WordEncoder:
         self.known.update((w, base + j) for j, w in enumerate(new))
         self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))])
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
 
-    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each text); ``end`` closes each text."""
-        pieces = pc.ascii_split_whitespace(texts)
-        flat = pieces.flatten().dictionary_encode()
-        special = pc.match_substring(flat.dictionary, "<|")
-        low = pc.if_else(special, flat.dictionary, pc.ascii_lower(flat.dictionary))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def of_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct pieces one after another, number of ids of each)."""
+        special = pc.match_substring(distinct, "<|")
+        low = pc.if_else(special, distinct, pc.ascii_lower(distinct))
         core = pc.utf8_rtrim(low, characters=PUNCTUATION)
         core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), special), core, low)
         cut = np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(low)).to_numpy(zero_copy_only=False))
         tails = [w[len(c) :] for w, c in zip(low.take(pa.array(cut)).to_pylist(), core.take(pa.array(cut)).to_pylist(), strict=True)]
         core = core.dictionary_encode()
         cores = core.dictionary.to_pylist()
+        before = len(self.again)
         self.learn(cores + list(dict.fromkeys(tails)))
         parts = np.zeros((len(low), 2), np.int64)
-        parts[:, 0] = np.fromiter(map(self.known.__getitem__, cores), np.int64, len(cores))[core.indices.to_numpy()]
-        parts[cut, 1] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(tails))
+        parts[:, 0] = self.numbers(cores)[core.indices.to_numpy()]
+        parts[cut, 1] = self.numbers(tails)
+        met = parts[parts < before] if len(self.again) >= before else parts.ravel()
+        self.again[met] = True
         sizes = np.diff(self.starts)[parts]
-        own = ragged(self.ids, self.starts[parts].ravel(), sizes.ravel())
-        per_word = sizes.sum(axis=1)
-        word = flat.indices.to_numpy()
+        return ragged(self.ids, self.starts[parts].ravel(), sizes.ravel()), sizes.sum(axis=1)
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text); ``end`` closes each text."""
+        word, distinct, offsets = pieces(texts)
+        own, per_word = self.of_pieces(distinct)
         out = ragged(own, (np.cumsum(per_word) - per_word)[word], per_word[word])
-        offsets = pieces.offsets.to_numpy()
-        per_text = np.diff(np.concatenate([[0], np.cumsum(per_word[word])])[offsets - offsets[0]])
+        per_text = np.diff(np.concatenate([[0], np.cumsum(per_word[word])])[offsets])
         if end is not None:
             out = np.insert(out, np.cumsum(per_text), end)
             per_text = per_text + 1
         return out, per_text
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process; what it has learnt serves its later tasks too."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | None = 2, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Encode every text of ``docs`` and write the ids to ``path`` in ascending doc_id order.
 
@@ -108,7 +122,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int |
     def encode() -> callable:
         from pyspark import TaskContext
 
-        coder, part, before = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        coder, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal before
