@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 import zlib
 
 import numpy as np
@@ -18,7 +19,10 @@ from serieslab.llm.words import pieces, together
 REMEMBERED = 300_000
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Bytes of text that are encoded together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
+#: The character that byte-level tokenizers write for each byte: itself if printable, else one from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -55,10 +59,11 @@ class WordEncoder:
         coded: list[list[int]] = []
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            # nothing to normalise or split in words of a-z: the tokenizer's model can have them as they are
-            plain = [w.isascii() and w.isalpha() and w.islower() for w in part]
+            # nothing to normalise or split in lower-case letters: the tokenizer's model can have their bytes
+            plain = [w.isalpha() and w.islower() and w == w.lower() and unicodedata.is_normalized("NFC", w) for w in part]
             rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
-            coded += [[t.id for t in self.tokenizer.model.tokenize(w)] if p else next(rest).ids for w, p in zip(part, plain, strict=True)]
+            merge = self.tokenizer.model.tokenize
+            coded += [[t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS))] if p else next(rest).ids for w, p in zip(part, plain, strict=True)]
         base = len(self.known)
         self.known.update((w, base + j) for j, w in enumerate(new))
         self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), np.uint32)])
@@ -68,6 +73,20 @@ class WordEncoder:
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    @staticmethod
+    def tails(low: pa.Array, core: pa.Array, cut: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Distinct punctuation that was cut off, and which of it each of the pieces ``cut`` had."""
+        size = (pc.binary_length(low).to_numpy(zero_copy_only=False) - pc.binary_length(core).to_numpy(zero_copy_only=False))[cut]
+        ends = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4)[1:][cut]
+        data = np.frombuffer(low.buffers()[2] or b"", np.uint8)
+        packed = np.zeros(len(cut), np.uint64)
+        for j in range(8):  # the last 8 bytes; longer tails are made distinct by their piece
+            more = np.flatnonzero(size > j)
+            packed[more] |= data[ends[more] - 1 - j].astype(np.uint64) << np.uint64(8 * j)
+        packed[size > 8] = np.flatnonzero(size > 8).astype(np.uint64) | np.uint64(1 << 63)  # no ASCII byte sets that bit
+        _, first, tail = np.unique(packed, return_index=True, return_inverse=True)
+        return [data[ends[i] - size[i] : ends[i]].tobytes().decode() for i in first], tail
+
     def of_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the distinct pieces one after another, number of ids of each)."""
         special = pc.match_substring(distinct, "<|")
@@ -75,14 +94,14 @@ class WordEncoder:
         core = pc.utf8_rtrim(low, characters=PUNCTUATION)
         core = pc.if_else(pc.and_not(pc.match_substring_regex(core, r"[\p{L}\p{N}]$"), special), core, low)
         cut = np.flatnonzero(pc.not_equal(pc.binary_length(core), pc.binary_length(low)).to_numpy(zero_copy_only=False))
-        tails = [w[len(c) :] for w, c in zip(low.take(pa.array(cut)).to_pylist(), core.take(pa.array(cut)).to_pylist(), strict=True)]
+        tails, tail = self.tails(low, core, cut)
         core = core.dictionary_encode()
         cores = core.dictionary.to_pylist()
         before = len(self.again)
-        self.learn(cores + list(dict.fromkeys(tails)))
+        self.learn(cores + tails)
         parts = np.zeros((len(low), 2), np.int64)
         parts[:, 0] = self.numbers(cores)[core.indices.to_numpy()]
-        parts[cut, 1] = self.numbers(tails)
+        parts[cut, 1] = self.numbers(tails)[tail]
         met = parts[parts < before] if len(self.again) >= before else parts.ravel()
         self.again[met] = True
         sizes = np.diff(self.starts)[parts]
