@@ -14,6 +14,7 @@ from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.exact_dedup import exact_dedup
 from serieslab.llm.language import identify
 from serieslab.llm.line_dedup import line_dedup
+from serieslab.llm.lm import lm_score
 from serieslab.llm.mix import mix
 from serieslab.llm.near_dedup import near_dedup
 from serieslab.llm.tokens import token_output, with_crc
@@ -35,6 +36,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), holdout=(10, 0))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), k=4, threshold=0.8).drop("row")
 
