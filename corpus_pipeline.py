@@ -1,11 +1,78 @@
-"""A training-corpus pipeline of five stages; filled in with its operators."""
+"""A training-corpus pipeline: toxic documents, near copies and benchmark leaks go, sources are mixed, tokens are written.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all of ``docs``; all but the last return the
+columns of ``documents``. Rows with one doc_id count as one document: they stay or go together, and a
+null doc_id is a value like any other. An empty table passes through. Columns beyond those of
+``documents`` are carried along.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from serieslab.llm.common import shared_dir
+from serieslab.llm.decontaminate import decontaminate
+from serieslab.llm.mix import mix
+from serieslab.llm.near_dedup import near_dedup
+from serieslab.llm.tokens import token_output, with_crc
+from serieslab.llm.toxicity import toxicity
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the doc_ids of ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5; the model learns from the labelled ones among ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    return _without(docs, toxicity(docs, labels, holdout=None).filter("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (5-word shingles, similarity 0.8): the smallest doc_id."""
+    return _without(docs, near_dedup(docs, k=5, threshold=0.8).filter("doc_id is not null and not kept"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ten words of a benchmark item, or a whole shorter item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate(docs, benchmark, span=10).filter("n_hit > 0"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: up to three times, or not at all."""
+    copies = mix(docs, members="source", weights=(1.0, 2.0, 3.0), most=3).filter("copies > 0")
+    copies = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files in doc_id order, read back: doc_id, start, n_tokens and a checksum of the ids."""
+    return with_crc(token_output(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_output", write_tokens),
+]
+
+#: Stages with learnt models and sketches can't be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each one's result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
