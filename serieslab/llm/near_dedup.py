@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,7 +86,7 @@ def possible(threshold: float) -> float:
 
 
 def _regs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def _sketch(k: int) -> callable:
@@ -123,16 +124,19 @@ def _estimated(cut: float) -> callable:
     return make
 
 
+def similar(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    """Whether two sorted sets without repeats have a Jaccard similarity of so many hundredths or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= hundredths * (len(x) + len(y) - both)
+
+
 def _confirmed(threshold: float) -> callable:
     hundredths = round(100 * threshold)
 
     def make() -> callable:
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= hundredths * (len(x) + len(y) - both))
+            sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), hundredths) for x, y in sets]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return of
@@ -140,31 +144,72 @@ def _confirmed(threshold: float) -> callable:
     return make
 
 
-def _across(cut: float) -> callable:
-    """Pairs of one unit (a bucket's block of minority members against a block of all) that may be similar."""
-
-    def unit(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        left = group.filter(group.column("left"))
-        right = group.filter(pc.invert(group.column("left")))
-        keys_a, keys_b = left.column("key").to_pylist(), right.column("key").to_pylist()
-        roots_a, roots_b = left.column("root").to_pylist(), right.column("root").to_pylist()
-        if not keys_a or not keys_b:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        a, b = (_regs(t.column("regs").combine_chunks() if t.column("regs").num_chunks != 1 else t.column("regs").chunk(0)) for t in (left, right))
-        n_a, n_b = left.column("n").to_numpy(), right.column("n").to_numpy()
-        minor = np.array(right.column("minor").to_pylist())
-        roots_b_, keys_b_ = np.array(roots_b, object), np.array(keys_b, object)
-        out = []
-        for i in range(len(keys_a)):
-            ok = (roots_b_ != roots_a[i]) & (~minor | (keys_b_ > keys_a[i]))
-            at = np.flatnonzero(ok)
-            if len(at):
-                j = estimate((a[i] > b[at]).sum(axis=1), (a[i] < b[at]).sum(axis=1), np.full(len(at), n_a[i]), n_b[at])
-                out += [(keys_a[i], keys_b[x]) for x in at[j >= cut]]
-        return pa.table({"a": pa.array([min(p) for p in out], pa.binary()), "b": pa.array([max(p) for p in out], pa.binary())})
-
-    return unit
+class Unit:
+    """Part of a bucket: a block of members outside its largest component (left) against a block of all."""
+
+    def __init__(self, group: pa.Table) -> None:
+        left = np.array(group.column("left").to_pylist(), bool)
+        keys, regs = np.array(group.column("key").to_pylist(), object), _regs(group.column("regs"))
+        roots, n = np.array(group.column("root").to_pylist(), object), group.column("n").to_numpy()
+        minor, bands = np.array(group.column("minor").to_pylist(), bool), band_keys(regs).view(np.int64)
+        self.band = group.column("band")[0].as_py()
+        self.at = np.flatnonzero(left), np.flatnonzero(~left)
+        self.keys, self.roots, self.regs, self.n, self.minor, self.bands = keys, roots, regs, n, minor, bands
+
+    def pairs(self, cut: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each member on the left, those on the right of other components that may be similar.
+
+        A pair that shares several buckets is taken in the one of its first common band only; of two
+        members outside the largest component the one with the smaller key is the left one.
+        """
+        left, right = self.at
+        for i in left:
+            js = right[(self.roots[right] != self.roots[i]) & (~self.minor[right] | (self.keys[right] > self.keys[i]))]
+            common = self.bands[js] == self.bands[i]
+            js = js[self.bands[i][common.argmax(axis=1)] == self.band]
+            js = js[(self.regs[js] == self.regs[i]).sum(axis=1) >= (cut - 0.1) * REGISTERS]  # about the similarity
+            if len(js):
+                j = estimate((self.regs[i] > self.regs[js]).sum(axis=1), (self.regs[i] < self.regs[js]).sum(axis=1), np.full(len(js), self.n[i]), self.n[js])
+                js = js[j >= cut]
+            if len(js):
+                yield i, js
+
+
+def _involved(cut: float) -> callable:
+    """Members of a unit that have a possible pair in it: at most as many rows as the unit has."""
+
+    def of(group: pa.Table) -> pa.Table:
+        unit, found = Unit(group), set()
+        for i, js in unit.pairs(cut):
+            found.add(i)
+            found.update(js.tolist())
+        return group.take(pa.array(sorted(found), pa.int64()))
+
+    return of
+
+
+def _linked(cut: float, threshold: float) -> callable:
+    """Links of a unit that join components: possible pairs are confirmed on full sets until they are joined."""
+    hundredths = round(100 * threshold)
+
+    def of(group: pa.Table) -> pa.Table:
+        unit, parent, out = Unit(group), {}, []
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+
+        def top(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        for i, js in unit.pairs(cut):
+            for j in js:
+                a, b = top(unit.roots[i]), top(unit.roots[j])
+                if a != b and similar(sets[i], sets[j], hundredths):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
+
+    return of
 
 
 def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: int = 1 << 28) -> DataFrame:
@@ -182,9 +227,11 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
        of its buckets, the smallest and the largest member: by the likelihood estimate from the sketches
        first, exactly on full sets for what remains. Linked classes become components.
     3. Buckets that still hold several components compare the members outside their largest component
-       with all members of other components, block against block in separate tasks, on sketches; the
-       pairs that may be similar are confirmed exactly. So no link is lost between members of a bucket,
-       while a large group of copies, which step 2 has joined, makes no pairs.
+       with all members of other components, block against block in separate tasks, on sketches; then
+       the members that have a possible partner meet there with their full sets, and pairs that would
+       join two components are confirmed exactly. So no link is lost between members of a bucket,
+       while a large group of copies, which step 2 has joined, is not compared again, and no table
+       holds pairs: each has at most a row for a member of a unit.
 
     The centres, pairs and components are tables in the shared folder; nothing of them is collected.
     """
@@ -248,11 +295,11 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     columns = ["band", "i", "j", "left", "key", "root", "n", "regs", "minor"]
     left = inside.filter("minor").withColumn("left", F.lit(True)).withColumn("i", own("minors")).withColumn("j", others("all")).select(columns)
     right = inside.withColumn("left", F.lit(False)).withColumn("j", own("all")).withColumn("i", others("minors")).select(columns)
-    more = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(_across(cut), "a binary, b binary").distinct()
+    units = left.unionByName(right).groupBy("band", "i", "j")
+    involved = units.applyInArrow(_involved(cut), "band long, i int, j int, left boolean, key binary, root binary, n long, regs binary, minor boolean")
+    involved = materialise(involved, "involved")
+    found = involved.join(sets, "key").groupBy("band", "i", "j").applyInArrow(_linked(cut, threshold), "a binary, b binary")
     label = roots.withColumnRenamed("node", "key")
-    found = confirm(more)
-    for x in "ab":  # links between components
-        found = found.join(label.select(F.col("key").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(x, F.coalesce(f"r{x}", x)).drop(f"r{x}")
     above = connected(found)
     label = classes.select("key", "min_doc").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     label = label.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
