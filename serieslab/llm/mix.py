@@ -17,6 +17,8 @@ from serieslab.llm.words import count_words, lowered
 BUCKETS = 4096
 #: More distinct membership patterns than this are refused, as their table is collected.
 MOST_PATTERNS = 100_000
+#: Passes in seeded order; each leaves a gap smaller than a document that fitted before.
+ROUNDS = 2
 
 
 def capped_targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -126,18 +128,21 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     to. The size of a document is its number of words ``[^\\x20\\x09-\\x0D]+`` (null text: 0). Sources
     in code point order, null last, get the weights in turn, over and over; together they are to reach
     ``budget`` times the size of all documents, no source over ``most`` times its own size (see
-    :func:`capped_targets`), and no document is taken more than ``most`` times. Returns one row for each
+    :func:`capped_targets`), and no document is taken more than ``most`` times. A null array counts as the one source null; an
+    empty array as no source, and its documents are not taken. Returns one row for each
     row of ``docs``: row, doc_id, members, size, copies, source_size and target (sums over its
     sources). An empty table gives no rows. Rows with one doc_id are ordered by a hash of their text.
     Other columns are not read.
 
     One scan counts words and leaves small rows. They are summed by membership pattern; the flow runs
-    over patterns alone. What a pattern gives beyond whole repetitions is taken in seeded hash order:
-    bucket sums find the bucket where the rest is reached and only that bucket is sorted, so no
-    pattern passes through one task. Documents of falling size then close the gap.
+    over patterns alone. What a pattern gives beyond whole repetitions is repeated from the documents
+    that fit into it, then taken in seeded hash order: bucket sums find the bucket where the rest is
+    reached and only that bucket is sorted, so no pattern passes through one task. Documents of falling
+    size then close the gap.
     """
     kind = dict(docs.dtypes)[members]
-    member = F.col(members) if kind.startswith("array") else F.array(F.col(members).cast("string"))
+    none = F.array(F.lit(None).cast("string"))
+    member = F.coalesce(F.col(members), none) if kind.startswith("array") else F.array(F.col(members).cast("string"))
     u = F.xxhash64(F.lit(seed), "doc_id", "text") % (BUCKETS << 32)
     rows = docs.select(row_id().alias("row"), "doc_id", F.array_sort(F.array_distinct(member)).alias("members"), F.abs(u).alias("u"), "text")
     sized = materialise(arrow_map(rows, _sizes, "row long, doc_id long, members array<string>, u long, size long"), "mix-sizes")
@@ -154,25 +159,46 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     targets = capped_targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(order)}, budget * total, most)
     flow = route(patterns, targets, most)
     plan = [(list(p), n and flow[p] // n or 0, n and flow[p] % n or 0, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))) for p, n in patterns.items()]
-    plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "members array<string>, whole long, rest long, source_size long, target double"))
-
+    plan = docs.sparkSession.createDataFrame(plan, "members array<string>, copies long, rest long, source_size long, target double")
     key = F.to_json(F.struct("members"))  # null members compare as equal there
-    planned = sized.withColumn("key", key).join(plan.withColumn("key", key).drop("members"), "key").withColumn("bucket", F.shiftright("u", 32))
-    sums = planned.filter("rest > 0").groupBy("key", "bucket", "rest").agg(F.sum("size").alias("n"))
+    planned = sized.withColumn("key", key).join(F.broadcast(plan.withColumn("key", key).drop("members")), "key")
+
+    # whole repetitions of the documents that fit into what is left
+    fits = (F.col("size") <= F.col("rest")) & (F.col("size") > 0) & (F.col("copies") < most)
+    pools = planned.filter(fits).groupBy("key").agg(F.sum("size").alias("pool"), F.first("rest").alias("rest"), F.first("copies").alias("copies"))
+    again = pools.select("key", F.least(F.lit(most) - F.col("copies"), F.floor(F.col("rest") / F.col("pool"))).alias("again"), "pool")
+    planned = planned.join(F.broadcast(again), "key", "left")
+    planned = planned.withColumn("copies", F.col("copies") + F.when(fits, F.coalesce("again", F.lit(0))).otherwise(0)).withColumn("rest", F.col("rest") - F.coalesce(F.col("again") * F.col("pool"), F.lit(0)))
+    state = materialise(planned.drop("again", "pool").withColumn("more", F.lit(False)), "mix-whole")
+
+    for _ in range(ROUNDS):
+        state = materialise(_one_more_each(state, most), "mix-round")
+    free = state.filter(~F.col("more") & fits)
+    step = F.floor(F.log2("size"))
+    each = free.groupBy("key", step.alias("step")).agg(F.min(F.struct(F.xxhash64("row"), "row", "size", "rest")).alias("c"))
+    least = state.filter(~F.col("more") & (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
+    chosen = ["key", "c.row", "c.size", F.col("c.rest").alias("gap")]
+    filled = each.select(chosen).unionByName(least.select(chosen)).groupBy("key").applyInPandas(_fill, "row long, filled boolean")
+    copies = F.col("copies") + F.col("filled").isNotNull().cast("long")
+    return state.join(filled, "row", "left").select("row", "doc_id", "members", "size", copies.alias("copies"), "source_size", "target")
+
+
+def _one_more_each(state: DataFrame, most: int) -> DataFrame:
+    """One more copy of documents of each pattern in seeded order while they fit into its ``rest``, which shrinks by them.
+
+    Sums of hash buckets find the bucket in which the rest is reached; only its rows are sorted.
+    """
+    bucket = F.shiftright("u", 32)
+    open_ = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("copies") < most)
+    sums = state.filter(open_).groupBy("key", bucket.alias("bucket"), "rest").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("key").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).filter("before <= rest and before + n > rest")
-    sums = sums.select("key", F.col("bucket").alias("cut"), "before")  # one row a pattern
-    cut = planned.join(F.broadcast(sums), "key", "left")
-    sorted_ = Window.partitionBy("key").orderBy("u", "doc_id", "row")
-    within = cut.filter("bucket = cut").select("row", (F.col("before") + F.sum("size").over(sorted_) <= F.col("rest")).alias("fits"))
-    first = cut.join(within, "row", "left").withColumn("extra", F.when(F.col("rest") == 0, False).when(F.col("bucket") < F.col("cut"), True).otherwise(F.coalesce("fits", F.lit(False))))
-    first = materialise(first.drop("fits", "before", "cut", "u", "bucket"), "mix-first")
-
-    gaps = first.groupBy("key").agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap")).filter("gap > 0")
-    free = first.filter("not extra and rest > 0 and size > 0")
-    step = F.floor(F.log2("size"))
-    each = free.groupBy("key", step.alias("step")).agg(F.min(F.struct(F.xxhash64("row"), "row", "size")).alias("c")).select("key", "c.row", "c.size")
-    least = free.groupBy("key").agg(F.min(F.struct("size", "row")).alias("c")).select("key", "c.row", "c.size")
-    filled = each.unionByName(least).join(gaps, "key").groupBy("key").applyInPandas(_fill, "row long, filled boolean")
-    copies = F.col("whole") + (F.col("extra") | F.col("filled").isNotNull()).cast("long")
-    return first.join(filled, "row", "left").select("row", "doc_id", "members", "size", copies.alias("copies"), "source_size", "target")
+    cut = state.join(F.broadcast(sums.select("key", F.col("bucket").alias("cut"), "before")), "key", "left").withColumn("open", open_).withColumn("bucket", bucket)
+    order = Window.partitionBy("key").orderBy("u", "doc_id", "row")
+    within = cut.filter("open and bucket = cut").select("row", (F.col("before") + F.sum("size").over(order) <= F.col("rest")).alias("fit"))
+    taken = F.col("open") & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.coalesce("fit", F.lit(False)))
+    marked = cut.join(within, "row", "left").withColumn("taken", taken).drop("fit", "before", "cut", "bucket", "open")
+    used = marked.filter("taken").groupBy("key").agg(F.sum("size").alias("used"))
+    left = F.col("rest") - F.coalesce("used", F.lit(0))
+    out = marked.join(F.broadcast(used), "key", "left").withColumn("rest", left).withColumn("copies", F.col("copies") + F.col("taken").cast("long")).withColumn("more", F.col("more") | F.col("taken"))
+    return out.select(state.columns)
