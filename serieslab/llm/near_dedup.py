@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -254,18 +253,17 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
 
     table = spark.sparkContext.broadcast(bloom.build(wanted, ids, bits, "once"))
 
-    @F.pandas_udf("boolean")
-    def may_share(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(bloom.contains(table.value, bits, splitmix(doc_id.fillna(-1).astype("int64").to_numpy().view(np.uint64))))
-
     def full() -> callable:
+        own = table.value
+
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(lowered(batch.column(0)), k)
+            texts = batch.column(1).filter(pa.array(bloom.contains(own, bits, ids(batch))))
+            sets = [x for x in shingle_sets(lowered(texts), k) if len(x)]
             return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
         return of
 
-    sets = arrow_map(docs.filter(may_share("doc_id")).select("text"), full, "key binary, shingles binary")
+    sets = arrow_map(docs.select("doc_id", "text"), full, "key binary, shingles binary")
     sets = materialise(sets.dropDuplicates(["key"]), "sets")
 
     small = classes.select("key", "regs", "n")

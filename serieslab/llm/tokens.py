@@ -16,7 +16,7 @@ from serieslab.llm.common import arrow_map, shared_dir
 from serieslab.llm.words import pieces, together
 
 #: Distinct words whose ids a task keeps.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Bytes of text that are encoded together.
 TOGETHER = 4 << 20
