@@ -278,6 +278,7 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     pairs = star("low").unionByName(star("high")).distinct()
     one, two = (small.select(F.col("key").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb"), _estimated(cut), "a binary, b binary")
+    pairs = materialise(pairs, "candidates")  # a stage runs one kind of Python worker only
     roots = materialise(connected(confirm(pairs)), "components")
 
     # buckets with several components: members outside the largest against all
