@@ -80,6 +80,12 @@ def findings(marked: DataFrame, newest: DataFrame) -> DataFrame:
     return out.withColumn("aged", aged).withColumn("severity", grade).drop("newest")
 
 
+def explained(found: DataFrame) -> DataFrame:
+    """Findings with the statistic that explains them and how their standard range reads, null where there is none."""
+    spark = found.sparkSession
+    return found.join(F.broadcast(rules.statistics(spark)), "key", "left").join(F.broadcast(rules.standard_range_texts(spark)), "key", "left")
+
+
 def rank_findings(found: DataFrame) -> DataFrame:
     return series.top_per_group(found, ["person_id"], 2**31 - 1, clinical.severity_rank(F.col("severity")), F.col("key"))
 

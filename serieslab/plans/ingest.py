@@ -62,3 +62,38 @@ def text_entities(texts: DataFrame, key: str, text: str) -> DataFrame:
     found = F.concat(F.regexp_extract_all(text, F.lit(r"\b(\d{6,8})\b"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"((?:[A-Z][A-Z]+ ){1,5}[A-Z][A-Z]+)"), F.lit(1)))
     rows = texts.select(key, F.posexplode(found).alias("pos", "entity"))
     return rows.groupBy(key, "entity").agg(F.min("pos").alias("pos"))
+
+
+def decide(pending: DataFrame, decisions: DataFrame, persons: DataFrame) -> DataFrame:
+    """Staged reports after decisions (key, action, target_id, name): ``outcome`` and ``person_id``.
+
+    cancel drops a report; approve and rename make a person, with the inferred or the given name;
+    existing and current take ``target_id``, without which it is an error; a decision on a key that is
+    not staged is not_found. New persons are numbered after the largest known id in the order of key.
+    """
+    joined = decisions.join(pending.select("key", "patient_name", "doc", F.lit(True).alias("_staged")), "key", "left")
+    makes = F.col("action").isin("approve", "rename") & F.col("_staged")
+    outcome = F.when(F.col("_staged").isNull(), "not_found").when(F.col("action") == "cancel", "cancelled").when(~makes & F.col("target_id").isNull(), "error").otherwise(F.col("action"))
+    named = joined.withColumn("outcome", outcome).withColumn("person_name", F.when(makes, F.coalesce(F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce("patient_name", F.lit(""))), F.lit("")), F.lit("DESCONOCIDO"))))
+    top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    numbered = named.filter(makes).withColumn("_n", F.row_number().over(Window.orderBy("key"))).crossJoin(F.broadcast(top)).select("key", (F.col("top") + F.col("_n")).alias("_new"))
+    kept = F.col("outcome").isin("approve", "rename", "existing", "current")
+    return named.join(numbered, "key", "left").select("key", "action", "outcome", F.when(kept, F.coalesce("_new", "target_id")).alias("person_id"), "person_name")
+
+
+def upload_summary(results: DataFrame) -> DataFrame:
+    """Of batch results (person_id, status, new_reports): files, failures and new reports of each person."""
+    ok = F.col("status") != "error"
+    return results.groupBy("person_id").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_errors"), F.coalesce(F.sum("new_reports"), F.lit(0)).alias("new_reports"))
+
+
+def attachments(results: DataFrame) -> DataFrame:
+    """Files of an upload that are kept as attachments: neither ingested as a report nor known already."""
+    return results.filter((F.coalesce("new_reports", F.lit(0)) == 0) & ~F.col("status").isin("duplicate", "unchanged"))
+
+
+def studies_to_analyse(documents: DataFrame, analyses: DataFrame, reports: DataFrame) -> DataFrame:
+    """Documents without a finished analysis, leaving out PDFs that were read as reports."""
+    done = analyses.filter("status = 'done'").select(F.col("document_id").alias("id"))
+    parsed = reports.select("person_id", "stored_path").distinct().withColumn("kind", F.lit("pdf"))
+    return documents.join(done, "id", "left_anti").join(parsed, ["person_id", "stored_path", "kind"], "left_anti")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 
@@ -54,3 +58,33 @@ def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
         upsert(base, batch, keys, seq).write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def idle_flush(stream: DataFrame, key: str, time: str, gap_seconds: int, late: str = "1 minute") -> DataFrame:
+    """One row (key, n, first, last) when a key has been idle for ``gap_seconds`` of event time.
+
+    Keeps a count and two times for each active key; the timer fires when the watermark has passed the
+    last event by the gap, so it does not wait for another event of the key.
+    """
+    gap = gap_seconds * 1_000_000
+
+    def row(group: tuple, n: int, first: int, last: int) -> pd.DataFrame:
+        return pd.DataFrame({key: [group[0]], "n": [n], "first": pd.to_datetime([first], unit="us", utc=True), "last": pd.to_datetime([last], unit="us", utc=True)})
+
+    def flush(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield row(group, *state.get)
+            state.remove()
+            return
+        n, first, last = state.getOption or (0, 0, 0)
+        for at in sorted(t for batch in batches for t in batch["_us"]):
+            if n and at - last > gap:  # the key was idle before this event came
+                yield row(group, n, first, last)
+                n = 0
+            n, first, last = n + 1, first if n else at, max(last, at) if n else at
+        state.update((n, first, last))
+        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    timed = event_time(stream, time, late).withColumn("_us", F.unix_micros(time))
+    kind = dict(stream.dtypes)[key]
+    return timed.select(key, time, "_us").groupBy(key).applyInPandasWithState(flush, f"{key} {kind}, n long, first timestamp, last timestamp", "n long, first long, last long", "append", "EventTimeTimeout")
