@@ -146,8 +146,8 @@ def test_sql_functions(spark):
 
 def test_idle_flush(spark, tmp_path):
     rows = [("a", 0), ("a", 60), ("b", 30), ("c", 5000), ("a", 5001)]
-    events = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
-    for i, part in enumerate((events.filter("unix_seconds(ts) < 100"), events.filter("k = 'c'"), events.filter("unix_seconds(ts) = 5001"))):
+    events = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    for i, part in enumerate((events.filter("unix_seconds(ts) < 1700000100"), events.filter("k = 'c'"), events.filter("unix_seconds(ts) = 1700005001"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     query = ingest.idle_flush(source, "k", "ts", 180).writeStream.format("memory").queryName("flushed").outputMode("append").trigger(availableNow=True).start()
