@@ -13,16 +13,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round links a node's larger neighbours, then its smaller ones, to the smallest of them, and
     writes the edges; they become stars after a number of rounds logarithmic in the size of a
-    component. Minima are partial before the shuffle, and a node with very many edges meets one row of
-    the other side of a join, which adaptive execution splits.
+    component. Minima are partial before the shuffle and are written before they are joined back, one row
+    a node, so adaptive execution splits a node with very many edges.
     """
     edges, before = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = materialise(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+        least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         edges = materialise(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -36,8 +36,9 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     group that share the digit form the next group. A group of one row, or one whose text ends within
     the digit, is done and leaves. So the number of rounds follows the logarithm of the longest
     repeated text, and after the first round only rows with a partner are carried. Group sizes are
-    counted with partial sums before the shuffle; the join that hands the groups back has one row a
-    group on its other side, so a very large group is split by adaptive execution.
+    counted with partial sums before the shuffle. Groups of two or more are written and joined back: one
+    row a group, so adaptive execution splits a very large group, and texts are not shuffled at all
+    where the groups are few enough to be broadcast.
     """
     cur = arrow_map(docs.select(row_id().alias("row"), "doc_id", "text"), _lowered, "row long, doc_id long, rest binary")
     cur = cur.select("row", "doc_id", F.lit(0).cast("long").alias("gid"), (F.sha2("rest", 256) if digest else F.lit(None).cast("string")).alias("text_sha256"), "rest")
@@ -45,10 +46,11 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     while True:
         digits = cur.withColumn("digit", F.substring("rest", 1, width))
         groups = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"), F.min("row").alias("next_gid"))
-        ended = (F.col("n") == 1) | (F.length("digit") < width)
-        split = digits.join(groups, ["gid", "digit"]).select(
-            "row", "doc_id", F.col("next_gid").alias("gid"), "text_sha256", "n", "keep", (~ended).alias("open"),
-            F.when(~ended, F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
+        groups = materialise(groups.filter("n > 1"), f"radix-groups-{k}")
+        open_ = F.col("n").isNotNull() & (F.length("digit") == width)
+        split = digits.join(groups, ["gid", "digit"], "left").select(
+            "row", "doc_id", F.coalesce("next_gid", "gid").alias("gid"), "text_sha256", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("keep", F.struct("doc_id", "row")).alias("keep"),
+            open_.alias("open"), F.when(open_, F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
         )
         table = materialise(split, f"radix-{k}")
         done.append(table.filter(~F.col("open")).drop("rest"))

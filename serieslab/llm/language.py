@@ -174,13 +174,16 @@ def fit(labelled: DataFrame, most_per_language: int = 1500, shards: int = 4, rou
     shares of the sample from the same start and their weights are averaged, ``rounds`` times.
     """
     known = labelled.filter("lang is not null and text is not null")
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return [], np.zeros((ROWS, 1), np.float32), np.zeros((1, 1))
-    place = F.xxhash64("doc_id", "lang")
-    share = F.pmod(place, F.lit(512))  # ranks within small shares first, so that no language is ranked in one task
-    first = known.select("doc_id", "lang", place.alias("h"), share.alias("share")).withColumn("r", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h", "doc_id"))).filter(F.col("r") <= most_per_language)
-    chosen = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("r", "h", "doc_id"))).filter(F.col("k") <= most_per_language)
+    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    sizes = F.broadcast(labelled.sparkSession.createDataFrame([(s, n) for s, n in counts.items()], "lang string, n long"))
+    # about twice as many as are wanted pass by their hash, so no language is ranked whole in one task
+    share = place / float(1 << 30) * F.col("n")
+    near = known.join(sizes, "lang").filter(share <= 2 * most_per_language + 100).select("doc_id", "lang", place.alias("h"))
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= most_per_language)
     number = F.create_map(*[x for i, s in enumerate(languages) for x in (F.lit(s), F.lit(i))])
     chosen = chosen.select(F.col("doc_id").alias("d"), number[F.col("lang")].alias("y"), (F.col("k") % shards).cast("int").alias("shard"))
     sample = known.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("shard", "y", "text").persist()

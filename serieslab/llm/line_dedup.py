@@ -68,8 +68,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
 
         return of
 
-    seen = arrow_map(base, suspects, "doc_id long, key binary")
+    # both are written, so that a key of very many documents is split in the join
+    seen = materialise(arrow_map(base, suspects, "doc_id long, key binary"), "line-suspects")
     repeated = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs).drop("n")
+    repeated = materialise(repeated, "line-repeated")
     drops = seen.join(repeated, "key").select("doc_id", "key", (F.lit(keep_first) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("own"))
     drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("key", "own")).alias("drops"))
     drops = materialise(drops, "line-drops")

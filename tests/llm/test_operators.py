@@ -572,3 +572,13 @@ def test_words_of_batches():
             for j, h in enumerate(w.hashes().tolist()):
                 hashed[h].add(w.text(j, j + 1))
             assert all(len(x) == 1 for x in hashed.values()) and len(hashed) == len(set().union(*hashed.values())) if hashed else True
+
+
+def test_calibration_of_separable_votes():
+    from serieslab.llm.toxicity import Model
+
+    m = Model([], [])
+    m.calibrate(np.array([0.001] * 500 + [0.999] * 40), np.array([0.0] * 500 + [1.0] * 40))
+    assert math.isfinite(m.slope) and m.slope > 0.5
+    z = m.slope * m.logit(np.array([0.001, 0.999])) + m.shift
+    assert z[0] < -3 and z[1] > 3
