@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,32 +17,37 @@ from pyspark.sql import functions as F
 
 #: Text that reaches Python tasks comes in batches of about this many bytes.
 BATCH_BYTES = 4 << 20
+#: Where the tables of :func:`materialise` lie.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (local tests) a temporary folder is used.
+    Only where the session has no such setting (local tests) a temporary folder is used, which goes at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="serieslab-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: later steps start from files."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: later steps start from files.
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that Spark itself uses."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    Tables of ``instead_of``, results of this function that nothing reads any more, are deleted then.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    for old in instead_of:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(old))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return out
 
 
 def give_back() -> None:

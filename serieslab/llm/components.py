@@ -19,12 +19,12 @@ def connected(edges: DataFrame) -> DataFrame:
     edges, before = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        first = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.filter("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = materialise(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
         least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = materialise(small, "edges")
+        edges = materialise(small, "edges", (edges, first, down, least))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

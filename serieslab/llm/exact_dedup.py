@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
             "row", "doc_id", F.coalesce("next_gid", "gid").alias("gid"), "text_sha256", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("keep", F.struct("doc_id", "row")).alias("keep"),
             open_.alias("open"), F.when(open_, F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
         )
-        table = materialise(split, f"radix-{k}")
+        table = materialise(split, f"radix-{k}", (groups,))
         done.append(table.filter(~F.col("open")).drop("rest"))
         cur = table.filter("open").select("row", "doc_id", "gid", "text_sha256", "rest")
         if cur.isEmpty():

@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
     repeated = materialise(repeated, "line-repeated")
     drops = seen.join(repeated, "key").select("doc_id", "key", (F.lit(keep_first) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("own"))
     drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("key", "own")).alias("drops"))
-    drops = materialise(drops, "line-drops")
+    drops = materialise(drops, "line-drops", (seen, repeated))
 
     n_docs = drops.count()
     doc_bits = bloom.bits_for(n_docs, max_bits)

@@ -299,12 +299,13 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     involved = materialise(involved, "involved")
     found = involved.join(sets, "key").groupBy("band", "i", "j").applyInArrow(_linked(cut, threshold), "a binary, b binary")
     label = roots.withColumnRenamed("node", "key")
-    above = connected(found)
+    above = materialise(connected(found), "above")
     label = classes.select("key", "min_doc").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     label = label.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     label = label.select("key", "min_doc", F.coalesce("top", "root").alias("top"))
     least = label.groupBy("top").agg(F.min("min_doc").alias("component_id"))
-    final = materialise(label.join(least, "top").select("key", "component_id"), "final")
+    used = (classes, shared, wanted, sets, pairs, roots, labelled, involved, above)
+    final = materialise(label.join(least, "top").select("key", "component_id"), "final", used)
     out = rows.select("row", "doc_id", "n", "key").join(final, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
