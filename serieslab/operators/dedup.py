@@ -102,4 +102,4 @@ def percentile_scale(df: DataFrame, group: str, value: str, low: float = 0.005,
     limits = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
     lo, hi = F.col("_p")[0], F.col("_p")[1]
     clipped = F.least(F.greatest(F.col(value), lo), hi)
-    return df.join(F.broadcast(limits), group).withColumn("scaled", F.when(hi > lo, (clipped - lo) / (hi - lo) * top).otherwise(0.0)).drop("_p")
+    return df.join(limits, group).withColumn("scaled", F.when(hi > lo, (clipped - lo) / (hi - lo) * top).otherwise(0.0)).drop("_p")

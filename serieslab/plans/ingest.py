@@ -21,9 +21,9 @@ def resolve_persons(reports: DataFrame, persons: DataFrame) -> DataFrame:
     """
     named = reports.withColumn("name", person_name(F.col("name"))).withColumn("doc", F.coalesce("doc", F.lit("")))
     matched = joins.fuzzy_person(named, persons.select("id", "name", "doc"))
-    top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = matched.filter("match_id is null").select("name", "doc").distinct()
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("doc", "name"))).crossJoin(F.broadcast(top)).select("name", "doc", (F.col("top") + F.col("_n")).alias("new_id"))
+    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("doc", "name"))).select("name", "doc", (F.lit(top) + F.col("_n")).alias("new_id"))
     out = matched.join(fresh, ["name", "doc"], "left")
     return out.withColumn("created", F.col("match_id").isNull()).withColumn("person_id", F.coalesce("match_id", "new_id")).drop("match_id", "new_id")
 
@@ -75,8 +75,8 @@ def decide(pending: DataFrame, decisions: DataFrame, persons: DataFrame) -> Data
     makes = F.col("action").isin("approve", "rename") & F.col("_staged")
     outcome = F.when(F.col("_staged").isNull(), "not_found").when(F.col("action") == "cancel", "cancelled").when(~makes & F.col("target_id").isNull(), "error").otherwise(F.col("action"))
     named = joined.withColumn("outcome", outcome).withColumn("person_name", F.when(makes, F.coalesce(F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce("patient_name", F.lit(""))), F.lit("")), F.lit("DESCONOCIDO"))))
-    top = persons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = named.filter(makes).withColumn("_n", F.row_number().over(Window.orderBy("key"))).crossJoin(F.broadcast(top)).select("key", (F.col("top") + F.col("_n")).alias("_new"))
+    top = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    numbered = named.filter(makes).withColumn("_n", F.row_number().over(Window.orderBy("key"))).select("key", (F.lit(top) + F.col("_n")).alias("_new"))
     kept = F.col("outcome").isin("approve", "rename", "existing", "current")
     return named.join(numbered, "key", "left").select("key", "action", "outcome", F.when(kept, F.coalesce("_new", "target_id")).alias("person_id"), "person_name")
 

@@ -83,7 +83,7 @@ def new_since_last(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) LIKE '%a%' OR c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
 def filters_surface(spark: SparkSession, d: str) -> DataFrame:
     """Conjunctions, disjunctions, containment without regard to case, and lists."""
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.filter(F.lower("n_name").contains("a") | F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 

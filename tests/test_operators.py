@@ -54,7 +54,17 @@ def test_stale(spark):
 def test_longest_contained(spark):
     dim = spark.createDataFrame([(0, "abc", "x"), (1, "abcd", "y"), (2, "bcda", "z"), (3, "ab", "w")], "ord int, word string, code string")
     texts = spark.createDataFrame([("abcda",), ("ab",), ("q",), (None,)], "t string")
-    assert {r.t: r.match for r in joins.longest_contained(texts, "t", dim, "word", "code").collect()} == {"abcda": "y", "ab": "w", "q": None, None: None}
+    for few in (0, 100):  # by grams and by broadcast
+        got = joins.longest_contained(texts, "t", dim, "word", "code", few=few)
+        assert {r.t: r.match for r in got.collect()} == {"abcda": "y", "ab": "w", "q": None, None: None}
+
+
+def test_resolve_alias(spark):
+    aliases = spark.createDataFrame([(0, "losartan", "x"), (1, "losartan potasico", "y"), (2, "aas", "z"), (3, "vitamina d", "w")], "ord int, alias string, code string")
+    names = spark.createDataFrame([("losartan potasico",), ("losartan 50",), ("potasico",), ("aas 100",), ("aas",), ("",), (None,)], "name string")
+    for few in (0, 100):
+        got = {r.name: r.match for r in joins.resolve_alias(names, "name", aliases, "code", few=few).collect()}
+        assert got == {"losartan potasico": "y", "losartan 50": "x", "potasico": "y", "aas 100": None, "aas": "z", "": None, None: None}
 
 
 def test_picks_and_blocks(spark):
