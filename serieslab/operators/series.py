@@ -80,3 +80,8 @@ def next_line(doc: str, order: list[str], c: Column) -> Column:
 
 def previous_line(doc: str, order: list[str], c: Column) -> Column:
     return F.lag(c).over(Window.partitionBy(doc).orderBy(*order))
+
+
+def locale_order(c: Column) -> Column:
+    """A text to sort by as readers of its language do: case and accents only break ties."""
+    return F.collate(c, "UNICODE_CI_AI")

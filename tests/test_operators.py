@@ -163,3 +163,16 @@ def test_idle_flush(spark, tmp_path):
     query = ingest.idle_flush(source, "k", "ts", 180).writeStream.format("memory").queryName("flushed").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.k, r.n) for r in spark.table("flushed").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_locale_order(spark):
+    df = spark.createDataFrame([("Zinc",), ("ácido",), ("Azúcar",), ("albúmina",)], "t string")
+    assert [r.t for r in df.orderBy(series.locale_order(F.col("t"))).collect()] == ["ácido", "albúmina", "Azúcar", "Zinc"]
+
+
+def test_carry_patient(spark):
+    from serieslab.plans.ingest import carry_patient
+
+    rows = [("h", 1, "2024", "Ana", "1"), ("h", 2, None, None, None), ("h", 3, "2025", "Eva", None)]
+    got = carry_patient(spark.createDataFrame(rows, "file_hash string, part int, date string, name string, doc string")).orderBy("part").collect()
+    assert [(r.date, r["name"], r.doc) for r in got] == [("2024", "Ana", "1"), ("2024", "Ana", "1"), ("2025", "Eva", "1")]
