@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +39,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later steps start from files.
 
-    Tables of ``instead_of``, results of this function that nothing reads any more, are deleted then.
+    Tables of ``instead_of``, results of this function or of :func:`keep` that nothing reads any more,
+    are dropped then.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     for old in instead_of:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(old))
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if old in _paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(old))
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        else:
+            old.unpersist()
     return out
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, kept on the executors' disks once it is computed.
+
+    For small tables that are read several times within an operator: no files are written, and what a
+    lost executor held is computed again from the tables before.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def give_back() -> None:
     """Return free memory of a worker process to the system: workers stay for later tasks."""
     pa.default_memory_pool().release_unused()

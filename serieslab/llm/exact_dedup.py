@@ -9,10 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, materialise, row_id
+from serieslab.llm.common import arrow_map, keep, materialise, row_id
 
 #: Bytes of the first digit, and by how much each digit is wider than the one before.
-FIRST_DIGIT, WIDER = 32, 8
+FIRST_DIGIT, WIDER = 64, 16
 
 
 def _lowered() -> callable:
@@ -32,11 +32,11 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     has ``kept``. A null text counts as empty, a null doc_id as smaller than any other. Other columns
     of ``docs``, whatever their names, are not read. An empty table gives no rows.
 
-    Round k looks at one digit, the next 32 * 8**k bytes of each text that is still open: rows of a
+    Round k looks at one digit, the next 64 * 16**k bytes of each text that is still open: rows of a
     group that share the digit form the next group. A group of one row, or one whose text ends within
     the digit, is done and leaves. So the number of rounds follows the logarithm of the longest
     repeated text, and after the first round only rows with a partner are carried. Group sizes are
-    counted with partial sums before the shuffle. Groups of two or more are written and joined back: one
+    counted with partial sums before the shuffle. Groups of two or more are kept and joined back: one
     row a group, so adaptive execution splits a very large group, and texts are not shuffled at all
     where the groups are few enough to be broadcast.
     """
@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     while True:
         digits = cur.withColumn("digit", F.substring("rest", 1, width))
         groups = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"), F.min("row").alias("next_gid"))
-        groups = materialise(groups.filter("n > 1"), f"radix-groups-{k}")
+        groups = keep(groups.filter("n > 1"))
         open_ = F.col("n").isNotNull() & (F.length("digit") == width)
         split = digits.join(groups, ["gid", "digit"], "left").select(
             "row", "doc_id", F.coalesce("next_gid", "gid").alias("gid"), "text_sha256", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("keep", F.struct("doc_id", "row")).alias("keep"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serieslab.llm import bloom
-from serieslab.llm.common import arrow_map, materialise
+from serieslab.llm.common import arrow_map, keep, materialise
 
 #: What is stripped from both ends of a line for its key.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -68,10 +68,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
 
         return of
 
-    # both are written, so that a key of very many documents is split in the join
-    seen = materialise(arrow_map(base, suspects, "doc_id long, key binary"), "line-suspects")
+    # both are kept, so that a key of very many documents is split in the join
+    seen = keep(arrow_map(base, suspects, "doc_id long, key binary"))
     repeated = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs).drop("n")
-    repeated = materialise(repeated, "line-repeated")
+    repeated = keep(repeated)
     drops = seen.join(repeated, "key").select("doc_id", "key", (F.lit(keep_first) & F.col("doc_id").eqNullSafe(F.col("first"))).alias("own"))
     drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("key", "own")).alias("drops"))
     drops = materialise(drops, "line-drops", (seen, repeated))

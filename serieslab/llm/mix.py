@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, materialise, row_id
+from serieslab.llm.common import arrow_map, keep, materialise, row_id
 from serieslab.llm.words import count_words, lowered
 
 #: Seeded order: documents fall into so many hash buckets of their pattern.
@@ -169,10 +169,10 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     again = pools.select("key", F.least(F.lit(most) - F.col("copies"), F.floor(F.col("rest") / F.col("pool"))).alias("again"), "pool")
     planned = planned.join(F.broadcast(again), "key", "left")
     planned = planned.withColumn("copies", F.col("copies") + F.when(fits, F.coalesce("again", F.lit(0))).otherwise(0)).withColumn("rest", F.col("rest") - F.coalesce(F.col("again") * F.col("pool"), F.lit(0)))
-    state = materialise(planned.drop("again", "pool").withColumn("more", F.lit(False)), "mix-whole", (sized,))
+    state = keep(planned.drop("again", "pool").withColumn("more", F.lit(False)))
 
     for _ in range(ROUNDS):
-        state = materialise(_one_more_each(state, most), "mix-round", (state,))
+        state = keep(_one_more_each(state, most))
     free = state.filter(~F.col("more") & fits)
     step = F.floor(F.log2("size"))
     each = free.groupBy("key", step.alias("step")).agg(F.min(F.struct(F.xxhash64("row"), "row", "size", "rest")).alias("c"))

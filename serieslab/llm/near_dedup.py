@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serieslab.llm import bloom
-from serieslab.llm.common import arrow_map, materialise, row_id, splitmix
+from serieslab.llm.common import arrow_map, keep, materialise, row_id, splitmix
 from serieslab.llm.components import connected
 from serieslab.llm.decontaminate import gram_hashes
 from serieslab.llm.words import NOT_BLANK, Words, lowered, together
@@ -238,14 +238,14 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     cut = possible(threshold)
     rows = materialise(arrow_map(docs.select(row_id().alias("row"), "doc_id", "text"), _sketch(k), "row long, doc_id long, n long, key binary, regs binary"), "sketches")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialise(classes, "classes")
+    classes = keep(classes)
     members = arrow_map(classes.select("key", "regs"), _bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
     centres = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    shared = materialise(members.join(centres, "band"), "buckets")
+    shared = keep(members.join(centres, "band"))
 
     # the full sets of the classes that share a bucket, from one document of each
     wanted = shared.select("key").distinct().join(classes.select("key", "min_doc"), "key")
-    wanted = materialise(wanted.select("min_doc"), "wanted")
+    wanted = keep(wanted.select("min_doc"))
     bits = bloom.bits_for(wanted.count(), max_bits)
 
     def ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -279,11 +279,11 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     one, two = (small.select(F.col("key").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb"), _estimated(cut), "a binary, b binary")
     pairs = materialise(pairs, "candidates")  # a stage runs one kind of Python worker only
-    roots = materialise(connected(confirm(pairs)), "components")
+    roots = keep(connected(confirm(pairs)))
 
     # buckets with several components: members outside the largest against all
     labelled = shared.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    labelled = materialise(labelled, "labelled")
+    labelled = keep(labelled)
     sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = open_.select("band", F.col("most.root").alias("major"), F.col("all"), (F.col("all") - F.col("most.c")).alias("minors"))
@@ -296,10 +296,10 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     right = inside.withColumn("left", F.lit(False)).withColumn("j", own("all")).withColumn("i", others("minors")).select(columns)
     units = left.unionByName(right).groupBy("band", "i", "j")
     involved = units.applyInArrow(_involved(cut), "band long, i int, j int, left boolean, key binary, root binary, n long, regs binary, minor boolean")
-    involved = materialise(involved, "involved")
+    involved = keep(involved)
     found = involved.join(sets, "key").groupBy("band", "i", "j").applyInArrow(_linked(cut, threshold), "a binary, b binary")
     label = roots.withColumnRenamed("node", "key")
-    above = materialise(connected(found), "above")
+    above = keep(connected(found))
     label = classes.select("key", "min_doc").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     label = label.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     label = label.select("key", "min_doc", F.coalesce("top", "root").alias("top"))
