@@ -58,8 +58,9 @@ def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()
 def keep(df: DataFrame) -> DataFrame:
     """``df``, kept on the executors' disks once it is computed.
 
-    For small tables that are read several times within an operator: no files are written, and what a
-    lost executor held is computed again from the tables before.
+    For small tables that one step reads several times: no files are written, and what a lost executor
+    held is computed again from the tables before. Plans still hold what they were made of, so chains
+    of steps are cut by :func:`materialise`.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 
