@@ -22,8 +22,8 @@ RANKS, CLASSES, END = 2048, 64, 49408
 IDS = END + 1
 #: Added to counts: of a class after a token, and of a token within its class after a token.
 PULL, HOLD = 2.0, 4.0
-#: Every training document gives one window of so many to the gradient steps of a round.
-STRIDE = 32
+#: Windows of one gradient step.
+STEP = 256
 
 
 class Tables:
@@ -93,6 +93,7 @@ def start_weights(seed: int = 5) -> dict[str, np.ndarray]:
 
 
 _MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+_CAUSAL = np.exp(_MASK)
 
 
 def attend(w: dict[str, np.ndarray], last: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,7 +155,7 @@ def score_ids(w: dict[str, np.ndarray], tables: Tables, ids: np.ndarray, sizes:
     padded = np.append(last, np.zeros(WINDOW, np.int32))
     scaled = np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]], axis=1)
     by_token, by_place = w["tokens"] @ scaled, w["places"] @ scaled
-    place, causal, classes = np.arange(WINDOW), np.exp(_MASK), tables.class_of_id[ids]
+    place, classes = np.arange(WINDOW), tables.class_of_id[ids]
     values = np.ones((together, WINDOW, WIDTH + 1), np.float32)
     for i in range(0, len(text), together):
         part = slice(i, i + together)
@@ -163,7 +164,7 @@ def score_ids(w: dict[str, np.ndarray], tables: Tables, ids: np.ndarray, sizes:
         values[: len(at), :, :WIDTH] = qkv[:, :, 2 * WIDTH :]
         weights = qkv[:, :, :WIDTH] @ qkv[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
         np.exp(np.minimum(weights, 60, out=weights), out=weights)
-        weights *= causal
+        weights *= _CAUSAL
         mixed = weights @ values[: len(at)]
         use = (place >= skip[part, None]) & (place < size[part, None])
         mixed, where = mixed[use], at[use]
@@ -176,42 +177,64 @@ def score_ids(w: dict[str, np.ndarray], tables: Tables, ids: np.ndarray, sizes:
 
 
 def gradient(w: dict[str, np.ndarray], tables: Tables, last: np.ndarray, target: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the log-likelihood of the classes ``target`` of windows, over the places in ``use``."""
-    x, q, k, v, a, mixed = attend(w, last)
-    error = -np.exp(class_logs(w, tables, mixed.reshape(-1, WIDTH), last.ravel()))
-    error[np.arange(len(error)), target.ravel()] += 1
-    error *= use.reshape(-1, 1)
-    g = {"out": mixed.reshape(-1, WIDTH).T @ error}
-    d_mix = (error @ w["out"].T).reshape(x.shape)
-    d_a = d_mix @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ d_mix
-    d_s = a * (d_a - (a * d_a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-    flat, d_x = x.reshape(-1, WIDTH), 0
-    for name, d in (("q", d_q), ("k", d_k), ("v", d_v)):
-        d = d.reshape(-1, WIDTH)
-        g[name] = flat.T @ d
-        d_x = d_x + d @ w[name].T
+    """Gradient of the log-likelihood of the classes ``target`` of windows, over the places in ``use``.
+
+    As in :func:`score_ids` the embeddings go through the projections before windows are looked up, and
+    the weights stay unnormalised: a column of ones in the values gives their sums, and on the way back
+    one product gives the derivative of the weights less its mean. Derivatives are summed by token
+    before they go back through the projections.
+    """
+    scale = np.float32(WIDTH**-0.5)
+    scaled = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+    qkv = (w["tokens"] @ scaled)[last] + w["places"] @ scaled
+    q, k = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH]
+    values = np.ones((*last.shape, WIDTH + 1), np.float32)
+    values[:, :, :WIDTH] = qkv[:, :, 2 * WIDTH :]
+    a = q @ k.transpose(0, 2, 1)
+    np.exp(np.minimum(a, 60, out=a), out=a)
+    a *= _CAUSAL
+    mixed = (a @ values)[use]
+    sums = mixed[:, WIDTH:]
+    mixed = mixed[:, :WIDTH] / sums
+    error = class_logs(w, tables, mixed, last[use])
+    np.negative(np.exp(error, out=error), out=error)
+    error[np.arange(len(error)), target[use]] += 1
+    g = {"out": mixed.T @ error}
+    d_mix = error @ w["out"].T
+    back = np.zeros_like(values)
+    back[use] = np.concatenate([d_mix, -(d_mix * mixed).sum(axis=1, keepdims=True)], axis=1) / sums
+    d = np.empty_like(qkv)
+    d[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ back[:, :, :WIDTH]
+    a *= back @ values.transpose(0, 2, 1)
+    d[:, :, :WIDTH] = a @ k
+    d[:, :, WIDTH : 2 * WIDTH] = a.transpose(0, 2, 1) @ q
+    flat = last.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    found, begin = np.unique(flat[order], return_index=True)
+    by_token, by_place = np.add.reduceat(d.reshape(-1, 3 * WIDTH)[order], begin), d.sum(axis=0)
     g["tokens"] = np.zeros_like(w["tokens"])
-    np.add.at(g["tokens"], last.ravel(), d_x)
-    g["places"] = d_x.reshape(x.shape).sum(axis=0)
+    g["tokens"][found] = by_token @ scaled.T
+    g["places"] = by_place @ scaled.T
+    projections = w["tokens"][found].T @ by_token + w["places"].T @ by_place
+    g["q"], g["k"], g["v"] = projections[:, :WIDTH] * scale, projections[:, WIDTH : 2 * WIDTH], projections[:, 2 * WIDTH :]
     return g
 
 
-def train_part(w: dict[str, np.ndarray], tables: Tables, batches: Iterator[tuple[np.ndarray, np.ndarray]], offset: int, rate: float, together: int = 32) -> tuple[dict[str, np.ndarray], int]:
-    """Adam steps from ``w`` over one window of STRIDE of each text; the new weights and the number of steps."""
+def train_part(w: dict[str, np.ndarray], tables: Tables, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int, rate: float, together: int = STEP) -> tuple[dict[str, np.ndarray], int]:
+    """Adam steps from ``w`` over all windows of the texts, each token once; the new weights and the number of steps."""
     w = {name: x.copy() for name, x in w.items()}
     mean, square, steps = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
+    place = np.arange(WINDOW)
     for ids, sizes in batches:
         last, starts = np.append(_inputs(tables, ids, sizes), np.zeros(WINDOW, np.int32)), np.cumsum(sizes) - sizes
         classes = np.append(tables.class_of_id[ids], np.zeros(WINDOW, np.int16))
         text, first, scored = windows(sizes)
-        mine = np.flatnonzero((np.arange(len(text)) + offset) % STRIDE == 0)
-        mine = np.random.default_rng(offset).permutation(mine)
-        for i in range(0, len(mine), together):
-            part = mine[i : i + together]
-            at = starts[text[part], None] + first[part, None] + np.arange(WINDOW)
-            use = np.arange(WINDOW) < (sizes[text[part]] - first[part])[:, None]
+        order = np.random.default_rng(seed).permutation(len(text))
+        low, skip, size = (starts[text] + first)[order], (scored - first)[order], (sizes[text] - first)[order]
+        for i in range(0, len(order), together):
+            part = slice(i, i + together)
+            at = low[part, None] + place
+            use = (place >= skip[part, None]) & (place < size[part, None])
             g = gradient(w, tables, last[at], classes[at], use)
             steps += 1
             for name, x in g.items():
@@ -240,10 +263,10 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64), sizes
 
 
-def _trainer(sent: Broadcast, offset: int, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _trainer(sent: Broadcast, seed: int, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, tables = sent.value
-        new, steps = train_part(w, tables, (_ids(b.column(0)) for b in batches if b.num_rows), offset, rate)
+        new, steps = train_part(w, tables, (_ids(b.column(0)) for b in batches if b.num_rows), seed, rate)
         yield pa.RecordBatch.from_arrays([pa.array([_flat(new).tobytes()], pa.binary()), pa.array([steps], pa.int64())], ["w", "steps"])
 
     return train
@@ -265,12 +288,12 @@ def train(texts: DataFrame, tables: Tables, rounds: int = 2) -> dict[str, np.nda
     """Attention weights from the training texts (column ids): local steps in every task, then averaged.
 
     Tasks average in groups of 16, group after group, so no task and not the driver receives more than
-    that many models at once. Every training document takes part in every round with other windows.
+    that many models at once. Every window of every training text is learnt from in every round, in an order of its own.
     """
     spark, w = texts.sparkSession, start_weights()
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((w, tables))
-        parts = texts.select("ids").mapInArrow(_trainer(sent, 3 * k, 0.01 if k == 0 else 0.004), "w binary, steps long")
+        parts = texts.select("ids").mapInArrow(_trainer(sent, k, 0.01 if k == 0 else 0.004), "w binary, steps long")
         n = texts.rdd.getNumPartitions()
         while n > 1:
             n = -(-n // 16)

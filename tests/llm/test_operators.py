@@ -201,6 +201,23 @@ def test_lm_windows_score_each_token_once():
         assert own == list(range(n))
 
 
+def test_lm_learns_from_every_window(monkeypatch):
+    t, rng, seen = tables(), np.random.default_rng(8), []
+    texts = [np.append(rng.integers(0, 50, n), lm.END) for n in (0, 1, 31, 57, 3000, *[40] * 90)]
+    sizes = np.array([len(x) for x in texts])
+    plain = lm.gradient
+
+    def gradient(w, tables, last, target, use):
+        seen.append(int(use.sum()))
+        return plain(w, tables, last, target, use)
+
+    monkeypatch.setattr(lm, "gradient", gradient)
+    for k in range(2):
+        seen.clear()
+        _, steps = lm.train_part(lm.start_weights(), t, iter([(np.concatenate(texts), sizes)]), k, 0.01)
+        assert sum(seen) == sizes.sum() and steps == len(seen)
+
+
 def test_lm_empty(spark, empty):
     assert lm.lm_score(empty, TOKENIZER).count() == 0
 
