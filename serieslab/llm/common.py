@@ -91,9 +91,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def row_id() -> Column:
-    """A number for each row of a scan; the same when a lost task runs again over the same files."""
-    return F.monotonically_increasing_id()
+def row_id(column: str | None = None) -> Column:
+    """A number for each row of a scan, the same when a lost task runs again over the same files; or the column that has it."""
+    return F.col(column) if column else F.monotonically_increasing_id()
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -49,7 +49,7 @@ def _owners(words: Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.counts)), words.counts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, max_bits: int = 1 << 28) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, max_bits: int = 1 << 28, row: str | None = None) -> DataFrame:
     """Words of each document inside a passage that it shares with an item of ``benchmark``.
 
     A-Z are lower-cased; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is ``span``
@@ -57,7 +57,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     inside any occurrence of a window is hit. Returns one row for each row of ``docs``, repeated doc_ids
     included: row, doc_id, n_words, n_hit, spans (array of start and length of the windows found, in
     words), items (ids of items with a window there). A null text has no words; an empty benchmark
-    hits nothing; item rows that repeat count once. Other columns are not read.
+    hits nothing; item rows that repeat count once. ``row`` names a column with a number of each row;
+    without it rows are numbered here. Other columns are not read.
 
     Both sides give each window its winnowing fingerprint, the minimum k-gram hash in it. A Bloom
     filter over the benchmark's fingerprints (at most ``max_bits`` bits, so at most 32 MB at the
@@ -135,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         return of
 
     # each document also gives a row without a window; its fp, the row number, spreads these over the join
-    scanned = arrow_map(docs.select(row_id().alias("row"), "doc_id", "text"), scan, "row long, doc_id long, n_words long, start long, len int, fp long, win string")
+    scanned = arrow_map(docs.select(row_id(row).alias("row"), "doc_id", "text"), scan, "row long, doc_id long, n_words long, start long, len int, fp long, win string")
     hits = scanned.join(windows, ["fp", "len", "win"], "left")
     spans = F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "len")))
     out = hits.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -121,7 +121,7 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pd.Series(chosen, dtype="int64"), "filled": True})
 
 
-def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, budget: float = 1.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, budget: float = 1.0, seed: int = 0, row: str | None = None) -> DataFrame:
     """How often each document is taken so that the sources reach their target shares.
 
     ``members`` names the column with a document's source, or with an array of the sources it belongs
@@ -132,7 +132,8 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     empty array as no source, and its documents are not taken. Returns one row for each
     row of ``docs``: row, doc_id, members, size, copies, source_size and target (sums over its
     sources). An empty table gives no rows. Rows with one doc_id are ordered by a hash of their text.
-    Other columns are not read.
+    ``row`` names a column with a number of each row; without it rows are numbered here. Other columns
+    are not read.
 
     One scan counts words and leaves small rows. They are summed by membership pattern; the flow runs
     over patterns alone. What a pattern gives beyond whole repetitions is repeated from the documents
@@ -144,7 +145,7 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     none = F.array(F.lit(None).cast("string"))
     member = F.coalesce(F.col(members), none) if kind.startswith("array") else F.array(F.col(members).cast("string"))
     u = F.xxhash64(F.lit(seed), "doc_id", "text") % (BUCKETS << 32)
-    rows = docs.select(row_id().alias("row"), "doc_id", F.array_sort(F.array_distinct(member)).alias("members"), F.abs(u).alias("u"), "text")
+    rows = docs.select(row_id(row).alias("row"), "doc_id", F.array_sort(F.array_distinct(member)).alias("members"), F.abs(u).alias("u"), "text")
     sized = materialise(arrow_map(rows, _sizes, "row long, doc_id long, members array<string>, u long, size long"), "mix-sizes")
 
     table = sized.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()

@@ -211,14 +211,15 @@ def _linked(cut: float, threshold: float) -> callable:
     return of
 
 
-def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: int = 1 << 28) -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: int = 1 << 28, row: str | None = None) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of ``threshold`` or more of their shingle sets.
 
     A-Z are lower-cased and words are ``[^\\x20\\x09-\\x0D]+``. The set of a document is its distinct
     ``k``-word shingles, or its whole word sequence if that is shorter; a text without words has an
     empty set and is linked with nothing. Returns for each row of ``docs``: row, doc_id, n_shingles,
-    component_id (the smallest doc_id reachable, its own included), kept (doc_id = component_id). Rows
-    that repeat a doc_id with one text are alike; a null doc_id is ignored when the smallest is sought.
+    component_id (the smallest doc_id reachable, its own included), kept (true for exactly one row of a
+    component: the first by doc_id and row, null ids last). A null doc_id is ignored when the smallest
+    is sought. ``row`` names a column with a number of each row; without it rows are numbered here.
     Other columns are not read; an empty table gives no rows.
 
     1. One scan gives each document its set's digest and SetSketch; equal sets become one class.
@@ -236,8 +237,9 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     """
     spark = docs.sparkSession
     cut = possible(threshold)
-    rows = materialise(arrow_map(docs.select(row_id().alias("row"), "doc_id", "text"), _sketch(k), "row long, doc_id long, n long, key binary, regs binary"), "sketches")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    rows = materialise(arrow_map(docs.select(row_id(row).alias("row"), "doc_id", "text"), _sketch(k), "row long, doc_id long, n long, key binary, regs binary"), "sketches")
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = classes.withColumn("min_doc", F.col("first.doc_id"))
     classes = keep(classes)
     members = arrow_map(classes.select("key", "regs"), _bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
     centres = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
@@ -300,12 +302,12 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     found = involved.join(sets, "key").groupBy("band", "i", "j").applyInArrow(_linked(cut, threshold), "a binary, b binary")
     label = roots.withColumnRenamed("node", "key")
     above = keep(connected(found))
-    label = classes.select("key", "min_doc").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    label = classes.select("key", "first").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
     label = label.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    label = label.select("key", "min_doc", F.coalesce("top", "root").alias("top"))
-    least = label.groupBy("top").agg(F.min("min_doc").alias("component_id"))
+    label = label.select("key", "first", F.coalesce("top", "root").alias("top"))
+    least = label.groupBy("top").agg(F.min("first").alias("least"))
     used = (classes, shared, wanted, sets, pairs, roots, labelled, involved, above)
-    final = materialise(label.join(least, "top").select("key", "component_id"), "final", used)
+    final = materialise(label.join(least, "top").select("key", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stays")), "final", used)
     out = rows.select("row", "doc_id", "n", "key").join(final, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("key").isNull() | F.coalesce(F.col("row") == F.col("stays"), F.lit(False))).alias("kept"))

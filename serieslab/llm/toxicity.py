@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, crc_mod
+from serieslab.llm.common import arrow_map, crc_mod, row_id
 from serieslab.llm.words import lowered, pieces
 
 #: Examples of one block of the index, and neighbours that vote.
@@ -167,14 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8000, most_feat
     return Model(chosen, [(r["doc_id"], r["label"], {x["features"]: x["counts"] for x in r["kept"]}) for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), **bounds: float) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), row: str | None = None, **bounds: float) -> DataFrame:
     """Score every whole text by its nearest labelled examples.
 
     labels: doc_id, label. With ``holdout`` (n, r) the documents whose crc32(doc_id as text) modulo n is
     r are never learnt from. Returns for each row of ``docs``: doc_id, held_out, score (0 to 1),
     predicted (1 from 0.5 on) and evidence (doc_ids of the nearest examples, nearest first). A null or
     empty text, or one without any selected feature, gets the rate of label 1 among such examples; the
-    same if there are no labels at all (0.25 then). Other columns are not read.
+    same if there are no labels at all (0.25 then). ``row`` names a column with a number of each row, which
+    is returned as row then. Other columns are not read.
 
     The model (:func:`fit`) is bounded and broadcast; one scan scores the documents. Features are looked
     up once for each distinct piece of a batch, so few texts need more than that.
@@ -182,6 +183,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None
     n, r = holdout or (1, 1)
     model = fit(docs, labels.filter(crc_mod("doc_id", n) != r), **bounds)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    own_row = ["row"] if row else []
 
     def scan() -> callable:
         own = sent.value
@@ -204,9 +206,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None
             rest = own.score({})
             rows = [own.score(counts[i]) if i in counts else rest for i in range(batch.num_rows)]
             scores = pa.array([x[0] for x in rows], pa.float64())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), scores, pa.array([int(x[0] >= 0.5) for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), scores, pa.array([int(x[0] >= 0.5) for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.list_(pa.int64())), *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "evidence", *own_row])
 
         return of
 
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", n) == r).alias("held_out"))
-    return arrow_map(rows, scan, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+    rows = docs.select("doc_id", "text", (crc_mod("doc_id", n) == r).alias("held_out"), *([row_id(row).alias("row")] if row else []))
+    return arrow_map(rows, scan, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>" + ", row long" * len(own_row))

@@ -133,3 +133,27 @@ def test_pipeline_edges(spark, sf):
         out.collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(found)
+
+
+def test_pipeline_decides_by_row(spark, sf):
+    """Rows without doc_id and rows that share one stay or go each on its own."""
+    stages = dict(corpus_pipeline.STAGES)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(words(r.text)) >= 10]
+    clean = [" ".join(f"{w}{i}" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()) for i in range(6)]
+    ids = [None, None, 7, 7, None, 8]
+    rows_of = lambda texts: [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    make = lambda texts: spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    texts = lambda df: sorted(r.text for r in df.collect())
+    leaky = [items[0], *clean[1:3], items[1], *clean[4:]]
+    assert texts(stages["decontamination"](spark, make(leaky), sf)) == sorted([*clean[1:3], *clean[4:]])
+    copies = [clean[0], clean[0], clean[1], clean[1], clean[1], ""]
+    assert texts(stages["near_dedup"](spark, make(copies), sf)) == sorted([clean[0], clean[1], ""])
+    docs = make(clean)
+    taken = stages["mixing"](spark, docs, sf)
+    assert sorted(Counter(texts(taken)).values()) == [1] * 6
+    stored = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    gone = {r.doc_id for r in stored.collect()} - {r.doc_id for r in stages["toxicity"](spark, stored, sf).collect()}
+    toxic = next(r.text for r in stored.collect() if r.doc_id in gone and labels.get(r.doc_id))
+    out = stages["toxicity"](spark, stored.unionByName(make([toxic, *clean[1:]])), sf)
+    assert [r.text for r in out.collect() if r.doc_id is None] in [[a, b] for a in clean for b in clean if a != b]
