@@ -2,213 +2,326 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, crc_mod, row_id
+from serieslab.llm.common import arrow_map, crc_mod, keep, row_id
+from serieslab.llm.tokens import ragged
 from serieslab.llm.words import lowered, pieces
 
-#: Examples of one block of the index, and neighbours that vote.
-BLOCK, NEIGHBOURS = 64, 25
-#: Share of label 1 that a feature needs, and the power of the cosine that a neighbour's vote weighs.
-PURITY, SHARPNESS = 0.7, 10
-AFFIXES = (4, 5, 6)
-WORD = re.compile(r"[^\W\d_]+")
+#: Examples of one block of the index, blocks that a search scores first, and neighbours that vote.
+BLOCK, FIRST, NEIGHBOURS = 64, 16, 25
+#: The power of the cosine that a neighbour's vote weighs, and the least factor of a feature beside its idf.
+SHARPNESS, LEAST_GAIN = 4, 0.1
+#: Features with a row of the matrix of weights, and characters of a prefix.
+DENSE, PREFIX = 1024, 4
+#: Tasks that hold the examples, pieces counted at once, and features whose counts make one row.
+TASKS, TOGETHER, CHUNK = 24, 500_000, 1 << 14
+
+
+def features(distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (runs of letters) in blank-separated pieces and prefixes of longer ones, with a final hyphen; the piece of each."""
+    lists = pc.split_pattern_regex(distinct, r"\P{L}+")
+    words, piece = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    size = pc.utf8_length(words).to_numpy()
+    full, long = pa.array(size > 0), pa.array(size > PREFIX)
+    prefixes = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words.filter(long), 0, PREFIX), "-", "")
+    return pa.concat_arrays([words.filter(full), prefixes]), np.concatenate([piece[size > 0], piece[size > PREFIX]])
+
+
+class Vocabulary:
+    """Numbers of all features of the examples; counts them in other texts."""
+
+    def __init__(self, names: pa.Array) -> None:
+        self.names = names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's features begin, their numbers in rising order, and how often each occurs."""
+        codes, distinct, offsets = pieces(lowered(texts))
+        found, piece = features(distinct)
+        number = pc.fill_null(pc.index_in(found, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(piece[number >= 0], kind="stable")
+        flat, sizes = number[number >= 0][order], np.bincount(piece[number >= 0], minlength=len(distinct))
+        begins = np.cumsum(sizes) - sizes
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(codes), TOGETHER):
+            part = codes[at : at + TOGETHER]
+            doc = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
+            own = np.repeat(doc, sizes[part]) * len(self) + ragged(flat, begins[part], sizes[part])
+            key, count = np.unique(own, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = len(self) or 1
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * n), keys % n, np.bincount(at, np.concatenate(counts), len(keys))
 
 
-def features(piece: str) -> list[str]:
-    """The words in a blank-separated piece and their longer prefixes (written with a final hyphen)."""
-    out = []
-    for w in WORD.findall(piece):
-        out.append(w)
-        out += [f"{w[:k]}-" for k in AFFIXES if len(w) > k]
-    return out
+class Index:
+    """Unit vectors of the examples, laid out for exact search.
 
+    The DENSE commonest features, whose postings hold a large part of all examples, are rows of a matrix.
+    All others have postings in example order, cut into blocks of BLOCK examples with their largest weight.
+    """
 
-class Index:
-    """Postings of each feature in example order, cut into blocks of BLOCK examples with their largest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], n_features: int) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=vectors[i].get), i))  # alike examples share blocks
-        self.labels, self.ids = np.array([labels[i] for i in order], np.int8), [ids[i] for i in order]
-        posts = sorted((f, at, w) for at, i in enumerate(order) for f, w in vectors[i].items())
-        self.blocks = -(-len(order) // BLOCK)
-        self.example = np.array([p[1] for p in posts], np.int32)
-        self.weight = np.array([p[2] for p in posts], np.float32)
-        at = np.array([p[0] for p in posts], np.int64) * self.blocks + self.example // BLOCK
-        self.begin = np.searchsorted(at, np.arange(n_features * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_features * self.blocks, np.float32)
-        np.maximum.at(self.most, at, self.weight)
-        self.most = self.most.reshape(n_features, self.blocks)
-
-    def nearest(self, query: dict[int, float], without: int | None = None) -> list[tuple[float, int]]:
-        """The NEIGHBOURS largest (cosine, example), exactly: blocks by falling upper bound until none can enter."""
-        own = list(query.items())
-        bound = np.zeros(self.blocks, np.float32)
-        for f, w in own:
-            bound += w * self.most[f]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEIGHBOURS and bound[b] < best[-1][0] - 1e-6:
-                break
-            score = np.zeros(BLOCK, np.float32)
-            for f, w in own:
-                part = slice(self.begin[f * self.blocks + b], self.begin[f * self.blocks + b + 1])
-                score[self.example[part] - b * BLOCK] += w * self.weight[part]
-            best += [(float(score[i]), int(b * BLOCK + i)) for i in np.flatnonzero(score) if b * BLOCK + i != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:NEIGHBOURS]
-        return best
-
-    def vote(self, near: list[tuple[float, int]], prior: float) -> float:
-        """Share of label 1 among the neighbours, weighted by a power of the cosine, with one vote for the prior at weight 0.05."""
-        weights = [s**SHARPNESS for s, _ in near]
-        return (sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i]) + 0.05 * prior) / (sum(weights) + 0.05)
+    def __init__(self, begins: np.ndarray, feature: np.ndarray, weight: np.ndarray, n_features: int) -> None:
+        """begins, feature, weight: the vectors, one after another."""
+        n = len(begins) - 1
+        owner = np.repeat(np.arange(n), np.diff(begins))
+        heaviest = np.full(n, -1)
+        order = np.lexsort((weight, owner))
+        heaviest[owner[order]] = feature[order]
+        self.order = np.lexsort((np.arange(n), heaviest))  # alike examples share blocks
+        self.place = np.empty(n, np.int32)
+        self.place[self.order] = np.arange(n)
+        self.blocks, example = -(-n // BLOCK), self.place[owner]
+        df = np.bincount(feature, minlength=n_features)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        self.row = np.full(n_features, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[feature] >= 0
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.matrix[self.row[feature[dense]], example[dense]] = weight[dense]
+        feature, example, weight = feature[~dense], example[~dense], weight[~dense]
+        by = np.lexsort((example, feature))
+        self.example, self.weight = example[by], weight[by].astype(np.float32)
+        entry = feature[by] * self.blocks + self.example // BLOCK
+        self.post = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
+        self.block = (entry[self.post] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.post) if len(entry) else self.weight
+        self.first = np.searchsorted(entry[self.post], np.arange(n_features + 1) * self.blocks).astype(np.int32)
+        self.post = np.append(self.post, len(entry)).astype(np.int32)
+
+    def nearest(self, begins: np.ndarray, feature: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None, together: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query vector the cosine and place of its NEIGHBOURS nearest examples with a cosine above 0, exactly.
+
+        ``without`` has the place of an example that each query must not find. One product gives the
+        share of the common features in all cosines of ``together`` queries.
+        """
+        n = len(begins) - 1
+        for at in range(0, n, together):
+            own = slice(begins[at], begins[min(n, at + together)])
+            row = self.row[feature[own]]
+            owner = np.repeat(np.arange(min(n, at + together) - at), np.diff(begins[at : at + together + 1]))
+            query = np.zeros((min(n, at + together) - at, len(self.matrix)), np.float32)
+            query[owner[row >= 0], row[row >= 0]] = weight[own][row >= 0]
+            for i, known in enumerate(query @ self.matrix, at):
+                own = slice(begins[i], begins[i + 1])
+                rare = self.row[feature[own]] < 0
+                yield self._best(known, feature[own][rare], weight[own][rare], -1 if without is None else without[i])
+
+    def _best(self, known: np.ndarray, feature: np.ndarray, weight: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of one query, given the share of the common features in its cosines.
+
+        The largest weights of a block bound what rare features add in it. Blocks are scored by falling
+        bound, FIRST of them and then all that could still hold a nearer example.
+        """
+        if without >= 0:
+            known[without] = 0
+        sizes = self.first[feature + 1] - self.first[feature]
+        entries, w = _spans(self.first[feature], sizes), np.repeat(weight, sizes)
+        block = self.block[entries]
+        bound = known.reshape(self.blocks, BLOCK).max(axis=1, initial=0) + np.bincount(block, w * self.most[entries], self.blocks)
+        score, place, at, size = np.zeros(0), np.zeros(0, np.int64), 0, FIRST
+        least = np.partition(known, -NEIGHBOURS)[-NEIGHBOURS] if len(known) > NEIGHBOURS else 0.0
+        order = np.flatnonzero((bound > 0) & (bound >= least - 1e-6))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        while at < len(order):
+            now, slot = order[at : at + size], np.full(self.blocks, -1)
+            slot[now] = np.arange(len(now))
+            inside = np.flatnonzero(slot[block] >= 0)
+            own = entries[inside]
+            n = self.post[own + 1] - self.post[own]
+            posts = _spans(self.post[own], n)
+            local = np.repeat(slot[block[inside]] * BLOCK, n) + self.example[posts] % BLOCK
+            sums = known.reshape(self.blocks, BLOCK)[now].ravel() + np.bincount(local, np.repeat(w[inside], n) * self.weight[posts], len(now) * BLOCK)
+            hit = np.flatnonzero(sums)
+            found = now[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, found = hit[found != without], found[found != without]
+            score, place = np.concatenate([score, sums[hit]]), np.concatenate([place, found])
+            best = np.lexsort((place, -score))[:NEIGHBOURS]
+            score, place, at = score[best], place[best], at + size
+            if len(score) == NEIGHBOURS:
+                order = order[: np.searchsorted(-bound[order], 1e-6 - score[-1], "right")]
+            size = max(1, len(order) - at)
+        return score, place
+
+
+def _spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several spans, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Model:
-    """Selected features with their idf, the index of the examples, and the calibration."""
-
-    def __init__(self, chosen: list[tuple[str, float]], examples: list[tuple[int, int, dict[str, int]]]) -> None:
-        self.number = {f: i for i, (f, _) in enumerate(chosen)}
-        self.idf = np.array([w for _, w in chosen])
-        vectors = [self.vector({self.number[f]: n for f, n in counts.items() if f in self.number}) for _, _, counts in examples]
-        some = [i for i, v in enumerate(vectors) if v]
-        none = [label for v, (_, label, _) in zip(vectors, examples, strict=True) if not v]
-        self.rest = (sum(none) + 0.5) / (len(none) + 2)
-        labels = [examples[i][1] for i in some]
-        self.prior = (sum(labels) + 1) / (len(labels) + 2)
-        self.index = Index([vectors[i] for i in some], labels, [examples[i][0] for i in some], len(chosen)) if some else None
-        self.slope, self.shift = 1.0, 0.0
-        if some:
-            place = {doc: at for at, doc in enumerate(self.index.ids)}
-            votes = np.array([self.index.vote(self.index.nearest(vectors[i], place[examples[i][0]]), self.prior) for i in some])
-            self.calibrate(votes, np.array(labels, float))
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {f: (1 + math.log(n)) * self.idf[f] for f, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {f: w / norm for f, w in raw.items()}
-
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Logistic scaling of the leave-one-out votes, held near the identity; Newton steps that must not lose."""
-        x, theta = self.logit(votes), np.array([1.0, 0.0])
-
-        def loss(t: np.ndarray) -> float:
-            z = t[0] * x + t[1]
-            return float((np.logaddexp(0, z) - labels * z).sum() + ((t - [1.0, 0.0]) ** 2).sum())
-
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(theta[0] * x + theta[1], -500, 500)))
-            grad = np.array([((p - labels) * x).sum(), (p - labels).sum()]) + 2.0 * (theta - [1.0, 0.0])
-            s = p * (1 - p)
-            step = np.linalg.solve(np.array([[(s * x * x).sum() + 2.0, (s * x).sum()], [(s * x).sum(), s.sum() + 2.0]]), grad)
-            while np.abs(step).max() > 1e-9 and loss(theta - step) > loss(theta):
-                step = step / 2
-            theta = theta - step
-        self.slope, self.shift = max(0.1, theta[0]), theta[1]
-
-    @staticmethod
-    def logit(p: np.ndarray) -> np.ndarray:
-        p = np.clip(p, 1e-3, 1 - 1e-3)
-        return np.log(p / (1 - p))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Score and the doc_ids of the neighbours; texts without a selected feature get the rate of such examples."""
-        if not counts or self.index is None:
-            return self.rest, []
-        near = self.index.nearest(self.vector(counts))
-        z = self.slope * float(self.logit(np.array(self.index.vote(near, self.prior)))) + self.shift
-        return 1 / (1 + math.exp(-z)), [self.index.ids[i] for _, i in near]
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8000, most_features: int = 2000) -> Model:
-    """Learn from at most ``most_examples`` labelled documents, the first by a hash of their doc_id.
-
-    labels: doc_id, label (0 or 1, nulls are left out; of several labels of a document the largest
-    counts). A feature is selected if PURITY or more of the examples with it have label 1 and its
-    log-likelihood ratio is twice the logarithm of the number of features or more (about one passes by
-    chance), the ``most_features`` best of them. The model is bounded by these parameters whatever the
-    size of ``docs``.
+    """Features with their weights, and the index of the examples with their labels."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, begins: np.ndarray, feature: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
+        self.vocabulary, self.weights = vocabulary, weights.astype(np.float32)
+        self.index = Index(begins, feature, self.vectors(begins, feature, counts), len(vocabulary))
+        self.labels, self.ids = labels[self.index.order], ids[self.index.order]
+        self.prior = (labels.sum() + 0.5) / (len(labels) + 2)
+        empty = labels[np.diff(begins) == 0]
+        self.rest = (empty.sum() + self.prior) / (len(empty) + 1)  # of texts without any feature
+
+    def vectors(self, begins: np.ndarray, feature: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """TF-IDF weights of texts, each of length 1."""
+        w = (1 + np.log(counts)) * self.weights[feature]
+        owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        return w / np.sqrt(np.bincount(owner, w * w, len(begins) - 1))[owner]
+
+    def votes(self, texts: pa.Array, without: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Weighted share of label 1 among each text's neighbours (nan without features), and their doc_ids, nearest first.
+
+        A neighbour's vote weighs a power of its cosine; one for the prior weighs 0.05. ``without`` has
+        the number of the example that each text is.
+        """
+        begins, feature, counts = self.vocabulary.counts(texts)
+        weight = self.vectors(begins, feature, counts)
+        votes, near = np.full(len(texts), np.nan), []
+        for i, (score, place) in enumerate(self.index.nearest(begins, feature, weight, None if without is None else self.index.place[without])):
+            near.append(self.ids[place])
+            if begins[i + 1] > begins[i]:
+                w = score**SHARPNESS
+                votes[i] = (w[self.labels[place] == 1].sum() + 0.05 * self.prior) / (w.sum() + 0.05)
+        return votes, near
+
+
+def calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic scaling of the leave-one-out votes, held near the identity; Newton steps that must not lose."""
+    x, theta = logit(votes), np.array([1.0, 0.0])
+
+    def loss(t: np.ndarray) -> float:
+        z = t[0] * x + t[1]
+        return float((np.logaddexp(0, z) - labels * z).sum() + ((t - [1.0, 0.0]) ** 2).sum())
+
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(theta[0] * x + theta[1], -500, 500)))
+        grad = np.array([((p - labels) * x).sum(), (p - labels).sum()]) + 2.0 * (theta - [1.0, 0.0])
+        s = p * (1 - p)
+        step = np.linalg.solve(np.array([[(s * x * x).sum() + 2.0, (s * x).sum()], [(s * x).sum(), s.sum() + 2.0]]), grad)
+        while np.abs(step).max() > 1e-9 and loss(theta - step) > loss(theta):
+            step = step / 2
+        theta = theta - step
+    return max(0.1, float(theta[0])), float(theta[1])
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def gains(df: np.ndarray, toxic: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Log-likelihood ratio of each feature and the label: df examples have it, ``toxic`` of these have label 1."""
+    term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    n0 = n - n1
+    return 2 * np.maximum(0, term(toxic, df * n1 / n) + term(df - toxic, df * n0 / n) + term(n1 - toxic, n1 * (n - df) / n) + term(n0 - df + toxic, n0 * (n - df) / n))
+
+
+def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """In how many of all documents each feature occurs, and how many documents there are.
+
+    A task sends its counts packed, in rows of CHUNK features, and these are summed by their number.
     """
-    known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = "chunk int, counts binary, docs long"
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = sent.value, 0
+        found = np.zeros(-(-(len(own) + 1) // CHUNK) * CHUNK, np.int64)
         for batch in batches:
-            codes, distinct, offsets = pieces(lowered(batch.column(1)))
-            found = [features(p) for p in distinct.to_pylist()]
-            sums = [Counter(f for c in codes[a:b].tolist() for f in found[c]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            lists = [pa.array([list(s) for s in sums], pa.list_(pa.string())), pa.array([list(s.values()) for s in sums], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "label", "features", "counts"])
-
-    examples = texts.select("doc_id", "text", "label").mapInArrow(counted, "doc_id long, label int, features array<string>, counts array<int>").persist()
-    n, n1 = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    chosen: list[tuple[str, float]] = []
-    if 0 < n1 < n:
-        per = examples.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("a")).filter("a > 1")
-        a, df = F.col("a").cast("double"), F.col("df").cast("double")
-        term = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-        gain = 2 * (term(a, df * n1 / n) + term(df - a, df * (n - n1) / n) + term(n1 - a, n1 * (n - df) / n) + term(n - n1 - df + a, (n - n1) * (n - df) / n))
-        least = 2 * math.log(max(2, per.count()))
-        best = per.withColumn("gain", gain).filter((a / df >= PURITY) & (a / df > n1 / n) & (F.col("gain") >= least)).orderBy(F.desc("gain"), "feature").limit(most_features)
-        chosen = [(r["feature"], math.log(1 + n / r["df"])) for r in best.collect()]
-    names = [f for f, _ in chosen]
-    kept = F.filter(F.arrays_zip("features", "counts"), lambda x: x["features"].isin(names)) if names else F.slice(F.arrays_zip("features", "counts"), 1, 0)
-    rows = examples.select("doc_id", "label", kept.alias("kept")).orderBy("doc_id").collect()
-    examples.unpersist()
-    return Model(chosen, [(r["doc_id"], r["label"], {x["features"]: x["counts"] for x in r["kept"]}) for r in rows])
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), row: str | None = None, **bounds: float) -> DataFrame:
+            found += np.bincount(own.counts(batch.column(0))[1], minlength=len(found))
+            n += batch.num_rows
+        rows = [found[i : i + CHUNK] for i in range(0, len(found), CHUNK)]
+        packed = [zlib.compress(r.tobytes(), 1) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(packed, pa.binary()), pa.array([n] * len(rows), pa.int64())], ["chunk", "counts", "docs"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, at = np.zeros(CHUNK, np.int64), 0, None
+        for part in parts:
+            for at, counts, docs in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True):
+                total, n = total + np.frombuffer(zlib.decompress(counts), np.int64), n + docs
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["chunk", "counts", "docs"])
+
+    rows = docs.select("text").mapInArrow(fill, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    rows.sort(key=lambda r: r["chunk"])
+    sent.unpersist()
+    df = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in rows)])
+    return df[: len(vocabulary)], max([r["docs"] for r in rows], default=0)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), most_examples: int = 8000, row: str | None = None) -> DataFrame:
     """Score every whole text by its nearest labelled examples.
 
-    labels: doc_id, label. With ``holdout`` (n, r) the documents whose crc32(doc_id as text) modulo n is
-    r are never learnt from. Returns for each row of ``docs``: doc_id, held_out, score (0 to 1),
-    predicted (1 from 0.5 on) and evidence (doc_ids of the nearest examples, nearest first). A null or
-    empty text, or one without any selected feature, gets the rate of label 1 among such examples; the
-    same if there are no labels at all (0.25 then). ``row`` names a column with a number of each row, which
-    is returned as row then. Other columns are not read.
-
-    The model (:func:`fit`) is bounded and broadcast; one scan scores the documents. Features are looked
-    up once for each distinct piece of a batch, so few texts need more than that.
+    labels: doc_id, label (0 or 1, nulls are left out; of several labels of a document the largest
+    counts, of several texts with one doc_id the smallest). With ``holdout`` (n, r) the documents whose
+    crc32(doc_id as text) modulo n is r are never learnt from. Returns for each row of ``docs``: doc_id,
+    held_out, score (0 to 1), predicted (1 from 0.5 on) and evidence (doc_ids of the nearest examples,
+    nearest first). A null or empty text, or one without any feature of the examples, gets the rate of
+    label 1 among such examples; the same if there are no labels at all (0.25 then). ``row`` names a
+    column with a number of each row, which is returned as row then. Other columns are not read.
+
+    The examples are at most ``most_examples`` labelled documents, the first by a hash of their doc_id,
+    with their whole texts; all of them and all their words and prefixes are in the index. A feature's
+    weight is its tf-idf, with document counts over all of ``docs``, times the square root of its
+    log-likelihood ratio with the label among the examples, so that neighbours are sought by what tells
+    labels apart. The cosine is exact on these vectors. Votes are calibrated on the examples, each
+    without itself. Three scans read the texts: one fetches the examples, one counts, one scores.
     """
+    spark = docs.sparkSession
     n, r = holdout or (1, 1)
-    model = fit(docs, labels.filter(crc_mod("doc_id", n) != r), **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    own_row = ["row"] if row else []
+    known = labels.filter(crc_mod("doc_id", n) != r).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
+    examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").repartition(TASKS, "doc_id").groupBy("doc_id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    examples = keep(examples)
+    found = examples.orderBy("doc_id").toArrow().combine_chunks()
+    texts = found.column("text").chunk(0) if len(found) else pa.array([], pa.string())
+    label, ids = found.column("label").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
+    vocabulary = Vocabulary(pc.unique(features(pieces(lowered(texts))[1])[0]))
+    begins, feature, counts = vocabulary.counts(texts)
+    n_features = len(vocabulary)
+    gain = gains(np.bincount(feature, minlength=n_features).astype(float), np.bincount(feature, np.repeat(label, np.diff(begins)), n_features), max(1, len(ids)), int(label.sum()))
+    df, n_docs = document_counts(docs, vocabulary)
+    weights = np.log1p(n_docs / np.maximum(df, 1)) * np.sqrt(np.maximum(gain, LEAST_GAIN**2))
+    sent = spark.sparkContext.broadcast(Model(vocabulary, weights, begins, feature, counts, label, ids))
+
+    def alone() -> callable:
+        own = sent.value
+
+        def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            votes, _ = own.votes(batch.column(0), np.searchsorted(ids, batch.column(1).to_numpy()).tolist())
+            return pa.RecordBatch.from_arrays([pa.array(votes), batch.column(2)], ["vote", "label"])
+
+        return of
+
+    slope, shift, rest = 1.0, 0.0, 0.25
+    if len(ids):
+        tried = arrow_map(examples.select("text", "doc_id", "label"), alone, "vote double, label int").toArrow()
+        votes, marks = tried.column("vote").to_numpy(), tried.column("label").to_numpy().astype(float)
+        use = ~np.isnan(votes)
+        order = np.lexsort((marks[use], votes[use]))
+        slope, shift = calibrate(votes[use][order], marks[use][order])
+        rest = float(sent.value.rest)
+    examples.unpersist()
 
     def scan() -> callable:
         own = sent.value
-        known: dict[str, tuple[int, ...]] = {}
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes, distinct, offsets = pieces(lowered(batch.column(1)))
-            if len(known) > 150_000:
-                known.clear()
-            found = []
-            for p in distinct.to_pylist():
-                got = known.get(p)
-                if got is None:
-                    got = known[p] = tuple(own.number[f] for f in features(p) if f in own.number)
-                found.append(got)
-            hit = np.flatnonzero(np.fromiter(map(bool, found), bool, len(found))[codes]) if found else np.zeros(0, np.int64)
-            counts: dict[int, Counter] = {}
-            for at, doc in zip(hit.tolist(), (np.searchsorted(offsets, hit, "right") - 1).tolist(), strict=True):
-                counts.setdefault(doc, Counter()).update(found[codes[at]])
-            rest = own.score({})
-            rows = [own.score(counts[i]) if i in counts else rest for i in range(batch.num_rows)]
-            scores = pa.array([x[0] for x in rows], pa.float64())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), scores, pa.array([int(x[0] >= 0.5) for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.list_(pa.int64())), *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "evidence", *own_row])
+            votes, near = own.votes(batch.column(1))
+            scores = np.where(np.isnan(votes), rest, 1 / (1 + np.exp(-slope * logit(np.nan_to_num(votes)) - shift)))
+            evidence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype(np.int32)), pa.array(np.concatenate(near), pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), evidence, *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "evidence", *own_row])
 
         return of
 
+    own_row = ["row"] if row else []
     rows = docs.select("doc_id", "text", (crc_mod("doc_id", n) == r).alias("held_out"), *([row_id(row).alias("row")] if row else []))
     return arrow_map(rows, scan, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>" + ", row long" * len(own_row))

@@ -555,23 +555,37 @@ def test_toxicity(spark, empty):
     assert toxicity(empty, labels).count() == 0
 
 
-def test_block_max_index_is_exact():
-    from serieslab.llm.toxicity import NEIGHBOURS, Index
+def test_block_max_index_is_exact(monkeypatch):
+    from serieslab.llm import toxicity as module
 
+    monkeypatch.setattr(module, "DENSE", 6)
     rng = random.Random(6)
 
     def vector():
-        raw = {rng.randrange(40): rng.random() for _ in range(rng.randint(1, 8))}
+        raw = {rng.choice([rng.randrange(8), rng.randrange(60)]): rng.random() for _ in range(rng.randint(1, 8))}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {f: x / norm for f, x in raw.items()}
+        return {f: x / norm for f, x in sorted(raw.items())}
 
-    vectors = [vector() for _ in range(700)]
-    index = Index(vectors, [0] * 700, list(range(700)), 40)
-    for _ in range(60):
-        q = vector()
-        plain = sorted((sum(w * v.get(f, 0) for f, w in q.items()) for v in vectors), reverse=True)[:NEIGHBOURS]
-        got = [s for s, _ in index.nearest(q)]
-        assert got == pytest.approx([s for s in plain if s > 0], abs=1e-5)
+    def joined(found):
+        return np.cumsum([0, *map(len, found)]), np.array([f for v in found for f in v], np.int64), np.array([w for v in found for w in v.values()])
+
+    vectors, asked = [vector() for _ in range(1700)], [vector() for _ in range(60)] + [{}]
+    index = module.Index(*joined(vectors), 60)
+    for without in (None, np.arange(len(asked))):
+        for k, (q, (got, place)) in enumerate(zip(asked, index.nearest(*joined(asked), None if without is None else index.place[without]), strict=True)):
+            plain = [sum(w * v.get(f, 0) for f, w in q.items()) * (without is None or i != k) for i, v in enumerate(vectors)]
+            assert got == pytest.approx([s for s in sorted(plain, reverse=True)[: module.NEIGHBOURS] if s > 0], abs=1e-5)
+            assert [plain[index.order[p]] for p in place] == pytest.approx(got, abs=1e-5)
+
+
+def test_repeated_doc_ids_are_one_example(spark):
+    """Of texts that share a doc_id the smallest is learnt from; each row is scored."""
+    rng = random.Random(8)
+    found = [(i, insulted(rng, i % 6 == 0), "en", "s", 0) for i in range(200)] + [(6, "zzz", "en", "s", 0), (None, "scum idiot moron", "en", "s", 0)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(200)], "doc_id long, label int")
+    runs = [sorted((r.doc_id or -1, r.score) for r in toxicity(spark.createDataFrame(found, SCHEMA).repartition(n), labels).collect()) for n in (1, 5)]
+    assert [i for i, _ in runs[0]] == [i for i, _ in runs[1]] and len(runs[0]) == 202
+    assert [s for _, s in runs[0]] == pytest.approx([s for _, s in runs[1]])
 
 
 def test_words_of_batches():
@@ -592,10 +606,9 @@ def test_words_of_batches():
 
 
 def test_calibration_of_separable_votes():
-    from serieslab.llm.toxicity import Model
+    from serieslab.llm.toxicity import calibrate, logit
 
-    m = Model([], [])
-    m.calibrate(np.array([0.001] * 500 + [0.999] * 40), np.array([0.0] * 500 + [1.0] * 40))
-    assert math.isfinite(m.slope) and m.slope > 0.5
-    z = m.slope * m.logit(np.array([0.001, 0.999])) + m.shift
+    slope, shift = calibrate(np.array([0.001] * 500 + [0.999] * 40), np.array([0.0] * 500 + [1.0] * 40))
+    assert math.isfinite(slope) and slope > 0.5
+    z = slope * logit(np.array([0.001, 0.999])) + shift
     assert z[0] < -3 and z[1] > 3

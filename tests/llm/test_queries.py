@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -73,9 +74,18 @@ def test_accuracy(spark, sf, documents):
     lang = {i: g for i, _, g, *_ in documents}
     got = run(spark, sf, "op7_language").collect()
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
+def test_toxicity_held_out(spark):
+    """On documents that were not learnt from, at the size where they hold some hundred toxic ones."""
+    sf = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = [r for r in run(spark, sf, "op10_toxicity").collect() if r.doc_id in toxic]
-    assert np.mean([r.predicted == toxic[r.doc_id] for r in got]) > 0.9
+    found = run(spark, sf, "op10_toxicity").select("doc_id", "held_out", "predicted", F.size("evidence").alias("n"), "score").collect()
+    assert len(found) == 10_000 and np.mean([r.n == 25 for r in found]) > 0.99
+    held = [r for r in found if r.held_out and r.doc_id in toxic]
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in found)
+    assert np.mean([r.predicted for r in held if toxic[r.doc_id] == 1]) >= 0.9
+    assert np.mean([r.predicted for r in held if toxic[r.doc_id] == 0]) <= 0.02
 
 
 def test_tokens(spark, sf, documents):
