@@ -96,6 +96,21 @@ def row_id(column: str | None = None) -> Column:
     return F.col(column) if column else F.monotonically_increasing_id()
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a number of each row, which is the same whenever it is read.
+
+    Rows of Parquet files are numbered by file and place, however the files are split; others are written.
+    """
+    if df._jdf.queryExecution().analyzed().children().isEmpty() and df.inputFiles():
+        file = F.col("_metadata.file_path")
+        paths = sorted(r[0] for r in df.select(file).distinct().collect())
+        numbers = df.sparkSession.createDataFrame(list(enumerate(paths)), "_number long, _path string")
+        placed = df.select("*", file.alias("_path"), F.col("_metadata.row_index").alias("_place"))
+        placed = placed.join(F.broadcast(numbers), "_path")
+        return placed.select(*df.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias(name))
+    return materialise(df.withColumn(name, row_id()), "numbered")
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -51,8 +51,9 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "archive")
-    directory = warc.archive(table(spark, sf_dir, "pages"), path)
-    return warc.resolved(warc.read_warc(directory, f"{path}/index", f"{path}/warc"))
+    pages = table(spark, sf_dir, "pages")
+    warc.archive(pages, path)
+    return warc.resolved(warc.read_warc(warc.keys_of(pages), f"{path}/index", f"{path}/warc"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,8 +370,8 @@ def test_warc(spark, tmp_path):
     pages = [(i, f"http://www.Site{i % 5}.org:80/p/{i % 17}?q={i}#x", [same, prose(rng, 50), "short", None, ""][i % 5]) for i in range(300)] + [(900, None, same), (901, "no scheme", "é" * 60)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
     path = shared_dir(spark, "warc-test")
-    directory = warc.archive(frame, path)
-    records = warc.read_warc(directory, f"{path}/index", f"{path}/warc")
+    warc.archive(frame, path)
+    records = warc.read_warc(warc.keys_of(frame), f"{path}/index", f"{path}/warc")
     first = {}
     for i, _, html in sorted(pages, key=lambda p: p[0]):
         first.setdefault(html or "", i)
@@ -383,10 +383,36 @@ def test_warc(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first[html] if again else None)
     payloads = {r.page_id: bytes(r.payload) for r in records.filter("record_type = 'response'").collect()}
     assert all(payloads[i] == (html or "").encode() for i, _, html in pages if i in payloads)
-    listed = sorted(directory.collect(), key=lambda r: (r["first_key"], r["file"], r["offset"]))
     for url in (pages[7][1], "http://nowhere.org/"):
         want = sorted(i for i, u, _ in pages if warc.url_key(u) == warc.url_key(url))
-        assert sorted(int(f["WARC-Record-ID"][10:-1]) for f, _ in warc.lookup(listed, f"{path}/index", f"{path}/warc", url)) == want
+        assert sorted(warc.page_of(f["WARC-Record-ID"]) for f, _ in warc.lookup(f"{path}/index", f"{path}/warc", url)) == want
+    few = spark.createDataFrame([(pages[7][1],), ("http://nowhere.org/",)], "url string")
+    assert [r.page_id for r in warc.read_warc(warc.keys_of(few), f"{path}/index", f"{path}/warc").collect()] == [7]
+
+
+def test_warc_tells_rows_apart(spark, monkeypatch):
+    """Repeated and null page_ids, odd urls, one url with most captures: no row is lost, doubled or given another's payload."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    a, b, c = (x * 120 for x in "abc")
+    hot = "http://hot.org/\tx y\nz"
+    pages = [(1, "u", a), (5, "v", a), (5, "v", a), (5, hot, b), (0, None, b), (None, hot, a), (None, "w", c), (None, "w", c), (7, "w", "short"), (7, "w", "short")]
+    pages += [(100 + i, hot, f"{i}" * 150) for i in range(60)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    path = shared_dir(spark, "warc-rows")
+    warc.archive(frame, path)
+    records = warc.read_warc(warc.keys_of(frame), f"{path}/index", f"{path}/warc")
+    least = {x: min((i for i, _, h in pages if h == x and i is not None), default=None) for _, _, x in pages}
+    key = lambda i, html: (str(i), len(html), hashlib.sha256(html.encode()).hexdigest())
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in warc.resolved(records).collect()) == sorted(key(i, h) for i, _, h in pages)
+    out = [(r.payload_digest, r.record_type, r.page_id, r.refers_to) for r in warc.resolved(records).collect()]
+    for html in (a, b, c):
+        own = [x[1:] for x in out if x[0] == key(0, html)[2]]
+        assert [x for x in own if x[0] == "response"] == [("response", least[html], None)]
+        assert all(x[2] == least[html] for x in own if x[0] == "revisit")
+    assert [x[1] for x in out if x[0] == key(0, "short")[2]] == ["response"] * 2
+    whole = records.filter("record_type = 'response'").select("payload").collect()
+    assert {bytes(r.payload).decode() for r in whole} == {h for _, _, h in pages}
+    assert len(warc.lookup(f"{path}/index", f"{path}/warc", hot)) == 62
 
 
 def test_warc_keys_and_empty(spark):
