@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, crc_mod, splitmix
+from serieslab.llm.common import arrow_map, crc_mod, keep, numbered, splitmix
 from serieslab.llm.words import lowered, pieces, together
 
 #: Rows of the table of feature weights, which features share by hash.
 ROWS = 1 << 16
-#: Words of a block of a text, and of context on each side of it in forward-backward.
-BLOCK, CONTEXT = 192, 16
+#: Words of a block of a text in forward-backward.
+BLOCK = 192
 GRAMS, AFFIX = (2, 3, 4), (1, 2, 3, 4)
 
 
@@ -69,29 +69,29 @@ def emissions(weights: np.ndarray, rows: np.ndarray, begins: np.ndarray) -> np.n
     return (sums / np.sqrt(np.diff(begins))[:, None]).astype(np.float32)
 
 
-def forward_backward(scores: np.ndarray, steps: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, steps: np.ndarray, keep: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each label at each place, and expected transitions, of many padded rows at once.
 
     scores: (rows, length, labels); steps: transition scores; keep: which places are words. Padding
-    passes a state on as it is.
+    passes a state on as it is. start and end: messages that reach the first and the last word of each
+    row from the rest of its text (none by default).
     """
     n, length, labels = scores.shape
-    move = np.exp(steps - steps.max())
-    local = np.exp(scores - scores.max(axis=2, keepdims=True))
+    move, local = _moves(scores, steps)
     ahead = np.empty_like(local)
-    state = np.full((n, labels), 1 / labels, np.float32)
+    state = np.full((n, labels), 1 / labels, np.float32) if start is None else start
     for t in range(length):
         new = local[:, t] * (state @ move if t else state)
         new /= new.sum(axis=1, keepdims=True)
         state = np.where(keep[:, t, None], new, state)
         ahead[:, t] = state
-    back = np.ones((n, labels), np.float32)
+    back = np.ones((n, labels), np.float32) if end is None else end
     pairs = np.zeros((labels, labels))
     for t in range(length - 1, -1, -1):
         if t < length - 1:
             inner = local[:, t + 1] * back
             joint = keep[:, t + 1] & keep[:, t]
-            if joint.any():
+            if end is None and joint.any():
                 both = ahead[joint, t][:, :, None] * move * inner[joint][:, None, :]
                 pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             new = inner @ move.T
@@ -101,6 +101,21 @@ def forward_backward(scores: np.ndarray, steps: np.ndarray, keep: np.ndarray) ->
     return ahead, pairs
 
 
+def _moves(scores: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(steps - steps.max()), np.exp(scores - scores.max(axis=2, keepdims=True))
+
+
+def passages(scores: np.ndarray, steps: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """What each row does to a message that passes through it: a matrix of labels at its first and last word, up to a factor."""
+    move, local = _moves(scores, steps)
+    out = local[:, 0, :, None] * np.eye(scores.shape[2], dtype=np.float32)
+    for t in range(1, scores.shape[1]):
+        new = (out @ move) * local[:, t, None, :]
+        new /= new.sum(axis=(1, 2), keepdims=True)
+        out = np.where(keep[:, t, None, None], new, out)
+    return out
+
+
 def train(texts: pa.Array, labels: np.ndarray, n_labels: int, weights: np.ndarray, steps: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Stochastic gradient ascent (Adagrad) of the conditional likelihood of labelled word sequences.
 
@@ -155,43 +170,44 @@ def train(texts: pa.Array, labels: np.ndarray, n_labels: int, weights: np.ndarra
     return weights, steps
 
 
-def _shard_trainer(start: Broadcast, n_labels: int, seed: int) -> Callable[[pa.Table], pa.Table]:
-    def shard(share: pa.Table) -> pa.Table:
-        share = share.combine_chunks()
-        weights, steps = (x.copy() for x in start.value)
-        text = share.column("text").chunk(0)
-        weights, steps = train(lowered(text), share.column("y").to_numpy(), n_labels, weights, steps, 2, seed + share.column("shard")[0].as_py())
-        return pa.table({"w": pa.array([weights.tobytes()], pa.binary()), "s": pa.array([steps.tobytes()], pa.binary())})
+def _shard_trainer(start: Broadcast, n_labels: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            share = pa.Table.from_batches(parts).combine_chunks()
+            weights, steps = (x.copy() for x in start.value)
+            weights, steps = train(lowered(share.column("text").chunk(0)), share.column("y").to_numpy(), n_labels, weights, steps, 2, seed + share.column("shard")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([steps.tobytes()], pa.binary())], ["w", "s"])
 
     return shard
 
 
 def fit(labelled: DataFrame, most_per_language: int = 1500, shards: int = 4, rounds: int = 2) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, feature weights, transitions) learnt from ``labelled`` (doc_id, text, lang).
+    """(languages, feature weights, transitions) learnt from ``labelled`` (row, a number of each row; text, lang).
 
-    At most ``most_per_language`` documents of each language are used, the first by a hash of doc_id;
-    the number of languages is bounded by their list, which is collected. Tasks train on ``shards``
-    shares of the sample from the same start and their weights are averaged, ``rounds`` times.
+    At most ``most_per_language`` documents of each language are used, the first by a hash of the row
+    number; the number of languages is bounded by their list, which is collected. Tasks train on
+    ``shards`` shares of the sample from the same start and their weights are averaged, ``rounds`` times.
     """
     known = labelled.filter("lang is not null and text is not null")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((ROWS, 1), np.float32), np.zeros((1, 1))
-    place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
     sizes = F.broadcast(labelled.sparkSession.createDataFrame([(s, n) for s, n in counts.items()], "lang string, n long"))
     # about twice as many as are wanted pass by their hash, so no language is ranked whole in one task
     share = place / float(1 << 30) * F.col("n")
-    near = known.join(sizes, "lang").filter(share <= 2 * most_per_language + 100).select("doc_id", "lang", place.alias("h"))
-    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= most_per_language)
+    near = known.join(sizes, "lang").filter(share <= 2 * most_per_language + 100).select("row", "lang", place.alias("h"))
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "row"))).filter(F.col("k") <= most_per_language)
     number = F.create_map(*[x for i, s in enumerate(languages) for x in (F.lit(s), F.lit(i))])
-    chosen = chosen.select(F.col("doc_id").alias("d"), number[F.col("lang")].alias("y"), (F.col("k") % shards).cast("int").alias("shard"))
-    sample = known.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("shard", "y", "text").persist()
+    chosen = chosen.select("row", "k", number[F.col("lang")].alias("y"), (F.col("k") % shards).cast("int").alias("shard"))
+    sample = known.select("row", "text").join(F.broadcast(chosen), "row").select("shard", "k", "y", "text")
+    sample = keep(sample.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "k", "y"))
     weights, steps, n = np.zeros((ROWS, len(languages)), np.float32), np.zeros((len(languages), len(languages))), len(languages)
     for k in range(rounds):
         start = labelled.sparkSession.sparkContext.broadcast((weights, steps))
-
-        parts = sample.groupBy("shard").applyInArrow(_shard_trainer(start, n, 17 * k), "w binary, s binary").collect()  # one model a shard
+        parts = sample.mapInArrow(_shard_trainer(start, n, 17 * k), "w binary, s binary").collect()  # one model a shard
         weights = np.mean([np.frombuffer(p["w"], np.float32).reshape(weights.shape) for p in parts], axis=0, dtype=np.float32)
         steps = np.mean([np.frombuffer(p["s"]).reshape(steps.shape) for p in parts], axis=0)
         start.unpersist()
@@ -200,28 +216,42 @@ def fit(labelled: DataFrame, most_per_language: int = 1500, shards: int = 4, rou
 
 
 def posteriors(codes: np.ndarray, offsets: np.ndarray, emitted: np.ndarray, steps: np.ndarray, together: int = 2048) -> np.ndarray:
-    """Posterior label distribution of every word of some texts.
+    """Posterior label distribution of every word of some texts, exactly.
 
-    Texts are cut into blocks of BLOCK words, each run with CONTEXT words of its neighbours on both
-    sides, over which the influence of anything further off has faded.
+    Texts are cut into blocks of BLOCK words, which run side by side. For texts of several blocks a
+    first pass finds what each block does to a message; messages then go from block to block in both
+    directions, and the second pass starts each block from those that reach it.
     """
-    counts = np.diff(offsets)
+    counts, labels = np.diff(offsets), emitted.shape[1]
     blocks = -(-counts // BLOCK)
+    begins = np.cumsum(blocks) - blocks
     text = np.repeat(np.arange(len(counts)), blocks)
-    begin = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-    end = np.minimum(begin + BLOCK, offsets[1:][text])
-    low, high = np.maximum(begin - CONTEXT, offsets[:-1][text]), np.minimum(end + CONTEXT, offsets[1:][text])
-    out = np.empty((len(codes), emitted.shape[1]), np.float32)
-    order = np.argsort(high - low, kind="stable")
-    for i in range(0, len(order), together):
-        rows = order[i : i + together]
-        length = int((high - low)[rows].max())
-        at = low[rows][:, None] + np.arange(length)
-        keep = at < high[rows][:, None]
-        scores = emitted[codes[np.where(keep, at, 0)]]
-        found, _ = forward_backward(scores, steps, keep)
-        inside = keep & (at >= begin[rows][:, None]) & (at < end[rows][:, None])
-        out[at[inside]] = found[inside]
+    low = offsets[:-1][text] + (np.arange(len(text)) - begins[text]) * BLOCK
+    size = np.minimum(low + BLOCK, offsets[1:][text]) - low
+
+    def parts(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        for i in range(0, len(rows), together):
+            own = rows[i : i + together]
+            place = np.arange(int(size[own].max()))
+            at, keep = low[own][:, None] + place, place < size[own][:, None]
+            yield own, at, keep, emitted[codes[np.where(keep, at, 0)]]
+
+    start, end = np.full((len(text), labels), 1 / labels, np.float32), np.ones((len(text), labels), np.float32)
+    through, move = np.empty((len(text), labels, labels), np.float32), np.exp(steps - steps.max())
+    for own, _, keep, scores in parts(np.flatnonzero(blocks[text] > 1)):
+        through[own] = passages(scores, steps, keep)
+    for k in range(1, int(blocks.max(initial=0))):
+        at = begins[blocks > k] + k
+        new = np.einsum("ni,nij->nj", start[at - 1], through[at - 1]) @ move
+        start[at] = new / new.sum(axis=1, keepdims=True)
+    for k in range(int(blocks.max(initial=0)) - 1, 0, -1):
+        at = begins[blocks > k] + k
+        new = np.einsum("nij,nj->ni", through[at], end[at]) @ move.T
+        end[at - 1] = new / new.sum(axis=1, keepdims=True)
+    out = np.empty((len(codes), labels), np.float32)
+    for own, at, keep, scores in parts(np.arange(len(text))):
+        out[at[keep]] = forward_backward(scores, steps, keep, start[own], end[own])[0][keep]
     return out
 
 
@@ -233,10 +263,12 @@ def identify(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), **bounds
     held_out, lang_pred (``und`` for a null text, one without letters, and if no language is known),
     score (the mean posterior of that language over the words that have letters; 0 for ``und``) and
     shares (that mean for each language, for code-switched texts). Of equal means the language that is
-    first by code point wins. Other columns are not read.
+    first by code point wins. Rows that share a doc_id, or have none, are documents of their own. Other
+    columns are not read.
     """
     n, r = holdout or (1, 1)
-    languages, weights, steps = fit(docs.filter(crc_mod("doc_id", n) != r).select("doc_id", "text", "lang"), **bounds)
+    labelled = numbered(docs).filter(crc_mod("doc_id", n) != r).select(F.col("_row").alias("row"), "text", "lang")
+    languages, weights, steps = fit(labelled, **bounds)
     sent = docs.sparkSession.sparkContext.broadcast((weights, steps.astype(np.float32)))
 
     def scan() -> callable:

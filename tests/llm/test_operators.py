@@ -447,6 +447,29 @@ def test_crf_against_enumeration():
     assert moved == pytest.approx(pairs / z, abs=1e-4)
 
 
+def test_posteriors_of_long_texts_are_exact():
+    """Texts of many blocks against one pass over each whole text, with transitions that carry far."""
+    rng = np.random.default_rng(3)
+    emitted, steps = (rng.standard_normal((30, 3)) * 0.05).astype(np.float32), (np.eye(3) * 6).astype(np.float32)
+    sizes = [0, 1, 191, 192, 193, 384, 385, 2000, 5]
+    offsets, codes = np.cumsum([0, *sizes]), rng.integers(0, 30, sum(sizes))
+    codes[offsets[7] : offsets[7] + 3] = 0
+    emitted[0] = [9, 0, 0]  # what the first words say reaches the end
+    got = language.posteriors(codes, offsets, emitted, steps, together=4)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b > a:
+            whole = language.forward_backward(emitted[codes[a:b]][None], steps, np.ones((1, b - a), bool))[0][0]
+            assert got[a:b] == pytest.approx(whole, abs=1e-4)
+
+
+def test_language_tells_rows_apart(spark):
+    """Rows without doc_id, or with one that repeats, are learnt from and labelled each on its own."""
+    rng = random.Random(2)
+    found = [([None, 5, 9][i % 2], speak(rng, ["en", "fr"][i // 2 % 2], 30), ["en", "fr"][i // 2 % 2], "s", 0) for i in range(120)]
+    got = language.identify(spark.createDataFrame(found, SCHEMA).repartition(2), most_per_language=40).collect()
+    assert len(got) == 120 and Counter(r.lang_pred for r in got) == {"en": 60, "fr": 60}
+
+
 def speak(rng, lang, n):
     parts = {"en": ["th", "ing", "er", "ou"], "fr": ["eau", "é", "ion", "que"], "de": ["sch", "ung", "ei", "z"]}[lang]
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(n))
