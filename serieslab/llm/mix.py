@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, materialise, row_id
-from serieslab.llm.words import count_words, lowered
+from serieslab.llm.common import materialise, row_id
 
 #: Seeded order: documents fall into so many hash buckets of their pattern.
 BUCKETS = 4096
-#: More distinct membership patterns than this are refused, as their table is collected.
-MOST_PATTERNS = 100_000
+#: Words of a text, and membership patterns up to which their plan is broadcast.
+WORD, FEW_PATTERNS = r"[^\x20\x09-\x0D]+", 10_000
 #: Passes in seeded order; each leaves a gap smaller than a document that fitted before.
 ROUNDS = 2
 
@@ -39,70 +37,90 @@ def capped_targets(sizes: dict, weights: dict, total: float, most: float) -> dic
     return out
 
 
-def min_cost_flow(arcs: list[tuple], source: object, sink: object) -> dict:
-    """Flow of least cost among the largest flows, by successive cheapest paths.
-
-    arcs: (from, to, capacity, cost) with integers; parallel arcs are allowed. Returns {arc index: flow}.
-    """
-    to, cap, cost, out = [], [], [], defaultdict(list)
-    for a, b, c, w in arcs:
-        for x, y, room, price in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(to))
-            to.append(y)
-            cap.append(room)
-            cost.append(price)
-    height = defaultdict(int)
-    while True:
-        best, via, heap, tick = {source: 0}, {}, [(0, 0, source)], 1
-        while heap:
-            d, _, x = heapq.heappop(heap)
-            if d > best[x]:
-                continue
-            for e in out[x]:
-                if cap[e] > 0 and (alt := d + cost[e] + height[x] - height[to[e]]) < best.get(to[e], float("inf")):
-                    best[to[e]], via[to[e]] = alt, e
-                    heapq.heappush(heap, (alt, tick, to[e]))
-                    tick += 1
-        if sink not in best:
-            return {i: cap[2 * i + 1] for i in range(len(arcs))}
-        far = best[sink]
-        for x in list(out):
-            height[x] += min(best.get(x, far), far)
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        room = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= room
-            cap[e ^ 1] += room
-
-
 def route(patterns: dict[tuple, int], quotas: dict, most: int) -> dict[tuple, int]:
-    """Tokens to take from each membership pattern so that the sources reach their quotas.
+    """Tokens to take from each membership pattern so that the sources reach their quotas: a min-cost flow.
 
     The network: a pattern offers its tokens once for each allowed repetition, each repetition dearer
     than the one before (so the cost is convex and no token is repeated while a fresh one serves the
-    same quota); it may serve any of its sources; a source takes its quota.
+    same quota); it may serve any of its sources; a source takes its quota. Only offers cost anything,
+    so an augmenting path costs what its first pattern's offer does, and the cheapest paths in turn are
+    those of the first repetition, then those of the second, and so on: each repetition adds its
+    offers and the flow is made largest by blocking flows along shortest paths.
     """
-    arcs = []
-    for p, size in patterns.items():
-        arcs += [("from", ("p", p), int(size), level * level) for level in range(most)]
-        arcs += [(("p", p), ("s", s), most * int(size), 0) for s in p]
-    arcs += [(("s", s), "to", round(q), 0) for s, q in quotas.items()]
-    flow = min_cost_flow(arcs, "from", "to")
-    taken: dict[tuple, int] = defaultdict(int)
-    for i, (a, b, _, _) in enumerate(arcs):
-        if a == "from":
-            taken[b[1]] += flow[i]
-    return taken
-
-
-def _sizes() -> callable:
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(4)), pa.array(count_words(lowered(batch.column(4))))], ["row", "doc_id", "members", "u", "size"])
-
-    return of
+    names, number = list(patterns), {s: i for i, s in enumerate(quotas)}
+    members = [[number[s] for s in p] for p in names]
+    room, left = [round(q) for q in quotas.values()], [0] * len(names)
+    flow, into = [[0] * len(m) for m in members], [[] for _ in room]
+    for p, m in enumerate(members):
+        for k, s in enumerate(m):
+            into[s].append((p, k))
+    for _ in range(most):
+        left = [n + int(patterns[p]) for n, p in zip(left, names, strict=True)]
+        while (depths := _layers(members, into, flow, left, room)) is not None:
+            _block(members, into, flow, left, room, *depths)
+    return {p: sum(f) for p, f in zip(names, flow, strict=True)}
+
+
+def _layers(members: list, into: list, flow: list, left: list, room: list) -> tuple[list, list] | None:
+    """Depth of each pattern and source in the residual network, up to the first source with room; None without one."""
+    of_pattern, of_source, depth = [-1] * len(members), [-1] * len(room), 0
+    front = [p for p, n in enumerate(left) if n > 0]
+    for p in front:
+        of_pattern[p] = 0
+    while front:
+        reached = []
+        for p in front:
+            for s in members[p]:
+                if of_source[s] < 0:
+                    of_source[s] = depth
+                    reached.append(s)
+        if any(room[s] > 0 for s in reached):
+            return of_pattern, of_source
+        front, depth = [], depth + 1
+        for s in reached:
+            for p, k in into[s]:
+                if of_pattern[p] < 0 and flow[p][k] > 0:
+                    of_pattern[p] = depth
+                    front.append(p)
+    return None
+
+
+def _block(members: list, into: list, flow: list, left: list, room: list, of_pattern: list, of_source: list) -> None:
+    """A blocking flow along the layers; an arc that leads nowhere is not tried again."""
+    next_source, next_arc = [0] * len(members), [0] * len(room)
+    for start in [p for p, n in enumerate(left) if n > 0]:
+        path, p = [], start  # arcs pattern -> source, and between them the arc of the next pattern that gives way
+        while left[start] > 0:
+            m = members[p]
+            while next_source[p] < len(m) and of_source[m[next_source[p]]] != of_pattern[p]:
+                next_source[p] += 1
+            if next_source[p] == len(m):
+                if not path:
+                    break
+                path.pop()
+                back = path.pop()
+                next_arc[members[back[0]][back[1]]] += 1
+                p, at = back[0], back
+            else:
+                at = (p, next_source[p])
+            s = members[at[0]][at[1]]
+            if room[s] > 0:
+                path.append(at)
+                amount = min(left[start], room[s], *(flow[q][k] for q, k in path[1::2]))
+                for i, (q, k) in enumerate(path):
+                    flow[q][k] += -amount if i % 2 else amount
+                left[start] -= amount
+                room[s] -= amount
+                path, p = [], start
+                continue
+            arcs = into[s]
+            while next_arc[s] < len(arcs) and not (flow[arcs[next_arc[s]][0]][arcs[next_arc[s]][1]] > 0 and of_pattern[arcs[next_arc[s]][0]] == of_source[s] + 1):
+                next_arc[s] += 1
+            if next_arc[s] == len(arcs):
+                next_source[p] += 1
+            else:
+                path += [at, arcs[next_arc[s]]]
+                p = arcs[next_arc[s]][0]
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
@@ -136,7 +154,7 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     are not read.
 
     One scan counts words and leaves small rows. They are summed by membership pattern; the flow runs
-    over patterns alone. What a pattern gives beyond whole repetitions is repeated from the documents
+    on the driver over the sums of the patterns, one row each, whatever their number. What a pattern gives beyond whole repetitions is repeated from the documents
     that fit into it, then taken in seeded hash order: bucket sums find the bucket where the rest is
     reached and only that bucket is sorted, so no pattern passes through one task. Documents of falling
     size then close the gap.
@@ -145,13 +163,11 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     none = F.array(F.lit(None).cast("string"))
     member = F.coalesce(F.col(members), none) if kind.startswith("array") else F.array(F.col(members).cast("string"))
     u = F.xxhash64(F.lit(seed), "doc_id", "text") % (BUCKETS << 32)
-    rows = docs.select(row_id(row).alias("row"), "doc_id", F.array_sort(F.array_distinct(member)).alias("members"), F.abs(u).alias("u"), "text")
-    sized = materialise(arrow_map(rows, _sizes, "row long, doc_id long, members array<string>, u long, size long"), "mix-sizes")
+    rows = docs.select(row_id(row).alias("row"), "doc_id", F.array_sort(F.array_distinct(member)).alias("members"), F.abs(u).alias("u"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = materialise(rows, "mix-sizes")
 
-    table = sized.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(table) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    patterns = {tuple(r["members"]): r["n"] for r in table}
+    table = sized.groupBy("members").agg(F.sum("size").alias("n")).orderBy("members").toArrow()
+    patterns = {tuple(p): n for p, n in zip(table.column("members").to_pylist(), table.column("n").to_pylist(), strict=True)}
     total, sizes = sum(patterns.values()), defaultdict(int)
     for p, n in patterns.items():
         for s in p:
@@ -162,18 +178,19 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     plan = [(list(p), n and flow[p] // n or 0, n and flow[p] % n or 0, sum(sizes[s] for s in p), float(sum(targets[s] for s in p))) for p, n in patterns.items()]
     plan = docs.sparkSession.createDataFrame(plan, "members array<string>, copies long, rest long, source_size long, target double")
     key = F.to_json(F.struct("members"))  # null members compare as equal there
-    planned = sized.withColumn("key", key).join(F.broadcast(plan.withColumn("key", key).drop("members")), "key")
+    hint = F.broadcast if len(patterns) <= FEW_PATTERNS else lambda x: x
+    planned = sized.withColumn("key", key).join(hint(plan.withColumn("key", key).drop("members")), "key")
 
     # whole repetitions of the documents that fit into what is left
     fits = (F.col("size") <= F.col("rest")) & (F.col("size") > 0) & (F.col("copies") < most)
     pools = planned.filter(fits).groupBy("key").agg(F.sum("size").alias("pool"), F.first("rest").alias("rest"), F.first("copies").alias("copies"))
     again = pools.select("key", F.least(F.lit(most) - F.col("copies"), F.floor(F.col("rest") / F.col("pool"))).alias("again"), "pool")
-    planned = planned.join(F.broadcast(again), "key", "left")
+    planned = planned.join(hint(again), "key", "left")
     planned = planned.withColumn("copies", F.col("copies") + F.when(fits, F.coalesce("again", F.lit(0))).otherwise(0)).withColumn("rest", F.col("rest") - F.coalesce(F.col("again") * F.col("pool"), F.lit(0)))
     state = materialise(planned.drop("again", "pool").withColumn("more", F.lit(False)), "mix-whole", (sized,))
 
     for _ in range(ROUNDS):
-        state = materialise(_one_more_each(state, most), "mix-round", (state,))
+        state = materialise(_one_more_each(state, most, hint), "mix-round", (state,))
     free = state.filter(~F.col("more") & fits)
     step = F.floor(F.log2("size"))
     each = free.groupBy("key", step.alias("step")).agg(F.min(F.struct(F.xxhash64("row"), "row", "size", "rest")).alias("c"))
@@ -184,22 +201,23 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     return state.join(filled, "row", "left").select("row", "doc_id", "members", "size", copies.alias("copies"), "source_size", "target")
 
 
-def _one_more_each(state: DataFrame, most: int) -> DataFrame:
+def _one_more_each(state: DataFrame, most: int, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One more copy of documents of each pattern in seeded order while they fit into its ``rest``, which shrinks by them.
 
-    Sums of hash buckets find the bucket in which the rest is reached; only its rows are sorted.
+    Sums of hash buckets, at most BUCKETS a pattern however large it is, find the bucket in which the
+    rest is reached; only its rows are sorted.
     """
     bucket = F.shiftright("u", 32)
     open_ = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("copies") < most)
     sums = state.filter(open_).groupBy("key", bucket.alias("bucket"), "rest").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("key").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).filter("before <= rest and before + n > rest")
-    cut = state.join(F.broadcast(sums.select("key", F.col("bucket").alias("cut"), "before")), "key", "left").withColumn("open", open_).withColumn("bucket", bucket)
+    cut = state.join(hint(sums.select("key", F.col("bucket").alias("cut"), "before")), "key", "left").withColumn("open", open_).withColumn("bucket", bucket)
     order = Window.partitionBy("key").orderBy("u", "doc_id", "row")
     within = cut.filter("open and bucket = cut").select("row", (F.col("before") + F.sum("size").over(order) <= F.col("rest")).alias("fit"))
     taken = F.col("open") & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")) | F.coalesce("fit", F.lit(False)))
     marked = cut.join(within, "row", "left").withColumn("taken", taken).drop("fit", "before", "cut", "bucket", "open")
     used = marked.filter("taken").groupBy("key").agg(F.sum("size").alias("used"))
     left = F.col("rest") - F.coalesce("used", F.lit(0))
-    out = marked.join(F.broadcast(used), "key", "left").withColumn("rest", left).withColumn("copies", F.col("copies") + F.col("taken").cast("long")).withColumn("more", F.col("more") | F.col("taken"))
+    out = marked.join(hint(used), "key", "left").withColumn("rest", left).withColumn("copies", F.col("copies") + F.col("taken").cast("long")).withColumn("more", F.col("more") | F.col("taken"))
     return out.select(state.columns)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from serieslab.llm import bloom, language, lm, mix, near_dedup, tokens, warc
 from serieslab.llm.common import shared_dir
@@ -353,6 +354,56 @@ def test_flow_against_all_flows():
     assert (-sum(got.values()), cost) == best[:2]
 
 
+def test_flow_of_random_networks():
+    """Against a plain cheapest-path flow over unit offers."""
+    rng = random.Random(12)
+    for _ in range(40):
+        sources = "abcde"[: rng.randint(1, 5)]
+        patterns = {tuple(sorted(rng.sample(sources, rng.randint(0, len(sources))))): rng.randint(0, 6) for _ in range(rng.randint(1, 6))}
+        quotas, most = {s: rng.randint(0, 9) for s in sources}, 3
+        got = mix.route(patterns, quotas, most)
+        # units one by one: of all patterns with an augmenting path the one with the cheapest offer
+        owner, taken = {s: [] for s in sources}, Counter()
+
+        def path(p, seen, patterns=patterns, quotas=quotas, owner=owner):
+            for s in p:
+                if s not in seen:
+                    seen.add(s)
+                    if len(owner[s]) < quotas[s]:
+                        owner[s].append(p)
+                        return True
+                    for q in dict.fromkeys(owner[s]):
+                        if path(q, seen):
+                            owner[s].remove(q)
+                            owner[s].append(p)
+                            return True
+            return False
+
+        for level in range(most):
+            for p, n in patterns.items():
+                for _ in range(n):
+                    if not path(p, set()):
+                        break
+                    taken[p, level] += 1
+        per = Counter()
+        for (_, level), n in taken.items():
+            per[level] += n
+        own = Counter()
+        for p, t in got.items():
+            for level in range(most):
+                own[level] += min(patterns[p], max(0, t - level * patterns[p]))
+        assert +own == +per
+
+
+def test_mix_of_very_many_patterns(spark):
+    """200,000 patterns of two sources each."""
+    i = F.col("id")
+    groups = F.array(F.concat(F.lit("a"), (i % 500).cast("string")), F.concat(F.lit("b"), F.floor(i / 500).cast("string")))
+    docs = spark.range(200_000).select(i.alias("doc_id"), F.repeat(F.lit("w "), (i % 7 + 1).cast("int")).alias("text"), groups.alias("groups"))
+    got = mix.mix(docs, members="groups").agg(F.count(F.lit(1)), F.sum(F.col("size") * F.col("copies")), F.sum("size"), F.max("copies")).first()
+    assert got[0] == 200_000 and got[3] <= 3 and got[1] == pytest.approx(got[2], rel=0.02)
+
+
 def test_mix_overlapping_and_edges(spark, empty):
     frame = spark.createDataFrame([(i, "w " * (i % 9 + 1), [["a"], ["a", "b"], ["b"], None][i % 4]) for i in range(200)], "doc_id long, text string, groups array<string>")
     got = mix.mix(frame, members="groups").collect()
