@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, keep, materialise, row_id
+from serieslab.llm import bloom
+from serieslab.llm.common import keep, materialise, numbered
 
 #: Bytes of the first digit, and by how much each digit is wider than the one before.
-FIRST_DIGIT, WIDER = 64, 16
+FIRST_DIGIT, WIDER = 64, 4
 
 
-def _lowered() -> callable:
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = pc.fill_null(batch.column(2), "")
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.ascii_lower(text).cast(pa.binary())], ["row", "doc_id", "rest"])
+def _may_repeat(sent: Broadcast, bits: int) -> Column:
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.contains(sent.value, bits, h.to_numpy().view("uint64")))
 
-    return of
+    return may("h")
 
 
-def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest: bool = True, max_bits: int = 1 << 28) -> DataFrame:
     """One row for each row of ``docs`` with the class of texts equal but for the case of A-Z.
 
     Returns row (number of the input row), doc_id, keep_id, group_size, kept and text_sha256 (of the
@@ -32,28 +34,36 @@ def exact_dedup(docs: DataFrame, digest: bool = True) -> DataFrame:
     has ``kept``. A null text counts as empty, a null doc_id as smaller than any other. Other columns
     of ``docs``, whatever their names, are not read. An empty table gives no rows.
 
-    Round k looks at one digit, the next 64 * 16**k bytes of each text that is still open: rows of a
-    group that share the digit form the next group. A group of one row, or one whose text ends within
-    the digit, is done and leaves. So the number of rounds follows the logarithm of the longest
-    repeated text, and after the first round only rows with a partner are carried. Group sizes are
-    counted with partial sums before the shuffle. Groups of two or more are kept and joined back: one
-    row a group, so adaptive execution splits a very large group, and texts are not shuffled at all
-    where the groups are few enough to be broadcast.
+    Round k looks at one digit, the next 64 * 4**k bytes of each text that is still open, and at how
+    many bytes are left: rows of a group that share both form the next group. A group of one row, or one
+    whose text ends within the digit, is done and leaves. Groups are counted over the digits alone, with
+    partial sums before the shuffle; a Bloom filter over the groups of two or more (at most ``max_bits``
+    bits; past that it lets more rows through) then shows which rows have no partner, and these leave
+    before any text moves. Only the others are joined with their group: one row a group, so adaptive
+    execution splits a very large one. The number of rounds follows the logarithm of the longest
+    repeated text.
     """
-    cur = arrow_map(docs.select(row_id().alias("row"), "doc_id", "text"), _lowered, "row long, doc_id long, rest binary")
-    cur = cur.select("row", "doc_id", F.lit(0).cast("long").alias("gid"), (F.sha2("rest", 256) if digest else F.lit(None).cast("string")).alias("text_sha256"), "rest")
+    spark = docs.sparkSession
+    text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).cast("binary")
+    cur = numbered(docs).select(F.col("_row").alias("row"), "doc_id", F.lit(0).cast("long").alias("gid"), text.alias("rest"))
+    cur = cur.select("row", "doc_id", "gid", (F.sha2("rest", 256) if digest else F.lit(None).cast("string")).alias("text_sha256"), "rest")
     done, width, k = [], FIRST_DIGIT, 0
+    own = ["gid", "left", "digit"]
     while True:
-        digits = cur.withColumn("digit", F.substring("rest", 1, width))
-        groups = digits.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"), F.min("row").alias("next_gid"))
+        digits = cur.withColumn("left", F.length("rest")).withColumn("digit", F.substring("rest", 1, width))
+        groups = digits.groupBy(own).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("keep"), F.min("row").alias("next_gid"))
         groups = keep(groups.filter("n > 1"))
-        open_ = F.col("n").isNotNull() & (F.length("digit") == width)
-        split = digits.join(groups, ["gid", "digit"], "left").select(
+        bits = bloom.bits_for(groups.count(), max_bits)
+        sent = spark.sparkContext.broadcast(bloom.build(groups.select(F.xxhash64(*own)), lambda b: b.column(0).to_numpy().view("uint64"), bits, "once"))
+        flagged = digits.withColumn("h", F.xxhash64(*own)).withColumn("may", _may_repeat(sent, bits))
+        alone = flagged.filter("not may").select("row", "doc_id", "gid", "text_sha256", F.lit(1).cast("long").alias("n"), F.struct("doc_id", "row").alias("keep"), F.lit(False).alias("open"), F.lit(None).cast("binary").alias("rest"))
+        open_ = F.col("n").isNotNull() & (F.col("left") > width)
+        split = flagged.filter("may").drop("h", "may").join(groups, own, "left").select(
             "row", "doc_id", F.coalesce("next_gid", "gid").alias("gid"), "text_sha256", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("keep", F.struct("doc_id", "row")).alias("keep"),
             open_.alias("open"), F.when(open_, F.substring("rest", width + 1, 2**31 - 1)).alias("rest"),
         )
-        table = materialise(split, f"radix-{k}", (groups,))
-        done.append(table.filter(~F.col("open")).drop("rest"))
+        table = materialise(alone.unionByName(split), f"radix-{k}", (groups,))
+        done.append(table.filter("not open").drop("rest"))
         cur = table.filter("open").select("row", "doc_id", "gid", "text_sha256", "rest")
         if cur.isEmpty():
             break
