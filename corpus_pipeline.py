@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import materialise, row_id, shared_dir
+from serieslab.llm.common import numbered, shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.mix import mix
 from serieslab.llm.near_dedup import near_dedup
@@ -20,21 +20,6 @@ from serieslab.llm.tokens import token_output, with_crc
 from serieslab.llm.toxicity import toxicity
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number ``_row`` of each row, which is the same whenever it is read.
-
-    Rows of Parquet files are numbered by file and place, however the files are split; others are written.
-    """
-    if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
-        file = F.col("_metadata.file_path")
-        paths = sorted(r[0] for r in docs.select(file).distinct().collect())
-        numbers = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_number long, _path string")
-        placed = docs.select("*", file.alias("_path"), F.col("_metadata.row_index").alias("_place"))
-        placed = placed.join(F.broadcast(numbers), "_path")
-        return placed.select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias("_row"))
-    return materialise(docs.withColumn("_row", row_id()), "numbered")
-
-
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Numbered ``docs`` but for the rows of ``gone``."""
     return docs.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").drop("_row")
@@ -43,26 +28,26 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model learns from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    docs = _numbered(docs)
+    docs = numbered(docs)
     return _without(docs, toxicity(docs, labels, holdout=None, row="_row").filter("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (5-word shingles, similarity 0.8): the first by doc_id."""
-    docs = _numbered(docs)
+    docs = numbered(docs)
     return _without(docs, near_dedup(docs, k=5, threshold=0.8, row="_row").filter("not kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of a benchmark item, or a whole shorter item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    docs = _numbered(docs)
+    docs = numbered(docs)
     return _without(docs, decontaminate(docs, benchmark, span=10, row="_row").filter("n_hit > 0"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: up to three times, or not at all."""
-    columns, docs = docs.columns, _numbered(docs)
+    columns, docs = docs.columns, numbered(docs)
     copies = mix(docs, members="source", weights=(1.0, 2.0, 3.0), most=3, row="_row").filter("copies > 0")
     taken = docs.join(copies.select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(columns)
