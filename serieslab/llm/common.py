@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,37 @@ def materialise(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()
     return out
 
 
+def folder_of(df: DataFrame) -> str:
+    """Where the table of :func:`materialise` lies."""
+    return _paths[df]
+
+
+class Blocks:
+    """Rows of a table by its column ``block``, as tasks need them: only row groups with the block are read.
+
+    The table, written by :func:`materialise` in the order of its blocks, may be of any size, as a task
+    looks up the blocks of its own rows; the last few stay in memory.
+    """
+
+    def __init__(self, folder: str, most: int = 4) -> None:
+        system, path = fs.FileSystem.from_uri(folder)
+        self.table = dataset.dataset(path, filesystem=system, format="parquet")
+        self.most, self.found = most, {}
+
+    def of(self, block: int, make: Callable[[pa.Table], object]) -> object:
+        """What ``make`` gives for the rows of the block."""
+        if block not in self.found:
+            if len(self.found) >= self.most:
+                del self.found[next(iter(self.found))]
+            self.found[block] = make(self.table.to_table(filter=dataset.field("block") == block))
+        return self.found[block]
+
+
+def by_block(df: DataFrame, name: str, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """:func:`materialise` in the order of the column ``block``, for :class:`Blocks`."""
+    return materialise(df.repartitionByRange("block").sortWithinPartitions("block"), name, instead_of)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df``, kept on the executors' disks once it is computed.
 

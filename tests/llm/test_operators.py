@@ -55,6 +55,16 @@ def test_line_dedup(spark):
     assert sum(r.n_dropped for r in got) > 20
 
 
+def test_line_dedup_in_many_shards_and_blocks(spark, monkeypatch):
+    """Filters of several shards, blocks of four documents: the lines are counted over all of them."""
+    from serieslab.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 2)
+    found = [(i, f"all\nmod {i % 7}\nown {i}\n pair {i // 2}", "en", "s", 1) for i in range(90)]
+    got = line_dedup(spark.createDataFrame(found, SCHEMA).repartition(3), min_docs=12, shard_lines=40).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == plain_lines(found, 12)
+
+
 def test_line_dedup_keeps_first(spark):
     found = [(i, "same\nown %d\nsame" % i, "en", "s", 1) for i in range(4)]
     got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(found, SCHEMA), min_docs=2, keep_first=True).collect()}
