@@ -23,7 +23,7 @@ REGISTERS, BASE, RATE, LARGEST = 256, 1.001, 20.0, (1 << 16) - 1
 #: Bands over the first BANDS * ROWS registers; at similarity 0.8 no band agrees once in 20 million pairs.
 BANDS, ROWS = 32, 4
 #: Members of one block on either side of a comparison within a bucket.
-BLOCK = 512
+BLOCK = 1024
 
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -130,17 +130,21 @@ def similar(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
 
 
 def _confirmed(threshold: float) -> callable:
+    """Links of rows (centre, salt, leads, other, shingles) in this order: a centre's own set, then those of its candidates."""
     hundredths = round(100 * threshold)
 
-    def make() -> callable:
-        def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), hundredths) for x, y in sets]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = None, None
+        for batch in batches:
+            out = []
+            for centre, leads, other, shingles in zip(*(batch.column(j).to_pylist() for j in (0, 2, 3, 4)), strict=True):
+                if leads:
+                    own, known = centre, np.frombuffer(shingles, np.uint64)
+                elif own == centre and similar(known, np.frombuffer(shingles, np.uint64), hundredths):
+                    out.append((min(centre, other), max(centre, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], ["a", "b"])
 
-        return of
-
-    return make
+    return run
 
 
 class Unit:
@@ -230,8 +234,8 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
        with all members of other components, block against block in separate tasks, on sketches; then
        the members that have a possible partner meet there with their full sets, and pairs that would
        join two components are confirmed exactly. So no link is lost between members of a bucket,
-       while a large group of copies, which step 2 has joined, is not compared again, and no table
-       holds pairs: each has at most a row for a member of a unit.
+       while a large group of copies, which step 2 has joined, is not compared again. No table holds
+       pairs; a bucket of n members that are unlike each other has n * n / BLOCK rows with sketches.
 
     The centres, pairs and components are tables in the shared folder; nothing of them is collected.
     """
@@ -241,9 +245,10 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     classes = rows.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = classes.withColumn("min_doc", F.col("first.doc_id"))
     classes = keep(classes)
-    members = arrow_map(classes.select("key", "regs"), _bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
-    centres = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    shared = materialise(members.join(centres, "band"), "buckets")
+    # aggregates are kept before they are joined by the same key, so that a bucket with very many members is split
+    members = keep(arrow_map(classes.select("key", "regs"), _bands, "key binary, bands array<long>").select("key", F.explode("bands").alias("band")))
+    centres = keep(members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high"))
+    shared = materialise(members.join(centres, "band"), "buckets", (members, centres))
 
     # the full sets of the classes that share a bucket, from one document of each
     wanted = shared.select("key").distinct().join(classes.select("key", "min_doc"), "key")
@@ -270,25 +275,28 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
 
     small = classes.select("key", "regs", "n")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), _confirmed(threshold), "a binary, b binary")
-
     def star(centre: str) -> DataFrame:
-        return shared.filter(F.col("key") != F.col(centre)).select(F.least("key", centre).alias("a"), F.greatest("key", centre).alias("b"))
+        return shared.filter(F.col("key") != F.col(centre)).select(F.col(centre).alias("a"), F.col("key").alias("b"))
 
     pairs = star("low").unionByName(star("high")).distinct()
     one, two = (small.select(F.col("key").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb"), _estimated(cut), "a binary, b binary")
     pairs = materialise(pairs, "candidates")  # a stage runs one kind of Python worker only
-    roots = keep(connected(confirm(pairs)))
+
+    # a candidate's set goes to its centre; a centre's goes once to each part of its candidates
+    counted = keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+    leads = counted.join(sets.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("leads"), F.col("a").alias("b"), "shingles")
+    dealt = keep(pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("leads"), "b"))
+    rows_of = leads.unionByName(dealt.join(sets.withColumnRenamed("key", "b"), "b").select("a", "salt", "leads", "b", "shingles"))
+    ordered = rows_of.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("leads"))
+    roots = keep(connected(ordered.mapInArrow(_confirmed(threshold), "a binary, b binary")))
 
     # buckets with several components: members outside the largest against all
     labelled = shared.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     labelled = materialise(labelled, "labelled")
     sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = open_.select("band", F.col("most.root").alias("major"), F.col("all"), (F.col("all") - F.col("most.c")).alias("minors"))
+    open_ = keep(open_.select("band", F.col("most.root").alias("major"), F.col("all"), (F.col("all") - F.col("most.c")).alias("minors")))
     inside = labelled.join(open_, "band").withColumn("minor", F.col("root") != F.col("major")).join(small, "key")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("key", F.lit(n)), blocks(n)).cast("int")
@@ -306,7 +314,7 @@ def near_dedup(docs: DataFrame, k: int = 5, threshold: float = 0.8, max_bits: in
     label = label.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     label = label.select("key", "first", F.coalesce("top", "root").alias("top"))
     least = label.groupBy("top").agg(F.min("first").alias("least"))
-    used = (classes, shared, wanted, sets, pairs, roots, labelled, involved, above)
+    used = (classes, shared, wanted, sets, pairs, counted, dealt, roots, labelled, open_, involved, above)
     final = materialise(label.join(least, "top").select("key", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stays")), "final", used)
     out = rows.select("row", "doc_id", "n", "key").join(final, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
