@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Units of counts, whose dots and commas are thousands marks; the scaled ones keep a decimal comma.
 BIG_UNITS = ("/ul", "/µl", "/μl", "10e3", "10e6", "x10", "mm3", "10³", "10⁶", "10e9", "por ul", "por µl")
-SCALED = ("10e3", "10e6", "x10", "10³", "10⁶", "10e9")
+SCALED = ("10e3", "10e6", "10³", "10⁶")
 #: Taken for a count's unit too, unless ``corrected`` is asked for.
 ENZYME_UNIT = "u/l"
 
@@ -20,14 +20,13 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def parse_number(text: Column, unit: Column, corrected: bool = False) -> Column:
-    """The last number of a text; null if it is none.
+    """The last number of a text, whose blanks are dropped first ("1 234" is 1234); null if it is none.
 
     In a count's unit dots and commas are thousands marks; in a scaled one, or in others, the
     rightmost of both kinds is the decimal mark. ``corrected`` keeps U/L from counting as a count.
     """
     u = F.lower(F.coalesce(unit, F.lit("")))
-    raw = F.try_element_at(F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(r"(\d[\d.,]*)"), F.lit(1)), F.lit(-1))
-    raw = F.regexp_replace(raw, "[.,]+$", "")
+    raw = F.try_element_at(F.regexp_extract_all(F.translate(text, " \u00a0", ""), F.lit(r"(\d[\d.,]*)"), F.lit(1)), F.lit(-1))
     dots, commas = raw.contains("."), raw.contains(",")
     swapped = F.translate(F.translate(raw, ".", ""), ",", ".")
     scaled = _any(u, SCALED)

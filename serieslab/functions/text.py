@@ -33,9 +33,24 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(fold_accents(c)), "[^a-z0-9]+", " "))
 
 
-def clean_text(c: Column) -> Column:
-    """Control characters dropped and blanks squeezed (no re-decoding: it would corrupt sound text)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"[ \t]+", " "))
+def clean_text(c: Column, corrected: bool = False) -> Column:
+    """Replacement characters and NULs dropped, runs of blanks and tabs as one blank.
+
+    The text's UTF-8 bytes read as Latin-1 take its place if that shows fewer broken letters, or as many
+    and more Spanish ones; ``corrected`` leaves this out.
+    """
+    again = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    count = lambda t, pattern: F.regexp_count(t, F.lit(pattern))
+    bad = lambda t: count(t, "\ufffd") + count(t, "[\u00c0-\u00df][\u0080-\u00ff]") + count(t, "\u00c3[\u0080-\u00ff]")
+    good = lambda t: count(t, "[áéíóúñüÁÉÍÓÚÑ]")
+    better = (bad(again) < bad(c)) | ((bad(again) == bad(c)) & (good(again) > good(c)))
+    chosen = c if corrected else F.when(better, again).otherwise(c)
+    return F.regexp_replace(F.translate(chosen, "\x00\ufffd", ""), r"[ \t]+", " ")
+
+
+def capped(c: Column, most: int = 24_000) -> Column:
+    """Trimmed text of at most ``most`` characters."""
+    return F.substring(F.trim(c), 1, most)
 
 
 def norm_qualifier(c: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def file_status(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -14,11 +19,13 @@ def file_status(files: DataFrame, known: DataFrame) -> DataFrame:
     """
     same = known.select("path", F.col("sha1").alias("_known"))
     content = known.select("sha1").distinct().withColumn("_seen", F.lit(True))
-    out = files.join(same, "path", "left").join(content, "sha1", "left")
-    first = F.row_number().over(Window.partitionBy("sha1").orderBy("path")) == 1
-    has = F.col("sha1") != ""
-    status = F.when(has & (F.col("_known") == F.col("sha1")), "unchanged").when(has & F.col("_seen"), "duplicate").when(~first & has, "duplicate").otherwise("new")
-    return out.withColumn("status", status).drop("_known", "_seen")
+    has = F.coalesce(F.col("sha1"), F.lit("")) != ""
+    hashed = files.filter(has)  # those without a hash have nothing to be compared by, so they don't meet in one task
+    first = hashed.groupBy("sha1").agg(F.min("path").alias("_first"))
+    out = hashed.join(same, "path", "left").join(content, "sha1", "left").join(first, "sha1")
+    status = F.when(F.col("_known") == F.col("sha1"), "unchanged").when(F.col("_seen") | (F.col("path") != F.col("_first")), "duplicate").otherwise("new")
+    out = out.withColumn("status", status).drop("_known", "_seen", "_first")
+    return out.unionByName(files.filter(~has).withColumn("status", F.lit("new")))
 
 
 def content_groups(df: DataFrame, content: str, order: str) -> DataFrame:
@@ -55,40 +62,78 @@ def signature_diff(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), diff).otherwise(1.0)
 
 
+def _fold(df: DataFrame, group: str, order: str, rest: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
+    """Rows in order through a fold that starts anew in each group.
+
+    ``start`` gives a step; it maps the columns of a row to an output row or None. Rows come sorted and
+    are read as a stream, so a group of any size takes no more memory than the state of the fold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of, step = object(), None
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != group_of:
+                    group_of, step = key, start()
+                found = step(*row)
+                if found is not None:
+                    out.append((key, *found))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    ordered = df.select(group, order, *rest).repartition(group).sortWithinPartitions(group, order)
+    out = df.sparkSession.createDataFrame([], schema)
+    arrow = to_arrow_schema(out.schema)
+    names, types = arrow.names, arrow.types
+    return ordered.mapInArrow(run, schema)
+
+
 def keep_unlike_last(df: DataFrame, group: str, order: str, signature: str, least: float) -> DataFrame:
     """Rows kept by a pass that drops a signature within ``least`` of the last *kept* one.
 
-    A row without a signature is kept and resets the pass. A fold over the ordered group; groups are
-    studies, whose number of frames is bounded.
+    A row without a signature is kept and resets the pass.
     """
-    kind = dict(df.dtypes)[signature]
-    ordered = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signature).alias("s")))).alias("rows"))
-    start = F.struct(F.array().cast(f"array<{dict(df.dtypes)[order]}>").alias("kept"), F.lit(None).cast(kind).alias("last"))
 
-    def step(acc: Column, x: Column) -> Column:
-        drop = acc["last"].isNotNull() & x["s"].isNotNull() & (signature_diff(acc["last"], x["s"]) < least)
-        return F.when(drop, acc).otherwise(F.struct(F.array_append(acc["kept"], x["o"]).alias("kept"), x["s"].alias("last")))
+    def start() -> Callable:
+        last = None
+
+        def step(at: object, s: list | None) -> tuple | None:
+            nonlocal last
+            if s is not None:
+                s = np.asarray(s, float)
+            if last is not None and s is not None and (np.abs(last - s).mean() if len(s) == len(last) else 1.0) < least:
+                return None
+            last = s
+            return (at,)
+
+        return step
 
-    return ordered.select(group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["kept"])).alias(order))
+    kinds = dict(df.dtypes)
+    return _fold(df, group, order, [signature], start, f"{group} {kinds[group]}, {order} {kinds[order]}")
 
 
 def greedy_chunks(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """``chunk`` of each row, filled in order up to ``most``; a row that would overflow starts the next chunk.
 
-    A running sum can't do this, as it does not start anew; the fold runs over one bounded group.
+    A running sum can't do this, as it does not start anew.
     """
-    ordered = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("rows"))
-    item = f"struct<o:{dict(df.dtypes)[order]},n:bigint,chunk:bigint>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("filled"), F.lit(False).alias("any"))
 
-    def step(acc: Column, x: Column) -> Column:
-        over = acc["any"] & (acc["filled"] + x["n"] > most)
-        chunk = acc["chunk"] + over.cast("long")
-        filled = F.when(over, x["n"]).otherwise(acc["filled"] + x["n"])
-        return F.struct(F.array_append(acc["out"], F.struct(x["o"].alias("o"), x["n"].alias("n"), chunk.alias("chunk"))).alias("out"), chunk.alias("chunk"), filled.alias("filled"), F.lit(True).alias("any"))
+    def start() -> Callable:
+        chunk, filled = 0, None
 
-    rows = ordered.select(group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r"))
-    return rows.select(group, F.col("r.o").alias(order), F.col("r.n").alias(size), F.col("r.chunk").alias("chunk"))
+        def step(at: object, n: int) -> tuple:
+            nonlocal chunk, filled
+            if filled is not None and filled + n > most:
+                chunk, filled = chunk + 1, 0
+            filled = (filled or 0) + n
+            return at, n, chunk
+
+        return step
+
+    kinds = dict(df.dtypes)
+    return _fold(df.withColumn(size, F.col(size).cast("long")), group, order, [size], start, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} long, chunk long")
 
 
 def block_mean(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
@@ -97,9 +142,41 @@ def block_mean(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     return cells.groupBy(key, F.expr(f"pos div {width}").alias("block")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def percentiles(df: DataFrame, group: str, value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """Exact percentiles of each group, with linear interpolation, as the array ``percentiles``.
+
+    A histogram of ``bins`` between the least and the largest value finds the bins that the wanted
+    ranks fall into; only the distinct values of those are sorted. So no task holds a group's values.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    limits = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    binned = rows.join(limits, group).withColumn("_bin", place.cast("long"))
+    upto = Window.partitionBy(group).orderBy("_bin")
+    counts = binned.groupBy(group, "_bin", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+    rank = F.col("_share") * (F.col("_n") - 1)
+    wanted = limits.select(group, "_n", F.posexplode(F.array(*map(F.lit, shares))).alias("_i", "_share")).withColumn("_f", rank - F.floor(rank))
+    wanted = wanted.select(group, "_i", "_f", F.posexplode(F.array(F.floor(rank), F.ceil(rank))).alias("_end", "_rank"))
+    inside = wanted.join(counts.drop("_n"), group).filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    values = binned.join(inside.select(group, "_bin").distinct(), [group, "_bin"], "left_semi").groupBy(group, "_bin", "_x").agg(F.count(F.lit(1)).alias("_m"))
+    values = values.withColumn("_low", F.sum("_m").over(Window.partitionBy(group, "_bin").orderBy("_x")) - F.col("_m"))
+    at = F.col("_rank") - F.col("_before")
+    ends = inside.join(values, [group, "_bin"]).filter((at >= F.col("_low")) & (at < F.col("_low") + F.col("_m")))
+    ends = ends.groupBy(group, "_i", "_f").agg(F.min(F.when(F.col("_end") == 0, F.col("_x"))).alias("_a"), F.min(F.when(F.col("_end") == 1, F.col("_x"))).alias("_b"))
+    found = F.array_sort(F.collect_list(F.struct("_i", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("x"))))
+    return ends.groupBy(group).agg(F.transform(found, lambda s: s["x"]).alias("percentiles"))
+
+
 def percentile_scale(df: DataFrame, group: str, value: str, low: float = 0.005, high: float = 0.995, top: float = 255.0) -> DataFrame:
     """``scaled``: values clipped to two percentiles of their group and mapped to 0 .. ``top``."""
-    limits = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
-    lo, hi = F.col("_p")[0], F.col("_p")[1]
+    lo, hi = F.col("percentiles")[0], F.col("percentiles")[1]
     clipped = F.least(F.greatest(F.col(value), lo), hi)
-    return df.join(limits, group).withColumn("scaled", F.when(hi > lo, (clipped - lo) / (hi - lo) * top).otherwise(0.0)).drop("_p")
+    out = df.join(percentiles(df, group, value, [low, high]), group)
+    return out.withColumn("scaled", F.when(hi > lo, (clipped - lo) / (hi - lo) * top).otherwise(0.0)).drop("percentiles")
+
+
+def window_scale(pixel: Column, slope: Column, intercept: Column, centre: Column, width: Column, inverted: Column, top: float = 255.0) -> Column:
+    """A stored pixel as a grey level: rescaled, mapped from centre +- width / 2 to 0 .. ``top``, turned round if ``inverted``."""
+    value = pixel * F.coalesce(slope, F.lit(1.0)) + F.coalesce(intercept, F.lit(0.0))
+    grey = F.greatest(F.lit(0.0), F.least(F.lit(top), (value - (centre - width / 2)) / F.greatest(width, F.lit(1.0)) * top))
+    return F.when(inverted, F.lit(top) - grey).otherwise(grey)

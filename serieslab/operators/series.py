@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,20 @@ def previous_line(doc: str, order: list[str], c: Column) -> Column:
 def locale_order(c: Column) -> Column:
     """A text to sort by as readers of its language do: case and accents only break ties."""
     return F.collate(c, "UNICODE_CI_AI")
+
+
+def row_numbers(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Consecutive numbers from 1 in the order of ``order``: sorted by range, so no task sorts all rows.
+
+    The sorted rows are kept, as they are read twice: for the size of each range, of which there is one
+    row a partition, and for the numbers.
+    """
+    kept = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    part = F.shiftright("_id", 33)
+    sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return kept.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_id", "_part", "_before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from serieslab.functions.numbers import common_unit, parse_number, parse_range, to_common
 from serieslab.functions.text import clean_text, person_name, report_key
-from serieslab.operators import dedup, joins
+from serieslab.operators import dedup, joins, series
 
 TEST = "struct<name:string,canonical:string,value:double,raw_result:string,unit:string,ref_low:double,ref_high:double,ref_text:string,flag:string,qual:string,method:string>"
 SECTIONS = f"array<struct<name:string,tests:array<{TEST}>>>"
@@ -16,14 +16,13 @@ SECTIONS = f"array<struct<name:string,tests:array<{TEST}>>>"
 def resolve_persons(reports: DataFrame, persons: DataFrame) -> DataFrame:
     """``person_id`` of each report (name, doc): a known person, else a new number for each new name and document.
 
-    New numbers follow the largest known one in the order of document and name; they are given to the
-    distinct newcomers of one batch, whose number is small beside the reports.
+    New numbers follow the largest known one in the order of document and name.
     """
     named = reports.withColumn("name", person_name(F.col("name"))).withColumn("doc", F.coalesce("doc", F.lit("")))
     matched = joins.fuzzy_person(named, persons.select("id", "name", "doc"))
     top = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = matched.filter("match_id is null").select("name", "doc").distinct()
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("doc", "name"))).select("name", "doc", (F.lit(top) + F.col("_n")).alias("new_id"))
+    fresh = series.row_numbers(fresh, "_n", "doc", "name").select("name", "doc", (F.lit(top) + F.col("_n")).alias("new_id"))
     out = matched.join(fresh, ["name", "doc"], "left")
     return out.withColumn("created", F.col("match_id").isNull()).withColumn("person_id", F.coalesce("match_id", "new_id")).drop("match_id", "new_id")
 
@@ -31,7 +30,7 @@ def resolve_persons(reports: DataFrame, persons: DataFrame) -> DataFrame:
 def typed_tests(raw: DataFrame) -> DataFrame:
     """Rows of text (name, result, unit, reference) with number, range and common unit; rows without a value go."""
     unit = F.coalesce("unit", F.lit(""))
-    out = raw.withColumn("name", clean_text(F.col("name"))).withColumn("_v", parse_number(F.col("result"), unit)).withColumn("_r", parse_range(F.col("reference"), unit))
+    out = raw.withColumn("name", F.trim(clean_text(F.col("name")))).withColumn("_v", parse_number(F.col("result"), unit)).withColumn("_r", parse_range(F.col("reference"), unit))
     qual = F.when(F.col("_v").isNull() & (F.trim("result") != ""), F.trim("result"))
     out = out.withColumn("value", to_common(F.col("_v"), unit)).withColumn("ref_low", to_common(F.col("_r.low"), unit)).withColumn("ref_high", to_common(F.col("_r.high"), unit))
     return out.withColumn("qual", qual).withColumn("unit", common_unit(unit)).drop("_v", "_r").filter("value is not null or qual is not null")
@@ -76,7 +75,7 @@ def decide(pending: DataFrame, decisions: DataFrame, persons: DataFrame) -> Data
     outcome = F.when(F.col("_staged").isNull(), "not_found").when(F.col("action") == "cancel", "cancelled").when(~makes & F.col("target_id").isNull(), "error").otherwise(F.col("action"))
     named = joined.withColumn("outcome", outcome).withColumn("person_name", F.when(makes, F.coalesce(F.nullif(F.trim(F.coalesce("name", F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce("patient_name", F.lit(""))), F.lit("")), F.lit("DESCONOCIDO"))))
     top = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = named.filter(makes).withColumn("_n", F.row_number().over(Window.orderBy("key"))).select("key", (F.lit(top) + F.col("_n")).alias("_new"))
+    numbered = series.row_numbers(named.filter(makes), "_n", "key").select("key", (F.lit(top) + F.col("_n")).alias("_new"))
     kept = F.col("outcome").isin("approve", "rename", "existing", "current")
     return named.join(numbered, "key", "left").select("key", "action", "outcome", F.when(kept, F.coalesce("_new", "target_id")).alias("person_id"), "person_name")
 

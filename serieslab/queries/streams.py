@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslab.queries.registry import query
-from serieslab.session import table
+from serieslab.session import shared_folder, table
 from serieslab.streaming import ingest
 
 
@@ -30,8 +29,7 @@ def session_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_dedup_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events read as a stream of files, repeated deliveries dropped, counted by an available-now run."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="serieslab-")
-    run = f"{base}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     source.unionByName(source.filter("event_id % 5 = 0")).write.parquet(f"{run}/in")
     stream = ingest.dedup(ingest.poll(spark, f"{run}/in", source.schema), ["event_id"], "ts", "365 days")

@@ -12,30 +12,54 @@ from pyspark.sql import DataFrame
 LONG = ("OB", "OD", "OF", "OL", "OW", "SQ", "UC", "UN", "UR", "UT")
 NUMBERS = {"US": "<H", "SS": "<h", "UL": "<I", "SL": "<i", "FL": "<f", "FD": "<d"}
 IMPLICIT = "1.2.840.10008.1.2"
-#: Values longer than this are not text of interest (pixels, sequences).
-MOST = 256
+# Representations of bytes that are no text, the marks that end an item and a sequence, and the pixels.
+BYTES = ("OB", "OD", "OF", "OL", "OW", "SQ", "UN")
+ITEM_END, SEQUENCE_END, PIXELS, UNKNOWN = (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD), (0x7FE0, 0x10), 0xFFFFFFFF
+
+
+def _head(data: bytes, at: int, implicit: bool) -> tuple[int, int, str, int, int]:
+    """Group, element, representation, size and where the value begins."""
+    group, element = struct.unpack_from("<HH", data, at)
+    kind = data[at + 4 : at + 6].decode("latin-1")
+    if group == 0xFFFE or (implicit and group != 2):
+        return group, element, "", struct.unpack_from("<I", data, at + 4)[0], at + 8
+    if kind in LONG:
+        return group, element, kind, struct.unpack_from("<I", data, at + 8)[0], at + 12
+    return group, element, kind, struct.unpack_from("<H", data, at + 6)[0], at + 8
+
+
+def _end(data: bytes, at: int, implicit: bool) -> int:
+    """Where a sequence of unknown length that begins at ``at`` ends: its items, and sequences in them, are stepped over."""
+    depth = 1
+    while depth and at + 8 <= len(data):
+        group, element, _, size, at = _head(data, at, implicit)
+        if (group, element) == SEQUENCE_END:
+            depth -= 1
+        elif group == 0xFFFE:
+            at += 0 if size == UNKNOWN or (group, element) == ITEM_END else size
+        elif size == UNKNOWN:
+            depth += 1
+        else:
+            at += size
+    return at
 
 
 def tags(data: bytes) -> Iterator[tuple[str, str]]:
-    """(tag, value) of a little-endian file; elements of unknown length end the reading."""
+    """(tag, value) of the elements of a little-endian file that hold text or numbers; sequences are stepped over."""
     if data[128:132] != b"DICM":
         return
     at, syntax = 132, ""
     while at + 8 <= len(data):
-        group, element = struct.unpack_from("<HH", data, at)
-        kind = data[at + 4 : at + 6].decode("latin-1")
-        if group == 2 or syntax != IMPLICIT:
-            long = kind in LONG
-            size = struct.unpack_from("<I", data, at + 8)[0] if long else struct.unpack_from("<H", data, at + 6)[0]
-            at += 12 if long else 8
-        else:
-            kind, size = "", struct.unpack_from("<I", data, at + 4)[0]
-            at += 8
-        if size == 0xFFFFFFFF or at + size > len(data):
+        implicit = syntax == IMPLICIT
+        group, element, kind, size, at = _head(data, at, implicit)
+        if size == UNKNOWN:
+            at = _end(data, at, implicit)
+            continue
+        if at + size > len(data):
             return
         raw = data[at : at + size]
         at += size
-        if kind in LONG or size > MOST:
+        if kind in BYTES or (group, element) == PIXELS:
             continue
         form = NUMBERS.get(kind)
         value = str(struct.unpack_from(form, raw)[0]) if form and size >= struct.calcsize(form) else raw.decode("latin-1").strip("\0 ")

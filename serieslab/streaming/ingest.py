@@ -44,22 +44,51 @@ def sessions(df: DataFrame, time: str, gap: str, *keys: str) -> DataFrame:
     return out.drop("w")
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str) -> StreamingQuery:
-    """Keep a table at ``path`` with the last row of each key, whatever is delivered again.
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, buckets: int = 64) -> StreamingQuery:
+    """Keep a table at ``path`` with the last row of each key, whatever is delivered again; :func:`latest` reads it.
 
-    Every batch writes a new version folder from the version before and the batch; a batch that is run
-    again writes the same version, and readers take the newest that is complete.
+    Rows lie in buckets by a hash of their key. A batch writes the buckets that it touches as a new
+    version, and then the list of which bucket is of which version; a batch that is run again starts from
+    the list before it and writes the same. Versions that neither this list nor the one before names go.
     """
     from serieslab.operators.dml import upsert
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        upsert(base, batch, keys, seq).write.mode("overwrite").parquet(f"{path}/v{number}")
+        before, older = _versions(spark, path, number - 1), _versions(spark, path, number - 2)
+        dealt = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())
+        own = [f"{path}/data/v{before[b]}/_bucket={b}" for b in touched if b in before]
+        base = spark.read.schema(batch.schema).parquet(*own) if own else batch.limit(0)
+        rows = upsert(base, dealt.drop("_bucket"), keys, seq).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v{number}")
+        after = before | dict.fromkeys(touched, number)
+        spark.createDataFrame([(number, *x) for x in after.items()], VERSIONS).coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v{number}")
+        dealt.unpersist()
+        for gone in [*(f"data/v{v}/_bucket={b}" for b, v in older.items() if before.get(b) != v), f"versions/v{number - 3}"]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{gone}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+VERSIONS = "number long, bucket int, version long"
+
+
+def _versions(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Version of each bucket after a batch; at most one row a bucket."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/v{number}")
+    if number < 0 or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    return {r["bucket"]: r["version"] for r in spark.read.schema(VERSIONS).parquet(f"{path}/versions/v{number}").collect()}
+
+
+def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table of :func:`upsert_sink` as of its last complete batch."""
+    number = spark.read.schema(VERSIONS).parquet(f"{path}/versions/*").agg(F.max("number")).first()[0]
+    return spark.read.schema(schema).parquet(*(f"{path}/data/v{v}/_bucket={b}" for b, v in _versions(spark, path, number).items()))
+
+
 def idle_flush(stream: DataFrame, key: str, time: str, gap_seconds: int, late: str = "1 minute") -> DataFrame:
     """One row (key, n, first, last) when a key has been idle for ``gap_seconds`` of event time.
 

@@ -18,7 +18,7 @@ def column(spark, rows, schema, make):
 
 
 def test_parse_number(spark):
-    pairs = [("1.234,56", "", 1234.56), ("1,234.56", "", 1234.56), ("5,7", "%", 5.7), ("4.500", "/µL", 4500), ("3.135", "10e3/µL", 3.135), ("37.5", "U/L", 375), ("-Z0-110.", "", 110), ("10e3/µL 0.000", "", 0), ("1.2.3", "", None), ("abc", "", None)]
+    pairs = [("1.234,56", "", 1234.56), ("1,234.56", "", 1234.56), ("5,7", "%", 5.7), ("4.500", "/µL", 4500), ("3.135", "10e3/µL", 3.135), ("37.5", "U/L", 375), ("-Z0-110.", "", 110), ("10e3/µL 0.000", "", 0), ("1.2.3", "", None), ("abc", "", None), ("1 234", "", 1234), ("1\u00a0234,5", "", 1234.5), ("4.5", "x10/µL", 45), ("110.", "", 110)]
     assert column(spark, [p[:2] for p in pairs], "string string", numbers.parse_number) == [p[2] for p in pairs]
     assert column(spark, [("37.5", "U/L")], "string string", lambda s, u: numbers.parse_number(s, u, corrected=True)) == [37.5]
 

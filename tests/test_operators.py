@@ -3,6 +3,8 @@
 import io
 import zipfile
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from serieslab import schema
@@ -110,7 +112,13 @@ def test_upsert_stream(spark, tmp_path):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path("in"))
         source = ingest.poll(spark, path("in"), spark.createDataFrame([], kind).schema)
         ingest.upsert_sink(source, path("out"), path("state"), ["id"], "seq").awaitTermination()
-    assert {r.id: r.v for r in spark.read.parquet(path("out/v2")).collect()} == {1: "c", 2: "b", 3: "d"}
+    schema = spark.createDataFrame([], kind).schema
+    assert {r.id: r.v for r in ingest.latest(spark, path("out"), schema).collect()} == {1: "c", 2: "b", 3: "d"}
+    for i in range(5):  # versions that nothing names are gone
+        spark.createDataFrame([(1, f"n{i}", 9 + i)], kind).coalesce(1).write.mode("append").parquet(path("in"))
+        ingest.upsert_sink(ingest.poll(spark, path("in"), schema), path("out"), path("state"), ["id"], "seq").awaitTermination()
+    assert {r.id: r.v for r in ingest.latest(spark, path("out"), schema).collect()} == {1: "n4", 2: "b", 3: "d"}
+    assert len([p for p in (tmp_path / "out/data").glob("*/_bucket=*")]) <= 5
 
 
 def test_zip_chunks(spark):
@@ -128,7 +136,12 @@ def test_crawl(spark, tmp_path):
         (tmp_path / f"p{i}.html").write_text(f'<a href="/m/{i}">x</a><a href="/m/{i}">y</a>')
     crawl.register(spark)
     pages = spark.read.format("paged").option("url", f"file://{tmp_path}/p{{page}}.html").option("pages", 4).option("backOff", 0).load()
-    assert sorted((r.page, r.href) for r in registry.page_links(pages, "page", "html").collect()) == [(1, "/m/1"), (2, "/m/2")]
+    assert sorted((r.page, r.href) for r in registry.page_links(pages.filter("html is not null"), "page", "html").collect()) == [(1, "/m/1"), (2, "/m/2")]
+    assert {r.page for r in pages.filter("error like '%Error%'").collect()} == {3, 4}
+    for i in (4, 5, 6, 7):
+        (tmp_path / f"p{i}.html").write_text("<p>none</p>" if i > 5 else '<a href="/m">x</a>')
+    got = crawl.crawl(spark, f"file://{tmp_path}/p{{page}}.html", str(tmp_path / "table"), ~F.col("html").contains("<a"), wave=3, backOff=0).collect()
+    assert sorted((r.page, r.html is None) for r in got) == [(1, False), (2, False), (3, True), (4, False), (5, False)]  # 3 failed, 6 is empty
 
 
 def test_dicom_tags(spark):
@@ -139,9 +152,11 @@ def test_dicom_tags(spark):
         head = group.to_bytes(2, "little") + number.to_bytes(2, "little") + kind
         return head + (b"\0\0" + len(value).to_bytes(4, "little") if kind == b"OW" else len(value).to_bytes(2, "little")) + value
 
-    data = b"\0" * 128 + b"DICM" + element(2, 0x10, b"UI", b"1.2.840.10008.1.2.1") + element(8, 0x60, b"CS", b"MR") + element(0x28, 0x10, b"US", (512).to_bytes(2, "little")) + element(0x7FE0, 0x10, b"OW", b"x" * 400)
+    unknown = b"\x08\0\x40\x11SQ\0\0\xff\xff\xff\xff" + b"\xfe\xff\0\xe0\xff\xff\xff\xff" + element(8, 0x1150, b"UI", b"1.2") + b"\xfe\xff\x0d\xe0\0\0\0\0" + b"\xfe\xff\xdd\xe0\0\0\0\0"
+    long = element(0x20, 0x4000, b"LT", b"y" * 600)
+    data = b"\0" * 128 + b"DICM" + element(2, 0x10, b"UI", b"1.2.840.10008.1.2.1") + element(8, 0x60, b"CS", b"MR") + element(0x28, 0x10, b"US", (512).to_bytes(2, "little")) + unknown + long + element(0x7FE0, 0x10, b"OW", b"x" * 400)
     got = dicom.read_tags(spark.createDataFrame([("a", data), ("b", b"nothing")], "path string, content binary")).collect()
-    assert {(r.path, r.tag, r.value) for r in got} == {("a", "00020010", "1.2.840.10008.1.2.1"), ("a", "00080060", "MR"), ("a", "00280010", "512")}
+    assert {(r.path, r.tag, r.value) for r in got} == {("a", "00020010", "1.2.840.10008.1.2.1"), ("a", "00080060", "MR"), ("a", "00280010", "512"), ("a", "00204000", "y" * 600)}
 
 
 def test_sql_functions(spark):
@@ -176,3 +191,21 @@ def test_carry_patient(spark):
     rows = [("h", 1, "2024", "Ana", "1"), ("h", 2, None, None, None), ("h", 3, "2025", "Eva", None)]
     got = carry_patient(spark.createDataFrame(rows, "file_hash string, part int, date string, name string, doc string")).orderBy("part").collect()
     assert [(r.date, r["name"], r.doc) for r in got] == [("2024", "Ana", "1"), ("2024", "Ana", "1"), ("2025", "Eva", "1")]
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=1001), "b": np.full(7, 3.0), "c": np.array([5.0]), "d": np.array([1e9, *range(400)], float), "e": rng.integers(0, 4, 999).astype(float)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None)], "g string, x double")
+    got = {r.g: r.percentiles for r in dedup.percentiles(df, "g", "x", [0.0, 0.005, 0.5, 0.995, 1.0], bins=16).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(np.quantile(xs, [0.0, 0.005, 0.5, 0.995, 1.0]).tolist())
+
+
+def test_row_numbers(spark):
+    from serieslab.operators.series import row_numbers
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
+    assert [r.n for r in row_numbers(df, "n", "k").orderBy("k").collect()] == list(range(1, 1001))
+    assert row_numbers(df.limit(0), "n", "k").count() == 0
