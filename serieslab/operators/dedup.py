@@ -56,6 +56,22 @@ def new_reports(incoming: DataFrame, stored: DataFrame, force: bool = False) ->
     return out.withColumn("_r", F.row_number().over(place)).filter(~dated | (F.col("_r") == 1)).drop("_r")
 
 
+def new_attachments(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files (person_id, sha1, seq) that their person doesn't have yet: by digest, the first of several in one batch."""
+    keys = ["person_id", "sha1"]
+    rest = [c for c in incoming.columns if c not in keys]
+    fresh = incoming.join(stored.select(keys).distinct(), keys, "left_anti")
+    first = fresh.groupBy(keys).agg(F.min_by(F.struct(rest), "seq").alias("_r"))
+    return first.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(incoming.columns)
+
+
+def pairs_below(df: DataFrame, group: str, key: str, signature: str, most: float) -> DataFrame:
+    """Pairs of a group whose signatures differ by at most ``most`` on average, earlier key first; groups are studies, small by nature."""
+    a, b = (df.select(group, F.col(key).alias(x), F.col(signature).alias(f"_{x}")) for x in "ab")
+    pairs = a.join(b, group).filter(F.col("a") < F.col("b")).withColumn("diff", signature_diff(F.col("_a"), F.col("_b")))
+    return pairs.filter(F.col("diff") <= most).select(group, "a", "b", "diff")
+
+
 def signature_diff(a: Column, b: Column) -> Column:
     """Mean absolute difference of two signatures; 1 for unequal lengths."""
     diff = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)

@@ -68,14 +68,14 @@ def markers(tests: DataFrame, persons: DataFrame) -> DataFrame:
     return last.select("person_id", "key", F.col("name").alias("label"), "value", F.coalesce(F.nullif(clean_unit(F.col("unit")), F.lit("")), "std_unit", F.lit("")).alias("unit"), "low", "high", status.alias("status"), grade.alias("severity"), "trend", "n", F.col("date").alias("last_date"), "sex")
 
 
-def findings(marked: DataFrame, newest: DataFrame) -> DataFrame:
+def findings(marked: DataFrame, newest: DataFrame, aged_days: int = AGED_DAYS) -> DataFrame:
     """Markers that are not normal, with ``aged`` and a severity, and their rank among the person's.
 
-    newest: person_id, newest (timestamp of the newest report). A marker over a year older than that is
+    newest: person_id, newest (timestamp of the newest report). A marker over ``aged_days`` older than that is
     aged, and red becomes yellow; without a severity a finding is yellow. Red first, then by key.
     """
     out = marked.filter(~F.col("status").isin("normal", "no_realizado") & (F.col("key") != "psa_free")).join(newest, "person_id", "left")
-    aged = F.coalesce(whole_days(F.col("newest"), F.col("last_date")) > AGED_DAYS, F.lit(False))
+    aged = F.coalesce(whole_days(F.col("newest"), F.col("last_date")) > aged_days, F.lit(False))
     grade = F.when(aged & (F.col("severity") == "red"), "yellow").otherwise(F.coalesce("severity", F.lit("yellow")))
     return out.withColumn("aged", aged).withColumn("severity", grade).drop("newest")
 

@@ -63,6 +63,51 @@ def text_entities(texts: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "entity").agg(F.min("pos").alias("pos"))
 
 
+def entity_persons(texts: DataFrame, key: str, text: str, persons: DataFrame) -> DataFrame:
+    """Persons (id, name, doc) whose document or whole normal name is among the entities of a text: ``key``, entity, person_id."""
+    found = text_entities(texts, key, text)
+    by_doc = persons.filter("doc <> ''").groupBy(F.col("doc").alias("entity")).agg(F.min("id").alias("person_id"))
+    by_name = persons.filter("name <> ''").groupBy(F.upper("name").alias("entity")).agg(F.min("id").alias("person_id"))
+    known = by_doc.unionByName(by_name).groupBy("entity").agg(F.min("person_id").alias("person_id"))
+    return found.select(key, "entity").join(known, "entity")
+
+
+def person_detail(persons: DataFrame, reports: DataFrame, tests: DataFrame) -> DataFrame:
+    """Each person with the number and dates of their reports, and of the tests in them, and the newest report.
+
+    persons: id and more; reports: id, person_id, date; tests: report_id, value. Tests are summed by
+    report before the join, reports by person, so nothing is counted twice.
+    """
+    per_report = tests.groupBy(F.col("report_id").alias("id")).agg(F.count(F.lit(1)).alias("n_tests"), F.count("value").alias("n_values"))
+    with_tests = reports.join(per_report, "id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    per_person = with_tests.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_reports"), total("n_tests"), total("n_values"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("id", F.struct("date", "id")).alias("newest_report"))
+    out = persons.join(per_person.withColumnRenamed("person_id", "id"), "id", "left")
+    return out.fillna(0, ["n_reports", "n_tests", "n_values"])
+
+
+def ingest_flow(files: DataFrame, registry: DataFrame, reports: DataFrame, persons: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+    """A batch of scanned files and the reports read from them: what is stored, what waits, and the registry after it.
+
+    files: path, sha1; registry: path, sha1; reports: file_hash, part, lab, date, name, doc, seq; stored: key,
+    person_id, date, lab. Unchanged and duplicate files are left out. Reports take what they lack from
+    the first of their file. Those of known persons, or with a document, are stored; others wait for
+    a decision, with the name that was read.
+    """
+    status = dedup.file_status(files, registry)
+    fresh = status.filter("status = 'new'").select(F.col("sha1").alias("file_hash")).distinct()
+    read = carry_patient(reports.join(fresh, "file_hash", "left_semi"))
+    keyed = read.withColumn("key", report_key(F.col("file_hash"), F.col("lab"), F.col("date").cast("string")))
+    named = keyed.withColumn("doc", F.coalesce("doc", F.lit("")))
+    matched = joins.fuzzy_person(named, persons.select("id", "name", "doc"))
+    sure = F.col("match_id").isNotNull() | (F.col("doc") != "")
+    new = dedup.new_reports(resolve_persons(matched.filter(sure).drop("match_id"), persons), stored)
+    pending = matched.filter(~sure).select("key", F.col("name").alias("patient_name"), "doc", "lab", "date", "seq")
+    pending = pending.join(stored.select("key").distinct(), "key", "left_anti").groupBy("key").agg(*(F.min_by(c, "seq").alias(c) for c in ("patient_name", "doc", "lab", "date")))
+    after = registry.unionByName(files.join(registry.select("path"), "path", "left_anti").select(registry.columns))
+    return {"stored": new, "pending": pending, "status": status, "registry": after}
+
+
 def decide(pending: DataFrame, decisions: DataFrame, persons: DataFrame) -> DataFrame:
     """Staged reports after decisions (key, action, target_id, name): ``outcome`` and ``person_id``.
 

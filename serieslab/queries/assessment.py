@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslab import rules
-from serieslab.functions.dates import whole_days
 from serieslab.plans import assessment as plan
 from serieslab.queries.registry import query
 from serieslab.session import table
@@ -37,9 +36,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the ageing rule at AGED_DAYS."""
     marked = markers(spark, d)
     newest = table(spark, d, "events").groupBy(F.col("user_id").alias("person_id")).agg(F.max("ts").alias("newest"))
-    found = plan.findings(marked, newest).join(newest, "person_id")
-    aged = whole_days(F.col("newest"), F.col("last_date")) > AGED_DAYS
-    return found.withColumn("aged", aged).withColumn("severity", F.when(aged & (F.col("severity") == "red"), "yellow").otherwise(F.col("severity"))).drop("newest")
+    return plan.findings(marked, newest, AGED_DAYS)
 
 
 MARKERS_SQL = """

@@ -86,13 +86,19 @@ def backfill_missing(spark: SparkSession, d: str) -> DataFrame:
     return dml.backfill(table(spark, d, "labels"), table(spark, d, "documents"), ["doc_id"])
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / 64, 6) AS diff
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10""")
+@query("""SELECT * FROM (SELECT a.vec_id // 16 AS study, a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / 64, 6) AS diff
+FROM embeddings a JOIN embeddings b ON a.vec_id // 16 = b.vec_id // 16 AND a.vec_id < b.vec_id) WHERE diff <= 0.14""")
 def pairwise_signature_diff(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    pairs = a.withColumn("b", F.col("a") + 10).join(b, ["label", "b"])
-    return pairs.select("a", "b", F.round(ops.signature_diff(F.col("ea"), F.col("eb")), 6).alias("diff"))
+    """All pairs of alike signatures within studies of 16."""
+    e = table(spark, d, "embeddings").withColumn("study", F.expr("vec_id div 16"))
+    return ops.pairs_below(e, "study", "vec_id", "embedding", 0.1400004).withColumn("diff", F.round("diff", 6)).filter("diff <= 0.14")
+
+
+@query("""SELECT min(doc_id) AS seq, doc_id % 50 AS person_id, sha1(text) AS sha1 FROM documents WHERE (doc_id % 50, sha1(text)) NOT IN (SELECT (doc_id % 50, sha1(text)) FROM documents WHERE doc_id % 3 = 0) GROUP BY 2, 3""")
+def new_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a person doesn't have, where every third is stored."""
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 50).alias("person_id"), F.sha1("text").alias("sha1"))
+    return ops.new_attachments(files, files.filter("seq % 3 = 0"))
 
 
 @query("""SELECT vec_id, (i // 8) AS block, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2""")

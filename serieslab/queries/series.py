@@ -12,7 +12,8 @@ from serieslab.plans.layout import text_blocks
 from serieslab.queries.registry import query
 from serieslab.session import table
 
-MONTHS = ["1996-01", "1996-02", "1996-03", "1996-04"]
+#: Every month that orders may be of.
+MONTHS = [f"{y}-{m:02d}" for y in range(1992, 2003) for m in range(1, 13)]
 
 
 @query("""SELECT event_id, CASE WHEN lag(value) OVER w IS NULL THEN '' WHEN abs(value - lag(value) OVER w) < 1e-9 THEN 'estable' WHEN value > lag(value) OVER w THEN 'subiendo' ELSE 'bajando' END AS trend
