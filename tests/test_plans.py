@@ -220,3 +220,42 @@ def test_uploads(spark):
 def test_explained(spark):
     got = {r.key: (r.statistic, r.range_text) for r in a.explained(found(spark, [(1, 1, "glucose", 0, 118.0, None, None, None), (1, 2, "sodium", 0, 155.0, None, None, None)])).collect()}
     assert got["glucose"][0] == "diabetes_risk" and got["sodium"] == (None, "entre 135 y 145 mEq/L")
+
+
+def placed(spark, found):
+    """Words of lines of (x, text) cells."""
+    rows = [("d", 1, x + i, 10.0 * y, w) for y, line in enumerate(found) for x, text in line for i, w in enumerate(text.split(" "))]
+    return spark.createDataFrame(rows, "doc string, page int, x double, y double, word string")
+
+
+def results(df):
+    return [(r.section, r.name, r.value, r.unit, r.low, r.high, r.qual) for r in df.orderBy("place").collect()]
+
+
+def test_two_column_layout(spark):
+    from serieslab.plans import blocks
+
+    page = [[(10.0, "SERIE ROJA")], [(10.0, "Hemoglobina 13,5"), (320.0, "12,0 - 16,0 g/dL")], [(10.0, "4.850.000")], [(10.0, "Eritrocitos"), (320.0, "4.500.000 - 5.100.000 /µL")], [(10.0, "ORINA")], [(10.0, "Glucosa Negativo")], [(10.0, "Nota sin nombre 7")]]
+    got = results(blocks.curie_rows(placed(spark, page)))
+    assert got[0] == ("SERIE ROJA", "Hemoglobina", 13.5, "g/dL", 12.0, 16.0, None)
+    assert got[1][:2] == ("SERIE ROJA", "Eritrocitos") and got[1][2] is None  # dots are no thousands marks without a count's unit
+    assert got[2] == ("ORINA", "Glucosa", None, "", None, None, "Negativo") or got[2][1:3] == ("Glucosa", None)
+
+
+def test_block_layouts(spark):
+    from serieslab.plans import blocks
+
+    page = [[(10.0, "Glicemia 104"), (340.0, "Hasta 110 mg/dl")], [(10.0, "metodo enzimatico")], [(10.0, "Urea"), (340.0, "35")], [(340.0, "15 - 45 mg/dl")]]
+    got = results(blocks.ypacarai_rows(placed(spark, page)))
+    assert got == [("QUIMICA", "Glicemia", 104.0, "mg/dl", None, 110.0, None), ("QUIMICA", "Urea", 35.0, "mg/dl", 15.0, 45.0, None)]
+    page = [[(10.0, "TSH")], [(10.0, "Material: suero")], [(10.0, "Resultado: 2,35")], [(10.0, "Adultos: 0,4 - 4,0")], [(10.0, "Hemoglobina glicada")], [(10.0, "4,9 %")], [(10.0, "Normal: inferior a S,7")]]
+    got = results(blocks.sanacoop_rows(placed(spark, page)))
+    assert got == [("PERFIL", "TSH", 2.35, "", 0.4, 4.0, None), ("PERFIL", "Hemoglobina glicada", 4.9, "", None, 5.7, None)]  # units are sought where the number was
+    page = [[(10.0, "Laboratorio X")], [(10.0, "Anti HBs")], [(10.0, "Material: suero")], [(10.0, "Resultado: Negativo")], [(10.0, "1,4 U/mL ver nota")], [(10.0, "Positivo: superior a 10")], [(10.0, "Vitamina B12")], [(10.0, "Material: suero")], [(10.0, "Resultado: 350 pg/mL 200 a 900 pg/mL")]]
+    got = results(blocks.neo_rows(placed(spark, page)))
+    assert got == [("GENERAL", "Anti HBs", 1.4, "U/mL", None, None, "Negativo"), ("GENERAL", "Vitamina B12", 350.0, "pg/mL", 200.0, 900.0, None)]
+    texts = spark.createDataFrame([("Paciente: PEREZ, ANA Sexo: F\nEdad: 41 años\nCI N°: 1234567\nFecha: 03-02-2024",)], "t string")
+    r = blocks.header(texts, "t", "medvital").first()
+    assert (r.patient, r.age, r.sex, r.document, str(r.date)[:10]) == ("ANA PEREZ", 41, "F", "1234567", "2024-02-03")
+    junk = spark.createDataFrame([("Teléfono 021",), ("Glucosa",), (None,)], "n string").select(blocks.is_junk_row(F.col("n")).alias("j"))
+    assert [r.j for r in junk.collect()] == [True, False, False]
