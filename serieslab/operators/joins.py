@@ -78,11 +78,22 @@ def resolve_alias(df: DataFrame, name: str, aliases: DataFrame, result: str, lea
 
 
 def shared_tokens(left: DataFrame, right: DataFrame, block: str, tokens: str, least: int) -> DataFrame:
-    """Pairs of rows with an equal ``block`` and ``least`` or more common tokens; columns get the suffixes _a and _b."""
-    a = left.select(*(F.col(c).alias(f"{c}_a") for c in left.columns))
-    b = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns))
-    common = F.size(F.array_intersect(f"{tokens}_a", f"{tokens}_b"))
-    return a.join(b, F.col(f"{block}_a") == F.col(f"{block}_b")).withColumn("common", common).filter(F.col("common") >= least)
+    """Pairs of rows with an equal ``block`` and ``least`` or more common tokens; columns get the suffixes _a and _b.
+
+    In any one order of tokens, two rows that share ``least`` of them share one among the first
+    size - least + 1 of each; so rows meet by block and such a token, long (rare) tokens first, and a
+    pair counts at the first token that it shares there.
+    """
+
+    def prefixed(df: DataFrame, side: str) -> DataFrame:
+        ordered = F.array_sort(F.transform(F.array_distinct(tokens), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+        first = F.slice(F.transform(ordered, lambda x: x["t"]), 1, F.greatest(F.size(ordered) - least + 1, F.lit(0)))
+        out = df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns), F.col(block).alias("_block"), first.alias(f"_first_{side}"))
+        return out.withColumn("_token", F.explode(f"_first_{side}"))
+
+    met = prefixed(left, "a").join(prefixed(right, "b"), ["_block", "_token"])
+    met = met.filter(F.col("_token") == F.array_intersect("_first_a", "_first_b")[0]).withColumn("common", F.size(F.array_intersect(f"{tokens}_a", f"{tokens}_b")))
+    return met.filter(F.col("common") >= least).drop("_block", "_token", "_first_a", "_first_b")
 
 
 def fuzzy_person(people: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:

@@ -71,8 +71,8 @@ def merge_overlay(catalog: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def match_products(products: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``match``: the catalogue key that a product's normalised name equals, else the longest that it contains."""
-    dim = catalog.select(F.monotonically_increasing_id().alias("ord"), norm_text(F.col("generic")).alias("word"), F.col("key").alias("entry")).filter(F.length("word") >= 3)
+    """``match``: the catalogue key that a product's normalised name equals, else the longest that it contains; of equal ones the first by a checksum of the key."""
+    dim = catalog.select(F.crc32(F.col("key").cast("binary")).alias("ord"), norm_text(F.col("generic")).alias("word"), F.col("key").alias("entry")).filter(F.length("word") >= 3)
     return joins.longest_contained(products.withColumn("norm", norm_text(F.col("product"))), "norm", dim, "word", "entry")
 
 
