@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Text that reaches Python tasks comes in batches of about this many bytes.
 BATCH_BYTES = 4 << 20
+_LOCAL_MASTER, _own_folder = re.compile(r"local(\[|$)"), []
 #: Where the tables of :func:`materialise` lie.
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -26,14 +28,17 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (local tests) a temporary folder is used, which goes at exit.
+    Only where a session on one machine has no such setting (tests) a temporary folder is used, which goes
+    at exit; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="serieslab-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not _LOCAL_MASTER.match(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        base = _own_folder[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -109,7 +114,8 @@ def give_back() -> None:
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` batch by batch; ``make`` runs once in a task and returns the function of a batch.
 
-    Batches are bounded by bytes as well as by rows, so a run of very long texts stays small.
+    Batches are bounded by bytes as well as by rows, so a run of very long texts stays small; the bound is
+    a setting that Spark reads when it plans, so the session has it from here on.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

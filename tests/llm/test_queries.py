@@ -7,11 +7,13 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
 from serieslab.llm import oracles, queries
+from serieslab.llm.mix import capped_targets
 from tests.llm.helpers import SCHEMA, words
 from tests.llm.test_operators import TOKENIZER, plain_components, plain_hits
 from tests.test_queries import NAMES, rows
@@ -59,6 +61,14 @@ def test_lm(spark, sf, documents):
         assert got[i].base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_lm_held_out(spark):
+    """The model against the base on documents that neither has seen, by at least 0.15 log10 a token."""
+    got = [r for r in run(spark, "/root/testdata/sf0.1", "op3_lm_score").select("held_out", "n_tokens", "base_score", "score").collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 900 and all(r.score < 0 for r in got)
+    assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.15
+
+
 def test_near(spark, sf, documents):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, sf, "op4_near_dedup").collect()}
     assert got == plain_components(documents, 4)
@@ -89,8 +99,6 @@ def test_toxicity_held_out(spark):
 
 
 def test_tokens(spark, sf, documents):
-    from tokenizers import Tokenizer
-
     whole, start = Tokenizer.from_file(TOKENIZER), 0
     got = sorted(run(spark, sf, "op8_tokens").collect(), key=lambda r: r.doc_id)
     for r, (i, t, *_) in zip(got, sorted(documents), strict=True):
@@ -115,6 +123,8 @@ def test_stages(spark, sf):
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     gone = {r[0] for r in before} - {r[0] for r in after}
     assert gone and np.mean([toxic.get(i, 1) for i in gone]) > 0.9
+    assert np.mean([r[0] in gone for r in before if toxic.get(r[0]) == 1]) >= 0.8
+    assert np.mean([r[0] in gone for r in before if toxic.get(r[0]) == 0]) <= 0.03
     before, after = kept["near_dedup"]
     assert {r[0] for r in after} == {i for i, (_, c) in plain_components(before, 5).items() if c == i}
     before, after = kept["decontamination"]
@@ -122,6 +132,19 @@ def test_stages(spark, sf):
     assert {r[0] for r in after} == {i for i, (_, n, _) in plain_hits(before, items).items() if not n}
     before, after = kept["mixing"]
     assert set(after) <= set(before) and max(Counter(after).values()) <= 3
+    size, taken = Counter(), Counter()
+    for found, per in ((before, size), (after, taken)):
+        for _, t, _, source, *_ in found:
+            per[source] += len(words(t))
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    want = capped_targets(size, {x: i % 3 + 1.0 for i, x in enumerate(order)}, sum(size.values()), 3)
+    assert all(abs(taken[x] - want[x]) <= 0.05 * want[x] + 20 for x in order)
+    whole, start = Tokenizer.from_file(TOKENIZER), 0
+    got = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), key=lambda r: r.start)
+    for r, (i, t, *_) in zip(got, sorted(after, key=lambda x: x[0]), strict=True):
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
 
 
 def test_run_is_the_stages_in_turn(spark, sf):
