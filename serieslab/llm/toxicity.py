@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import arrow_map, crc_mod, keep, row_id
+from serieslab.llm.common import arrow_map, crc_mod, give_back, keep, row_id
 from serieslab.llm.tokens import ragged
-from serieslab.llm.words import lowered, pieces
+from serieslab.llm.words import lowered, pieces, together
 
 #: Examples of one block of the index, blocks that a search scores first, and neighbours that vote.
 BLOCK, FIRST, NEIGHBOURS = 64, 16, 25
@@ -46,14 +46,23 @@ class Vocabulary:
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's features begin, their numbers in rising order, and how often each occurs."""
-        codes, distinct, offsets = pieces(lowered(texts))
+        begins, found, often = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for _, part in together(lowered(texts)):
+            own, feature, count = self._counts(part)
+            begins.append(own[1:] + begins[-1][-1])
+            found.append(feature)
+            often.append(count)
+        return np.concatenate(begins), np.concatenate(found), np.concatenate(often)
+
+    def _counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, distinct, offsets = pieces(texts)
         found, piece = features(distinct)
         number = pc.fill_null(pc.index_in(found, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(piece[number >= 0], kind="stable")
         flat, sizes = number[number >= 0][order], np.bincount(piece[number >= 0], minlength=len(distinct))
         begins = np.cumsum(sizes) - sizes
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(codes), TOGETHER):
+        for at in range(0, len(codes), TOGETHER):  # a very long text comes in parts
             part = codes[at : at + TOGETHER]
             doc = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
             own = np.repeat(doc, sizes[part]) * len(self) + ragged(flat, begins[part], sizes[part])
@@ -62,7 +71,7 @@ class Vocabulary:
             counts.append(count)
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = len(self) or 1
-        return np.searchsorted(keys, np.arange(len(texts) + 1) * n), keys % n, np.bincount(at, np.concatenate(counts), len(keys))
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * n), (keys % n).astype(np.int32), np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int32)
 
 
 class Index:
@@ -75,10 +84,11 @@ class Index:
     def __init__(self, begins: np.ndarray, feature: np.ndarray, weight: np.ndarray, n_features: int) -> None:
         """begins, feature, weight: the vectors, one after another."""
         n = len(begins) - 1
-        owner = np.repeat(np.arange(n), np.diff(begins))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(begins))
         heaviest = np.full(n, -1)
         order = np.lexsort((weight, owner))
         heaviest[owner[order]] = feature[order]
+        del order
         self.order = np.lexsort((np.arange(n), heaviest))  # alike examples share blocks
         self.place = np.empty(n, np.int32)
         self.place[self.order] = np.arange(n)
@@ -90,10 +100,12 @@ class Index:
         dense = self.row[feature] >= 0
         self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         self.matrix[self.row[feature[dense]], example[dense]] = weight[dense]
+        del owner
         feature, example, weight = feature[~dense], example[~dense], weight[~dense]
         by = np.lexsort((example, feature))
         self.example, self.weight = example[by], weight[by].astype(np.float32)
-        entry = feature[by] * self.blocks + self.example // BLOCK
+        entry = feature[by].astype(np.int64) * self.blocks + self.example // BLOCK
+        del by, feature, example, weight
         self.post = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.zeros(0, np.int64)
         self.block = (entry[self.post] % max(1, self.blocks)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.post) if len(entry) else self.weight
@@ -173,9 +185,9 @@ class Model:
 
     def vectors(self, begins: np.ndarray, feature: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """TF-IDF weights of texts, each of length 1."""
-        w = (1 + np.log(counts)) * self.weights[feature]
-        owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        return w / np.sqrt(np.bincount(owner, w * w, len(begins) - 1))[owner]
+        w = (1 + np.log(counts, dtype=np.float32)) * self.weights[feature]
+        owner = np.repeat(np.arange(len(begins) - 1, dtype=np.int32), np.diff(begins))
+        return w / np.sqrt(np.bincount(owner, w * w, len(begins) - 1)).astype(np.float32)[owner]
 
     def votes(self, texts: pa.Array, without: list[int] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Weighted share of label 1 among each text's neighbours (nan without features), and their doc_ids, nearest first.
@@ -257,6 +269,22 @@ def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
     return df[: len(vocabulary)], max([r["docs"] for r in rows], default=0)
 
 
+def _model(docs: DataFrame, examples: DataFrame) -> Model:
+    """The index of the examples (doc_id, label, text), with document counts over ``docs``."""
+    found = examples.orderBy("doc_id").toArrow().combine_chunks()
+    texts = found.column("text").chunk(0) if len(found) else pa.array([], pa.string())
+    label, ids = found.column("label").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
+    parts = (pc.unique(features(pieces(part)[1])[0]) for _, part in together(lowered(texts)))
+    vocabulary = Vocabulary(pc.unique(pa.chunked_array(parts, pa.string())))
+    begins, feature, counts = vocabulary.counts(texts)
+    del found, texts
+    n_features = len(vocabulary)
+    gain = gains(np.bincount(feature, minlength=n_features).astype(float), np.bincount(feature, np.repeat(label, np.diff(begins)), n_features), max(1, len(ids)), int(label.sum()))
+    df, n_docs = document_counts(docs, vocabulary)
+    weights = np.log1p(n_docs / np.maximum(df, 1)) * np.sqrt(np.maximum(gain, LEAST_GAIN**2))
+    return Model(vocabulary, weights, begins, feature, counts, label, ids)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), most_examples: int = 8000, row: str | None = None) -> DataFrame:
     """Score every whole text by its nearest labelled examples.
 
@@ -281,16 +309,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples)
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").repartition(TASKS, "doc_id").groupBy("doc_id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
     examples = keep(examples)
-    found = examples.orderBy("doc_id").toArrow().combine_chunks()
-    texts = found.column("text").chunk(0) if len(found) else pa.array([], pa.string())
-    label, ids = found.column("label").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
-    vocabulary = Vocabulary(pc.unique(features(pieces(lowered(texts))[1])[0]))
-    begins, feature, counts = vocabulary.counts(texts)
-    n_features = len(vocabulary)
-    gain = gains(np.bincount(feature, minlength=n_features).astype(float), np.bincount(feature, np.repeat(label, np.diff(begins)), n_features), max(1, len(ids)), int(label.sum()))
-    df, n_docs = document_counts(docs, vocabulary)
-    weights = np.log1p(n_docs / np.maximum(df, 1)) * np.sqrt(np.maximum(gain, LEAST_GAIN**2))
-    sent = spark.sparkContext.broadcast(Model(vocabulary, weights, begins, feature, counts, label, ids))
+    model = _model(docs, examples)
+    ids, some, base = np.sort(model.ids), len(model.ids) > 0, float(model.rest)
+    sent = spark.sparkContext.broadcast(model)
+    del model
+    give_back()  # the driver has the index on disk now
 
     def alone() -> callable:
         own = sent.value
@@ -302,13 +325,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None
         return of
 
     slope, shift, rest = 1.0, 0.0, 0.25
-    if len(ids):
+    if some:
         tried = arrow_map(examples.select("text", "doc_id", "label"), alone, "vote double, label int").toArrow()
         votes, marks = tried.column("vote").to_numpy(), tried.column("label").to_numpy().astype(float)
         use = ~np.isnan(votes)
         order = np.lexsort((marks[use], votes[use]))
         slope, shift = calibrate(votes[use][order], marks[use][order])
-        rest = float(sent.value.rest)
+        rest = base
     examples.unpersist()
 
     def scan() -> callable:
