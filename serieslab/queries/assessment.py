@@ -151,3 +151,36 @@ def ai_report_fallback(spark: SparkSession, d: str) -> DataFrame:
     saved = F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn")))
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(saved.alias("saved"), F.min_by("text", "turn").alias("opening"))
     return turns.select("conv_id", F.coalesce("saved", F.left("opening", F.lit(100))).alias("report"), F.col("saved").isNull().alias("is_local"))
+
+
+# Names of tests as laboratories write them, by event type, with the keys that they stand for.
+NAMES = (("click", "Glucosa en ayunas", "glucose"), ("view", "COLESTEROL LDL", "ldl"), ("purchase", "Potasio", "potassium"), ("error", "Prueba desconocida", "otro:prueba_desconocida"), ("signup", "Hemoglobina", "hemoglobin"))
+
+
+@query("""WITH n(event_type, key, other) AS (VALUES ('click','glucose','otro:glucosa_en_ayunas'), ('view','ldl','otro:colesterol_ldl'), ('purchase','potassium','otro:potasio'), ('error','otro:prueba_desconocida','otro:prueba_desconocida'), ('signup','hemoglobin','otro:hemoglobina'))
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN other ELSE key END AS key FROM events JOIN n USING (event_type)""")
+def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of tests by name: equal, contained, unknown, and in sections of urine, which have none of blood."""
+    name = F.create_map(*(F.lit(x) for row in NAMES for x in row[:2]))[F.col("event_type")]
+    tests = table(spark, d, "events").select("event_id", name.alias("name"), F.lit("mg/dL").alias("unit"), F.when(F.col("event_id") % 5 == 0, "ORINA SIMPLE").otherwise("QUIMICA").alias("section"))
+    return plan.canonical_keys(tests, spark).select("event_id", "key")
+
+
+@query("""WITH t AS (SELECT user_id, event_id, 60 + value AS value, CASE event_id % 3 WHEN 0 THEN 80.0 WHEN 1 THEN 1.0 END::DOUBLE AS lo, CASE event_id % 3 WHEN 0 THEN 120.0 WHEN 1 THEN 2.0 END::DOUBLE AS hi, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'click')
+SELECT user_id AS person_id, round(value, 6) AS value, CASE WHEN event_id % 3 = 0 THEN lo ELSE 70.0::DOUBLE END AS low, CASE WHEN event_id % 3 = 0 THEN hi ELSE 100.0::DOUBLE END AS high,
+CASE WHEN value < CASE WHEN event_id % 3 = 0 THEN lo ELSE 70.0 END THEN 'bajo' WHEN value > CASE WHEN event_id % 3 = 0 THEN hi ELSE 100.0 END THEN 'alto' ELSE 'normal' END AS status FROM t WHERE r = 1""")
+def own_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The laboratory's own range counts where it is believable, else the standard one."""
+    own = tests(spark, d).filter("key = 'glucose'")
+    limit = lambda believable, not_: F.when(F.col("id") % 3 == 0, believable).when(F.col("id") % 3 == 1, not_)
+    own = own.withColumn("ref_low", limit(80.0, 1.0)).withColumn("ref_high", limit(120.0, 2.0))
+    return plan.markers(own, persons(spark, d)).select("person_id", F.round("value", 6).alias("value"), "low", "high", "status")
+
+
+@query("""WITH c AS (SELECT user_id, CASE WHEN value > 90 THEN 'red' WHEN value > 50 THEN 'yellow' ELSE 'green' END AS s FROM events)
+SELECT user_id AS person_id, CASE WHEN bool_or(s = 'red') THEN 'red' WHEN bool_or(s = 'yellow') THEN 'yellow' ELSE 'green' END AS severity FROM c GROUP BY 1""")
+def overall_severity(spark: SparkSession, d: str) -> DataFrame:
+    """The gravest of several lists of checks."""
+    grade = F.when(F.col("value") > 90, "red").when(F.col("value") > 50, "yellow").otherwise("green")
+    checks = table(spark, d, "events").select(F.col("user_id").alias("person_id"), grade.alias("severity"), "event_id")
+    return plan.overall_severity(checks.filter("event_id % 2 = 0"), checks.filter("event_id % 2 = 1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions import dates, numbers, text
@@ -174,3 +174,20 @@ def ingest_flow(spark: SparkSession, d: str) -> DataFrame:
     total = lambda df, name, c: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("total")).select(F.lit(name).alias("t"), "n", "total")
     pending = out["pending"].join(least.withColumn("key", F.concat_ws("|", "sha1", F.lit("Lab"), F.lit("2024-01-01"))), "key")
     return total(out["stored"], "stored", "seq").unionByName(total(pending, "pending", "seq")).unionByName(total(out["registry"].withColumn("id", F.substring("path", 2, 20).cast("long")), "registry", "id"))
+
+
+@query("""WITH c AS (SELECT c_custkey, (1000000 + c_custkey)::VARCHAR AS doc FROM customer), n AS (SELECT doc, (SELECT max(c_custkey) FROM c WHERE c_custkey % 2 = 0) + row_number() OVER (ORDER BY doc) AS new FROM c WHERE c_custkey % 2 = 1)
+SELECT c_custkey, coalesce(new, c_custkey) AS person_id, new IS NOT NULL AS created FROM c LEFT JOIN n USING (doc)""")
+def persons_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of persons known by document, and new ones numbered after the largest known."""
+    c = table(spark, d, "customer").select("c_custkey", F.lit("ANA PEREZ").alias("name"), (F.col("c_custkey") + 1_000_000).cast("string").alias("doc"))
+    known = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("ROSA DIAZ").alias("name"), "doc")
+    return ingest.resolve_persons(c, known).select("c_custkey", "person_id", "created")
+
+
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY lower(p_name), p_partkey) AS place FROM part""")
+def readers_order(spark: SparkSession, d: str) -> DataFrame:
+    """Names in the order of their readers, whatever their case."""
+    shown = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    w = Window.partitionBy("p_size").orderBy(series.locale_order(shown), "p_partkey")
+    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
