@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from serieslab import rules
 from serieslab.plans import assessment as plan
+from serieslab.plans import reports
 from serieslab.queries.registry import query
 from serieslab.session import table
 
@@ -184,3 +185,26 @@ def overall_severity(spark: SparkSession, d: str) -> DataFrame:
     grade = F.when(F.col("value") > 90, "red").when(F.col("value") > 50, "yellow").otherwise("green")
     checks = table(spark, d, "events").select(F.col("user_id").alias("person_id"), grade.alias("severity"), "event_id")
     return plan.overall_severity(checks.filter("event_id % 2 = 0"), checks.filter("event_id % 2 = 1"))
+
+
+@query(f"""WITH {MARKERS_SQL}, short AS (SELECT *, rtrim(rtrim(translate(format('{{:,.3f}}', value), ',.', '.,'), '0'), ',') AS v, rtrim(rtrim(translate(format('{{:,.3f}}', low), ',.', '.,'), '0'), ',') AS lo, rtrim(rtrim(translate(format('{{:,.3f}}', high), ',.', '.,'), '0'), ',') AS hi FROM markers),
+m AS (SELECT person_id, string_agg('- ' || key || ': ' || v || ' ' || unit || ' (ref: ' || lo || '-' || hi || ') -> ' || CASE status WHEN 'normal' THEN status ELSE upper(status) END || CASE WHEN trend <> '' THEN ' · tendencia: ' || trend ELSE '' END || ' (' || n || ' mediciones), última ' || strftime(last_date, '%Y-%m-%d'), chr(10) ORDER BY key) AS t FROM short GROUP BY 1)
+SELECT person_id, 'ESTADO ACTUAL:' || chr(10) || t || chr(10) || chr(10) || 'MEDICAMENTOS:' || chr(10) || CASE WHEN person_id % 2 = 0 THEN '- Metformina 850 mg (cada día)' ELSE '- Ninguno registrado' END AS text FROM m""")
+def writer_input(spark: SparkSession, d: str) -> DataFrame:
+    """What the writer of a report is given: markers and medicines of each person."""
+    marked, people = markers(spark, d), persons(spark, d).select(F.col("id").alias("person_id"))
+    state = reports.section(marked, "state", reports.marker_line(marked), F.col("label"))
+    taken = people.filter("person_id % 2 = 0").withColumn("name", F.lit("Metformina"))
+    medicines = reports.section(taken, "medicines", reports.medicine_line(F.lit("850 mg"), F.lit("cada día")), F.col("name"))
+    return reports.assembled(people, [(state, "state", "ESTADO ACTUAL", ""), (medicines, "medicines", "MEDICAMENTOS", reports.NO_MEDICINES)])
+
+
+@query("""SELECT c_custkey AS person_id, CASE WHEN c_custkey % 4 = 0 OR (c_custkey % 4 = 1 AND c_custkey % 3 = 0) THEN 'old' WHEN c_custkey % 3 = 1 THEN 'new' WHEN c_custkey % 4 = 1 THEN 'old' END AS text,
+CASE WHEN c_custkey % 4 = 0 THEN 'stored' WHEN c_custkey % 3 = 1 THEN 'written' WHEN c_custkey % 4 = 1 THEN 'stale' ELSE 'none' END AS source FROM customer""")
+def report_read_through(spark: SparkSession, d: str) -> DataFrame:
+    """Stored reports, newly written ones, and stale ones where writing failed."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("person_id"))
+    at = F.when(F.col("person_id") % 4 == 0, "2024-01-02").when(F.col("person_id") % 4 == 1, "2023-01-01").cast("timestamp")
+    stored = c.filter("person_id % 4 < 2").select("person_id", F.lit("old").alias("text"), at.alias("made_at"))
+    written = c.filter("person_id % 3 < 2").select("person_id", F.when(F.col("person_id") % 3 == 1, "new").alias("text"))
+    return reports.read_through(c.withColumn("newest", F.lit("2024-01-01").cast("timestamp")), stored, written)
