@@ -33,11 +33,13 @@ def fuzzy_match_tokens(spark: SparkSession, d: str) -> DataFrame:
     return joins.shared_tokens(names, names, "block", "tokens", 2).select("p_name_a", "type_a", "p_name_b", "type_b", F.col("common").cast("long"))
 
 
-@query("""WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b([0-9]{6,8})\\b'))) AS entity FROM documents) SELECT doc_id, entity FROM e""")
+@query("""WITH t AS (SELECT doc_id, text || ' CI ' || (1000000 + doc_id) || ' ANA MARIA PEREZ ' || (doc_id % 7) AS t FROM documents)
+SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(t, '\\b([0-9]{6,8})\\b'), regexp_extract_all(t, '((?:[A-Z][A-Z]+ ){1,5}[A-Z][A-Z]+)')))) AS entity FROM t""")
 def text_entity_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Identity numbers in texts, each once."""
-    found = text_entities(table(spark, d, "documents"), "doc_id", "text")
-    return found.filter(F.col("entity").rlike("^[0-9]+$")).select("doc_id", "entity")
+    """Identity numbers and names in capitals in texts, each once."""
+    text = F.concat("text", F.lit(" CI "), (F.col("doc_id") + 1_000_000).cast("string"), F.lit(" ANA MARIA PEREZ "), (F.col("doc_id") % 7).cast("string"))
+    found = text_entities(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+    return found.select("doc_id", "entity")
 
 
 @query("""WITH r(ord, seg, sex, hi) AS (VALUES (0, 'BUILDING', 'M', 5000.0::DOUBLE), (1, 'BUILDING', 'F', 6000.0), (2, 'MACHINERY', NULL, 4000.0), (3, 'MACHINERY', 'F', 3000.0), (4, 'FURNITURE', 'F', 2000.0)),
