@@ -191,10 +191,10 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
 
     for _ in range(ROUNDS):
         state = materialise(_one_more_each(state, most, hint), "mix-round", (state,))
-    free = state.filter(~F.col("more") & fits)
+    # what is left is closed by documents of any size, those not taken in the passes first
     step = F.floor(F.log2("size"))
-    each = free.groupBy("key", step.alias("step")).agg(F.min(F.struct(F.xxhash64("row"), "row", "size", "rest")).alias("c"))
-    least = state.filter(~F.col("more") & (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
+    each = state.filter(fits).groupBy("key", step.alias("step")).agg(F.min(F.struct("more", F.xxhash64("row"), "row", "size", "rest")).alias("c"))
+    least = state.filter((F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
     chosen = ["key", "c.row", "c.size", F.col("c.rest").alias("gap")]
     filled = each.select(chosen).unionByName(least.select(chosen)).groupBy("key").applyInPandas(_fill, "row long, filled boolean")
     copies = F.col("copies") + F.col("filled").isNotNull().cast("long")
