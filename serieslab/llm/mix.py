@@ -17,6 +17,8 @@ BUCKETS = 4096
 WORD, FEW_PATTERNS = r"[^\x20\x09-\x0D]+", 10_000
 #: Passes in seeded order; each leaves a gap smaller than a document that fitted before.
 ROUNDS = 2
+#: Times that the gap after the passes is closed by documents of falling size, one of each power of two.
+FILLS = 3
 
 
 def capped_targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -192,13 +194,22 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     for _ in range(ROUNDS):
         state = materialise(_one_more_each(state, most, hint), "mix-round", (state,))
     # what is left is closed by documents of any size, those not taken in the passes first
-    step = F.floor(F.log2("size"))
-    each = state.filter(fits).groupBy("key", step.alias("step")).agg(F.min(F.struct("more", F.xxhash64("row"), "row", "size", "rest")).alias("c"))
-    least = state.filter((F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
+    for _ in range(FILLS):
+        state = materialise(_closed(state, most, hint), "mix-filled", (state,))
+    return state.select("row", "doc_id", "members", "size", "copies", "source_size", "target")
+
+
+def _closed(state: DataFrame, most: int, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One more copy of documents of falling size that fit into their pattern's ``rest``, which shrinks by them."""
+    can = (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)
+    each = state.filter(can & (F.col("size") <= F.col("rest"))).groupBy("key", F.floor(F.log2("size")).alias("step")).agg(F.min(F.struct("more", F.xxhash64("row"), "row", "size", "rest")).alias("c"))
+    least = state.filter(can).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
     chosen = ["key", "c.row", "c.size", F.col("c.rest").alias("gap")]
     filled = each.select(chosen).unionByName(least.select(chosen)).groupBy("key").applyInPandas(_fill, "row long, filled boolean")
-    copies = F.col("copies") + F.col("filled").isNotNull().cast("long")
-    return state.join(filled, "row", "left").select("row", "doc_id", "members", "size", copies.alias("copies"), "source_size", "target")
+    marked = state.join(filled, "row", "left").withColumn("filled", F.col("filled").isNotNull())
+    used = marked.filter("filled").groupBy("key").agg(F.sum("size").alias("used"))
+    out = marked.join(hint(used), "key", "left").withColumn("rest", F.col("rest") - F.coalesce("used", F.lit(0)))
+    return out.withColumn("copies", F.col("copies") + F.col("filled").cast("long")).withColumn("more", F.col("more") | F.col("filled")).select(state.columns)
 
 
 def _one_more_each(state: DataFrame, most: int, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -138,7 +138,8 @@ def test_stages(spark, sf):
             per[source] += len(words(t))
     order = sorted(size, key=lambda x: (x is None, x or ""))
     want = capped_targets(size, {x: i % 3 + 1.0 for i, x in enumerate(order)}, sum(size.values()), 3)
-    assert all(abs(taken[x] - want[x]) <= 0.05 * want[x] + 20 for x in order)
+    far = [(x, taken[x], want[x]) for x in order if abs(taken[x] - want[x]) > 0.05 * want[x] + 30]  # ten documents a source
+    assert not far, far
     whole, start = Tokenizer.from_file(TOKENIZER), 0
     got = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), key=lambda r: r.start)
     for r, (i, t, *_) in zip(got, sorted(after, key=lambda x: x[0]), strict=True):
