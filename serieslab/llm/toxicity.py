@@ -85,10 +85,12 @@ class Index:
         """begins, feature, weight: the vectors, one after another."""
         n = len(begins) - 1
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(begins))
-        heaviest = np.full(n, -1)
-        order = np.lexsort((weight, owner))
-        heaviest[owner[order]] = feature[order]
-        del order
+        heaviest, full = np.full(n, -1), np.flatnonzero(np.diff(begins))
+        if len(full):
+            most = np.repeat(np.maximum.reduceat(weight, begins[full]), np.diff(begins)[full])
+            at = np.flatnonzero(weight == most)[::-1]  # of equal ones the first
+            heaviest[owner[at]] = feature[at]
+            del most, at
         self.order = np.lexsort((np.arange(n), heaviest))  # alike examples share blocks
         self.place = np.empty(n, np.int32)
         self.place[self.order] = np.arange(n)
@@ -98,8 +100,8 @@ class Index:
         self.row = np.full(n_features, -1, np.int32)
         self.row[common] = np.arange(len(common))
         dense = self.row[feature] >= 0
-        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        self.matrix[self.row[feature[dense]], example[dense]] = weight[dense]
+        self.cells = self.row[feature[dense]], example[dense], weight[dense].astype(np.float32)
+        self._matrix = None
         del owner
         feature, example, weight = feature[~dense], example[~dense], weight[~dense]
         by = np.lexsort((example, feature))
@@ -112,6 +114,14 @@ class Index:
         self.first = np.searchsorted(entry[self.post], np.arange(n_features + 1) * self.blocks).astype(np.int32)
         self.post = np.append(self.post, len(entry)).astype(np.int32)
 
+    @property
+    def matrix(self) -> np.ndarray:
+        """Weights of the common features, put in their places where they are first needed: the driver sends only the cells."""
+        if self._matrix is None:
+            self._matrix = np.zeros((int((self.row >= 0).sum()), self.blocks * BLOCK), np.float32)
+            self._matrix[self.cells[0], self.cells[1]] = self.cells[2]
+        return self._matrix
+
     def nearest(self, begins: np.ndarray, feature: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None, together: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query vector the cosine and place of its NEIGHBOURS nearest examples with a cosine above 0, exactly.
 
