@@ -134,19 +134,33 @@ def row_id(column: str | None = None) -> Column:
     return F.col(column) if column else F.monotonically_increasing_id()
 
 
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` with a number of each row, which is the same whenever it is read.
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it, whatever its case."""
+    used = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
 
+
+def numbered(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all, if None) with a number of each row, the same whenever it is read, in the column ``name``.
+
+    ``name`` may not be one of them (see :func:`fresh`); what other columns are called doesn't matter.
     Rows of Parquet files are numbered by file and place, however the files are split; others are written.
     """
+    columns = df.columns if columns is None else columns
     if df._jdf.queryExecution().analyzed().children().isEmpty() and df.inputFiles():
-        file = F.col("_metadata.file_path")
-        paths = sorted(r[0] for r in df.select(file).distinct().collect())
-        numbers = df.sparkSession.createDataFrame(list(enumerate(paths)), "_number long, _path string")
-        placed = df.select("*", file.alias("_path"), F.col("_metadata.row_index").alias("_place"))
-        placed = placed.join(F.broadcast(numbers), "_path")
-        return placed.select(*df.columns, (F.shiftleft("_number", 40) + F.col("_place")).alias(name))
-    return materialise(df.withColumn(name, row_id()), "numbered")
+        hidden = df.metadataColumn("_metadata")  # also where a column of the files is called so
+        paths = sorted(r[0] for r in df.select(hidden["file_path"]).distinct().collect())
+        path, number, place = (fresh(c, df) for c in ("path_", "number_", "place_"))
+        numbers = df.sparkSession.createDataFrame(list(enumerate(paths)), f"`{number}` long, `{path}` string")
+        placed = df.select(*(df[quoted(c)] for c in columns), hidden["file_path"].alias(path), hidden["row_index"].alias(place)).join(F.broadcast(numbers), path)
+        return placed.select(*map(quoted, columns), (F.shiftleft(number, 40) + F.col(place)).alias(name))
+    return materialise(df.select(*map(quoted, columns)).withColumn(name, row_id()), "numbered")
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, digest: bool = True, max_bits: int = 1 << 28) -
     """
     spark = docs.sparkSession
     text = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).cast("binary")
-    cur = numbered(docs).select(F.col("_row").alias("row"), "doc_id", F.lit(0).cast("long").alias("gid"), text.alias("rest"))
+    cur = numbered(docs, "row", ["doc_id", "text"]).select("row", "doc_id", F.lit(0).cast("long").alias("gid"), text.alias("rest"))
     cur = cur.select("row", "doc_id", "gid", (F.sha2("rest", 256) if digest else F.lit(None).cast("string")).alias("text_sha256"), "rest")
     done, width, k = [], FIRST_DIGIT, 0
     own = ["gid", "left", "digit"]

@@ -267,7 +267,7 @@ def identify(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), **bounds
     columns are not read.
     """
     n, r = holdout or (1, 1)
-    labelled = numbered(docs).filter(crc_mod("doc_id", n) != r).select(F.col("_row").alias("row"), "text", "lang")
+    labelled = numbered(docs, "row", ["doc_id", "text", "lang"]).filter(crc_mod("doc_id", n) != r).select("row", "text", "lang")
     languages, weights, steps = fit(labelled, **bounds)
     sent = docs.sparkSession.sparkContext.broadcast((weights, steps.astype(np.float32)))
 

@@ -78,7 +78,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_firs
     among them are shuffled and counted exactly, with partial counts before the shuffle. Third scan:
     tasks look up what their blocks lose. So neither texts nor filters are shuffled or broadcast.
     """
-    base = numbered(docs).select(F.col("_row").alias("row"), "doc_id", "text")
+    base = numbered(docs, "row", ["doc_id", "text"]).select("row", "doc_id", "text")
     lines = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     lines = lines[0] // 64 + lines[1]
     shards = -(-max(1, lines) // shard_lines)

@@ -128,7 +128,7 @@ def _block(members: list, into: list, flow: list, left: list, room: list, of_pat
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
     """Of one pattern's candidates (at most one for each power of two of the size, and the smallest): those that close the gap."""
     gap, chosen = int(group["gap"].iloc[0]), []
-    own = group.drop_duplicates("row").sort_values(["size", "row"], ascending=False)
+    own = group.drop_duplicates("row").sort_values(["size", "u", "doc_id", "row"], ascending=[False, True, True, True])
     for row, size in zip(own["row"], own["size"], strict=True):
         if size <= gap:
             chosen.append(row)
@@ -151,7 +151,8 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
     :func:`capped_targets`), and no document is taken more than ``most`` times. A null array counts as the one source null; an
     empty array as no source, and its documents are not taken. Returns one row for each
     row of ``docs``: row, doc_id, members, size, copies, source_size and target (sums over its
-    sources). An empty table gives no rows. Rows with one doc_id are ordered by a hash of their text.
+    sources). An empty table gives no rows. Documents are ordered by a hash of doc_id and text and by
+    doc_id, so the mix depends on the documents alone, not on how the table is split into files or tasks.
     ``row`` names a column with a number of each row; without it rows are numbered here. Other columns
     are not read.
 
@@ -202,9 +203,9 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[float, ...] = (
 def _closed(state: DataFrame, most: int, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One more copy of documents of falling size that fit into their pattern's ``rest``, which shrinks by them."""
     can = (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("copies") < most)
-    each = state.filter(can & (F.col("size") <= F.col("rest"))).groupBy("key", F.floor(F.log2("size")).alias("step")).agg(F.min(F.struct("more", F.xxhash64("row"), "row", "size", "rest")).alias("c"))
-    least = state.filter(can).groupBy("key").agg(F.min(F.struct("size", "row", "rest")).alias("c"))
-    chosen = ["key", "c.row", "c.size", F.col("c.rest").alias("gap")]
+    each = state.filter(can & (F.col("size") <= F.col("rest"))).groupBy("key", F.floor(F.log2("size")).alias("step")).agg(F.min(F.struct("more", "u", "doc_id", "row", "size", "rest")).alias("c"))
+    least = state.filter(can).groupBy("key").agg(F.min(F.struct("size", "u", "doc_id", "row", "rest")).alias("c"))
+    chosen = ["key", "c.row", "c.size", "c.u", "c.doc_id", F.col("c.rest").alias("gap")]
     filled = each.select(chosen).unionByName(least.select(chosen)).groupBy("key").applyInPandas(_fill, "row long, filled boolean")
     marked = state.join(filled, "row", "left").withColumn("filled", F.col("filled").isNotNull())
     used = marked.filter("filled").groupBy("key").agg(F.sum("size").alias("used"))

@@ -90,7 +90,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100) -> DataFrame:
     Digests are grouped with partial minima before the shuffle; just the rows that revisit are joined
     back by row number, so payloads are shuffled with their page once, whatever they have in common.
     """
-    rows = numbered(pages).select(F.col("_row").alias("row"), "page_id", "url", "html")
+    rows = numbered(pages, "row", ["page_id", "url", "html"]).select("row", "page_id", "url", "html")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     seen = keep(rows.select("row", "page_id", F.octet_length("html").alias("n"), F.unhex(F.sha2(payload, 256)).alias("digest")).filter(F.coalesce("n", F.lit(0)) >= min_bytes))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first")

@@ -722,3 +722,47 @@ def test_calibration_of_separable_votes():
     assert math.isfinite(slope) and slope > 0.5
     z = slope * logit(np.array([0.001, 0.999])) + shift
     assert z[0] < -3 and z[1] > 3
+
+
+# Names of other columns, and splits of files
+
+TAKEN = ("_row", "_path", "_place", "_number", "_metadata", "row", "row_", "path_", "number_", "place_", "times_", "time_", "_copies", "_copy", "a.b")
+
+
+def with_taken_names(spark, found, path):
+    """Files of documents whose other columns are called as the helpers of operators might call theirs."""
+    df = docs_of(spark, found)
+    df.select("*", *(F.lit(i).alias(c) for i, c in enumerate(TAKEN))).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def docs_of(spark, found):
+    return spark.createDataFrame(found, SCHEMA)
+
+
+def test_names_that_clash(spark, tmp_path):
+    found = rows(9, 40)
+    clash, plain = with_taken_names(spark, found, str(tmp_path / "docs")), docs_of(spark, found)
+    same = lambda f, *drop: sorted(map(str, f(clash).drop(*drop).collect())) == sorted(map(str, f(plain).drop(*drop).collect()))
+    assert same(line_dedup)
+    assert same(exact_dedup, "row")
+    assert same(lambda df: mix.mix(df), "row")
+    assert language.identify(clash).count() == len(found)  # which rows it learns from depends on where they lie
+    pages = clash.select("*", F.col("doc_id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.col("text").alias("html"))
+    pages.write.parquet(str(tmp_path / "pages"))
+    path = shared_dir(spark, "warc-clash")
+    warc.archive(spark.read.parquet(str(tmp_path / "pages")), path)
+    assert warc.resolved(warc.read_warc(warc.keys_of(pages), f"{path}/index", f"{path}/warc")).count() == len(found)
+
+
+def test_mix_is_the_same_however_files_are_split(spark, sf, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").repartition(1).write.option("parquet.block.size", 200_000).parquet(path)
+    seen = []
+    try:
+        for most in ("1g", "400k", "60k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            seen.append(sorted((r.doc_id, r.copies) for r in mix.mix(spark.read.parquet(path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2]

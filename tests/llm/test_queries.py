@@ -191,3 +191,15 @@ def test_pipeline_decides_by_row(spark, sf):
     toxic = next(r.text for r in stored.collect() if r.doc_id in gone and labels.get(r.doc_id))
     out = stages["toxicity"](spark, stored.unionByName(make([toxic, *clean[1:]])), sf)
     assert [r.text for r in out.collect() if r.doc_id is None] in [[a, b] for a in clean for b in clean if a != b]
+
+
+def test_stages_carry_any_column_along(spark, sf, tmp_path):
+    names = ("_row", "_path", "_place", "_number", "_metadata", "row_", "times_", "time_", "_copies", "_copy", "a.b")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names))).write.parquet(str(tmp_path / "docs"))
+    clash = spark.read.parquet(str(tmp_path / "docs"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, sf)
+        assert out.columns == clash.columns or set(out.columns) == set(clash.columns)
+        assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in stage(spark, docs, sf).collect())
+        assert out.agg(F.min("_copy"), F.max("_copy")).first() == (9, 9)
