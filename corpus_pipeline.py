@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import numbered, shared_dir
+from serieslab.llm.common import fresh, numbered, quoted, shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.mix import mix
 from serieslab.llm.near_dedup import near_dedup
@@ -20,37 +20,43 @@ from serieslab.llm.tokens import token_output, with_crc
 from serieslab.llm.toxicity import toxicity
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, and the name of its column, which no other column has."""
+    row = fresh("row_", docs)
+    return numbered(docs, row), row
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     """Numbered ``docs`` but for the rows of ``gone``."""
-    return docs.join(gone.select(F.col("row").alias("_row")), "_row", "left_anti").drop("_row")
+    return docs.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5; the model learns from the labelled ones among ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
-    docs = numbered(docs)
-    return _without(docs, toxicity(docs, labels, holdout=None, row="_row").filter("predicted = 1"))
+    docs, row = _numbered(docs)
+    return _without(docs, row, toxicity(docs, labels, holdout=None, row=row).filter("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (5-word shingles, similarity 0.8): the first by doc_id."""
-    docs = numbered(docs)
-    return _without(docs, near_dedup(docs, k=5, threshold=0.8, row="_row").filter("not kept"))
+    docs, row = _numbered(docs)
+    return _without(docs, row, near_dedup(docs, k=5, threshold=0.8, row=row).filter("not kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of a benchmark item, or a whole shorter item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    docs = numbered(docs)
-    return _without(docs, decontaminate(docs, benchmark, span=10, row="_row").filter("n_hit > 0"))
+    docs, row = _numbered(docs)
+    return _without(docs, row, decontaminate(docs, benchmark, span=10, row=row).filter("n_hit > 0"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: up to three times, or not at all."""
-    columns, docs = docs.columns, numbered(docs)
-    copies = mix(docs, members="source", weights=(1.0, 2.0, 3.0), most=3, row="_row").filter("copies > 0")
-    taken = docs.join(copies.select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(columns)
+    columns, (docs, row), times = list(map(quoted, docs.columns)), _numbered(docs), fresh("times_", docs)
+    copies = mix(docs, members="source", weights=(1.0, 2.0, 3.0), most=3, row=row).filter("copies > 0")
+    taken = docs.join(copies.select(F.col("row").alias(row), F.col("copies").cast("int").alias(times)), row)
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1), times)).alias(fresh("time_", docs))).select(columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
