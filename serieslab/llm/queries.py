@@ -17,6 +17,7 @@ from serieslab.llm.line_dedup import line_dedup
 from serieslab.llm.lm import lm_score
 from serieslab.llm.mix import mix
 from serieslab.llm.near_dedup import near_dedup
+from serieslab.llm.piece_codec import encode_pieces
 from serieslab.llm.tokens import token_output, with_crc
 from serieslab.llm.toxicity import toxicity
 
@@ -73,5 +74,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), labels, holdout=(5, 0))
 
 
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by the agenda of pairs, held against the library in each batch, and what they decode to."""
+    out = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return out.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -37,7 +37,7 @@ def run(spark, sf, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(oracles.oracle_sql()) <= set(queries.queries())
 
 
