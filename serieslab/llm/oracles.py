@@ -49,5 +49,37 @@ FROM t WINDOW w AS (PARTITION BY t)
 """
 
 
+
+def _crc_table() -> list[int]:
+    """crc32 of each byte alone, by its rule."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+#: Bytes of letters up to U+00FF, digits and signs, from their code points.
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP12 = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS w FROM documents),
+occurs AS (SELECT doc_id, w, count(*) AS c FROM runs WHERE length(w) >= 5 GROUP BY ALL),
+hashed AS (SELECT w, c, {_CRC.format("doc_id || ':' || w")} AS h FROM occurs),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+shorter AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, v.word, v.n FROM shorter s JOIN vocabulary v ON s.d = v.word
+  UNION SELECT v.word, s.word, s.n FROM shorter s JOIN vocabulary v ON s.d = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM vocabulary v LEFT JOIN best USING (word)),
+climb AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM climb c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN climb c USING (word) JOIN forms t ON c.root = t.word WHERE t.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op2_decontaminate": OP2, "op6_warc": OP6, "op9_exact_dedup": OP9}
+    return {"op1_line_dedup": OP1, "op2_decontaminate": OP2, "op6_warc": OP6, "op9_exact_dedup": OP9, "op12_spelling": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm import warc
+from serieslab.llm import spelling, warc
 from serieslab.llm.common import shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.exact_dedup import exact_dedup
@@ -74,6 +74,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), labels, holdout=(5, 0))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of which lose a letter by the hash of where they stand, with the forms that they are variants of."""
+    runs = spelling.one_letter_lost(spelling.occurrences(table(spark, sf_dir, "documents"), least_chars=5), every=97)
+    return spelling.spelling_groups(spelling.vocabulary(runs, least=3, least_chars=5), ratio=2)
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by the agenda of pairs, held against the library in each batch, and what they decode to."""
     out = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
