@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm import spelling, warc
+from serieslab.llm import spelling, turns, warc
 from serieslab.llm.common import shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.exact_dedup import exact_dedup
@@ -74,6 +74,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), labels, holdout=(5, 0))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation, after damage by the hash of where its turns stand."""
+    conversations = table(spark, sf_dir, "conversations")
+    repaired, report = turns.repair(turns.damage(conversations))
+    return turns.whole_report(conversations, repaired, report)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, some of which lose a letter by the hash of where they stand, with the forms that they are variants of."""
     runs = spelling.one_letter_lost(spelling.occurrences(table(spark, sf_dir, "documents"), least_chars=5), every=97)
