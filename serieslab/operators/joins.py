@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serieslab.functions.text import given_name, name_tokens
+from serieslab.operators import containment
 
 
 def by_precedence(df: DataFrame, dim: DataFrame, key: str, rank: Callable[[Column], Column]) -> DataFrame:
@@ -24,43 +25,35 @@ def by_precedence(df: DataFrame, dim: DataFrame, key: str, rank: Callable[[Colum
     return joined.withColumn("best", F.array_min(ranked)["c"]).drop("_all")
 
 
-#: Entries of a dimension up to which it is broadcast.
-FEW = 50_000
-#: Characters by which texts and entries of a larger dimension meet.
-GRAM = 3
+#: Words up to which each text is compared with each; more of them are searched through by automata.
+FEW = 1_000
 
 
-def containing(texts: DataFrame, text: str, words: DataFrame, word: str, few: int = FEW) -> DataFrame:
-    """Pairs of a text and a word that it contains.
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str, few: int = FEW, longest: bool = False) -> DataFrame:
+    """Rows of ``texts`` and ``words`` where the word is contained in the text; with ``longest`` not all of the shorter ones.
 
-    A dimension of at most ``few`` words is broadcast and searched through. A larger one is joined by
-    grams: a text that contains a word contains the word's first GRAM characters, or all of a shorter
-    word; so texts are unfolded into their distinct pieces of up to GRAM characters and the pairs checked.
+    Up to ``few`` words are broadcast and looked for one by one, which needs no Python; more of them
+    through automata over all words at once (:func:`containment.contained`), whose pairs are joined by
+    equality.
     """
-    inside = F.col(text).contains(F.col(word))
     if words.limit(few + 1).count() <= few:
-        return texts.join(F.broadcast(words), inside)
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, F.lit(n)))
-
-    cuts = [pieces(n) for n in range(1, GRAM + 1)]
-    unfolded = texts.filter(F.length(text) > 0).withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))))
-    return unfolded.join(words.withColumn("_gram", F.substring(word, 1, GRAM)), "_gram").drop("_gram").filter(inside)
+        return texts.join(F.broadcast(words), F.col(text).contains(F.col(word)))
+    pairs = containment.contained(texts, text, words, word, longest)
+    return texts.join(pairs.join(words, word), text)
 
 
 def longest_contained(df: DataFrame, text: str, dim: DataFrame, word: str, result: str, least: int = 1, few: int = FEW) -> DataFrame:
     """``match``: ``result`` of the entry of ``dim`` that equals ``text``, else of the longest contained in it.
 
     Ties go to the lower ``ord``. Two phases: an equi join finds equal entries; only distinct texts
-    that have none are searched for contained ones (:func:`containing`).
+    that have none are searched for contained ones (:func:`containing`). A null text has no match.
     """
     words = dim.select(F.col(word).alias("_w"), F.col("ord").alias("_o"), F.col(result).alias("_r")).filter(F.length("_w") > 0)
     equal = words.groupBy(F.col("_w").alias(text)).agg(F.min_by("_r", "_o").alias("_equal"))
     texts = df.select(text).distinct().join(equal, text, "left")
     rest = texts.filter("_equal is null").select(text)
-    inside = containing(rest, text, words.filter(F.length("_w") >= least), "_w", few)
-    inside = inside.groupBy(text).agg(F.max_by("_r", F.struct(F.length("_w"), -F.col("_o"))).alias("_inside"))
+    inside = containing(rest, text, words.filter(F.length("_w") >= least), "_w", few, longest=True)
+    inside = inside.groupBy(text).agg(F.min_by("_r", F.struct(-F.length("_w"), "_o")).alias("_inside"))
     found = texts.join(inside, text, "left").select(F.col(text).alias("_t"), F.coalesce("_equal", "_inside").alias("match"))
     return df.join(found, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")
 
@@ -72,7 +65,7 @@ def resolve_alias(df: DataFrame, name: str, aliases: DataFrame, result: str, lea
     same = names.join(words, F.col(name) == F.col("_a"))
     inner = containing(names, name, long, "_a", few)
     outer = containing(long, "_a", names, name, few)
-    every = same.unionByName(inner).unionByName(outer.select(same.columns))
+    every = same.unionByName(inner.select(same.columns)).unionByName(outer.select(same.columns))
     found = every.groupBy(F.col(name).alias("_t")).agg(F.min_by("_r", F.struct((F.col(name) != F.col("_a")).alias("near"), "_o")).alias("match"))
     return df.join(found, F.col(name) == F.col("_t"), "left").drop("_t")
 

@@ -59,6 +59,37 @@ def longest_match_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.longest_contained(table(spark, d, "part"), "p_name", words(spark), "word", "code").select("p_partkey", F.col("match").alias("code"))
 
 
+CATALOGUE_SQL = """WITH RECURSIVE catalogue AS (SELECT word, count(*) AS ord FROM (SELECT unnest(regexp_extract_all(text, '[a-zà-ÿ]{3,}')) AS word FROM documents) GROUP BY word),
+names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zà-ÿ]{3,}')) AS name FROM conversations),
+pieces AS (SELECT DISTINCT name, substr(name, i::INT, n::INT) AS word FROM (SELECT name, i, unnest(range(3, length(name) - i + 2)) AS n FROM (SELECT name, unnest(range(1, length(name) - 1)) AS i FROM names)))"""
+
+
+def catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Names of conversations, and all words of documents as a catalogue, in the order of how rare they are."""
+    words = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit("[a-zà-ÿ]{3,}"), F.lit(0))).alias("word"))
+    listed = words("documents").groupBy("word").agg(F.count(F.lit(1)).alias("ord"))
+    return words("conversations").select(F.col("word").alias("name")).distinct(), listed
+
+
+@query(CATALOGUE_SQL + """ SELECT n.name, m.word AS longest FROM names n LEFT JOIN (SELECT name, arg_min(c.word, (c.word <> name, -length(c.word), c.ord, c.word)) AS word FROM pieces p JOIN catalogue c USING (word) GROUP BY name) m USING (name)""")
+def longest_of_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The longest word of a large catalogue in each name; of equal ones the rarest, then the first."""
+    names, listed = catalogue(spark, d)
+    listed = listed.withColumn("ord", F.struct("ord", "word"))
+    return joins.longest_contained(names, "name", listed, "word", "word").select("name", F.col("match").alias("longest"))
+
+
+@query(CATALOGUE_SQL + """, contains AS (SELECT p.name, c.word AS alias, c.ord FROM pieces p JOIN catalogue c USING (word) WHERE length(c.word) >= 5),
+within AS (SELECT n.name, a.alias, a.ord FROM names n JOIN (SELECT DISTINCT word AS alias, ord, substr(word, i::INT, m::INT) AS piece FROM (SELECT word, ord, i, unnest(range(3, length(word) - i + 2)) AS m FROM (SELECT word, ord, unnest(range(1, length(word) - 1)) AS i FROM catalogue WHERE length(word) >= 5))) a ON a.piece = n.name),
+same AS (SELECT name, word AS alias, ord FROM names JOIN catalogue ON name = word)
+SELECT n.name, m.alias FROM names n LEFT JOIN (SELECT name, arg_min(alias, (alias <> name, ord, alias)) AS alias FROM (SELECT * FROM contains UNION ALL SELECT * FROM within UNION ALL SELECT * FROM same) GROUP BY name) m USING (name)""")
+def alias_of_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The entry of a large catalogue that equals each name, else the rarest that contains it or is contained in it."""
+    names, listed = catalogue(spark, d)
+    listed = listed.select(F.col("word").alias("alias"), F.struct("ord", "word").alias("ord"))
+    return joins.resolve_alias(names, "name", listed, "alias").select("name", F.col("match").alias("alias"))
+
+
 @query(f"""WITH w(ord, word, code) AS (VALUES {WORDS_SQL}) SELECT p_partkey, code FROM (SELECT p_partkey, code, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN word = p_name THEN 0 ELSE 1 END, ord) AS n
 FROM part LEFT JOIN w ON word = p_name OR (length(word) >= 4 AND (contains(p_name, word) OR contains(word, p_name)))) WHERE n = 1""")
 def alias_resolve(spark: SparkSession, d: str) -> DataFrame:

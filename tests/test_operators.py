@@ -1,6 +1,7 @@
 """Folds, write statements, sources and streams."""
 
 import io
+import random
 import zipfile
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslab import schema
-from serieslab.operators import dedup, dml, joins, series
+from serieslab.operators import containment, dedup, dml, joins, series
 from serieslab.sources import files
 from serieslab.streaming import ingest
 
@@ -56,11 +57,43 @@ def test_stale(spark):
 def test_longest_contained(spark):
     dim = spark.createDataFrame([(0, "abc", "x"), (1, "abcd", "y"), (2, "bcda", "z"), (3, "ab", "w")], "ord int, word string, code string")
     texts = spark.createDataFrame([("abcda",), ("ab",), ("q",), (None,)], "t string")
-    for few in (0, 100):  # by grams and by broadcast
+    for few in (0, 100):  # by automata and by broadcast
         got = joins.longest_contained(texts, "t", dim, "word", "code", few=few)
         assert {r.t: r.match for r in got.collect()} == {"abcda": "y", "ab": "w", "q": None, None: None}
 
 
+@pytest.mark.parametrize("most, part", [(1 << 20, 1 << 20), (200, 300), (40, 50)])
+@pytest.mark.parametrize("longest", [False, True])
+def test_contained_by_automata(spark, most, part, longest):
+    """One automaton, shards by first character, and characters with more words than a shard holds."""
+    rng = random.Random(1)
+    make = lambda n: "".join(rng.choice("aaabñ😀 ") for _ in range(rng.randint(1, n)))
+    texts, words = [make(30) for _ in range(200)], sorted({make(5) for _ in range(150)})
+    frame = spark.createDataFrame([(t,) for t in [*texts, None, "", texts[0]]], "t string")
+    got = [tuple(r) for r in containment.contained(frame, "t", spark.createDataFrame([(w,) for w in [*words, None, "", words[0]]], "w string"), "w", longest, most, part).collect()]
+    want = {(t, w) for t in texts for w in words if w in t}
+    assert len(got) == len(set(got)) and set(got) <= want
+    if longest:
+        best = {t: max(len(w) for u, w in want if u == t) for t, _ in want}
+        assert {(t, w) for t, w in got if len(w) == best[t]} == {(t, w) for t, w in want if len(w) == best[t]}
+    else:
+        assert set(got) == want
+    none = spark.createDataFrame([], "w string")
+    assert containment.contained(frame, "t", none, "w").count() == containment.contained(none, "w", frame, "t", False, most, part).count() == 0
+
+
+def test_catalogue_of_many_names(spark, sf):
+    """200,000 names and the names of parts: no nested loop in the plan, the same as looking for each piece."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
+    own = spark.range(200_000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("word"), F.col("id").alias("ord"))
+    real = parts.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().select("word", F.xxhash64("word").alias("ord"))
+    dim = own.unionByName(real)
+    out = joins.longest_contained(parts, "p_name", dim, "word", "word")
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        assert len(r.match) == max(map(len, r.p_name.split(" ")))
+
+
 def test_resolve_alias(spark):
     aliases = spark.createDataFrame([(0, "losartan", "x"), (1, "losartan potasico", "y"), (2, "aas", "z"), (3, "vitamina d", "w")], "ord int, alias string, code string")
     names = spark.createDataFrame([("losartan potasico",), ("losartan 50",), ("potasico",), ("aas 100",), ("aas",), ("",), (None,)], "name string")
