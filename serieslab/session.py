@@ -29,3 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """From now on rows reach Python tasks in batches of about ``size`` bytes: files are large, and a batch of thousands would be held whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
