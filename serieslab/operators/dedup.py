@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+
+from serieslab.operators.folds import greedy_chunks, keep_unlike_last  # noqa: F401
 
 
 def file_status(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -78,80 +75,6 @@ def signature_diff(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), diff).otherwise(1.0)
 
 
-def _fold(df: DataFrame, group: str, order: str, rest: list[str], start: Callable[[], Callable], schema: str) -> DataFrame:
-    """Rows in order through a fold that starts anew in each group.
-
-    ``start`` gives a step; it maps the columns of a row to an output row or None. Rows come sorted and
-    are read as a stream, so a group of any size takes no more memory than the state of the fold.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, step = object(), None
-        for batch in batches:
-            out = []
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != group_of:
-                    group_of, step = key, start()
-                found = step(*row)
-                if found is not None:
-                    out.append((key, *found))
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    ordered = df.select(group, order, *rest).repartition(group).sortWithinPartitions(group, order)
-    out = df.sparkSession.createDataFrame([], schema)
-    arrow = to_arrow_schema(out.schema)
-    names, types = arrow.names, arrow.types
-    return ordered.mapInArrow(run, schema)
-
-
-def keep_unlike_last(df: DataFrame, group: str, order: str, signature: str, least: float) -> DataFrame:
-    """Rows kept by a pass that drops a signature within ``least`` of the last *kept* one.
-
-    A row without a signature is kept and resets the pass.
-    """
-
-    def start() -> Callable:
-        last = None
-
-        def step(at: object, s: list | None) -> tuple | None:
-            nonlocal last
-            if s is not None:
-                s = np.asarray(s, float)
-            if last is not None and s is not None and (np.abs(last - s).mean() if len(s) == len(last) else 1.0) < least:
-                return None
-            last = s
-            return (at,)
-
-        return step
-
-    kinds = dict(df.dtypes)
-    return _fold(df, group, order, [signature], start, f"{group} {kinds[group]}, {order} {kinds[order]}")
-
-
-def greedy_chunks(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """``chunk`` of each row, filled in order up to ``most``; a row that would overflow starts the next chunk.
-
-    A running sum can't do this, as it does not start anew.
-    """
-
-    def start() -> Callable:
-        chunk, filled = 0, None
-
-        def step(at: object, n: int) -> tuple:
-            nonlocal chunk, filled
-            if filled is not None and filled + n > most:
-                chunk, filled = chunk + 1, 0
-            filled = (filled or 0) + n
-            return at, n, chunk
-
-        return step
-
-    kinds = dict(df.dtypes)
-    return _fold(df.withColumn(size, F.col(size).cast("long")), group, order, [size], start, f"{group} {kinds[group]}, {order} {kinds[order]}, {size} long, chunk long")
-
-
 def block_mean(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """Means of runs of ``width`` places of a vector."""
     cells = df.select(key, F.posexplode(vector).alias("pos", "x"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,14 +20,27 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; on one machine a temporary one if that is unset, on a cluster an error."""
+    """The folder of ``spark.checkpoint.dir``; on one machine a temporary one, removed at exit, if that is unset, on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as Parquet in the shared folder and read again, so that later steps start from files and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
