@@ -19,23 +19,35 @@ from serieslab.llm.words import together
 # Fixed values of the format: how a blank is written, what an unknown piece decodes to, and what stands for a byte that is no text.
 BLANK, UNKNOWN, NO_TEXT = "▁", " ⁇ ", "�"
 MERGE_TYPE = 2
-#: Chunks of text whose ids a task keeps, and characters of a long text that are cut into chunks at a time.
-REMEMBERED, STRETCH = 400_000, 1 << 20
+#: Chunks and parts whose ids a task keeps, and characters of a long text that are cut into chunks at a time.
+REMEMBERED, STRETCH = 500_000, 1 << 20
+#: Symbols of a part up to which it is merged in a table with others, and the cost there of a pair that is no piece.
+FEW, NEVER = 48, 1e30
 
 codecs.register_error("a mark for each byte", lambda e: (NO_TEXT * (e.end - e.start), e.end))
 
 
+def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` that ``codes`` number, one after another."""
+    own = sizes[codes]
+    ends = np.cumsum(own)
+    return flat[np.repeat(begins[codes] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PieceCodec:
     """A vocabulary of the merge type with byte fallback, as its model file describes it.
 
     A text is written with ``BLANK`` for each blank, and one more in front if the model says so. Its
     symbols, characters at first, are joined pair by pair: an agenda holds the neighbours whose
     joint text is a piece, the highest score first and of equal ones the leftmost; joining two puts their new
-    pairs with the symbols at both sides on the agenda. What is no piece in the end becomes its bytes.
+    pairs with the symbols at both sides on the agenda. What is no piece in the end becomes its bytes. The agendas of
+    many short parts are the rows of a table; a long part has a heap.
 
-    No piece of a usual vocabulary has a blank after another character, so no pair is ever joined across such a place:
-    the text is cut there into chunks, and each distinct chunk is encoded once. Where a vocabulary has such
-    a piece (it is looked up), the whole text is one chunk.
+    Two characters that stand side by side in no piece are never joined, whatever is around them, so a text may be cut
+    between them and each distinct part encoded once. In usual vocabularies a blank after another
+    character is such a place: texts are cut into chunks there, and chunks that are new into parts at all
+    other such places. Where a vocabulary has a piece with a blank after another character (it is looked up), a
+    text is one chunk.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,10 +68,18 @@ class PieceCodec:
         self.surface = [self._surface(p, kinds) for p in model.pieces]
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.begins = {i for p, i in self.ids.items() if p[0] == BLANK}
-        crosses = any(a != BLANK and b == BLANK for p in self.ids for a, b in pairwise(p))
+        self.beside = {a + b for p in self.ids for a, b in pairwise(p)}
+        crosses = any(p[0] != BLANK and p[1] == BLANK for p in self.beside)
         self.chunk = re.compile("(?s).+" if crosses else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.cut = None if crosses else re.compile(f"[^{BLANK}]{BLANK}")
+        self.by_word = self.plain and self.dummy and not crosses
         self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.of_letter = np.full(0x110000, -1, np.int64)
+        for letter, i in self.ids.items():
+            if len(letter) == 1:
+                self.of_letter[ord(letter)] = i
+        self.pairs = self._pairs()
 
     @staticmethod
     def _surface(piece: object, kinds: object) -> bytes:
@@ -73,9 +93,78 @@ class PieceCodec:
             return self.library.normalize(text)
         return (BLANK if self.dummy and text else "") + text.replace(" ", BLANK)
 
-    def merged(self, chunk: str) -> list[str]:
-        """The symbols that are left when no two neighbours form a piece."""
-        symbols, n, cost_of = list(chunk), len(chunk), self.cost.get
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of two pieces that together form a piece, as one sorted key each, with its cost and number."""
+        size, found = len(self.surface), {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if a is not None and b is not None:
+                    found[a * size + b] = (self.cost[piece], i)
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k][0] for k in keys.tolist()]), np.array([found[k][1] for k in keys.tolist()], np.int64)
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and number of the piece of each pair; NEVER without one, or beyond the end (-1)."""
+        keys, costs, joint = self.pairs
+        key = a * len(self.surface) + b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        has = (keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(has, costs[at], NEVER), joint[at]
+
+    def merge_all(self, parts: list[str]) -> None:
+        """Ids of parts that are not known, all at once: each row of a table is a part with its agenda, and in each step every part joins its cheapest pair."""
+        letters = np.array([len(p) for p in parts])
+        numbers = [self.of_letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]] if parts else []
+        begins = np.cumsum(letters) - letters
+        for lo in range(0, FEW, 4):
+            rows = np.flatnonzero((letters > lo) & (letters <= lo + 4))
+            for k in range(0, len(rows), 20_000):
+                self._merge_table(parts, rows[k : k + 20_000], numbers[0], begins, letters)
+        for i in np.flatnonzero(letters > FEW).tolist():
+            self.parts[parts[i]] = self._spelt(self._merged_many(list(parts[i])))
+
+    def _merge_table(self, parts: list[str], rows: np.ndarray, numbers: np.ndarray, begins: np.ndarray, letters: np.ndarray) -> None:
+        wide = int(letters[rows].max())
+        column = np.arange(wide)
+        inside = column < letters[rows][:, None]
+        symbols = np.where(inside, numbers[np.minimum(begins[rows][:, None] + column, len(numbers) - 1)], -1)
+        strange = (inside & (symbols < 0)).any(axis=1)  # a character that is no piece
+        for i in rows[strange].tolist():
+            self.parts[parts[i]] = self._spelt(self._merged_many(list(parts[i])))
+        rows, symbols = rows[~strange], symbols[~strange]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        agenda, joint = self._look(symbols[:, :-1], symbols[:, 1:]) if wide > 1 else (np.zeros((len(rows), 0)), np.zeros((len(rows), 0), np.int64))
+        while len(rows):
+            at = agenda.argmin(axis=1) if agenda.shape[1] else np.zeros(len(rows), np.int64)  # of equal ones the leftmost
+            every = np.arange(len(rows))
+            ends = agenda[every, at] >= NEVER if agenda.shape[1] else np.ones(len(rows), bool)
+            if ends.any():
+                done.append((rows[ends], symbols[ends]))
+                rows, symbols, agenda, joint, at = rows[~ends], symbols[~ends], agenda[~ends], joint[~ends], at[~ends]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            symbols[every, at] = joint[every, at]
+            n = symbols.shape[1]
+            later = np.minimum(np.arange(n) + (np.arange(n) > at[:, None]), n - 1)
+            symbols = np.take_along_axis(symbols, later, 1)
+            symbols[:, -1] = -1
+            agenda, joint = (np.take_along_axis(x, np.minimum(later[:, : n - 1], n - 2), 1) for x in (agenda, joint))
+            for k in (at - 1, at):
+                ok = np.flatnonzero((k >= 0) & (k < n - 1))
+                agenda[ok, k[ok]], joint[ok, k[ok]] = self._look(symbols[ok, k[ok]], symbols[ok, k[ok] + 1])
+            agenda[:, -1] = np.where(symbols[:, -1] < 0, NEVER, agenda[:, -1])
+        for own, ids in done:
+            for i, found in zip(own.tolist(), ids.tolist(), strict=True):
+                self.parts[parts[i]] = tuple(x for x in found if x >= 0)
+
+    def _spelt(self, symbols: list[str]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable([self.ids[s]] if s in self.ids else [self.of_byte[b] for b in s.encode()] for s in symbols))
+
+    def _merged_many(self, symbols: list[str]) -> list[str]:
+        """With the agenda as a heap, so that a part of n symbols takes n log n steps."""
+        n, cost_of = len(symbols), self.cost.get
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
         for i, joint in enumerate(map(str.__add__, symbols, symbols[1:])):
             if (cost := cost_of(joint)) is not None:
@@ -96,9 +185,61 @@ class PieceCodec:
                 heapq.heappush(agenda, (cost, before[left], new))
         return [s for s in symbols if s is not None]
 
-    def _ids_of(self, chunk: str) -> tuple[int, ...]:
-        whole = self.ids.get
-        return tuple(chain.from_iterable([whole(s)] if s in self.ids else [self.of_byte[b] for b in s.encode()] for s in self.merged(chunk)))
+    def parts_of(self, chunk: str) -> list[str]:
+        """Parts of a chunk between which no pair is ever joined."""
+        n, tail = len(chunk), []
+        while n > 1 and chunk[n - 2 : n] not in self.beside:  # most often a sign at the end
+            n -= 1
+            tail.append(chunk[n])
+        if chunk[1:n].isalnum():
+            return [chunk[:n], *tail[::-1]]
+        edges = [0, *(i for i in range(1, n) if chunk[i - 1 : i + 1] not in self.beside), n]
+        return [chunk[a:b] for a, b in pairwise(edges)] + tail[::-1]
+
+    def ids_of(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        cut = list(map(self.parts_of, chunks))
+        used = set(chain.from_iterable(cut))
+        if len(self.parts) + len(used) > REMEMBERED:
+            self.parts = {p: self.parts[p] for p in used if p in self.parts}
+        self.merge_all([p for p in used if p not in self.parts])
+        own = self.parts
+        return [own[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(own.__getitem__, c))) for c in cut]
+
+    def learn(self, words: list[str], check: bool) -> None:
+        """Ids of chunks that are a blank and a word, for words that are new; with ``check`` the library has to give the same."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = [w for w in words if w not in self.known]
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            own = self.ids_of([BLANK + w for w in part])
+            if check:
+                for w, a, b in zip(part, own, self.library.encode(part, num_threads=1), strict=True):
+                    if list(a) != b:
+                        raise ValueError(f"the ids of {w!r} differ from the library's")
+            self.known.update(zip(part, own, strict=True))
+
+    def encode_all(self, texts: pa.Array, check: bool) -> list[np.ndarray]:
+        """Ids of each text. Words between single blanks are found over all texts at once, and distinct ones encoded once."""
+        odd = pc.match_substring_regex(texts, f"^ | $|  |{BLANK}|^$") if self.by_word else pa.array([True] * len(texts))
+        rows = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        if len(rows):
+            lists = pc.split_pattern(texts.take(pa.array(rows)), " ")
+            flat = lists.flatten().dictionary_encode()
+            words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+            self.learn(words, check)
+            own = [self.known[w] for w in words]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            ids = ragged(np.fromiter(chain.from_iterable(own), np.int32), np.cumsum(sizes) - sizes, sizes, codes)
+            ends = np.concatenate([[0], np.cumsum(sizes[codes])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            for row, a, b in zip(rows.tolist(), ends, ends[1:], strict=False):
+                out[row] = ids[a:b]
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[row] = self.encode(texts[row].as_py())
+            if check and self.library.encode(texts[row].as_py()) != out[row].tolist():
+                raise ValueError(f"the ids of {texts[row].as_py()[:100]!r} differ from the library's")
+        return out
 
     def _chunks(self, written: str) -> Iterator[list[str]]:
         """Chunks of a text, those of about STRETCH characters at a time."""
@@ -110,14 +251,12 @@ class PieceCodec:
             start = end
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
+        out = [np.zeros(0, np.int32)]
         for chunks in self._chunks(self.written(text)):
-            new = set(chunks).difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, set(chunks)
-            self.known.update((c, self._ids_of(c)) for c in new)
-            out.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, chunks)), np.int32))
-        return np.concatenate([np.zeros(0, np.int32), *out])
+            distinct = list(set(chunks))
+            own = dict(zip(distinct, self.ids_of(distinct), strict=True))
+            out.append(np.fromiter(chain.from_iterable(map(own.__getitem__, chunks)), np.int32))
+        return np.concatenate(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks for their mark, bytes put together, and without the blank that encoding put in front."""
@@ -129,7 +268,7 @@ class PieceCodec:
         return said[1:] if self.dummy and runs and runs[0] and runs[0][0] in self.begins else said
 
 
-def encode_pieces(docs: DataFrame, model: str, check: bool = True, text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, check: bool = True, whole: bool = False, text: str = "text") -> DataFrame:
     """Ids of every whole text by a SentencePiece model file of the merge type, and the text that they decode to.
 
     Returns for each row of ``docs``: doc_id, n_tokens, tokens (array of ids, without begin or end) and
@@ -137,22 +276,24 @@ def encode_pieces(docs: DataFrame, model: str, check: bool = True, text: str = "
     texts of their own; other columns are not read; an empty table gives no rows. Texts may be of any
     length: a task holds the ids of one batch, and cuts a long text chunk by chunk.
 
-    ``check`` has the library encode and decode the same batch and raises an error that names the first
-    document whose ids or text differ.
+    ``check`` holds all of it against the library, batch by batch, and raises an error for the first
+    difference: each distinct word, when its ids are worked out, is encoded by the library too, as is
+    each whole text whose blanks don't just part words, and the ids of every whole text are decoded by
+    it. With ``whole`` it encodes every whole text as well, which takes as long as all the rest; what words
+    of their own show is then seen again, as the vocabulary has no piece across a blank.
     """
 
     def make() -> callable:
         codec = PieceCodec(model)
 
         def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, decoded = [], []
-            for first, part in together(pc.fill_null(batch.column(1), "")):
-                texts = part.to_pylist()
-                own = list(map(codec.encode, texts))
-                back = [codec.decode(i.tolist()) for i in own]
+            texts = pc.fill_null(batch.column(1), "")
+            ids, decoded = codec.encode_all(texts, check), []
+            for first, part in together(texts):
+                own = [i.tolist() for i in ids[first : first + len(part)]]
+                back = list(map(codec.decode, own))
                 if check:
-                    _compare(codec, batch.column(0)[first : first + len(part)].to_pylist(), texts, own, back)
-                ids += own
+                    _compare(codec, batch.column(0)[first : first + len(part)].to_pylist(), part.to_pylist() if whole else None, own, back)
                 decoded += back
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -163,9 +304,9 @@ def encode_pieces(docs: DataFrame, model: str, check: bool = True, text: str = "
     return arrow_map(docs.select("doc_id", text), make, "doc_id long, n_tokens long, tokens array<int>, decoded string")
 
 
-def _compare(codec: PieceCodec, names: list, texts: list[str], ids: list[np.ndarray], decoded: list[str]) -> None:
-    theirs = codec.library.encode(texts, num_threads=1)
+def _compare(codec: PieceCodec, names: list, texts: list[str] | None, ids: list[list[int]], decoded: list[str]) -> None:
+    theirs = ids if texts is None else codec.library.encode(texts, num_threads=1)
     said = codec.library.decode(theirs, num_threads=1)
     for name, a, b, x, y in zip(names, ids, theirs, decoded, said, strict=True):
-        if len(a) != len(b) or not np.array_equal(a, np.asarray(b, np.int32)) or x != y:
+        if a != b or x != y:
             raise ValueError(f"the ids or the text of document {name} differ from the library's")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,13 +43,19 @@ def test_long_texts_are_cut_and_few_chunks_are_remembered(codec, monkeypatch):
 
     monkeypatch.setattr(piece_codec, "STRETCH", 7)
     monkeypatch.setattr(piece_codec, "REMEMBERED", 5)
+    monkeypatch.setattr(piece_codec, "FEW", 4)
+    import pyarrow as pa
+
+    several = ["one two three", "two  three", "four five six seven eight nine", "one", "", " x"]
+    for _ in range(3):
+        assert [i.tolist() for i in codec.encode_all(pa.array(several), True)] == codec.library.encode(several)
     for t in ["the quick  brown fox " * 40, "x" * 500, "a" + " " * 90 + "b", " " * 40]:
         assert codec.encode(t).tolist() == codec.library.encode(t)
 
 
 def test_rows(spark):
     found = [*rows(3, 60), *((1000 + i, t, None, None, None) for i, t in enumerate(AWKWARD)), (None, "x", None, None, None), (5, "again", None, None, None)]
-    got = encode_pieces(clashing(spark, found).repartition(3), MODEL).collect()
+    got = encode_pieces(clashing(spark, found).repartition(3), MODEL, whole=True).collect()
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = [(i, lib.encode(t or "")) for i, t, *_ in found]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
@@ -61,7 +68,13 @@ def test_a_difference_is_an_error(spark, monkeypatch):
     from serieslab.llm import piece_codec
 
     with pytest.raises(ValueError, match="document 7"):
-        piece_codec._compare(PieceCodec(MODEL), [7], ["some text"], [PieceCodec(MODEL).encode("other text")], ["some text"])
+        piece_codec._compare(PieceCodec(MODEL), [7], ["some text"], [PieceCodec(MODEL).encode("other text").tolist()], ["some text"])
+    with pytest.raises(ValueError, match="document 7"):
+        piece_codec._compare(PieceCodec(MODEL), [7], None, [PieceCodec(MODEL).encode("other text").tolist()], ["some text"])
+    odd = PieceCodec(MODEL)
+    odd.pairs = (odd.pairs[0], np.full(len(odd.pairs[0]), 1e30), odd.pairs[2])
+    with pytest.raises(ValueError, match="'the'"):
+        odd.learn(["the"], True)
 
 
 def test_query(spark, sf):
