@@ -85,6 +85,8 @@ def curie_rows(words: DataFrame) -> DataFrame:
     own, above = parse_number(F.col("rest"), F.lit("")), parse_number(F.col("above"), F.lit(""))
     raw = F.nullif(F.regexp_extract(F.when(own.isNull(), F.col("above")).otherwise(F.col("rest")), NUMBER, 1), F.lit(""))
     unit, r = F.coalesce(unit_in(F.col("right")), unit_in(F.col("rest")), F.lit("")), parse_range(F.col("right"), F.lit(""))
+    whole = unit_in(F.regexp_replace("right", r"\s*/\s*", "/"))  # a unit may stand in two pieces
+    unit = F.when(F.lower(unit).isin("mg", "dl", "g", "ml", "l"), F.coalesce(whole, unit)).otherwise(unit)
     value = F.coalesce(own, above)
     qual = F.when(value.isNull() & norm_text(F.col("rest")).isin(*QUALITIES), F.col("rest"))
     return rows.select("doc", "place", F.coalesce("section", F.lit("GENERAL")).alias("section"), "name", value.alias("value"), F.coalesce(raw, "rest").alias("raw"), unit.alias("unit"), r["low"].alias("low"), r["high"].alias("high"), F.col("right").alias("reference"), qual.alias("qual"))

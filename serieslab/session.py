@@ -43,6 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_folder_of(df: DataFrame, name: str, by: str) -> str:
+    """A new folder with ``df`` as Parquet, in a folder of its own for each value of ``by``."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return path
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
