@@ -95,8 +95,8 @@ def name_tokens(name: Column) -> Column:
 
 
 def given_name(name: Column) -> Column:
-    """First word, lower case, other than a-z dropped (accents are not folded here)."""
-    return F.split_part(F.trim(F.regexp_replace(F.lower(name), "[^a-z ]", "")), F.lit(" "), F.lit(1))
+    """First word, lower case; all but a-z and digits part words (accents are not folded here)."""
+    return F.split_part(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), F.lit(" "), F.lit(1))
 
 
 def extension(name: Column) -> Column:

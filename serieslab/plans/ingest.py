@@ -141,3 +141,47 @@ def studies_to_analyse(documents: DataFrame, analyses: DataFrame, reports: DataF
     done = analyses.filter("status = 'done'").select(F.col("document_id").alias("id"))
     parsed = reports.select("person_id", "stored_path").distinct().withColumn("kind", F.lit("pdf"))
     return documents.join(done, "id", "left_anti").join(parsed, ["person_id", "stored_path", "kind"], "left_anti")
+
+
+# What identifies a person in a text, an identity number or a name in capitals.
+NUMBER_SPAN, NAME_SPAN = r"\b(\d{6,8})\b", r"(?U)\b([A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,5})\b"
+
+
+def suggest_persons(texts: DataFrame, persons: DataFrame, read: DataFrame | None = None, aliases: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """Known persons whom texts may belong to, the likeliest first: key, place (from 1), person_id, match and entity.
+
+    texts: key, person_id (whom a text is filed under, who is no candidate; may be null), text; persons:
+    id, name, doc; ``aliases``: person_id, doc, further documents; ``read``: key, name, doc as a report's header has
+    them, which come first. Numbers of six to eight digits are looked up as documents and runs of two
+    to six words in capitals, accents and Ñ among them, on one line or more, as names: the person with the
+    smallest id that has the same given name and three tokens in common (:func:`joins.fuzzy_person`). Documents
+    come before names, both in the order of the text; a person counts once, and ``most`` a text are returned, which is the
+    feature. A header counts by its document, else by that without its dots, else by its name. Null and
+    empty texts have no candidates.
+
+    Distinct entities alone are matched, by equality and by rare tokens; a text's rows are few.
+    """
+    spans = [F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (NUMBER_SPAN, NAME_SPAN)]
+    parts = [texts.select("key", F.lit(k + 1).alias("kind"), F.posexplode(s).alias("pos", "entity")) for k, s in enumerate(spans)]
+    found = parts[0].unionByName(parts[1])
+    if read is not None:
+        row = lambda kind, pos, entity: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), entity.alias("entity"))
+        own = F.array(row(1, -3, F.col("doc")), row(0, -2, F.replace("doc", F.lit("."), F.lit(""))), row(2, -1, F.col("name")))
+        found = found.unionByName(read.select("key", F.inline(own)).filter("entity <> ''"))
+    docs = persons.select("doc", "id")
+    if aliases is not None:
+        docs = docs.unionByName(aliases.select("doc", F.col("person_id").alias("id")))
+    each = F.array(F.struct(F.lit(1).alias("kind"), F.col("doc").alias("entity")), F.struct(F.lit(0).alias("kind"), F.replace("doc", F.lit("."), F.lit("")).alias("entity")))
+    by_doc = docs.filter("doc <> ''").select("id", F.inline(each)).groupBy("kind", "entity").agg(F.min("id").alias("found"))
+    names = found.filter("kind = 2").select(F.col("entity").alias("name"), F.lit("").alias("doc")).distinct()
+    by_name = joins.fuzzy_person(names, persons.select("id", "name", "doc")).filter("match_id is not null").select(F.col("name").alias("entity"), F.col("match_id").alias("found"))
+    known = by_doc.unionByName(by_name.select(F.lit(2).alias("kind"), "entity", "found"))
+    hits = found.join(known, ["kind", "entity"])
+    # of a header only its first way to find somebody counts; its hits stand before those of the text
+    hits = hits.withColumn("rank", F.struct(F.when(F.col("pos") < 0, 0).otherwise(F.col("kind")).alias("k"), "pos"))
+    first = hits.groupBy("key").agg(F.min(F.when(F.col("pos") < 0, F.col("pos"))).alias("header"))
+    hits = hits.join(first, "key").filter("pos >= 0 or pos = header").drop("header")
+    hits = hits.join(texts.select("key", "person_id"), "key").filter("person_id is null or person_id <> found")
+    once = hits.groupBy("key", "found").agg(F.min(F.struct("rank", "kind", "entity")).alias("h"))
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("h.rank"))).filter(F.col("place") <= most)
+    return placed.select("key", "place", F.col("found").alias("person_id"), F.when(F.col("h.kind") < 2, "documento").otherwise("nombre").alias("match"), F.col("h.entity").alias("entity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions import dates, numbers, text
@@ -191,3 +191,32 @@ def readers_order(spark: SparkSession, d: str) -> DataFrame:
     shown = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
     w = Window.partitionBy("p_size").orderBy(series.locale_order(shown), "p_partkey")
     return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+
+
+# Given names and surnames that persons are called by here.
+GIVEN, MIDDLE, LAST = ("ANA", "JOSÉ", "ÍÑIGO", "EVA", "LUZ"), ("PEÑA", "DÍAZ", "GÓMEZ", "RUIZ", "MEZA", "ALE", "VERA"), ("NÚÑEZ", "LÓPEZ", "ROMERO", "ORTIZ", "BÁEZ", "CANO", "DUARTE", "ESPÍNOLA", "FRANCO", "GILL", "HOLT")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id FROM customer), n AS (SELECT max(id) AS n FROM p),
+found AS (SELECT c.id AS key, 1 AS kind, k AS pos, c.id + k AS person_id FROM p c, (VALUES (3), (5)) v(k), n WHERE c.id + k <= n AND (c.id + k) % 2 = 0
+  UNION ALL SELECT c.id, 2, k, (c.id + k) % 385 FROM p c, (VALUES (1), (2), (4), (6), (8), (9)) v(k), n WHERE (c.id + k) % 385 <= n),
+once AS (SELECT key, person_id, min(row(kind, pos)) AS h FROM found WHERE person_id <> key GROUP BY ALL)
+SELECT key, place::INT AS place, person_id, CASE WHEN h[1] = 1 THEN 'documento' ELSE 'nombre' END AS match FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h) AS place FROM once) WHERE place <= 5""")
+def suggested_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with numbers and names in capitals: a surname more, surnames turned round, a line break, accents, one token too few, more than five persons."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+
+    def word(options: tuple, i: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, options)), (i % len(options) + 1).cast("int"))
+
+    def name(i: Column, between: str = " ", turned: bool = False) -> Column:
+        parts = [word(GIVEN, i), word(MIDDLE, i), word(LAST, i)]
+        return F.concat_ws(between, *(parts[:1] + parts[1:][::-1] if turned else parts))
+
+    k = F.col("id")
+    number = lambda i: F.concat(F.lit("CI "), (i + 1_000_000).cast("string"))
+    few = F.concat_ws(" ", word(GIVEN, k + 7), word(MIDDLE, k + 7))
+    said = [name(k + 1), F.concat(name(k + 2), F.lit(" OVIEDO")), number(k + 3), name(k + 4, turned=True), number(k + 5), name(k + 6, "\n"), few, name(k + 8), name(k + 9)]
+    texts = c.select(k.alias("key"), k.alias("person_id"), F.concat_ws(" visto con ", *said).alias("text"))
+    persons = c.select("id", F.initcap(name(k)).alias("name"), F.when(k % 2 == 0, (k + 1_000_000).cast("string")).otherwise("").alias("doc"))
+    return ingest.suggest_persons(texts, persons).select("key", "place", "person_id", "match")

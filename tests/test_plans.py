@@ -259,3 +259,23 @@ def test_block_layouts(spark):
     assert (r.patient, r.age, r.sex, r.document, str(r.date)[:10]) == ("ANA PEREZ", 41, "F", "1234567", "2024-02-03")
     junk = spark.createDataFrame([("Teléfono 021",), ("Glucosa",), (None,)], "n string").select(blocks.is_junk_row(F.col("n")).alias("j"))
     assert [r.j for r in junk.collect()] == [True, False, False]
+
+
+def test_suggested_persons(spark):
+    known = [(1, "Ana Peña Núñez", "1.234.567"), (2, "ROSA DIAZ LOPEZ", ""), (3, "Ana María Peña Núñez", ""), (4, "Luis Vera", "7654321"), (5, "Eva Ale Meza", ""), (6, "Eva Ale Meza", "999999"), (7, "Juan Cano Gill", "")]
+    persons = spark.createDataFrame(known, "id long, name string, doc string")
+    texts = [
+        ("a", None, "paciente ANA PEÑA\nNÚÑEZ con CI 7654321 y 1234567"), ("b", 2, "ROSA DIAZ LOPEZ VERA y EVA MEZA ALE"), ("c", None, "ROSA LOPEZ y Ana Peña Núñez 12345 123456789"),
+        ("d", None, ""), ("e", None, None), ("f", 4, "ROSA DIAZ LOPEZ EVA ALE MEZA"), ("g", None, "nada"),
+    ]
+    frame = spark.createDataFrame(texts, "key string, person_id long, text string")
+    found = lambda df: sorted((r.key, r.place, r.person_id, r.match) for r in df.collect())
+    want = [("a", 1, 4, "documento"), ("a", 2, 1, "nombre"), ("b", 1, 5, "nombre"), ("f", 1, 2, "nombre")]
+    assert found(ingest.suggest_persons(frame, persons)) == want
+    read = spark.createDataFrame([("g", "JUAN CANO GILL", ""), ("b", "JUAN CANO GILL", "999999"), ("f", "nadie", "1")], "key string, name string, doc string")
+    assert found(ingest.suggest_persons(frame, persons, read)) == sorted([*want[:2], ("b", 1, 6, "documento"), ("b", 2, 5, "nombre"), want[3], ("g", 1, 7, "nombre")])
+    header = spark.createDataFrame([("d", "JUAN CANO GILL", "1.23.4567")], read.schema)
+    assert found(ingest.suggest_persons(frame, persons, header))[-3:] == [("b", 1, 5, "nombre"), ("d", 1, 1, "documento"), ("f", 1, 2, "nombre")]
+    aliases = spark.createDataFrame([(7, "1234567")], "person_id long, doc string")
+    assert found(ingest.suggest_persons(frame, persons, aliases=aliases))[:3] == [("a", 1, 4, "documento"), ("a", 2, 7, "documento"), ("a", 3, 1, "nombre")]
+    assert found(ingest.suggest_persons(frame, persons, most=1)) == [w for w in want if w[1] == 1]
