@@ -103,8 +103,9 @@ class Index:
         self.cells = self.row[feature[dense]], example[dense], weight[dense].astype(np.float32)
         self._matrix = None
         del owner
+        give_back()
         feature, example, weight = feature[~dense], example[~dense], weight[~dense]
-        by = np.lexsort((example, feature))
+        by = np.argsort(feature.astype(np.int64) * (n + 1) + example, kind="stable")
         self.example, self.weight = example[by], weight[by].astype(np.float32)
         entry = feature[by].astype(np.int64) * self.blocks + self.example // BLOCK
         del by, feature, example, weight
@@ -286,10 +287,13 @@ def _model(docs: DataFrame, examples: DataFrame) -> Model:
     label, ids = found.column("label").to_numpy().astype(np.int64), found.column("doc_id").to_numpy()
     parts = (pc.unique(features(pieces(part)[1])[0]) for _, part in together(lowered(texts)))
     vocabulary = Vocabulary(pc.unique(pa.chunked_array(parts, pa.string())))
+    give_back()
     begins, feature, counts = vocabulary.counts(texts)
     del found, texts
+    give_back()
     n_features = len(vocabulary)
-    gain = gains(np.bincount(feature, minlength=n_features).astype(float), np.bincount(feature, np.repeat(label, np.diff(begins)), n_features), max(1, len(ids)), int(label.sum()))
+    gain = gains(np.bincount(feature, minlength=n_features).astype(float), np.bincount(feature, np.repeat(label.astype(np.int8), np.diff(begins)), n_features), max(1, len(ids)), int(label.sum()))
+    give_back()
     df, n_docs = document_counts(docs, vocabulary)
     weights = np.log1p(n_docs / np.maximum(df, 1)) * np.sqrt(np.maximum(gain, LEAST_GAIN**2))
     return Model(vocabulary, weights, begins, feature, counts, label, ids)
