@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.operators.folds import greedy_chunks, keep_unlike_last  # noqa: F401
+from serieslab.session import stored
 
 
 def file_status(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -15,24 +16,35 @@ def file_status(files: DataFrame, known: DataFrame) -> DataFrame:
     hash never matches.
     """
     same = known.select("path", F.col("sha1").alias("_known"))
-    content = known.select("sha1").distinct().withColumn("_seen", F.lit(True))
     has = F.coalesce(F.col("sha1"), F.lit("")) != ""
     hashed = files.filter(has)  # those without a hash have nothing to be compared by, so they don't meet in one task
-    first = hashed.groupBy("sha1").agg(F.min("path").alias("_first"))
-    out = hashed.join(same, "path", "left").join(content, "sha1", "left").join(first, "sha1")
-    status = F.when(F.col("_known") == F.col("sha1"), "unchanged").when(F.col("_seen") | (F.col("path") != F.col("_first")), "duplicate").otherwise("new")
+    # tables before the join by their key, so that adaptive execution splits a very common content
+    content = stored(known.filter(has).select("sha1").distinct().withColumn("_seen", F.lit(True)), "known")
+    first = stored(hashed.groupBy("sha1").agg(F.min("path").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "first")
+    out = hashed.join(same, "path", "left").join(content, "sha1", "left").join(first, "sha1", "left")
+    again = F.coalesce("_seen", F.lit(False)) | F.coalesce(F.col("path") != F.col("_first"), F.lit(False))
+    status = F.when(F.col("_known") == F.col("sha1"), "unchanged").when(again, "duplicate").otherwise("new")
     out = out.withColumn("status", status).drop("_known", "_seen", "_first")
     return out.unionByName(files.filter(~has).withColumn("status", F.lit("new")))
 
 
 def content_groups(df: DataFrame, content: str, order: str) -> DataFrame:
-    """``copies`` and ``keep``: the number of rows with the same content and the first of them by ``order``.
+    """``copies`` and ``keep``: the number of rows with the same content and the first of them by ``order``; nulls are one content.
 
-    Counted and joined back by digest, so a very common content is not sorted in one task.
+    Groups are counted by digest, with partial counts. Those of two rows or more are a table before
+    the join, so adaptive execution splits a very common content and no task has all of it.
     """
     digests = df.withColumn("sha1", F.sha1(content))
-    groups = digests.groupBy("sha1").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("keep"))
-    return digests.join(groups, "sha1")
+    groups = digests.groupBy(F.col("sha1").alias("_sha1")).agg(F.count(F.lit(1)).alias("_copies"), F.min(order).alias("_keep"))
+    groups = stored(groups.filter("_copies > 1"), "groups")
+    out = digests.join(groups, F.col("sha1").eqNullSafe(F.col("_sha1")), "left")
+    return out.withColumn("copies", F.coalesce("_copies", F.lit(1))).withColumn("keep", F.coalesce("_keep", order)).drop("_sha1", "_copies", "_keep")
+
+
+def _first_of(df: DataFrame, keys: list, order: str) -> DataFrame:
+    """The row of least ``order`` for each of the keys (columns or expressions); partial minima before the shuffle."""
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    return df.groupBy(*keys).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
 
 
 def new_reports(incoming: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
@@ -41,16 +53,14 @@ def new_reports(incoming: DataFrame, stored: DataFrame, force: bool = False) ->
     Plain equality throughout: an undated report never equals another. ``force`` skips the second test.
     The first of several in one batch stays.
     """
-    out = incoming.join(stored.select("key").distinct(), "key", "left_anti")
-    out = out.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).filter("_r = 1").drop("_r")
+    out = _first_of(incoming.join(stored.select("key").distinct(), "key", "left_anti"), ["key"], "seq")
     if force:
         return out
     triple = ["person_id", "date", "lab"]
     out = out.join(stored.select(triple).distinct(), triple, "left_anti")
-    dated = F.col("date").isNotNull()
-    # undated ones are spread by their key, as each stays whatever others there are
-    place = Window.partitionBy("person_id", F.coalesce(F.col("date").cast("string"), F.col("key")), "lab").orderBy("seq")
-    return out.withColumn("_r", F.row_number().over(place)).filter(~dated | (F.col("_r") == 1)).drop("_r")
+    # an undated one stays whatever others there are, so it has its key for a date
+    place = F.coalesce(F.col("date").cast("string"), F.col("key")).alias("_place")
+    return _first_of(out, ["person_id", place, "lab"], "seq")
 
 
 def new_attachments(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions.clinical import trend
 from serieslab.functions.dates import month_key
+from serieslab.session import stored
 
 
 def latest(df: DataFrame, keys: list[str], at: Column, tie: Column, value: str = "value") -> DataFrame:
@@ -91,10 +91,10 @@ def locale_order(c: Column) -> Column:
 def row_numbers(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Consecutive numbers from 1 in the order of ``order``: sorted by range, so no task sorts all rows.
 
-    The sorted rows are kept, as they are read twice: for the size of each range, of which there is one
+    The sorted rows are written, as they are read twice: for the size of each range, of which there is one
     row a partition, and for the numbers.
     """
-    kept = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33)
     sizes = sorted((r["_part"], r["n"]) for r in kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, []

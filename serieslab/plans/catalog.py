@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions.numbers import STRENGTH, strength_labels
 from serieslab.functions.text import norm_text
 from serieslab.operators import joins
+from serieslab.session import stored
 
 # Words for salts before and after an active principle, and words of forms in brand names.
 SALT_BEFORE = ("cloridrato", "clorhidrato", "sulfato", "maleato", "besilato", "acetato", "fumarato", "tartarato", "tartrato", "succinato", "mesilato", "fosfato", "bromidrato", "bromhidrato", "nitrato", "citrato", "sodico", "potassico", "calcico", "hemifumarato", "dicloridrato", "valerato", "propionato", "pamoato", "estolato")
@@ -94,5 +95,34 @@ def search(catalog: DataFrame, query: str, most: int = 12) -> DataFrame:
     return out.orderBy("undosed", "tier", "_name", "key").limit(most).drop("_name")
 
 
+def search_many(catalog: DataFrame, queries: DataFrame, most: int = 12) -> DataFrame:
+    """:func:`search` for any number of queries (query_id, query) in one job: query_id, place, key, generic, strengths, matched_brand, tier, undosed.
+
+    Names, aliases and brands are cut into their distinct pieces of two and three letters. A query meets the
+    entries by its rarest piece alone, whose entries are the fewest of those that can contain
+    it; then it is looked for in them. Queries under two letters have no results; equal queries are searched
+    once. The first ``most`` are chosen with a limit in each task before the shuffle.
+    """
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(0))), lambda i: F.substr(c, i, F.lit(n)))
+    listed = lambda kind, c: F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.alias("shown"), norm_text(x).alias("text")))
+    texts = catalog.select("key", F.inline(F.concat(listed(0, F.array("generic")), listed(1, F.col("aliases")), listed(2, F.col("brands"))))).filter("length(text) > 1")
+    grams = F.array_distinct(F.concat(*(F.when(F.length("text") >= n, pieces(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in (2, 3))))
+    postings = stored(texts.select("key", "kind", "i", "shown", "text", F.explode(grams).alias("gram")), "postings")
+    asked = queries.select("query_id", F.lower(F.trim(F.regexp_replace("query", " +", " "))).alias("q")).filter("length(q) > 1")
+    n = F.least(F.lit(3), F.length("q"))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.substr(F.col("q"), i, n)))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a piece that no entry has makes the query one without results, so it is the rarest of all
+    rarest = asked.select("q").distinct().select("q", F.explode(own).alias("gram")).join(counts, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = postings.join(stored(rarest, "rarest"), "gram").filter(F.col("text").contains(F.col("q")))
+    starts = F.col("text").startswith(F.col("q"))
+    tier = F.when((F.col("kind") == 0) & (F.col("text") == F.col("q")), 0).when(starts, F.col("kind") + 1).otherwise(4)
+    found = hits.groupBy("q", "key").agg(F.min(tier).alias("tier"), F.min_by("shown", F.when(F.col("kind") == 2, F.col("i"))).alias("matched_brand"))
+    found = found.join(catalog.select("key", "generic", "strengths"), "key").withColumn("undosed", (F.size("strengths") == 0).cast("int"))
+    order = Window.partitionBy("q").orderBy("undosed", "tier", norm_text(F.col("generic")), "key")
+    best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return asked.join(best, "q").select("query_id", "place", "key", "generic", "strengths", "matched_brand", "tier", "undosed")
+
+
 def statistics(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("strengths") > 0).alias("n_dosed"), F.coalesce(F.sum(F.size("brands")), F.lit(0)).cast("long").alias("n_brands"))

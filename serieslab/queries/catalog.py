@@ -39,6 +39,20 @@ def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     return plan.search(plan.group_products(products(spark, d)), "Red").select("key", "matched_brand", "tier", "undosed")
 
 
+@query("""WITH e AS (SELECT p_name AS key, list_sort(list_distinct(list(p_type)))[1:50] AS brands FROM part GROUP BY 1),
+q AS (SELECT DISTINCT q FROM (SELECT lower(substr(w, i, n)) AS q FROM (SELECT unnest(string_split(p_name || ' ' || p_type, ' ')) AS w FROM part), (VALUES (1, 2), (1, 4), (2, 3), (1, 30)) v(i, n)) WHERE length(q) >= 2),
+h AS (SELECT q, key, brands, CASE WHEN key = q THEN 0 WHEN starts_with(key, q) THEN 1 WHEN len(list_filter(brands, lambda b: starts_with(lower(b), q))) > 0 THEN 3 ELSE 4 END AS tier FROM e, q
+  WHERE contains(key, q) OR len(list_filter(brands, lambda b: contains(lower(b), q))) > 0)
+SELECT q AS query, place::INT AS place, key, list_filter(brands, lambda b: contains(lower(b), q))[1] AS matched_brand, tier FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, key) AS place FROM h) WHERE place <= 12""")
+def catalog_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve entries for each of many queries: words of names and brands, and pieces of them."""
+    word = F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("w")
+    cut = F.explode(F.array(*(F.substring("w", i, n) for i, n in ((1, 2), (1, 4), (2, 3), (1, 30))))).alias("q")
+    asked = table(spark, d, "part").select(word).distinct().select(cut).select(F.lower("q").alias("query")).distinct()
+    out = plan.search_many(plan.group_products(products(spark, d)), asked.select(F.col("query").alias("query_id"), "query"))
+    return out.select(F.col("query_id").alias("query"), "place", "key", "matched_brand", "tier")
+
+
 @query("SELECT p_partkey, p_size || ' mg' AS labels FROM part")
 def strength_extract(spark: SparkSession, d: str) -> DataFrame:
     return products(spark, d).select(F.col("ord").alias("p_partkey"), F.array_join(numbers.strength_labels(F.col("product")), "|").alias("labels"))

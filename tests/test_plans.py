@@ -140,6 +140,20 @@ def test_search_tiers(spark):
     assert got[3].matched_brand == "Losarplus" and catalog.search(df, "l").count() == 0
 
 
+def test_search_for_many_queries(spark):
+    """The tiers, brands and order of the search for one query, for each of many."""
+    rows = [("e", "Losartan Y", [], [], []), ("d", "Colosar", [], [], ["1 mg"]), ("c", "Zed", [], ["Aa losar", "Losarplus"], ["1 mg"]), ("b", "Yod", ["losar x"], [], ["1 mg"]), ("a2", "Losartan", [], [], ["1 mg"]), ("a1", "Losar", [], ["X", "Zlosar"], ["1 mg"]), ("f", "", [], [""], [])]
+    df = spark.createDataFrame(rows, ENTRY).persist()
+    asked = ["losar", " LOSAR ", "lo", "l", "", None, "zed", "a  l", "none", "osar", "yod", "ta"]
+    frame = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "query_id int, query string")
+    got = {}
+    for r in catalog.search_many(df, frame, most=4).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append((r.key, r.tier, r.matched_brand, r.undosed))
+    for i, q in enumerate(asked):
+        want = [(r.key, r.tier, r.matched_brand, r.undosed) for r in catalog.search(df, q or "", most=4).collect()]
+        assert got.get(i, []) == want
+
+
 def test_merge_and_match(spark):
     base = spark.createDataFrame([("losartan", "Losartan", ["losartan"], ["Cozaar"], ["50 mg"])], ENTRY)
     extra = spark.createDataFrame([("x", "Otro", ["losartan", "los"], ["B"], ["100 mg"]), ("nuevo", "Nuevo", ["n"], [], [])], ENTRY)
