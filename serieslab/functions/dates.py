@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Short names of the months.
 MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
+# How a date is written.
 _DATE = r"(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
 
 

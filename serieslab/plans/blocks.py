@@ -31,6 +31,7 @@ HEADERS = {
     "medvital": (r"(?i)paciente\s*:?\s*([^\n]+?)(?:Sexo|\n|$)", r"(?i)edad\s*:?\s*(\d{1,3})", r"(?i)sexo\s*:?\s*([MF])", r"(?i)c\.?i\.?\s*n[°º]?\s*:?\s*([\d]+)", r"(?i)fecha\s*:?\s*([\d-]+)"),
     "neo": (r"(?i)paciente\s*:?\s*([^\n]+?)\s+doc\.?\s*n", r"(?i)edad\s*:?\s*(\d{1,3})\s*a", r"(?i)sexo\s*:?\s*([MF])", r"(?i)doc\.?\s*n[°º]?\s*:?\s*([\d-]+)", r"(?i)impreso\s*:?\s*([\d/]+\s*-?\s*[\d:]*)"),
 }
+# How a number and a range are written.
 NUMBER, RANGE = r"(-?\d[\d.,]+)", r"\b\d[\d.,]*\s*[-–—]\s*\d[\d.,]*\b"
 
 

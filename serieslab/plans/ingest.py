@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from serieslab.functions.dates import plain_timestamp
 from serieslab.functions.numbers import common_unit, parse_number, parse_range, to_common
 from serieslab.functions.text import clean_text, person_name, report_key
 from serieslab.operators import dedup, joins, series
@@ -185,3 +186,39 @@ def suggest_persons(texts: DataFrame, persons: DataFrame, read: DataFrame | None
     once = hits.groupBy("key", "found").agg(F.min(F.struct("rank", "kind", "entity")).alias("h"))
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("h.rank"))).filter(F.col("place") <= most)
     return placed.select("key", "place", F.col("found").alias("person_id"), F.when(F.col("h.kind") < 2, "documento").otherwise("nombre").alias("match"), F.col("h.entity").alias("entity"))
+
+
+def nested(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """``parents`` with an array of structs for each child table (its rows, the column with the parent's key, the columns to sort by); empty without rows.
+
+    Each child is grouped by the parent's key, and the joins are by the same key, so every table is
+    shuffled once. Children of one parent are few by nature.
+    """
+    out = parents
+    for name, (rows, of, order) in children.items():
+        rest = [c for c in rows.columns if c != of and c not in order]
+        listed = rows.groupBy(F.col(of).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+        out = out.join(listed, key, "left").withColumn(name, F.coalesce(name, F.array().cast(dict(listed.dtypes)[name])))
+    return out
+
+
+def person_view(persons: DataFrame, reports: DataFrame, tests: DataFrame, medicines: DataFrame, documents: DataFrame, analyses: DataFrame, written: DataFrame) -> DataFrame:
+    """All that is stored of each person in one row: reports with their tests, medicines, documents with their analyses, and what is new.
+
+    persons: id and more; reports: id, person_id, date, stored_path and more; tests: report_id, pos and
+    more; medicines: person_id, pos and more; documents: id, person_id, kind, stored_path, uploaded_at (a text) and
+    more; analyses: document_id, created_at and more; ``written``: person_id, created_at of written reports.
+    ``is_parsed_lab`` marks PDF documents that are stored as a report of the person. ``new_info`` has
+    whether documents came after the last written report, how many and when that was; without one
+    nothing is new.
+    """
+    with_tests = nested(reports, "id", {"tests": (tests, "report_id", ["pos"])})
+    parsed = reports.filter("stored_path <> ''").select("person_id", "stored_path").distinct().withColumn("parsed", F.lit(True))
+    docs = documents.join(parsed, ["person_id", "stored_path"], "left").withColumn("is_parsed_lab", (F.col("kind") == "pdf") & F.col("parsed").isNotNull()).drop("parsed")
+    docs = nested(docs, "id", {"analyses": (analyses, "document_id", ["created_at"])})
+    last = written.groupBy(F.col("person_id").alias("id")).agg(F.max("created_at").alias("last_report"))
+    out = nested(persons, "id", {"reports": (with_tests, "person_id", ["date", "id"]), "medicines": (medicines, "person_id", ["pos"]), "documents": (docs, "person_id", ["uploaded_at", "id"])})
+    out = out.join(last, "id", "left")
+    fresh = F.filter("documents", lambda d: plain_timestamp(d["uploaded_at"]) > plain_timestamp(F.col("last_report")))
+    count = F.when(F.coalesce("last_report", F.lit("")) != "", F.size(fresh)).otherwise(0)
+    return out.withColumn("new_info", F.struct((count > 0).alias("has_new"), count.alias("count"), "last_report")).drop("last_report")

@@ -220,3 +220,31 @@ def suggested_persons(spark: SparkSession, d: str) -> DataFrame:
     texts = c.select(k.alias("key"), k.alias("person_id"), F.concat_ws(" visto con ", *said).alias("text"))
     persons = c.select("id", F.initcap(name(k)).alias("name"), F.when(k % 2 == 0, (k + 1_000_000).cast("string")).otherwise("").alias("doc"))
     return ingest.suggest_persons(texts, persons).select("key", "place", "person_id", "match")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS id, string_agg(l_linenumber || '=' || l_quantity::INT, ',' ORDER BY l_linenumber, l_quantity::INT) AS tests FROM lineitem GROUP BY 1),
+r AS (SELECT o_custkey AS id, string_agg(o_orderkey || '(' || coalesce(tests, '') || ')', ' ' ORDER BY o_orderdate, o_orderkey) AS reports, max(o_orderdate)::DATE AS last FROM orders LEFT JOIN t ON o_orderkey = t.id GROUP BY 1),
+m AS (SELECT user_id AS id, string_agg(event_id || event_type, ' ' ORDER BY event_id) AS medicines FROM events GROUP BY 1),
+s AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1),
+d AS (SELECT c_custkey AS id, string_agg(doc_id || CASE WHEN doc_id % 2 = 0 AND r.id IS NOT NULL AND doc_id % 7 = 0 THEN '*' ELSE '' END || '/' || coalesce(n, 0), ' ' ORDER BY doc_id) AS documents, count(CASE WHEN DATE '1996-01-01' + doc_id::INT > last THEN 1 END) AS fresh
+  FROM customer JOIN documents ON doc_id % 300 = c_custkey LEFT JOIN r ON r.id = c_custkey LEFT JOIN s USING (doc_id) GROUP BY 1)
+SELECT c_custkey AS id, coalesce(reports, '') AS reports, coalesce(medicines, '') AS medicines, coalesce(documents, '') AS documents, coalesce(fresh, 0)::INT AS fresh, coalesce(fresh, 0) > 0 AS has_new, strftime(last, '%Y-%m-%d') AS last
+FROM customer LEFT JOIN r ON r.id = c_custkey LEFT JOIN m ON m.id = c_custkey LEFT JOIN d ON d.id = c_custkey""")
+def person_views(spark: SparkSession, d: str) -> DataFrame:
+    """Everything of each customer: orders as reports with items as tests, events as medicines, documents with labels as analyses."""
+    o = table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    reports = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("date"), F.lit("p0").alias("stored_path"))
+    tests = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("int").alias("value"))
+    medicines = table(spark, d, "events").select(F.col("user_id").alias("person_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("name"))
+    doc = F.col("doc_id")
+    uploaded = F.concat(F.date_format(F.date_add(F.lit("1996-01-01").cast("date"), doc.cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00.5"))
+    documents = table(spark, d, "documents").select(doc.alias("id"), (doc % 300).alias("person_id"), F.when(doc % 2 == 0, "pdf").otherwise("image").alias("kind"), F.concat(F.lit("p"), (doc % 7).cast("string")).alias("stored_path"), uploaded.alias("uploaded_at"))
+    analyses = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.lit("2024").alias("created_at"), "toxic")
+    written = o.select(F.col("o_custkey").alias("person_id"), F.concat(day, F.lit(" 00:00:00")).alias("created_at"))
+    out = ingest.person_view(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), reports, tests, medicines, documents, analyses, written)
+    text = lambda c: c.cast("string")
+    said = lambda c, f: F.array_join(F.transform(c, f), " ")
+    report = lambda r: F.concat(text(r["id"]), F.lit("("), F.array_join(F.transform(r["tests"], lambda t: F.concat(text(t["pos"]), F.lit("="), text(t["value"]))), ","), F.lit(")"))
+    document = lambda x: F.concat(text(x["id"]), F.when(x["is_parsed_lab"], "*").otherwise(""), F.lit("/"), text(F.size(x["analyses"])))
+    return out.select("id", said("reports", report).alias("reports"), said("medicines", lambda m: F.concat(text(m["pos"]), m["name"])).alias("medicines"), said("documents", document).alias("documents"), F.col("new_info.count").alias("fresh"), F.col("new_info.has_new").alias("has_new"), F.left("new_info.last_report", F.lit(10)).alias("last"))
