@@ -18,9 +18,9 @@ RANGE, SIGNATURES = 16, 12
 ROUNDS = 12
 
 
-def _sorted(df: DataFrame, name: str, bits: int, *columns: Column) -> DataFrame:
-    """Columns with ``pos`` and ``block``: rows numbered in the order of g and o, sorted by range and written."""
-    rows = df.select(*columns).repartitionByRange("g", "o").sortWithinPartitions(*(c for c in ("g", "o", "s") if c != "s" or name == "chunks"))
+def _sorted(df: DataFrame, name: str, bits: int, *columns: Column, by: tuple[str, ...] = ("g", "o")) -> DataFrame:
+    """Columns with ``pos`` and ``block``: rows numbered in the order of ``by``, sorted by range of g and o and written."""
+    rows = df.select(*columns).repartitionByRange("g", "o").sortWithinPartitions(*by)
     return stored(rows.withColumn("pos", F.monotonically_increasing_id()), name).withColumn("block", F.shiftright("pos", bits))
 
 
@@ -109,7 +109,7 @@ def greedy_chunks(df: DataFrame, group: str, order: str, size: str, most: int, b
     """
     kinds = dict(df.dtypes)
     amount = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    rows = _sorted(df, "chunks", bits, F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("given"), amount.alias("s"))
+    rows = _sorted(df, "chunks", bits, F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("given"), amount.alias("s"), by=("g", "o", "s"))
 
     def summary(run: pa.Table) -> list[pa.Array]:
         sizes = run.column("s").to_numpy()
