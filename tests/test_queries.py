@@ -49,3 +49,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rounded_limit(spark, tmp_path):
+    """Differences that are rounded down to the limit are within it, those that are rounded up are not."""
+    vectors = [(0, [0.0] * 64), (1, [0.14000045] * 64), (2, [-0.14000055] * 64)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in queries.queries()["pairwise_signature_diff"](spark, str(tmp_path)).collect()] == [(0, 0, 1, 0.14)]
