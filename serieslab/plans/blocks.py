@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions.dates import parse_date
 from serieslab.functions.numbers import parse_number, parse_range
 from serieslab.functions.text import clean_text, norm_text, person_name
 from serieslab.operators import series
-from serieslab.plans.layout import lines
+from serieslab.plans.layout import gathered
 
 # Line tolerance of a layout and where its right column begins.
 PLACES = {"curie": (1.0, 300.0), "ypacarai": (2.5, 330.0), "sanacoop": (1.0, None), "neo": (1.0, None), "medvital": (1.0, None)}
@@ -52,8 +52,7 @@ def header(texts: DataFrame, text: str, layout: str) -> DataFrame:
 def text_lines(words: DataFrame, layout: str) -> DataFrame:
     """One row for each line of a page: place, text, and the texts of its left and right column."""
     tolerance, split = PLACES[layout]
-    own = F.array_sort(F.collect_list(F.struct("x", "word")))
-    rows = lines(words, tolerance).groupBy("doc", "page", "line").agg(own.alias("w"))
+    rows = gathered(words, tolerance)
     said = lambda w: clean_text(F.array_join(F.transform(w, lambda x: x["word"]), " "))
     left = F.filter("w", lambda x: x["x"] < split) if split else F.col("w")
     right = F.filter("w", lambda x: x["x"] >= split) if split else F.slice("w", 1, 0)
@@ -112,7 +111,7 @@ def ypacarai_rows(words: DataFrame) -> DataFrame:
     whole = F.concat_ws(" ", "left", "right")
     like = (whole.rlike("(?i)hasta|menor|mayor|inferior|superior|hombres|mujeres|normal") & whole.rlike(r"\d")) | whole.rlike(RANGE)
     rows = rows.withColumn("whole", whole).withColumn("like", like).withColumn("range", F.when(like, _sound(whole)))
-    rows = rows.join(rows.groupBy("doc", "block").agg(F.min(F.when(F.col("range").isNotNull(), F.col("place"))).alias("given")), ["doc", "block"])
+    rows = rows.withColumn("given", F.min(F.when(F.col("range").isNotNull(), F.col("place"))).over(Window.partitionBy("doc", "block")))
     spent = F.col("like") & (F.col("given").isNull() | (F.col("place") <= F.col("given")))
     rows = rows.withColumn("raw", F.coalesce(_last_number(F.col("left")), F.when(~spent, _last_number(F.col("right"))))).withColumn("value", parse_number(F.col("raw"), F.lit("")))
     rows = rows.withColumn("raw", F.when(F.col("value").isNotNull(), F.col("raw"))).withColumn("reference", F.when(F.col("range").isNotNull(), F.trim("whole")))
@@ -174,7 +173,7 @@ def neo_rows(words: DataFrame) -> DataFrame:
     told = F.when(used, F.trim(F.regexp_replace("text", after, ""))).when(speaks & ~begins, F.col("text"))
     rows = rows.withColumn("reference", F.nullif(told, F.lit("")))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    parts = F.array_sort(F.collect_list(F.when(F.col("reference").isNotNull(), F.struct("place", "reference"))))
+    parts = F.sort_array(F.collect_list(F.when(F.col("reference").isNotNull(), F.struct("place", "reference"))))
     out = rows.groupBy("doc", "block", "name").agg(F.min("place").alias("place"), *(last(c) for c in ("value", "raw", "unit", "low", "high", "qual")), F.array_join(F.transform(parts, lambda p: p["reference"]), " · ").alias("reference"))
     out = out.filter("value is not null or qual is not null")
     return out.select("doc", "place", F.lit("GENERAL").alias("section"), "name", "value", F.coalesce("raw", F.lit("")).alias("raw"), F.coalesce("unit", F.lit("")).alias("unit"), "low", "high", "reference", "qual")

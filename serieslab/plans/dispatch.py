@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslab.functions.dates import parse_date
@@ -41,34 +43,31 @@ SANISIDRO_SECTION = r"(?i)^(hematologia|serologia|quimica)"
 ROW = ("doc", "place", "section", "name", "value", "raw", "unit", "low", "high", "reference", "qual", "method")
 
 
-def page_texts(words: DataFrame) -> DataFrame:
-    """doc, page and text: the lines of each page."""
-    lined = layout.lines(words, 1.0).groupBy("doc", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x", "word"))).alias("w"), F.min("y").alias("y"))
-    said = lined.withColumn("said", F.array_join(F.transform("w", lambda w: w["word"]), " "))
-    pages = said.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("y", "line", "said"))).alias("l"))
-    return pages.select("doc", "page", clean_text(F.array_join(F.transform("l", lambda x: x["said"]), "\n")).alias("text"))
+def page_texts(pages: DataFrame) -> DataFrame:
+    """doc, page and text: the lines of each page (of :func:`layout.pages_of`)."""
+    said = layout.gathered(pages, 1.0).select("doc", "page", F.struct("y", "line", layout.said(F.col("w")).alias("said")).alias("l"))
+    texts = said.groupBy("doc", "page").agg(F.sort_array(F.collect_list("l")).alias("l"))
+    return texts.select("doc", "page", clean_text(F.array_join(F.transform("l", lambda x: x["said"]), "\n")).alias("text"))
 
 
-def routed(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages and words (doc, page, x, y, word) of documents with the layout and the number of their report.
+def routed(words: DataFrame) -> DataFrame:
+    """Pages of documents of words (doc, page, x, y, word) with the layout and the number of their report.
 
-    Returns doc, page, text, part, layout and, by the same keys, the words. A document has the first layout whose
+    Returns doc, page, text, words (of the page), part and layout. A document has the first layout whose
     marks occur in its text. One of Ypacaraí ends with its first page; if Sanacoop speaks on the
     pages after it, they are a second report of the same document.
     """
-    pages = stored(page_texts(words), "pages")
-    whole = pages.groupBy("doc").agg(F.min("page").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("whole"))
+    own = stored(layout.pages_of(words), "page-words")
+    pages = stored(own.join(page_texts(own), ["doc", "page"]), "pages")
+    whole = pages.groupBy("doc").agg(F.min("page").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("whole"))
     later = pages.join(whole.select("doc", "first"), "doc").filter("page > first").groupBy("doc").agg(F.max(norm_text(F.col("text")).rlike("sanacoop|neodiagnosticos|hemoglobina glicada")).alias("more"))
     found = detect_layout(norm_text(F.col("whole")))
     numbered = norm_text(F.col("doc")).rlike("ord5|ord6") & ~found.isin("medvital", "brunelli")
     of = whole.join(later, "doc", "left").select("doc", "first", F.when(numbered, "curie").otherwise(found).alias("layout"), F.coalesce("more", F.lit(False)).alias("more"))
     second = (F.col("layout") == "ypacarai") & (F.col("page") > F.col("first"))
 
-    def of_report(rows: DataFrame) -> DataFrame:
-        joined = rows.join(of, "doc").filter(~second | F.col("more"))
-        return joined.withColumn("part", second.cast("int")).withColumn("layout", F.when(second, "sanacoop").otherwise(F.col("layout"))).drop("more", "first")
-
-    return of_report(pages), of_report(words)
+    joined = pages.join(of, "doc").filter(~second | F.col("more"))
+    return joined.withColumn("part", second.cast("int")).withColumn("layout", F.when(second, "sanacoop").otherwise(F.col("layout"))).drop("more", "first")
 
 
 def _first(text: Column, patterns: list[str]) -> Column:
@@ -78,7 +77,7 @@ def _first(text: Column, patterns: list[str]) -> Column:
 
 def text_headers(pages: DataFrame) -> DataFrame:
     """Fields of headers that are written as text: doc, part, layout, patient, age, sex, document, date, order, doctor and notes."""
-    first = pages.groupBy("doc", "part", "layout").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    first = pages.groupBy("doc", "part", "layout").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
     texts = stored(first.select("doc", "part", "layout", F.when(F.col("layout").isin(*FIRST_PAGE), F.col("p")[0]["text"]).otherwise(joined).alias("t")), "header-texts")
     spoken = F.filter(F.split("t", "\n"), lambda x: F.lower(x).startswith("fecha y hora"))
@@ -122,11 +121,12 @@ def _beside(words: list) -> list[tuple[str, str]]:
     return found
 
 
-def table_headers(words: DataFrame, pages: DataFrame) -> DataFrame:
+def table_headers(pages: DataFrame) -> DataFrame:
     """Fields of headers of tables: beside their labels (brunelli), or up to three points above them in the same half of the page (verdejo)."""
-    first = words.join(words.groupBy("doc", "part").agg(F.min("page").alias("first")), ["doc", "part"]).filter("page = first")
-    lined = layout.lines(first, 1.0).groupBy("doc", "line").agg(F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("x", "word"))).alias("w"))
-    lined = stored(lined.join(first.select("doc", "layout").distinct(), "doc"), "header-lines")
+    own = pages.filter(F.col("layout").isin("verdejo", "brunelli"))
+    first = own.withColumn("first", F.min("page").over(Window.partitionBy("doc", "part"))).filter("page = first")
+    lined = layout.gathered(first, 1.0).select("doc", "line", "y", F.transform("w", lambda v: F.struct(v["x"].alias("x"), v["word"].alias("word"))).alias("w"))
+    lined = stored(lined.join(first.select("doc", "layout"), "doc"), "header-lines")
     beside = F.udf(_beside, "array<struct<label string, value string>>", useArrow=True)
     right = lined.filter("layout = 'brunelli'").select("doc", F.col("line").alias("place"), F.posexplode(beside("w")).alias("i", "f"))
     right = right.select("doc", F.struct("place", "i").alias("at"), F.col("f.label").alias("label"), F.col("f.value").alias("value"))
@@ -146,7 +146,7 @@ def table_headers(words: DataFrame, pages: DataFrame) -> DataFrame:
     keys = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
     found = right.unionByName(above).withColumn("field", keys[norm_text(F.col("label"))]).filter("field is not null")
     wide = found.groupBy("doc").pivot("field", ["patient", "document", "age", "date", "doctor", "order"]).agg(F.min_by("value", "at"))
-    top = pages.filter(F.col("layout").isin("verdejo", "brunelli")).groupBy("doc", "part", "layout").agg(F.min_by("text", "page").alias("t"))
+    top = own.groupBy("doc", "part", "layout").agg(F.min_by("text", "page").alias("t"))
     named = F.nullif(F.trim(F.regexp_extract("t", r"([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ .']+)\s*(?:\n|$)", 1)), F.lit(""))
     signs = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("t", r"(?m)^((?:Dra?\.|Bioq\.|Lic\.|Q\.F\.)[^\n]+)$", 1), r"(?i)\bReg\.?\s*Prof\.?.*$", "")), F.lit(""))
     lettered = F.when(F.col("doctor").rlike("[A-Za-zÁÉÍÓÚÑáéíóúñ]"), F.col("doctor"))
@@ -162,21 +162,24 @@ def tabular_rows(words: DataFrame, of: str) -> DataFrame:
     Rows begin after the line that heads the columns; addresses and footers are left out; a section holds until the next one.
     """
     tolerance, ends = layout.bands(of)
-    lined = layout.lines(words, tolerance)
-    height = lined.groupBy("doc", "page", "line").agg(F.min("y").alias("y"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda w: w["word"]), " ").alias("said"))
-    key = norm_text(F.col("said"))
+    rows = layout.cells(layout.gathered(words, tolerance), ends)
+    key = norm_text(layout.said(F.col("w")))
     heads = (key == "analisis") | key.startswith("analisis ") if of == "brunelli" else key.contains("determinaciones") | (key.contains("resultados") & key.contains("unidad"))
-    pages = words.groupBy("doc").agg(F.min("page").alias("page"))
-    start = height.join(pages, ["doc", "page"]).filter(heads).groupBy("doc", "page").agg(F.min("y").alias("start"))
-    rows = layout.table_rows(lined, ends).join(height.select("doc", "page", "line", "y"), ["doc", "page", "line"]).join(start, ["doc", "page"], "left")
-    rows = rows.filter((F.col("start").isNull() | (F.col("y") >= F.col("start") + 1)) & ~((F.col("name") != "") & blocks.is_junk_row(F.col("name")))).withColumn("place", F.col("page") * 100000 + F.col("line"))
+    whole = Window.partitionBy("doc")
+    rows = rows.withColumn("heads", heads).withColumn("top", F.col("page") == F.min("page").over(whole)).withColumn("start", F.min(F.when(F.col("top") & F.col("heads"), F.col("y"))).over(whole))
+    below = ~F.col("top") | F.col("start").isNull() | (F.col("y") >= F.col("start") + 1)
+    rows = rows.filter(below & ~((F.col("name") != "") & blocks.is_junk_row(F.col("name")))).withColumn("place", F.col("page") * 100000 + F.col("line"))
     few = (F.size(F.split("name", r"\s+")) <= 4) & ~F.col("name").rlike(r"\d") & (F.col("result") == "") & (F.col("reference") == "")
     rows = rows.withColumn("heading", few & F.col("name").rlike(SECTION))
     rows = series.carry_forward(rows, "doc", ["place"], F.when(F.col("heading"), F.col("name")), "section")
     rows = series.blocks(rows, "doc", ["place"], F.col("name") != "")
-    said = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("place", c)))), lambda x: x[c]), " ")).alias(f"more_{c}")
-    loose = rows.filter("name = ''").groupBy("doc", (F.col("block") + 1).alias("block")).agg(said("method"), said("reference"))
-    rows = rows.filter("name <> '' and not heading").join(loose, ["doc", "block"], "left")
+    said = lambda c, where: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(where & (F.col(c) != ""), F.struct("place", c)))), lambda x: x[c]), " ")).alias(f"more_{c}")
+    # a block is a row with a name, if it isn't the first, and the lines without one after it; these are the next block's
+    own, named = ("place", "section", "name", "result", "unit", "method", "reference"), F.col("name") != ""
+    rows = rows.groupBy("doc", "block").agg(F.max(F.when(named, F.struct("heading", *own))).alias("r"), *(said(c, ~named) for c in ("method", "reference")))
+    after = Window.partitionBy("doc").orderBy("block")
+    rows = rows.withColumn("more_method", F.lag("more_method").over(after)).withColumn("more_reference", F.lag("more_reference").over(after))
+    rows = rows.filter("r is not null and not r.heading").select("doc", *(f"r.{c}" for c in own), "more_method", "more_reference")
     reference, method = (F.coalesce(F.nullif(c, F.lit("")), f"more_{c}", F.lit("")) for c in ("reference", "method"))
     plain = F.regexp_replace("unit", r"(?i)10e[0-9]+|10³|10⁶|x10[³⁶]?|mm3|/ul|/µl|/μl", "") if of == "brunelli" else F.col("unit")
     value, limits = parse_number(F.col("result"), plain), parse_range(reference, plain)
@@ -188,7 +191,7 @@ def tabular_rows(words: DataFrame, of: str) -> DataFrame:
 def sanisidro_rows(words: DataFrame) -> DataFrame:
     """Rows of named tests; what is said of limits in the column of units is the reference if there is none."""
     tolerance, ends = layout.bands("sanisidro")
-    rows = layout.table_rows(layout.lines(words, tolerance), ends).withColumn("place", F.col("page") * 100000 + F.col("line"))
+    rows = layout.cells(layout.gathered(words, tolerance), ends).withColumn("place", F.col("page") * 100000 + F.col("line"))
     rows = series.carry_forward(rows, "doc", ["place"], F.nullif(F.regexp_extract("name", SANISIDRO_SECTION, 1), F.lit("")), "section")
     test, limits = F.regexp_extract("name", SANISIDRO_TEST, 1), parse_range(F.col("method"), F.lit(""))
     speaks = F.col("unit").rlike("(?i)deseable|inferior|hasta|menor|mayor|superior|rango|referencia")
@@ -202,34 +205,47 @@ def sanisidro_rows(words: DataFrame) -> DataFrame:
 ROWS = {"verdejo": lambda w: tabular_rows(w, "verdejo"), "brunelli": lambda w: tabular_rows(w, "brunelli"), "sanisidro": sanisidro_rows, "curie": blocks.curie_rows, "ypacarai": blocks.ypacarai_rows, "sanacoop": blocks.sanacoop_rows, "neo": blocks.neo_rows}
 
 
-def read_documents(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reports and rows of results of documents of any layout: words (doc, page, x, y, word) to typed tables.
+def routed_pages(words: DataFrame) -> dict[str, DataFrame]:
+    """Pages of :func:`routed` by layout, written once, so each layout's rules read their own documents only."""
+    pages = routed(words)
+    folder = shared_folder_of(pages, "routed-pages", "layout")
+    return {of: pages.sparkSession.read.schema(pages.schema).parquet(folder).filter(F.col("layout") == of) for of in LABS}
 
-    Reports: doc, part, layout, lab, patient (as read), name, age, sex, document, date, order, doctor,
-    is_document and notes. A study of Medvital is a document: it has its text as notes and no rows. A second report of a
-    document takes date and patient from the first where it has none. Rows: doc, part, layout, place, section,
-    name, value, raw, unit, low, high, reference, qual, method. A document without words is not known.
 
-    Pages and words are written once by layout, so each layout's rules read their own documents only;
-    no step holds more than a page.
-    """
-    pages, own = routed(words)
-    pages = stored(pages, "routed-pages")
-    folder = shared_folder_of(own, "routed-words", "layout")
-    tables = {of: own.sparkSession.read.schema(own.schema).parquet(folder).filter(F.col("layout") == of) for of in LABS}
-    headers = text_headers(pages).unionByName(table_headers(tables["verdejo"].unionByName(tables["brunelli"]), pages))
+def read_reports(routes: dict[str, DataFrame]) -> DataFrame:
+    """Reports of pages by layout (:func:`routed_pages`), as :func:`read_documents` describes them."""
+    pages = reduce(DataFrame.unionByName, (routes[of] for of in FIELDS))
+    headers = text_headers(pages).unionByName(table_headers(routes["verdejo"].unionByName(routes["brunelli"])))
     first = headers.filter("part = 0").select("doc", F.col("date").alias("d"), F.col("patient").alias("p"))
     reports = headers.join(first, "doc", "left").withColumn("date", F.coalesce("date", F.when(F.col("part") > 0, F.col("d"))))
     reports = reports.withColumn("patient", F.coalesce("patient", F.when(F.col("part") > 0, F.col("p")))).drop("d", "p")
     labs = F.create_map(*(F.lit(x) for kv in LABS.items() for x in kv))
-    reports = reports.select("doc", "part", "layout", labs[F.col("layout")].alias("lab"), "patient", person_name(F.coalesce("patient", F.lit(""))).alias("name"), "age", "sex", "document", "date", "order", "doctor", (F.col("layout") == "medvital").alias("is_document"), "notes")
+    return reports.select("doc", "part", "layout", labs[F.col("layout")].alias("lab"), "patient", person_name(F.coalesce("patient", F.lit(""))).alias("name"), "age", "sex", "document", "date", "order", "doctor", (F.col("layout") == "medvital").alias("is_document"), "notes")
+
+
+def read_rows(routes: dict[str, DataFrame]) -> DataFrame:
+    """Rows of results of pages by layout (:func:`routed_pages`), as :func:`read_documents` describes them."""
     rows = None
     for of, read in ROWS.items():
-        part = tables[of].withColumn("doc", F.concat_ws(":", "part", "doc"))  # reports of one document stay apart
-        found = read(part.select("doc", "page", "x", "y", "word"))
+        part = routes[of].withColumn("doc", F.concat_ws(":", "part", "doc"))  # reports of one document stay apart
+        found = read(part.select("doc", "page", "words"))
         found = found.withColumn("method", F.lit("")) if "method" not in found.columns else found
         found = found.select(*ROW).withColumn("layout", F.lit(of))
         rows = found if rows is None else rows.unionByName(found)
     place = F.locate(":", F.col("doc"))
-    rows = rows.select(F.expr("substring(doc, locate(':', doc) + 1)").alias("doc"), F.substr("doc", F.lit(1), place - 1).cast("int").alias("part"), "layout", *ROW[1:])
-    return reports, rows
+    return rows.select(F.expr("substring(doc, locate(':', doc) + 1)").alias("doc"), F.substr("doc", F.lit(1), place - 1).cast("int").alias("part"), "layout", *ROW[1:])
+
+
+def read_documents(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports and rows of results of documents of any layout: words (doc, page, x, y, word) to typed tables.
+
+    Reports: doc, part, layout, lab, patient (as read), name, age, sex, document, date, order, doctor,
+    is_document and notes. A study of Medvital is a document: it has its text as notes and no rows. A second report of a
+    document takes date and patient from the first where it has none. Rows: doc, part, layout, place, section,
+    name, value, raw, unit, low, high, reference, qual, method. A document without words is not known.
+
+    Pages with their words are written once by layout, and both tables are read from them;
+    no step holds more than a page.
+    """
+    routes = routed_pages(words)
+    return read_reports(routes), read_rows(routes)

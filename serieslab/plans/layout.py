@@ -5,7 +5,9 @@ Bands and row rules of a layout are data; one function serves all layouts that a
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,52 @@ def bands(layout: str) -> tuple[float, list[float]]:
     return float(row[1]), [float(x) for x in row[2:]]
 
 
-def lines(words: DataFrame, tolerance: float) -> DataFrame:
-    """words (doc, page, x, y, word) with ``line``: a word joins the first line of its page within ``tolerance``.
+def pages_of(words: DataFrame) -> DataFrame:
+    """words (doc, page, x, y, word) as one row a page: doc, page and words, from the top; a page holds few words."""
+    down = F.sort_array(F.collect_list(F.struct(F.col("y").isNull().alias("lost"), "y", "x", "word")))
+    return words.groupBy("doc", "page").agg(F.transform(down, lambda w: F.struct(w["x"].alias("x"), w["word"].alias("word"), w["y"].alias("y"))).alias("words"))
+
 
-    The rule is greedy and depends on the order, so it runs over one page at a time; a page holds few words.
+def gathered(pages: DataFrame, tolerance: float) -> DataFrame:
+    """Lines of pages (of :func:`pages_of`, or words): doc, page, line, y (the least of the line) and w, its words from the left.
+
+    A word joins the first line of its page within ``tolerance``. The rule is greedy and goes down the page. Heights
+    of lines rise by more than the tolerance, so a word can only join the last one. A word without a height is a line
+    of its own, below all others. Pages are read in batches and nothing is shuffled.
     """
+    if "words" not in pages.columns:
+        pages = pages_of(pages)
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(2).flatten()
+            heights, sizes = words.field(2).to_pylist(), batch.column(2).value_lengths().to_pylist()
+            of, number, begins, at = [], [], [], 0
+            for i, size in enumerate(sizes):
+                top, line = None, -1
+                for k in range(at, at + size):
+                    y = heights[k]
+                    if top is None or y is None or not y - top <= tolerance:
+                        top, line = y, line + 1
+                        of.append(i)
+                        number.append(line)
+                        begins.append(k)
+                at += size
+            rows, w = pa.array(of, pa.int32()), pa.ListArray.from_arrays(pa.array([*begins, at], pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), words.field(2).take(pa.array(begins, pa.int32())), w], ["doc", "page", "line", "y", "w"])
+
+    found = pages.select("doc", "page", "words").mapInArrow(cluster, "doc string, page int, line long, y double, w array<struct<x:double,word:string,y:double>>")
+    return found.withColumn("w", F.sort_array("w"))
+
 
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        heights: list[float] = []
-        number = []
-        for y in page["y"]:
-            at = next((i for i, h in enumerate(heights) if abs(h - y) <= tolerance), len(heights))
-            if at == len(heights):
-                heights.append(y)
-            number.append(at)
-        return page.assign(line=number)
+def lines(words: DataFrame, tolerance: float) -> DataFrame:
+    """words (doc, page, x, y, word) with ``line``, the number of their line on the page (:func:`gathered`)."""
+    return gathered(words, tolerance).select("doc", "page", "line", F.inline("w")).select("doc", "page", "x", "y", "word", "line")
 
-    return words.select("doc", "page", "x", "y", "word").groupBy("doc", "page").applyInPandas(cluster, "doc string, page int, x double, y double, word string, line long")
+
+def said(w: Column) -> Column:
+    """The text of a line."""
+    return F.array_join(F.transform(w, lambda v: v["word"]), " ")
 
 
 def column_of(x: Column, ends: list[float]) -> Column:
@@ -49,22 +79,29 @@ def column_of(x: Column, ends: list[float]) -> Column:
     return F.when(x < name, "name").when(x < result, "result").when(x < unit, "unit").when(x < method, "method").otherwise("reference")
 
 
+COLUMNS = ("name", "result", "unit", "method", "reference")
+
+
+def cells(lined: DataFrame, ends: list[float]) -> DataFrame:
+    """Lines (of :func:`gathered`) with the text of their columns, empty where a column has no words."""
+    of = lambda c: said(F.filter("w", lambda v: column_of(v["x"], ends) == c)).alias(c)
+    return lined.select("*", *(of(c) for c in COLUMNS))
+
+
 def table_rows(lined: DataFrame, ends: list[float]) -> DataFrame:
-    """One row for each line with the text of its columns, blanks where a column has no words."""
-    cells = lined.withColumn("column", column_of(F.col("x"), ends)).groupBy("doc", "page", "line", "column")
-    cells = cells.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda w: w["word"]), " ").alias("text"))
-    wide = cells.groupBy("doc", "page", "line").pivot("column", ["name", "result", "unit", "method", "reference"]).agg(F.first("text"))
-    return wide.fillna("", ["name", "result", "unit", "method", "reference"])
+    """One row for each line of words (doc, page, line, x, word) with the text of its columns, blanks where a column has no words."""
+    rows = lined.groupBy("doc", "page", "line").agg(F.sort_array(F.collect_list(F.struct("x", "word"))).alias("w"))
+    return cells(rows, ends).drop("w")
 
 
 def result_rows(words: DataFrame, layout: str, section: str = r"^[A-ZÁÉÍÓÚÑ ]{4,}$") -> DataFrame:
     """Results of a tabular layout: section headings carried down, lines without a name added to the row above."""
     tolerance, ends = bands(layout)
-    rows = table_rows(lines(words, tolerance), ends).withColumn("place", F.col("page") * 100000 + F.col("line"))
+    rows = cells(gathered(words, tolerance), ends).withColumn("place", F.col("page") * 100000 + F.col("line"))
     heading = (F.col("result") == "") & F.col("name").rlike(section) & (F.size(F.split("name", " ")) <= 4)
     rows = series.carry_forward(rows, "doc", ["place"], F.when(heading, F.col("name")), "section")
     rows = series.blocks(rows.filter(~heading), "doc", ["place"], F.col("name") != "")
-    join = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), " ")).alias(c)
+    join = lambda c: F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", c))), lambda x: x[c]), " ")).alias(c)
     out = rows.filter("block > 0").groupBy("doc", "block").agg(F.first("section").alias("section"), join("name"), join("result"), join("unit"), join("method"), join("reference"))
     return out.filter("result <> ''")
 

@@ -293,3 +293,15 @@ def test_suggested_persons(spark):
     aliases = spark.createDataFrame([(7, "1234567")], "person_id long, doc string")
     assert found(ingest.suggest_persons(frame, persons, aliases=aliases))[:3] == [("a", 1, 4, "documento"), ("a", 2, 7, "documento"), ("a", 3, 1, "nombre")]
     assert found(ingest.suggest_persons(frame, persons, most=1)) == [w for w in want if w[1] == 1]
+
+
+def test_lines_of_pages(spark):
+    """Words join the last line within the tolerance, pages are apart, words without a height are lines of their own, and no word is shuffled once pages are made."""
+    rows = [("d", 1, 5.0, 10.0, "b"), ("d", 1, 1.0, 10.9, "a"), ("d", 1, 1.0, 11.1, "c"), ("d", 1, 3.0, None, "z"), ("d", 1, 2.0, None, "y"), ("d", 2, 1.0, 11.0, "e"), ("e", 1, 1.0, 11.0, "f")]
+    words = spark.createDataFrame(rows, "doc string, page int, x double, y double, word string")
+    found = layout.gathered(layout.pages_of(words), 1.0)
+    assert sorted((r.doc, r.page, r.line, r.y or 0, " ".join(v["word"] for v in r.w)) for r in found.collect()) == [("d", 1, 0, 10.0, "a b"), ("d", 1, 1, 11.1, "c"), ("d", 1, 2, 0, "y"), ("d", 1, 3, 0, "z"), ("d", 2, 0, 11.0, "e"), ("e", 1, 0, 11.0, "f")]
+    assert sorted((r.doc, r.page, r.word, r.line) for r in layout.lines(words, 1.0).collect()) == [("d", 1, "a", 0), ("d", 1, "b", 0), ("d", 1, "c", 1), ("d", 1, "y", 2), ("d", 1, "z", 3), ("d", 2, "e", 0), ("e", 1, "f", 0)]
+    again = layout.gathered(spark.createDataFrame(layout.pages_of(words).collect(), layout.pages_of(words).schema), 1.0)
+    assert "Exchange" not in again._jdf.queryExecution().toString()
+    assert layout.gathered(words.limit(0), 1.0).count() == 0
