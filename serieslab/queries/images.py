@@ -37,13 +37,15 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         number = F.lpad(F.hex(F.round(v.cast("double") * 1000).cast("long") + 65536), 5, "0")
         return F.concat(F.right(number, F.lit(2)), F.substring(number, 2, 2))
 
-    cells = F.transform("embedding", hexed)
-    cycle = F.array_join(cells, "")  # 64 places; a row is that many from its own place on
-    row = lambda f: F.transform(F.sequence(F.lit(0), F.lit(SIDE[0] - 1)), lambda y: F.substr(F.repeat(cycle, 2), ((f + y * 7) % 64) * 4 + 1, F.lit(SIDE[1] * 4)))
-    frames = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(FRAMES - 1)), row))
+    cycle = F.array_join(F.transform("embedding", hexed), "")  # 64 places; a row is that many from its own place on
+    row = lambda c, f, y: F.substr(c, ((f + y * 7) % 64) * 4 + 1, F.lit(SIDE[1] * 4))
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    rows = lambda c: F.flatten(F.transform(upto(FRAMES), lambda f: F.transform(upto(SIDE[0]), lambda y: row(c, f, y))))
+    frames = F.transform(F.array(F.repeat(cycle, 2)), lambda c: F.array_join(rows(c), ""))[0]  # an array of one, so that the cycle is made once, not for each row
     odd, third = F.col("vec_id") % 2 == 1, F.col("vec_id") % 3 == 0
-    content = F.concat(F.lit(meta), F.when(odd, kind(b"MONOCHROME1")).otherwise(kind(b"MONOCHROME2")), F.lit(shape), F.when(third, F.lit(own)).otherwise(F.lit(b"")), F.lit(scale), F.lit(head), F.unhex(F.array_join(frames, "")))
-    return table(spark, d, "embeddings").select("vec_id", "label", F.concat(F.lit("image "), F.col("vec_id").cast("string")).alias("path"), content.alias("content"))
+    content = F.concat(F.lit(meta), F.when(odd, kind(b"MONOCHROME1")).otherwise(kind(b"MONOCHROME2")), F.lit(shape), F.when(third, F.lit(own)).otherwise(F.lit(b"")), F.lit(scale), F.lit(head), F.unhex(frames))
+    vectors = table(spark, d, "embeddings").repartition("vec_id")  # a file is forty times its vector, so tasks are dealt files, not bytes of vectors
+    return vectors.select("vec_id", "label", F.concat(F.lit("image "), F.col("vec_id").cast("string")).alias("path"), content.alias("content"))
 
 
 GREY_SQL = f"""WITH px AS (SELECT vec_id, label, f, y, x, trunc(round(embedding[(f + 7 * y + x) % 64 + 1]::DOUBLE * 1000) * 0.5 - 10)::BIGINT AS v FROM embeddings, range({FRAMES}) a(f), range({SIDE[0]}) b(y), range({SIDE[1]}) c(x)),
@@ -58,8 +60,7 @@ def frame_windows(spark: SparkSession, d: str) -> DataFrame:
     """Range, window and sum of grey levels of each frame of the images' files."""
     made = files(spark, d)
     read = pixels.read_frames(made, pixels=True)
-    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("grey")), lambda i: F.conv(F.hex(F.substr("grey", i, F.lit(1))), 16, 10).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return read.select(F.substring("path", 7, 20).cast("long").alias("vec_id"), "frame", "low", "high", "centre", "width", total.alias("grey"))
+    return read.select(F.substring("path", 7, 20).cast("long").alias("vec_id"), "frame", "low", "high", "centre", "width", pixels.brightness("grey").alias("grey"))
 
 
 @query(GREY_SQL + " SELECT vec_id, f::INT AS frame, (gy * 24 + gx)::INT AS cell, round(s, 6) AS mean FROM sig")

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from serieslab.session import bounded_batches
 from serieslab.sources.dicom import PIXELS, elements, tags
 
+#: Bytes of frames after which they leave a task as a batch, and what a frame takes besides its pixels.
+BATCH_BYTES, FRAME_BYTES = 4 << 20, 8 << 10
 #: Side of the grid of a signature.
 GRID = 24
 # Tags of the description of an image.
@@ -115,8 +119,8 @@ def read_frames(files: DataFrame, grid: int = GRID, pixels: bool = False) -> Dat
     and no signature) and error. A file without frames gives one row with the error; a null content is
     no DICOM file. Other columns are not read.
 
-    Files are read one at a time in a task and frames leave it one by one, so memory follows the largest file, not
-    the number of frames; nothing is shuffled.
+    Files are read one at a time in a task and frames leave it in batches of about ``BATCH_BYTES``, so memory follows
+    the largest file, not the number of frames; nothing is shuffled.
     """
     bounded_batches(files.sparkSession)
     schema = "path string, frame int, n_frames int, rows int, cols int, low long, high long, centre double, width double, signature array<double>, grey binary, packed binary, error string"
@@ -134,17 +138,36 @@ def read_frames(files: DataFrame, grid: int = GRID, pixels: bool = False) -> Dat
                 yield (path, f, n, *size, *[None] * 6, content[begin : begin + length], "compressed")
                 continue
             grey, *found = grey_levels(image.stored(f), image.info)
-            yield (path, f, n, *size, *found, signature(grey, grid).tolist(), grey.tobytes() if pixels else None, None, None)
+            yield (path, f, n, *size, *found, signature(grey, grid), grey.tobytes() if pixels else None, None, None)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 for row in rows_of(path.as_py(), content.as_py() or b""):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+                    held.append(row)
+                    size += FRAME_BYTES + len(row[10] or b"") + len(row[11] or b"")
+                    if size >= BATCH_BYTES:
+                        yield batch_of(held)
+                        held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def brightness(grey: Column | str) -> Column:
+    """Sum of the grey levels of a frame, null if there are none."""
+
+    def total(frames: pd.Series) -> pd.Series:
+        return frames.map(lambda g: None if g is None else int(np.frombuffer(g, np.uint8).sum(dtype=np.int64))).astype("Int64")
+
+    return F.pandas_udf(total, "long")(grey)
+
+
 def pixel_rows(files: DataFrame) -> DataFrame:
     """path, frame, y and values: the stored values of each row of the uncompressed frames of files (path, content)."""
     bounded_batches(files.sparkSession)

@@ -111,3 +111,12 @@ def test_like_frames(spark):
     got = {(r.a, r.b): r["diff"] for r in dedup.pairs_below(frames, "study", "path", "signature", 0.1).collect()}
     assert got == {("a", "b"): pytest.approx(np.abs(sig["a"] - sig["b"]).mean())}
     assert np.abs(sig["a"] - sig["c"]).mean() > 0.1
+
+
+def test_brightness(spark):
+    """The sum of the bytes of each of many frames, none for a file without frames; files come from several rows of a batch."""
+    stored = np.arange(5 * 30 * 30).reshape(5, 30, 30)
+    files = spark.createDataFrame([*((str(i), image(stored, frames=5)) for i in range(4)), ("none", b"")], "path string, content binary").coalesce(1)
+    read = pixels.read_frames(files, pixels=True)
+    got = {(r.path, r.frame): (r.grey, r.total) for r in read.withColumn("total", pixels.brightness("grey")).collect()}
+    assert len(got) == 21 and got.pop(("none", None)) == (None, None) and all(t == sum(g) for g, t in got.values())
