@@ -95,7 +95,8 @@ def fuzzy_person(people: DataFrame, known: DataFrame, least: int = 3) -> DataFra
     people: name, doc; known: id, name, doc. Candidates are blocked on the given name.
     """
     named = people.select("name", "doc").distinct().withColumn("given", given_name(F.col("name"))).withColumn("tokens", name_tokens(F.col("name")))
-    listed = known.withColumn("given", given_name(F.col("name"))).withColumn("tokens", name_tokens(F.col("name")))
+    listed = known.withColumn("given", given_name(F.col("name"))).withColumn("tokens", F.array_sort(name_tokens(F.col("name"))))
+    listed = listed.filter("given <> ''").groupBy("given", "tokens").agg(F.min("id").alias("id"))  # those of one name match alike, so the first of them stands for all
     by_doc = known.filter("doc <> ''").groupBy("doc").agg(F.min("id").alias("doc_id"))
     pairs = shared_tokens(named.filter("given <> ''"), listed.select("id", "given", "tokens"), "given", "tokens", least)
     by_name = pairs.groupBy(F.col("name_a").alias("name"), F.col("doc_a").alias("doc")).agg(F.min("id_b").alias("name_id"))

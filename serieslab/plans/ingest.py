@@ -163,7 +163,8 @@ def suggest_persons(texts: DataFrame, persons: DataFrame, read: DataFrame | None
     Distinct entities alone are matched, by equality and by rare tokens; a text's rows are few.
     """
     spans = [F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in (NUMBER_SPAN, NAME_SPAN)]
-    parts = [texts.select("key", F.lit(k + 1).alias("kind"), F.posexplode(s).alias("pos", "entity")) for k, s in enumerate(spans)]
+    dealt = texts.select("key", "text").repartition("key")  # a search takes far longer than a text takes to move, and a file of texts may be one task
+    parts = [dealt.select("key", F.lit(k + 1).alias("kind"), F.posexplode(s).alias("pos", "entity")) for k, s in enumerate(spans)]
     found = parts[0].unionByName(parts[1])
     if read is not None:
         row = lambda kind, pos, entity: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), entity.alias("entity"))
