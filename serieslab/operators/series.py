@@ -59,8 +59,13 @@ def monthly_last(df: DataFrame, key: str, at: str, tie: str, value: str) -> Data
 
 
 def monthly_pivot(monthly: DataFrame, key: str, months: list[str]) -> DataFrame:
-    """One column for each of the given months; naming them spares a pass that would look for them."""
-    return monthly.groupBy(key).pivot("month", months).agg(F.first("value"))
+    """One column for each of the given months; naming them spares a pass that would look for them.
+
+    What a group holds are the months that it has, not a place for each of the given ones, and rows meet by key alone.
+    """
+    own = F.map_from_entries(F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "value"))))
+    listed = monthly.groupBy(key).agg(own.alias("_own"))
+    return listed.select(key, *(F.col("_own")[m].alias(m) for m in months))
 
 
 def blocks(lines: DataFrame, doc: str, order: list[str], is_header: Column) -> DataFrame:

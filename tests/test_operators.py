@@ -242,3 +242,20 @@ def test_row_numbers(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
     assert [r.n for r in row_numbers(df, "n", "k").orderBy("k").collect()] == list(range(1, 1001))
     assert row_numbers(df.limit(0), "n", "k").count() == 0
+
+
+def test_persons_of_one_name(spark):
+    """Of many persons with one name one row meets the names that are looked for, and the smallest id is found."""
+    known = spark.range(1, 401).select("id", F.lit("Ana Peña Núñez").alias("name"), F.lit("").alias("doc")).unionByName(spark.createDataFrame([(0, None, ""), (500, "ANA NUNEZ PENA DIAZ", "7")], "id long, name string, doc string"))
+    people = spark.createDataFrame([("ANA PEÑA NÚÑEZ", ""), ("Ana Diaz Pena Nunez", ""), ("x", "7"), (None, "")], "name string, doc string")
+    found = joins.fuzzy_person(people, known)
+    assert {r.name: r.match_id for r in found.collect()} == {"ANA PEÑA NÚÑEZ": 1, "Ana Diaz Pena Nunez": 1, "x": 500, None: None}
+    assert "min(id" in found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1]
+
+
+def test_monthly_pivot(spark):
+    """A group holds its own months only; one without a month, or with months that are not asked for, is a row of nulls."""
+    rows = [(1, "2024-01", 5.0), (1, "2024-03", None), (2, None, 1.0), (3, "1999-01", 2.0), (None, "2024-02", 7.0)]
+    got = series.monthly_pivot(spark.createDataFrame(rows, "k int, month string, value double"), "k", ["2024-01", "2024-02", "2024-03"])
+    assert {r.k: tuple(r)[1:] for r in got.collect()} == {1: (5.0, None, None), 2: (None,) * 3, 3: (None,) * 3, None: (None, 7.0, None)}
+    assert "pivotfirst" not in got._jdf.queryExecution().toString().lower()
