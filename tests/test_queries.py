@@ -56,3 +56,16 @@ def test_rounded_limit(spark, tmp_path):
     vectors = [(0, [0.0] * 64), (1, [0.14000045] * 64), (2, [-0.14000055] * 64)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in queries.queries()["pairwise_signature_diff"](spark, str(tmp_path)).collect()] == [(0, 0, 1, 0.14)]
+
+
+def test_stream_of_many_files(spark, tmp_path, monkeypatch):
+    """Documents in many files come as many files in two batches, none written by a single task, with the same tables."""
+    from serieslab.queries import streams
+
+    monkeypatch.setattr(streams, "shared_folder", lambda _: str(tmp_path / "shared"))
+    texts = [(i, "x" * (i % 7 + 1)) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.name: r.n for r in queries.queries()["ingest_stream_tables"](spark, str(tmp_path)).collect()}
+    assert got == {"files": 40, "reports": 3, "persons": 3, "tests": 6, "pending": 4}
+    assert len(list(tmp_path.glob("shared/ingest-*/in/*.parquet"))) > 2
+    assert len(list(tmp_path.glob("shared/ingest-*/tables/lists/*.json"))) == 2
