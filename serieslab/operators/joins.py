@@ -25,21 +25,36 @@ def by_precedence(df: DataFrame, dim: DataFrame, key: str, rank: Callable[[Colum
     return joined.withColumn("best", F.array_min(ranked)["c"]).drop("_all")
 
 
-#: Words up to which each text is compared with each; more of them are searched through by automata.
-FEW = 1_000
+#: Words up to which each text is compared with each, and characters of a text up to which its pieces are looked up among more words.
+FEW, SHORT = 1_000, 32
+
+
+def _pieces(text: str, least: int, most: int) -> Column:
+    """The distinct pieces of ``least`` to ``most`` characters of a text of ``least`` or more."""
+    size = F.length(text)
+    at = lambda i: F.transform(F.sequence(F.lit(least), F.least(size - i + 1, F.lit(most))), lambda n: F.substr(F.col(text), i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size - least + 1), at)))
 
 
 def containing(texts: DataFrame, text: str, words: DataFrame, word: str, few: int = FEW, longest: bool = False) -> DataFrame:
     """Rows of ``texts`` and ``words`` where the word is contained in the text; with ``longest`` not all of the shorter ones.
 
-    Up to ``few`` words are broadcast and looked for one by one, which needs no Python; more of them
-    through automata over all words at once (:func:`containment.contained`), whose pairs are joined by
-    equality.
+    Up to ``few`` words are broadcast and looked for one by one. Of more of them, those in texts of up to
+    SHORT characters are found by an equality join on all pieces of a text, at most SHORT * SHORT / 2
+    and only as long as words are, which grows with the texts and not with the words. Longer texts go
+    through automata over all words at once (:func:`containment.contained`), whose pairs are joined by equality.
     """
-    if words.limit(few + 1).count() <= few:
+    size = F.length(word)
+    known = words.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(size > 0, size)).alias("least"), F.max(size).alias("most")).first()
+    if known.n <= few:
         return texts.join(F.broadcast(words), F.col(text).contains(F.col(word)))
-    pairs = containment.contained(texts, text, words, word, longest)
-    return texts.join(pairs.join(words, word), text)
+    least, most = known.least or 1, known.most or 1
+    short = texts.filter(F.length(text).between(least, SHORT)).withColumn("_piece", F.explode(_pieces(text, least, most)))
+    found, rest = short.join(words, F.col("_piece") == F.col(word)).drop("_piece"), texts.filter(F.length(text) > SHORT)
+    if rest.isEmpty():
+        return found
+    pairs = containment.contained(rest, text, words, word, longest)
+    return found.unionByName(rest.join(pairs.join(words, word), text))
 
 
 def longest_contained(df: DataFrame, text: str, dim: DataFrame, word: str, result: str, least: int = 1, few: int = FEW) -> DataFrame:

@@ -94,6 +94,20 @@ def test_catalogue_of_many_names(spark, sf):
         assert len(r.match) == max(map(len, r.p_name.split(" ")))
 
 
+def test_pieces_of_short_texts(spark):
+    """Among many words, pieces of short texts are joined without Python; texts of any length lose no word, rows keep their number."""
+    rng = random.Random(2)
+    make = lambda least, n: "".join(rng.choice("aaabñ😀 ") for _ in range(rng.randint(least, n)))
+    short, long = [make(0, joins.SHORT) for _ in range(60)] + ["ab" * (joins.SHORT // 2)], [make(joins.SHORT + 1, 90) for _ in range(20)] + ["ba" * 300]
+    words = [make(2, 5) for _ in range(60)] + ["ab" * 12, "ab" * 20]
+    dim = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, ord int")
+    for texts in (short, short + long):
+        frame = spark.createDataFrame([(t, i) for i, t in enumerate([*texts, None])], "t string, n int")
+        got = joins.containing(frame, "t", dim, "w", few=0)
+        assert sorted((r.n, r.ord) for r in got.collect()) == [(n, i) for n, t in enumerate(texts) for i, w in enumerate(words) if w in t]
+        assert ("Arrow" in got._jdf.queryExecution().toString()) == (texts != short)
+
+
 def test_resolve_alias(spark):
     aliases = spark.createDataFrame([(0, "losartan", "x"), (1, "losartan potasico", "y"), (2, "aas", "z"), (3, "vitamina d", "w")], "ord int, alias string, code string")
     names = spark.createDataFrame([("losartan potasico",), ("losartan 50",), ("potasico",), ("aas 100",), ("aas",), ("",), (None,)], "name string")
