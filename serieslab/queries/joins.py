@@ -10,7 +10,7 @@ from serieslab.operators import joins
 from serieslab.plans.assessment import sex_rank
 from serieslab.plans.ingest import text_entities
 from serieslab.queries.registry import query
-from serieslab.session import table
+from serieslab.session import stored, table
 
 # Words of product names, in order, and codes for them.
 WORDS = (("ring", "R"), ("red", "RED"), ("red ring", "RR"), ("gear", "G"), ("old gear", "OG"), ("rod", "ROD"), ("widget", "W"), ("blue", "B"))
@@ -68,7 +68,8 @@ def catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Names of conversations, and all words of documents as a catalogue, in the order of how rare they are."""
     words = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit("[a-zà-ÿ]{3,}"), F.lit(0))).alias("word"))
     listed = words("documents").groupBy("word").agg(F.count(F.lit(1)).alias("ord"))
-    return words("conversations").select(F.col("word").alias("name")).distinct(), listed
+    names = words("conversations").select(F.col("word").alias("name")).distinct()
+    return stored(names, "names"), stored(listed, "catalogue")  # read several times, with texts of any size behind them
 
 
 @query(CATALOGUE_SQL + """ SELECT n.name, m.word AS longest FROM names n LEFT JOIN (SELECT name, arg_min(c.word, (c.word <> name, -length(c.word), c.ord, c.word)) AS word FROM pieces p JOIN catalogue c USING (word) GROUP BY name) m USING (name)""")

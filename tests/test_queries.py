@@ -69,3 +69,10 @@ def test_stream_of_many_files(spark, tmp_path, monkeypatch):
     assert got == {"files": 40, "reports": 3, "persons": 3, "tests": 6, "pending": 4}
     assert len(list(tmp_path.glob("shared/ingest-*/in/*.parquet"))) > 2
     assert len(list(tmp_path.glob("shared/ingest-*/tables/lists/*.json"))) == 2
+
+
+@pytest.mark.parametrize("name", ["alias_of_catalogue", "longest_of_catalogue"])
+def test_catalogue_is_read_once(spark, sf, name):
+    """The words of all texts are taken out once; what is looked up in them starts from stored words."""
+    found = queries.queries()[name](spark, sf)
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "documents" in f or "conversations" in f]
