@@ -76,3 +76,10 @@ def test_catalogue_is_read_once(spark, sf, name):
     """The words of all texts are taken out once; what is looked up in them starts from stored words."""
     found = queries.queries()[name](spark, sf)
     assert found.inputFiles() and not [f for f in found.inputFiles() if "documents" in f or "conversations" in f]
+
+
+@pytest.mark.parametrize("name", ["drug_drug_pairs", "drug_lab_checks", "unknown_items"])
+def test_medicines_are_made_once(spark, sf, name):
+    """The list of medicines is stored before its names are looked up."""
+    found = queries.queries()[name](spark, sf)
+    assert not [f for f in found.inputFiles() if "lineitem" in f or "orders" in f]
