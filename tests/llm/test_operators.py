@@ -766,3 +766,15 @@ def test_mix_is_the_same_however_files_are_split(spark, sf, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_counts_look_a_batch_up_once(monkeypatch):
+    """The distinct pieces of a batch are looked up in the vocabulary together, however many texts it has; an index counts as before."""
+    from serieslab.llm import toxicity as module
+
+    texts = pa.array([" ".join(f"word{(i * 7 + j) % 50} same" for j in range(400)) for i in range(600)])
+    assert 1 << 20 < sum(pa.compute.binary_length(texts).to_pylist()) < module.BATCH_BYTES
+    calls, own = [], module.pieces
+    monkeypatch.setattr(module, "pieces", lambda part: (calls.append(1), own(part))[1])
+    found = module.Vocabulary(pa.array(["same", "word"])).counts(texts)
+    assert len(calls) == 1 and found[0].tolist() == list(range(0, 1201, 2)) and set(found[2].tolist()) == {400}
