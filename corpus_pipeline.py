@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslab.llm.common import fresh, numbered, quoted, shared_dir
+from serieslab.llm.common import driver_gives_back, fresh, numbered, quoted, shared_dir
 from serieslab.llm.decontaminate import decontaminate
 from serieslab.llm.mix import mix
 from serieslab.llm.near_dedup import near_dedup
@@ -21,7 +21,8 @@ from serieslab.llm.toxicity import toxicity
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number of each row, and the name of its column, which no other column has."""
+    """``docs`` with a number of each row, and the name of its column, which no other column has; what the driver held for the stage before goes first."""
+    driver_gives_back(docs.sparkSession)
     row = fresh("row_", docs)
     return numbered(docs, row), row
 
@@ -61,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in doc_id order, read back: doc_id, start, n_tokens and a checksum of the ids."""
+    driver_gives_back(spark)
     return with_crc(token_output(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -778,3 +778,13 @@ def test_counts_look_a_batch_up_once(monkeypatch):
     monkeypatch.setattr(module, "pieces", lambda part: (calls.append(1), own(part))[1])
     found = module.Vocabulary(pa.array(["same", "word"])).counts(texts)
     assert len(calls) == 1 and found[0].tolist() == list(range(0, 1201, 2)) and set(found[2].tolist()) == {400}
+
+
+def test_stages_begin_with_the_driver_given_back(spark):
+    """Numbering the rows of a stage makes the JVM collect, so that its heap does not stay as an earlier stage left it."""
+    import corpus_pipeline
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = beans()
+    corpus_pipeline._numbered(docs(spark))
+    assert beans() > before
