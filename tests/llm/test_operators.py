@@ -788,3 +788,26 @@ def test_stages_begin_with_the_driver_given_back(spark):
     before = beans()
     corpus_pipeline._numbered(docs(spark))
     assert beans() > before
+
+
+def test_examples_that_are_alike_share_blocks():
+    """Blocks hold examples of one kind even if the heaviest feature of each is its own, so that bounds can leave out blocks of other kinds."""
+    from serieslab.llm import toxicity as module
+
+    rng, kinds, each = np.random.default_rng(3), 4, 2 * module.BLOCK
+    kind = rng.permutation(np.repeat(np.arange(kinds), each))
+    found = [np.concatenate([np.sort(rng.choice(40, 12, replace=False)) + 40 * k, [40 * kinds + i]]) for i, k in enumerate(kind)]
+    weights = [np.concatenate([np.full(12, 0.26), [np.sqrt(1 - 12 * 0.26**2)]]).astype(np.float32) for _ in found]
+    index = module.Index(np.cumsum([0, *map(len, found)]), np.concatenate(found).astype(np.int32), np.concatenate(weights), 40 * kinds + len(found))
+    assert sorted(index.order) == list(range(len(found))) and (index.place[index.order] == np.arange(len(found))).all()
+    shares = [np.bincount(kind[index.order[i : i + module.BLOCK]]).max() / module.BLOCK for i in range(0, len(found), module.BLOCK)]
+    assert np.mean(shares) > 0.8  # of the commonest kind in a block; 0.25 to 0.35 if kinds are mixed
+
+
+def test_batches_are_joined():
+    from serieslab.llm.common import joined
+
+    parts = [pa.record_batch([pa.array([f"{i} {'x' * 90}" for i in range(a, b)])], ["text"]) for a, b in ((0, 10), (10, 10), (10, 25), (25, 26), (26, 90))]
+    got = list(joined(iter(parts), 3000))
+    assert [t for b in got for t in b.column(0).to_pylist()] == [t for b in parts for t in b.column(0).to_pylist()]
+    assert [b.num_rows for b in got] == [26, 64] and list(joined(iter([]), 9)) == []
