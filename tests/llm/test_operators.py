@@ -229,6 +229,25 @@ def test_lm_learns_from_every_window(monkeypatch):
         assert sum(seen) == sizes.sum() and steps == len(seen)
 
 
+def test_lm_gradient_takes_one_exponential_a_class(monkeypatch):
+    """Shares of the classes come from one exponential each, and equal those of the normalised logarithms."""
+    t, w, rng, plain, taken = tables(), some_weights(), np.random.default_rng(9), np.exp, []
+    last, use = rng.integers(0, 50, (5, lm.WINDOW)), rng.random((5, lm.WINDOW)) < 0.7
+    target = t.class_of_id[rng.integers(0, 50, (5, lm.WINDOW))]
+    mixed = lm.attend(w, last)[-1][use]
+    error = -plain(lm.class_logs(w, t, mixed, last[use]))
+    error[np.arange(len(error)), target[use]] += 1
+
+    def exp(x, *args, **kwargs):
+        taken.append(np.size(x))
+        return plain(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "exp", exp)
+    g = lm.gradient(w, t, last, target, use)
+    assert sum(taken) == last.size * lm.WINDOW + use.sum() * lm.CLASSES
+    assert g["out"] == pytest.approx(mixed.T @ error, abs=1e-4)
+
+
 def test_lm_empty(spark, empty):
     assert lm.lm_score(empty, TOKENIZER).count() == 0
 
