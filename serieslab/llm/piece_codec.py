@@ -34,6 +34,35 @@ def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, codes: np.nd
     return flat[np.repeat(begins[codes] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class Spelt:
+    """Ids of texts that a task remembers: the number of each text, and the ids of all one after another."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def new(self, texts: list[str]) -> list[str]:
+        """Those of the distinct texts that are not known. When too many would be, only the known ones of these stay."""
+        if len(self.number) + len(texts) > REMEMBERED:
+            stay = [t for t in texts if t in self.number]
+            flat, sizes = self.of(stay)
+            self.__init__()
+            self.add(stay, flat, sizes)
+        return [t for t in texts if t not in self.number]
+
+    def add(self, texts: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(texts, range(len(self.number), len(self.number) + len(texts)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+
+    def of(self, texts: list[str], codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the known texts, or of those that ``codes`` number, one after another, and how many each has."""
+        numbers = np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
+        if codes is not None:
+            numbers = numbers[codes]
+        return ragged(self.flat, self.begins, self.sizes, numbers), self.sizes[numbers]
+
+
 class PieceCodec:
     """A vocabulary of the merge type with byte fallback, as its model file describes it.
 
@@ -73,13 +102,14 @@ class PieceCodec:
         self.chunk = re.compile("(?s).+" if crosses else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.cut = None if crosses else re.compile(f"[^{BLANK}]{BLANK}")
         self.by_word = self.plain and self.dummy and not crosses
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.of_letter = np.full(0x110000, -1, np.int64)
+        self.known, self.parts = Spelt(), Spelt()
+        self.of_letter = np.full(0x110000, -1, np.int32)
         for letter, i in self.ids.items():
             if len(letter) == 1:
                 self.of_letter[ord(letter)] = i
         self.pairs = self._pairs()
+        self.meet = np.array(sorted(ord(a) << 21 | ord(b) for a, b in self.beside), np.int64)
+        self.meet_ascii = np.array([chr(a) + chr(b) in self.beside for a in range(128) for b in range(128)])
 
     @staticmethod
     def _surface(piece: object, kinds: object) -> bytes:
@@ -94,7 +124,7 @@ class PieceCodec:
         return (BLANK if self.dummy and text else "") + text.replace(" ", BLANK)
 
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of two pieces that together form a piece, as one sorted key each, with its cost and number."""
+        """Numbers of two pieces that together form a piece, as one sorted key each, with its cost (a score has 32 bits) and number."""
         size, found = len(self.surface), {}
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
@@ -102,62 +132,61 @@ class PieceCodec:
                 if a is not None and b is not None:
                     found[a * size + b] = (self.cost[piece], i)
         keys = np.array(sorted(found), np.int64)
-        return keys, np.array([found[k][0] for k in keys.tolist()]), np.array([found[k][1] for k in keys.tolist()], np.int64)
+        return keys, np.array([found[k][0] for k in keys.tolist()], np.float32), np.array([found[k][1] for k in keys.tolist()], np.int32)
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost and number of the piece of each pair; NEVER without one, or beyond the end (-1)."""
         keys, costs, joint = self.pairs
-        key = a * len(self.surface) + b
+        key = a.astype(np.int64) * len(self.surface) + b
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         has = (keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(has, costs[at], NEVER), joint[at]
 
-    def merge_all(self, parts: list[str]) -> None:
-        """Ids of parts that are not known, all at once: each row of a table is a part with its agenda, and in each step every part joins its cheapest pair."""
-        letters = np.array([len(p) for p in parts])
-        numbers = [self.of_letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]] if parts else []
-        begins = np.cumsum(letters) - letters
+    def merge_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another and how many each has: each row of a table is a part with its agenda, and in each step every part joins its cheapest pair."""
+        letters = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers, begins = self.of_letter[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)], np.cumsum(letters) - letters
+        strange = np.zeros(len(parts), bool)  # a character that is no piece
+        strange[np.searchsorted(begins, np.flatnonzero(numbers < 0), side="right") - 1] = True
+        few = (letters <= FEW) & ~strange
+        sizes, done = np.zeros(len(parts), np.int64), []
         for lo in range(0, FEW, 4):
-            rows = np.flatnonzero((letters > lo) & (letters <= lo + 4))
+            rows = np.flatnonzero(few & (letters > lo) & (letters <= lo + 4))
             for k in range(0, len(rows), 20_000):
-                self._merge_table(parts, rows[k : k + 20_000], numbers[0], begins, letters)
-        for i in np.flatnonzero(letters > FEW).tolist():
-            self.parts[parts[i]] = self._spelt(self._merged_many(list(parts[i])))
-
-    def _merge_table(self, parts: list[str], rows: np.ndarray, numbers: np.ndarray, begins: np.ndarray, letters: np.ndarray) -> None:
+                done += self._merge_table(rows[k : k + 20_000], numbers, begins, letters)
+        for i in np.flatnonzero(~few).tolist():
+            done.append((np.array([i]), np.array([self._spelt(self._merged_many(list(parts[i])))], np.int32)))
+        for rows, ids in done:
+            sizes[rows] = (ids >= 0).sum(axis=1)
+        ends, flat = np.cumsum(sizes), np.zeros(sizes.sum(), np.int32)
+        for rows, ids in done:
+            has = ids >= 0
+            flat[((ends - sizes)[rows][:, None] + np.arange(ids.shape[1]))[has]] = ids[has]
+        return flat, sizes
+
+    def _merge_table(self, rows: np.ndarray, numbers: np.ndarray, begins: np.ndarray, letters: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and their ids, with -1 after the last; a row leaves the table when none of its pairs is a piece."""
         wide = int(letters[rows].max())
         column = np.arange(wide)
-        inside = column < letters[rows][:, None]
-        symbols = np.where(inside, numbers[np.minimum(begins[rows][:, None] + column, len(numbers) - 1)], -1)
-        strange = (inside & (symbols < 0)).any(axis=1)  # a character that is no piece
-        for i in rows[strange].tolist():
-            self.parts[parts[i]] = self._spelt(self._merged_many(list(parts[i])))
-        rows, symbols = rows[~strange], symbols[~strange]
+        symbols = np.where(column < letters[rows][:, None], numbers[np.minimum(begins[rows][:, None] + column, len(numbers) - 1)], -1)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        agenda, joint = self._look(symbols[:, :-1], symbols[:, 1:]) if wide > 1 else (np.zeros((len(rows), 0)), np.zeros((len(rows), 0), np.int64))
-        while len(rows):
-            at = agenda.argmin(axis=1) if agenda.shape[1] else np.zeros(len(rows), np.int64)  # of equal ones the leftmost
-            every = np.arange(len(rows))
-            ends = agenda[every, at] >= NEVER if agenda.shape[1] else np.ones(len(rows), bool)
+        agenda, joint = self._look(symbols[:, :-1], symbols[:, 1:])
+        while agenda.size:
+            every, at = np.arange(len(rows)), agenda.argmin(axis=1)  # of equal ones the leftmost
+            ends = agenda[every, at] >= NEVER
             if ends.any():
                 done.append((rows[ends], symbols[ends]))
                 rows, symbols, agenda, joint, at = rows[~ends], symbols[~ends], agenda[~ends], joint[~ends], at[~ends]
                 every = np.arange(len(rows))
-                if not len(rows):
-                    break
             symbols[every, at] = joint[every, at]
-            n = symbols.shape[1]
-            later = np.minimum(np.arange(n) + (np.arange(n) > at[:, None]), n - 1)
-            symbols = np.take_along_axis(symbols, later, 1)
-            symbols[:, -1] = -1
-            agenda, joint = (np.take_along_axis(x, np.minimum(later[:, : n - 1], n - 2), 1) for x in (agenda, joint))
+            stay = np.ones(symbols.shape, bool)
+            stay[every, at + 1] = False
+            m, n = len(rows), symbols.shape[1] - 1
+            symbols, agenda, joint = symbols[stay].reshape(m, n), agenda[stay[:, 1:]].reshape(m, n - 1), joint[stay[:, 1:]].reshape(m, n - 1)
             for k in (at - 1, at):
                 ok = np.flatnonzero((k >= 0) & (k < n - 1))
                 agenda[ok, k[ok]], joint[ok, k[ok]] = self._look(symbols[ok, k[ok]], symbols[ok, k[ok] + 1])
-            agenda[:, -1] = np.where(symbols[:, -1] < 0, NEVER, agenda[:, -1])
-        for own, ids in done:
-            for i, found in zip(own.tolist(), ids.tolist(), strict=True):
-                self.parts[parts[i]] = tuple(x for x in found if x >= 0)
+        return [*done, (rows, symbols)]
 
     def _spelt(self, symbols: list[str]) -> tuple[int, ...]:
         return tuple(chain.from_iterable([self.ids[s]] if s in self.ids else [self.of_byte[b] for b in s.encode()] for s in symbols))
@@ -185,39 +214,51 @@ class PieceCodec:
                 heapq.heappush(agenda, (cost, before[left], new))
         return [s for s in symbols if s is not None]
 
-    def parts_of(self, chunk: str) -> list[str]:
-        """Parts of a chunk between which no pair is ever joined."""
-        n, tail = len(chunk), []
-        while n > 1 and chunk[n - 2 : n] not in self.beside:  # most often a sign at the end
-            n -= 1
-            tail.append(chunk[n])
-        if chunk[1:n].isalnum():
-            return [chunk[:n], *tail[::-1]]
-        edges = [0, *(i for i in range(1, n) if chunk[i - 1 : i + 1] not in self.beside), n]
-        return [chunk[a:b] for a, b in pairwise(edges)] + tail[::-1]
-
-    def ids_of(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        cut = list(map(self.parts_of, chunks))
-        used = set(chain.from_iterable(cut))
-        if len(self.parts) + len(used) > REMEMBERED:
-            self.parts = {p: self.parts[p] for p in used if p in self.parts}
-        self.merge_all([p for p in used if p not in self.parts])
-        own = self.parts
-        return [own[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(own.__getitem__, c))) for c in cut]
+    def parts_of(self, chunks: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Parts of the chunks, between which no pair is ever joined, one after another, and the first part of each chunk."""
+        joined = "".join(chunks)
+        letters = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        before, after = letters[:-1], letters[1:]
+        begins = np.ones(len(letters), bool)
+        ascii_ = (before | after) < 128
+        begins[1:][ascii_] = ~self.meet_ascii[before[ascii_] << 7 | after[ascii_]]
+        other = np.flatnonzero(~ascii_)
+        key = before[other].astype(np.int64) << 21 | after[other]
+        begins[other + 1] = self.meet[np.minimum(np.searchsorted(self.meet, key), len(self.meet) - 1)] != key if len(self.meet) else True
+        first = np.cumsum(sizes) - sizes
+        begins[first] = True
+        edges = np.flatnonzero(begins)
+        bytes_ = 1 + (letters >= 0x80) + (letters >= 0x800).astype(np.int64) + (letters >= 0x10000)
+        offsets = np.append(np.cumsum(bytes_) - bytes_, bytes_.sum())[np.append(edges, len(letters))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(edges), pa.py_buffer(offsets), pa.py_buffer(joined.encode())), np.searchsorted(edges, first)
+
+    def ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, none of them empty, one after another, and how many each has; each distinct part is merged once."""
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        parts, first = self.parts_of(chunks)
+        parts = parts.dictionary_encode()
+        used = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.parts.new(used)
+        if new:
+            self.parts.add(new, *self.merge_all(new))
+        flat, sizes = self.parts.of(used, parts.indices.to_numpy())
+        return flat, np.add.reduceat(sizes, first)
 
     def learn(self, words: list[str], check: bool) -> None:
-        """Ids of chunks that are a blank and a word, for words that are new; with ``check`` the library has to give the same."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
+        """Ids of chunks that are a blank and a word, for distinct words that are new; with ``check`` the library has to give the same."""
+        new = self.known.new(words)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            own = self.ids_of([BLANK + w for w in part])
+            flat, sizes = self.ids_of([BLANK + w for w in part])
             if check:
-                for w, a, b in zip(part, own, self.library.encode(part, num_threads=1), strict=True):
-                    if list(a) != b:
-                        raise ValueError(f"the ids of {w!r} differ from the library's")
-            self.known.update(zip(part, own, strict=True))
+                theirs = self.library.encode(part, num_threads=1)
+                if not (np.array_equal(sizes, np.fromiter(map(len, theirs), np.int64, len(theirs))) and np.array_equal(flat, np.fromiter(chain.from_iterable(theirs), np.int32))):
+                    own = np.split(flat, np.cumsum(sizes)[:-1])
+                    word = next(w for w, a, b in zip(part, own, theirs, strict=True) if a.tolist() != b)
+                    raise ValueError(f"the ids of {word!r} differ from the library's")
+            self.known.add(part, flat, sizes)
 
     def encode_all(self, texts: pa.Array, check: bool) -> list[np.ndarray]:
         """Ids of each text. Words between single blanks are found over all texts at once, and distinct ones encoded once."""
@@ -227,12 +268,10 @@ class PieceCodec:
         if len(rows):
             lists = pc.split_pattern(texts.take(pa.array(rows)), " ")
             flat = lists.flatten().dictionary_encode()
-            words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+            words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
             self.learn(words, check)
-            own = [self.known[w] for w in words]
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            ids = ragged(np.fromiter(chain.from_iterable(own), np.int32), np.cumsum(sizes) - sizes, sizes, codes)
-            ends = np.concatenate([[0], np.cumsum(sizes[codes])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            ids, sizes = self.known.of(words, flat.indices.to_numpy())
+            ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
             for row, a, b in zip(rows.tolist(), ends, ends[1:], strict=False):
                 out[row] = ids[a:b]
         for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
@@ -253,9 +292,10 @@ class PieceCodec:
     def encode(self, text: str) -> np.ndarray:
         out = [np.zeros(0, np.int32)]
         for chunks in self._chunks(self.written(text)):
-            distinct = list(set(chunks))
-            own = dict(zip(distinct, self.ids_of(distinct), strict=True))
-            out.append(np.fromiter(chain.from_iterable(map(own.__getitem__, chunks)), np.int32))
+            at: dict[str, int] = {}
+            codes = np.fromiter((at.setdefault(c, len(at)) for c in chunks), np.int64, len(chunks))
+            flat, sizes = self.ids_of(list(at))
+            out.append(ragged(flat, np.cumsum(sizes) - sizes, sizes, codes))
         return np.concatenate(out)
 
     def decode(self, ids: list[int]) -> str:

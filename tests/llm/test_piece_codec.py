@@ -53,6 +53,26 @@ def test_long_texts_are_cut_and_few_chunks_are_remembered(codec, monkeypatch):
         assert codec.encode(t).tolist() == codec.library.encode(t)
 
 
+def test_words_are_cut_and_merged_without_a_call_each(monkeypatch):
+    """New words of a batch take a bounded number of Python calls, and have the library's ids whatever their characters."""
+    import sys
+
+    import pyarrow as pa
+
+    fresh, rng, calls = PieceCodec(MODEL), random.Random(3), []
+    plain = " ".join({"".join(rng.choices("abcdefghijklmnoprstu.,-'0", k=rng.randint(1, 12))) for _ in range(4000)})
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" and frame.f_code.co_filename.endswith("piece_codec.py") else None)
+    try:
+        got = fresh.encode_all(pa.array([plain]), False)
+    finally:
+        sys.setprofile(None)
+    assert got[0].tolist() == fresh.library.encode(plain)
+    assert len(calls) < 1000
+    mixed = [" ".join("".join(rng.choices("abé日ሴ😀ßn.\n\t\x00~\x7f\x80߿ࠀ￿𐀀" + "the" * 5, k=rng.randint(1, 60))) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    assert [i.tolist() for i in fresh.encode_all(pa.array(mixed), True)] == fresh.library.encode(mixed)
+    assert [i.tolist() for i in fresh.encode_all(pa.array([], pa.string()), True)] == []
+
+
 def test_rows(spark):
     found = [*rows(3, 60), *((1000 + i, t, None, None, None) for i, t in enumerate(AWKWARD)), (None, "x", None, None, None), (5, "again", None, None, None)]
     got = encode_pieces(clashing(spark, found).repartition(3), MODEL, whole=True).collect()
