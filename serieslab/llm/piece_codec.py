@@ -274,10 +274,12 @@ class PieceCodec:
             ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
             for row, a, b in zip(rows.tolist(), ends, ends[1:], strict=False):
                 out[row] = ids[a:b]
-        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            out[row] = self.encode(texts[row].as_py())
-            if check and self.library.encode(texts[row].as_py()) != out[row].tolist():
-                raise ValueError(f"the ids of {texts[row].as_py()[:100]!r} differ from the library's")
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        rest = texts.take(pa.array(rows)).to_pylist()
+        for row, text, ids in zip(rows.tolist(), rest, self.encode_together(rest), strict=True):
+            out[row] = ids
+            if check and self.library.encode(text) != ids.tolist():
+                raise ValueError(f"the ids of {text[:100]!r} differ from the library's")
         return out
 
     def _chunks(self, written: str) -> Iterator[list[str]]:
@@ -290,13 +292,32 @@ class PieceCodec:
             start = end
 
     def encode(self, text: str) -> np.ndarray:
-        out = [np.zeros(0, np.int32)]
-        for chunks in self._chunks(self.written(text)):
-            at: dict[str, int] = {}
-            codes = np.fromiter((at.setdefault(c, len(at)) for c in chunks), np.int64, len(chunks))
-            flat, sizes = self.ids_of(list(at))
-            out.append(ragged(flat, np.cumsum(sizes) - sizes, sizes, codes))
-        return np.concatenate(out)
+        return self.encode_together([text])[0]
+
+    def encode_together(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, whatever its blanks: distinct chunks of about STRETCH characters of texts are looked up at once."""
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for row, text in enumerate(texts):
+            for chunks in self._chunks(self.written(text)):
+                held.append((row, chunks))
+                size += sum(map(len, chunks))
+                if size >= STRETCH:
+                    self._settle(held, out)
+                    held, size = [], 0
+        self._settle(held, out)
+        return [np.concatenate(found) for found in out]
+
+    def _settle(self, held: list[tuple[int, list[str]]], out: list[list[np.ndarray]]) -> None:
+        """Append the ids of each row's chunks to what the row has."""
+        at: dict[str, int] = {}
+        codes = np.array([at.setdefault(c, len(at)) for _, chunks in held for c in chunks], np.int64)
+        flat, sizes = self.ids_of(list(at))
+        ids = ragged(flat, np.cumsum(sizes) - sizes, sizes, codes)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.cumsum([0, *(len(chunks) for _, chunks in held)])]
+        for (row, _), a, b in zip(held, ends, ends[1:], strict=False):
+            out[row].append(ids[a:b])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks for their mark, bytes put together, and without the blank that encoding put in front."""

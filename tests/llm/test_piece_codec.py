@@ -53,7 +53,7 @@ def test_long_texts_are_cut_and_few_chunks_are_remembered(codec, monkeypatch):
         assert codec.encode(t).tolist() == codec.library.encode(t)
 
 
-def test_words_are_cut_and_merged_without_a_call_each(monkeypatch):
+def test_words_are_cut_and_merged_without_a_call_each():
     """New words of a batch take a bounded number of Python calls, and have the library's ids whatever their characters."""
     import sys
 
@@ -73,6 +73,24 @@ def test_words_are_cut_and_merged_without_a_call_each(monkeypatch):
     assert [i.tolist() for i in fresh.encode_all(pa.array([], pa.string()), True)] == []
 
 
+def test_texts_with_other_blanks_are_looked_up_together(monkeypatch):
+    """Chunks of many texts whose blanks don't just part words are looked up at once, and long ones stretch by stretch."""
+    import pyarrow as pa
+
+    from serieslab.llm import piece_codec
+
+    fresh, rng, calls = PieceCodec(MODEL), random.Random(5), []
+    texts = ["  ".join("".join(rng.choices("abcdefgé.😀 ", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 20))) for _ in range(200)] + AWKWARD
+    plain = fresh.ids_of
+    monkeypatch.setattr(fresh, "ids_of", lambda chunks: calls.append(len(chunks)) or plain(chunks))
+    want = fresh.library.encode(texts)
+    assert [i.tolist() for i in fresh.encode_all(pa.array(texts), True)] == want
+    assert len(calls) < 5
+    monkeypatch.setattr(piece_codec, "STRETCH", 50)
+    assert [i.tolist() for i in fresh.encode_all(pa.array(texts), True)] == want
+    assert len(calls) > 50
+
+
 def test_rows(spark):
     found = [*rows(3, 60), *((1000 + i, t, None, None, None) for i, t in enumerate(AWKWARD)), (None, "x", None, None, None), (5, "again", None, None, None)]
     got = encode_pieces(clashing(spark, found).repartition(3), MODEL, whole=True).collect()
