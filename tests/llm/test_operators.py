@@ -186,6 +186,30 @@ def test_lm_scores_do_not_depend_on_neighbours_and_are_causal():
     assert lm.score_ids(w, t, x[:20], np.array([20]))[0] > lm.score_ids(w, t, x, np.array([len(x)]))[0]
 
 
+def test_lm_scores_equal_plain_windows_without_queries_of_context(monkeypatch):
+    """One window after another, attended and normalised as a whole; the context of later windows takes no exponentials as queries."""
+    t, w, rng, plain, taken = tables(), some_weights(), np.random.default_rng(10), np.exp, []
+    texts = [np.append(rng.integers(0, 50, n), lm.END) for n in (0, 7, 8, 31, 32, 33, 55, 56, 57, 300)]
+    sizes, want = np.array([len(x) for x in texts]), []
+    for x in texts:
+        last = t.rank[np.append(lm.END, x[:-1])]
+        total = t.within(last, x).astype(np.float64).sum()
+        for _, first, scored in zip(*lm.windows(np.array([len(x)])), strict=True):
+            own = np.append(last[first : first + lm.WINDOW], np.zeros(lm.WINDOW, np.int32))[: lm.WINDOW]
+            logs = lm.class_logs(w, t, lm.attend(w, own[None])[-1][0], own)
+            total += sum(float(logs[p - first, t.class_of_id[x[p]]]) for p in range(scored, min(len(x), first + lm.WINDOW)))
+        want.append(total)
+
+    def exp(x, *args, **kwargs):
+        taken.append(np.size(x))
+        return plain(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "exp", exp)
+    assert lm.score_ids(w, t, np.concatenate(texts), sizes) == pytest.approx(want, rel=1e-5)
+    later = len(lm.windows(sizes)[0]) - len(texts)
+    assert sum(taken) == (len(texts) * lm.WINDOW + later * (lm.WINDOW - lm.OVERLAP)) * lm.WINDOW + sizes.sum() * lm.CLASSES
+
+
 def test_lm_gradient():
     t, w, rng = tables(), some_weights(), np.random.default_rng(7)
     last = rng.integers(0, 50, (3, lm.WINDOW))
