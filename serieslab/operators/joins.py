@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from serieslab.functions.text import given_name, name_tokens
 from serieslab.operators import containment
+from serieslab.session import stored
 
 
 def by_precedence(df: DataFrame, dim: DataFrame, key: str, rank: Callable[[Column], Column]) -> DataFrame:
@@ -27,13 +28,37 @@ def by_precedence(df: DataFrame, dim: DataFrame, key: str, rank: Callable[[Colum
 
 #: Words up to which each text is compared with each, and characters of a text up to which its pieces are looked up among more words.
 FEW, SHORT = 1_000, 32
+#: Bytes of words, with OVERHEAD for each, up to which more than FEW of them are broadcast.
+SENT, OVERHEAD = 1 << 20, 16
+
+
+def _prefixes(text: Column, least: int, most: int) -> Column:
+    """The beginnings of ``least`` to ``most`` characters of a text of ``least`` or more."""
+    return F.transform(F.sequence(F.lit(least), F.least(F.length(text), F.lit(most))), lambda n: F.substr(text, F.lit(1), n))
+
+
+def _suffixes(text: Column, least: int) -> Column:
+    """The ends of ``least`` or more characters of a text of as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - least + 1), lambda i: F.substr(text, i))
 
 
 def _pieces(text: str, least: int, most: int) -> Column:
     """The distinct pieces of ``least`` to ``most`` characters of a text of ``least`` or more."""
-    size = F.length(text)
-    at = lambda i: F.transform(F.sequence(F.lit(least), F.least(size - i + 1, F.lit(most))), lambda n: F.substr(F.col(text), i, n))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size - least + 1), at)))
+    return F.array_distinct(F.flatten(F.transform(_suffixes(F.col(text), least), lambda s: _prefixes(s, least, most))))
+
+
+def _sizes(words: DataFrame, word: str) -> Row:
+    """How many words there are, the fewest and most characters of one that has any, and the bytes of all."""
+    size = F.length(word)
+    return words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.when(size > 0, size)), F.lit(1)).alias("least"), F.greatest(F.max(size), F.lit(1)).alias("most"), F.coalesce(F.sum(F.octet_length(word) + OVERHEAD), F.lit(0)).alias("bytes")).first()
+
+
+def _sent(words: DataFrame, size: int) -> DataFrame:
+    """Words to be broadcast in a join if their measured size allows it, else to be shuffled.
+
+    What the planner goes by is the size of files, without their compression and without what an explode makes of their rows.
+    """
+    return F.broadcast(words) if size <= SENT else words.hint("merge")
 
 
 def containing(texts: DataFrame, text: str, words: DataFrame, word: str, few: int = FEW, longest: bool = False) -> DataFrame:
@@ -44,17 +69,20 @@ def containing(texts: DataFrame, text: str, words: DataFrame, word: str, few: in
     and only as long as words are, which grows with the texts and not with the words. Longer texts go
     through automata over all words at once (:func:`containment.contained`), whose pairs are joined by equality.
     """
-    size = F.length(word)
-    known = words.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(size > 0, size)).alias("least"), F.max(size).alias("most")).first()
+    known = _sizes(words, word)
     if known.n <= few:
         return texts.join(F.broadcast(words), F.col(text).contains(F.col(word)))
-    least, most = known.least or 1, known.most or 1
-    short = texts.filter(F.length(text).between(least, SHORT)).withColumn("_piece", F.explode(_pieces(text, least, most)))
-    found, rest = short.join(words, F.col("_piece") == F.col(word)).drop("_piece"), texts.filter(F.length(text) > SHORT)
+    short = texts.filter(F.length(text).between(known.least, SHORT)).withColumn("_piece", F.explode(_pieces(text, known.least, known.most)))
+    found, rest = short.join(_sent(words, known.bytes), F.col("_piece") == F.col(word)).drop("_piece"), texts.filter(F.length(text) > SHORT)
     if rest.isEmpty():
         return found
     pairs = containment.contained(rest, text, words, word, longest)
-    return found.unionByName(rest.join(pairs.join(words, word), text))
+    return found.unionByName(rest.join(pairs.join(_sent(words, known.bytes), word).hint("merge"), text))
+
+
+def _placed(words: DataFrame, *order: Column) -> DataFrame:
+    """Words with ``_place`` for ``_o``, which rises in the order given: of many rows a number is compared and kept faster than what it stands for."""
+    return stored(words.orderBy(*order).drop("_o").withColumn("_place", F.monotonically_increasing_id()), "placed")
 
 
 def longest_contained(df: DataFrame, text: str, dim: DataFrame, word: str, result: str, least: int = 1, few: int = FEW) -> DataFrame:
@@ -64,27 +92,69 @@ def longest_contained(df: DataFrame, text: str, dim: DataFrame, word: str, resul
     that have none are searched for contained ones (:func:`containing`). A null text has no match.
     """
     words = dim.select(F.col(word).alias("_w"), F.col("ord").alias("_o"), F.col(result).alias("_r")).filter(F.length("_w") > 0)
-    equal = words.groupBy(F.col("_w").alias(text)).agg(F.min_by("_r", "_o").alias("_equal"))
+    many = words.limit(few + 1).count() > few
+    if many:
+        words = _placed(words, -F.length("_w"), F.col("_o"))
+        equal = words.groupBy(F.col("_w").alias(text)).agg(F.min("_place").alias("_equal")).hint("merge")
+    else:
+        equal = F.broadcast(words.groupBy(F.col("_w").alias(text)).agg(F.min_by("_r", "_o").alias("_equal")))
     texts = df.select(text).distinct().join(equal, text, "left")
-    rest = texts.filter("_equal is null").select(text)
-    inside = containing(rest, text, words.filter(F.length("_w") >= least), "_w", few, longest=True)
-    inside = inside.groupBy(text).agg(F.min_by("_r", F.struct(-F.length("_w"), "_o")).alias("_inside"))
-    found = texts.join(inside, text, "left").select(F.col(text).alias("_t"), F.coalesce("_equal", "_inside").alias("match"))
+    rest, long = texts.filter("_equal is null").select(text), words.filter(F.length("_w") >= least)
+    if many:
+        inside = containing(rest, text, long.select("_w", "_place"), "_w", few, longest=True).groupBy(text).agg(F.min("_place").alias("_inside")).hint("merge")
+        found = texts.join(inside, text, "left").select(F.col(text).alias("_t"), F.coalesce("_equal", "_inside").alias("_place"))
+        found = found.join(words.select("_place", F.col("_r").alias("match")).hint("merge"), "_place").select("_t", "match").hint("merge")
+    else:
+        inside = containing(rest, text, long, "_w", few, longest=True)
+        inside = inside.groupBy(text).agg(F.min_by("_r", F.struct(-F.length("_w"), "_o")).alias("_inside"))
+        found = texts.join(inside, text, "left").select(F.col(text).alias("_t"), F.coalesce("_equal", "_inside").alias("match"))
     return df.join(found, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
 def resolve_alias(df: DataFrame, name: str, aliases: DataFrame, result: str, least: int = 5, few: int = FEW) -> DataFrame:
     """``match``: by equal alias, else the first alias of ``least`` or more characters that contains the name or is contained in it."""
     words = aliases.select(F.col("alias").alias("_a"), F.col("ord").alias("_o"), F.col(result).alias("_r"))
-    names, long = df.select(name).distinct().filter(F.length(name) > 0), words.filter(F.length("_a") >= least)
-    same = names.join(words, F.col(name) == F.col("_a"))
-    inner = containing(names, name, long, "_a", few)
-    outer = containing(long, "_a", names, name, few)
-    every = same.unionByName(inner.select(same.columns)).unionByName(outer.select(same.columns))
-    found = every.groupBy(F.col(name).alias("_t")).agg(F.min_by("_r", F.struct((F.col(name) != F.col("_a")).alias("near"), "_o")).alias("match"))
+    names = df.select(name).distinct().filter(F.length(name) > 0)
+    if words.limit(few + 1).count() > few:
+        found = _first_aliases(names.select(F.col(name).alias("_t")), words, least, few).hint("merge")
+    else:
+        long = words.filter(F.length("_a") >= least)
+        same = names.join(F.broadcast(words), F.col(name) == F.col("_a"))
+        inner = containing(names, name, long, "_a", few)
+        outer = containing(long, "_a", names, name, few)
+        every = same.unionByName(inner.select(same.columns)).unionByName(outer.select(same.columns))
+        found = every.groupBy(F.col(name).alias("_t")).agg(F.min_by("_r", F.struct((F.col(name) != F.col("_a")).alias("near"), "_o")).alias("match"))
     return df.join(found, F.col(name) == F.col("_t"), "left").drop("_t")
 
 
+def _first_aliases(names: DataFrame, words: DataFrame, least: int, few: int) -> DataFrame:
+    """For names (_t) the ``match`` of :func:`resolve_alias` among many words (_a, _o, _r).
+
+    A name is a piece of an alias if it begins one of the alias's ends. So each distinct end of aliases
+    keeps the first alias that has it, then each distinct beginning of those ends the first of theirs:
+    a name finds its own there, however many aliases contain it.
+    """
+    words = _placed(words, F.col("_o"))
+    places, known = words.select("_a", "_place"), _sizes(names, "_t")
+    long, place = places.filter(F.length("_a") >= least), lambda c: F.col("_place").alias(c)
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    ends = long.filter(F.length("_a").between(known.least, SHORT)).select(F.explode(_suffixes(F.col("_a"), known.least)).alias("_end"), "_place")
+    ends = ends.groupBy("_end").agg(F.min("_place").alias("_place"))
+    around = ends.select(F.explode(_prefixes(F.col("_end"), known.least, known.most)).alias("_t"), none("_equal"), place("_near"), F.lit(False).alias("_named"))
+    same = places.select(F.col("_a").alias("_t"), place("_equal"), none("_near"), F.lit(False).alias("_named"))
+    asked = names.select("_t", none("_equal"), none("_near"), F.lit(True).alias("_named"))
+    met = around.unionByName(same).unionByName(asked).groupBy("_t").agg(F.min("_equal").alias("_equal"), F.min("_near").alias("_near"), F.max("_named").alias("_named"))
+    met = met.filter("_named").drop("_named")
+    inner = containing(names, "_t", long, "_a", few).select("_t", none("_equal"), place("_near"))
+    met = met.unionByName(inner)
+    rest = long.filter(F.length("_a") > SHORT)
+    if not rest.isEmpty():
+        pairs = containment.contained(rest, "_a", names, "_t")
+        met = met.unionByName(pairs.join(rest.hint("merge"), "_a").select("_t", none("_equal"), place("_near")))
+    first = met.groupBy("_t").agg(F.coalesce(F.min("_equal"), F.min("_near")).alias("_place"))
+    return first.join(words.select("_place", F.col("_r").alias("match")).hint("merge"), "_place").select("_t", "match")
+
+
 def shared_tokens(left: DataFrame, right: DataFrame, block: str, tokens: str, least: int) -> DataFrame:
     """Pairs of rows with an equal ``block`` and ``least`` or more common tokens; columns get the suffixes _a and _b.
 

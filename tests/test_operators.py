@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from serieslab import schema
 from serieslab.operators import containment, dedup, dml, joins, series
+from serieslab.session import stored
 from serieslab.sources import files
 from serieslab.streaming import ingest
 
@@ -108,6 +109,36 @@ def test_pieces_of_short_texts(spark):
         assert ("Arrow" in got._jdf.queryExecution().toString()) == (texts != short)
 
 
+def test_many_words_are_not_broadcast(spark):
+    """Names looked up among 60,000 are shuffled: their files are small, but what the driver would hold of their pieces isn't."""
+    names = stored(spark.range(60_000).select(F.concat(F.lit("name "), F.col("id").cast("string")).alias("name")), "names")
+    dim = stored(names.select(F.col("name").alias("alias"), F.col("name").alias("word"), F.struct(F.length("name").alias("n"), "name").alias("ord")), "aliases")
+    for found in (joins.resolve_alias(names, "name", dim, "alias"), joins.longest_contained(names, "name", dim, "word", "word")):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.filter("match = name").count() == 60_000
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_first_alias_among_many(spark, monkeypatch, sent):
+    """Equal aliases come first, then the first that contains the name or is contained in it, among texts of any length."""
+    monkeypatch.setattr(joins, "SENT", sent)
+    rng = random.Random(3)
+    make = lambda least, n: "".join(rng.choice("aaabñ😀 ") for _ in range(rng.randint(least, n)))
+    names = [make(1, 9) for _ in range(80)] + [make(joins.SHORT + 1, 60) for _ in range(10)] + ["q", "ab" * joins.SHORT, "", None]
+    words = [make(1, 9) for _ in range(60)] + [make(joins.SHORT + 1, 60) for _ in range(10)] + ["ab" * joins.SHORT, names[0], names[0], "", None]
+    aliases = [(w, o, f"r{o}") for o, w in zip(rng.sample(range(999), len(words)), words, strict=True)]
+    frame = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "t string, n int")
+
+    def want(t):
+        near = lambda w: len(w) >= 3 and (w in t or t in w)
+        found = [(w != t, o, r) for w, o, r in aliases if t and w and (w == t or near(w))]
+        return min(found)[2] if found else None
+
+    for few in (0, 1_000):
+        got = joins.resolve_alias(frame, "t", spark.createDataFrame(aliases, "alias string, ord int, r string"), "r", least=3, few=few)
+        assert {r.n: r.match for r in got.collect()} == {i: want(t) for i, t in enumerate(names)}
+
+
 def test_resolve_alias(spark):
     aliases = spark.createDataFrame([(0, "losartan", "x"), (1, "losartan potasico", "y"), (2, "aas", "z"), (3, "vitamina d", "w")], "ord int, alias string, code string")
     names = spark.createDataFrame([("losartan potasico",), ("losartan 50",), ("potasico",), ("aas 100",), ("aas",), ("",), (None,)], "name string")
