@@ -12,7 +12,7 @@ from serieslab.functions.numbers import parse_number, parse_range
 from serieslab.functions.text import clean_text, detect_layout, norm_text, person_name
 from serieslab.operators import series
 from serieslab.plans import blocks, layout
-from serieslab.session import shared_folder_of, stored
+from serieslab.session import shared_folder_of, stored, tasks_of
 
 # What a layout's laboratory is called.
 LABS = {"verdejo": "Laboratorio", "brunelli": "Brunelli", "curie": "Curie", "ypacarai": "Ypacarai", "sanacoop": "Sanacoop", "sanisidro": "Sanisidro", "neo": "Neo Diagnósticos", "medvital": "Medvital"}
@@ -31,6 +31,8 @@ FIELDS = {
 }
 NEO_DATES = (r"(?i)toma\s+de\s+muestra\s*:?\s*([\d/]+\s*-?\s*[\d:]*)", r"(?i)firma\s*:?\s*([\d/]+\s*-?\s*[\d:]*)")
 FIRST_PAGE = ("curie", "ypacarai", "verdejo", "brunelli")
+#: Words that a task gathers into pages: they are dealt to tasks by page first, so none sorts all that its part of the input says.
+WORDS_A_TASK = 1 << 18
 # Labels of fields in headers of tables, and distances within a label and a value.
 LABELS = {"paciente": "patient", "nombre": "patient", "documento": "document", "c i": "document", "c i nro": "document", "edad": "age", "fecha": "date", "fecha recep": "date", "fecha recepcion": "date", "medico": "doctor", "medico tratante": "doctor", "nro orden": "order", "cod orden": "order"}
 LABEL_GAP, VALUE_GAP, ABOVE, MIDDLE = 40, 50, 3, 200
@@ -57,7 +59,8 @@ def routed(words: DataFrame) -> DataFrame:
     marks occur in its text. One of Ypacaraí ends with its first page; if Sanacoop speaks on the
     pages after it, they are a second report of the same document.
     """
-    own = stored(layout.pages_of(words), "page-words")
+    said = stored(words, "words")
+    own = stored(layout.pages_of(said.repartition(tasks_of(said.count(), WORDS_A_TASK), "doc", "page")), "page-words")
     pages = stored(own.join(page_texts(own), ["doc", "page"]), "pages")
     whole = pages.groupBy("doc").agg(F.min("page").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("whole"))
     later = pages.join(whole.select("doc", "first"), "doc").filter("page > first").groupBy("doc").agg(F.max(norm_text(F.col("text")).rlike("sanacoop|neodiagnosticos|hemoglobina glicada")).alias("more"))

@@ -43,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(rows: int, most: int) -> int:
+    """Tasks for so many rows, of at most ``most`` each on average: what a task holds stays the same when tables grow."""
+    return -(-max(1, rows) // most)
+
+
 def shared_folder_of(df: DataFrame, name: str, by: str) -> str:
     """A new folder with ``df`` as Parquet, in a folder of its own for each value of ``by``."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from serieslab import rules
 from serieslab.plans import assessment as a
-from serieslab.plans import catalog, ingest, layout
+from serieslab.plans import catalog, dispatch, ingest, layout
 
 TESTS = "person_id long, id long, key string, name string, date timestamp_ntz, value double, qual string, unit string, ref_low double, ref_high double"
 DAY = dt.datetime(2024, 6, 1, 8)
@@ -305,3 +305,42 @@ def test_lines_of_pages(spark):
     again = layout.gathered(spark.createDataFrame(layout.pages_of(words).collect(), layout.pages_of(words).schema), 1.0)
     assert "Exchange" not in again._jdf.queryExecution().toString()
     assert layout.gathered(words.limit(0), 1.0).count() == 0
+
+
+ODD_WORDS = "doc string, page int, x double, y double, word string"
+
+
+def odd_words(spark):
+    """Words of documents with later pages, a repeated document, missing keys, heights and words, and an empty word."""
+    two = [("d8", 1, 10.0, 10.0, "Laboratorio"), ("d8", 1, 11.0, 10.0, "Ypacarai"), ("d8", 1, 10.0, 20.0, "Valores"), ("d8", 1, 11.0, 20.4, "obtenidos"), ("d8", 2, 10.0, 10.0, "Sanacoop"), ("d8", 3, 1.0, 5.0, "fin")]
+    alone = [("d3", 2, 10.0, 10.0, "Ypacaraí"), ("d3", 2, 20.0, 10.0, "valores"), ("d3", 2, 30.0, 10.0, "obtenidos"), ("d3", 4, 10.0, 10.0, "Urea")]
+    odd = [("d1", 1, 5.0, 10.0, "Brunelli"), ("d1", 1, 5.0, 10.0, "Brunelli"), ("d1", 1, 1.0, None, "perdido"), ("d1", 1, None, 30.0, "b"), ("d1", 1, 2.0, 30.0, None), ("d1", 1, 3.0, 30.0, ""), ("ORD5", 1, 1.0, 1.0, "x"), ("e", 1, 1.0, 1.0, None)]
+    lost = [(None, 1, 1.0, 1.0, "Brunelli"), ("n", None, 1.0, 1.0, "Brunelli"), (None, None, 1.0, 1.0, "z")]
+    return spark.createDataFrame([*two, *alone, *odd, *lost], ODD_WORDS)
+
+
+def test_routed_odd_words(spark):
+    """Pages without a document or number are left out, a second report needs its laboratory on a later page, and words without heights come first in a text and last on a page."""
+    found = dispatch.routed(odd_words(spark))
+    assert dict(found.dtypes) == {"doc": "string", "page": "int", "text": "string", "words": "array<struct<x:double,word:string,y:double>>", "part": "int", "layout": "string"}
+    got = sorted((r.doc, r.page, r.layout, r.part, r.text, [(v.x, v.word, v.y) for v in r.words]) for r in found.collect())
+    assert [g[:5] for g in got] == [("ORD5", 1, "curie", 0, "x"), ("d1", 1, "brunelli", 0, "perdido\nBrunelli Brunelli\nb "), ("d3", 2, "ypacarai", 0, "Ypacaraí valores obtenidos"), ("d8", 1, "ypacarai", 0, "Laboratorio Ypacarai\nValores obtenidos"), ("d8", 2, "sanacoop", 1, "Sanacoop"), ("d8", 3, "sanacoop", 1, "fin"), ("e", 1, "verdejo", 0, "")]
+    assert got[1][5] == [(5.0, "Brunelli", 10.0), (5.0, "Brunelli", 10.0), (None, "b", 30.0), (2.0, None, 30.0), (3.0, "", 30.0), (1.0, "perdido", None)]
+    assert dispatch.routed(odd_words(spark).limit(0)).count() == 0
+
+
+def plans_of_routed(spark, monkeypatch, **fixed):
+    """What ``routed`` stores, by name, as it is planned."""
+    kept, store = {}, dispatch.stored
+    monkeypatch.setattr(dispatch, "stored", lambda df, name: store(kept.setdefault(name, df), name))
+    for name, value in fixed.items():
+        monkeypatch.setattr(dispatch, name, value)
+    return kept, dispatch.routed(odd_words(spark))
+
+
+def test_words_are_dealt_before_they_are_gathered(spark, monkeypatch):
+    """No task gathers the words that it reads: they go by page to as many tasks as there are words for, and are gathered there."""
+    kept, _ = plans_of_routed(spark, monkeypatch, WORDS_A_TASK=4)
+    plan = next(df for name, df in kept.items() if "page" in name)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ObjectHashAggregate") < plan.rindex("ObjectHashAggregate") < plan.index("Exchange hashpartitioning(doc") and plan.count("Exchange") == 1
+    assert "REPARTITION_BY_NUM" in plan and ", 6), REPARTITION" in plan  # 21 words
