@@ -33,6 +33,8 @@ NEO_DATES = (r"(?i)toma\s+de\s+muestra\s*:?\s*([\d/]+\s*-?\s*[\d:]*)", r"(?i)fir
 FIRST_PAGE = ("curie", "ypacarai", "verdejo", "brunelli")
 #: Words that a task gathers into pages: they are dealt to tasks by page first, so none sorts all that its part of the input says.
 WORDS_A_TASK = 1 << 18
+#: Words of the pages, which are rows by then and so take less room, that a task routes and writes by layout.
+WORDS_ROUTED_A_TASK = 1 << 20
 # Labels of fields in headers of tables, and distances within a label and a value.
 LABELS = {"paciente": "patient", "nombre": "patient", "documento": "document", "c i": "document", "c i nro": "document", "edad": "age", "fecha": "date", "fecha recep": "date", "fecha recepcion": "date", "medico": "doctor", "medico tratante": "doctor", "nro orden": "order", "cod orden": "order"}
 LABEL_GAP, VALUE_GAP, ABOVE, MIDDLE = 40, 50, 3, 200
@@ -46,10 +48,10 @@ ROW = ("doc", "place", "section", "name", "value", "raw", "unit", "low", "high",
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """doc, page and text: the lines of each page (of :func:`layout.pages_of`)."""
-    said = layout.gathered(pages, 1.0).select("doc", "page", F.struct("y", "line", layout.said(F.col("w")).alias("said")).alias("l"))
-    texts = said.groupBy("doc", "page").agg(F.sort_array(F.collect_list("l")).alias("l"))
-    return texts.select("doc", "page", clean_text(F.array_join(F.transform("l", lambda x: x["said"]), "\n")).alias("text"))
+    """doc, page, text and words: pages (of :func:`layout.pages_of`) with the text of their lines; a page is a row all along, so nothing is shuffled."""
+    said = lambda w, i: F.struct(F.get(w, F.lit(0))["y"].alias("y"), i.alias("line"), layout.said(F.sort_array(w)).alias("said"))
+    text = F.array_join(F.transform(F.sort_array(F.transform("lines", said)), lambda x: x["said"]), "\n")
+    return layout.lined(pages, 1.0).select("doc", "page", text.alias("text"), F.flatten("lines").alias("words")).withColumn("text", clean_text(F.col("text")))
 
 
 def routed(words: DataFrame) -> DataFrame:
@@ -58,19 +60,22 @@ def routed(words: DataFrame) -> DataFrame:
     Returns doc, page, text, words (of the page), part and layout. A document has the first layout whose
     marks occur in its text. One of Ypacaraí ends with its first page; if Sanacoop speaks on the
     pages after it, they are a second report of the same document.
+
+    Routes are found from texts alone and are a small row a page. They meet the pages by document and page, so a document
+    of many pages is no burden of one task, and pages are hashed against them, not sorted.
     """
     said = stored(words, "words")
-    own = stored(layout.pages_of(said.repartition(tasks_of(said.count(), WORDS_A_TASK), "doc", "page")), "page-words")
-    pages = stored(own.join(page_texts(own), ["doc", "page"]), "pages")
-    whole = pages.groupBy("doc").agg(F.min("page").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("whole"))
-    later = pages.join(whole.select("doc", "first"), "doc").filter("page > first").groupBy("doc").agg(F.max(norm_text(F.col("text")).rlike("sanacoop|neodiagnosticos|hemoglobina glicada")).alias("more"))
-    found = detect_layout(norm_text(F.col("whole")))
-    numbered = norm_text(F.col("doc")).rlike("ord5|ord6") & ~found.isin("medvital", "brunelli")
-    of = whole.join(later, "doc", "left").select("doc", "first", F.when(numbered, "curie").otherwise(found).alias("layout"), F.coalesce("more", F.lit(False)).alias("more"))
-    second = (F.col("layout") == "ypacarai") & (F.col("page") > F.col("first"))
-
-    joined = pages.join(of, "doc").filter(~second | F.col("more"))
-    return joined.withColumn("part", second.cast("int")).withColumn("layout", F.when(second, "sanacoop").otherwise(F.col("layout"))).drop("more", "first")
+    n = said.count()
+    dealt = said.filter("doc is not null and page is not null").repartition(tasks_of(n, WORDS_A_TASK), "doc", "page")
+    pages, few = stored(page_texts(layout.pages_of(dealt)), "pages"), tasks_of(n, WORDS_ROUTED_A_TASK)
+    texts = pages.select("doc", "page", "text").repartition(few, "doc").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    whole = texts.withColumn("norm", norm_text(F.array_join(F.transform("p", lambda p: p["text"]), "\n"))).withColumn("found", detect_layout(F.col("norm")))
+    more = F.exists(F.slice("p", F.lit(2), F.size("p")), lambda p: norm_text(p["text"]).rlike("sanacoop|neodiagnosticos|hemoglobina glicada"))
+    numbered = norm_text(F.col("doc")).rlike("ord5|ord6") & ~F.col("found").isin("medvital", "brunelli")
+    of = whole.select("doc", F.when(numbered, "curie").otherwise(F.col("found")).alias("layout"), more.alias("more"), F.posexplode("p.page").alias("i", "page"))
+    second = (F.col("layout") == "ypacarai") & (F.col("i") > 0)
+    routes = of.filter(~second | F.col("more")).select("doc", "page", second.cast("int").alias("part"), F.when(second, "sanacoop").otherwise(F.col("layout")).alias("layout"))
+    return pages.repartition(few, "doc", "page").join(routes.repartition(few, "doc", "page").hint("shuffle_hash"), ["doc", "page"])
 
 
 def _first(text: Column, patterns: list[str]) -> Column:

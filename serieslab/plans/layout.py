@@ -32,36 +32,40 @@ def pages_of(words: DataFrame) -> DataFrame:
     return words.groupBy("doc", "page").agg(F.transform(down, lambda w: F.struct(w["x"].alias("x"), w["word"].alias("word"), w["y"].alias("y"))).alias("words"))
 
 
-def gathered(pages: DataFrame, tolerance: float) -> DataFrame:
-    """Lines of pages (of :func:`pages_of`, or words): doc, page, line, y (the least of the line) and w, its words from the left.
+def lined(pages: DataFrame, tolerance: float) -> DataFrame:
+    """Pages (of :func:`pages_of`): doc, page and lines, an array of the words of each line; all words of a page in their order.
 
     A word joins the first line of its page within ``tolerance``. The rule is greedy and goes down the page. Heights
     of lines rise by more than the tolerance, so a word can only join the last one. A word without a height is a line
     of its own, below all others. Pages are read in batches and nothing is shuffled.
     """
-    if "words" not in pages.columns:
-        pages = pages_of(pages)
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(2).flatten()
             heights, sizes = words.field(2).to_pylist(), batch.column(2).value_lengths().to_pylist()
-            of, number, begins, at = [], [], [], 0
-            for i, size in enumerate(sizes):
-                top, line = None, -1
+            firsts, begins, at = [], [], 0
+            for size in sizes:
+                top = None
+                firsts.append(len(begins))
                 for k in range(at, at + size):
                     y = heights[k]
                     if top is None or y is None or not y - top <= tolerance:
-                        top, line = y, line + 1
-                        of.append(i)
-                        number.append(line)
+                        top = y
                         begins.append(k)
                 at += size
-            rows, w = pa.array(of, pa.int32()), pa.ListArray.from_arrays(pa.array([*begins, at], pa.int32()), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int64()), words.field(2).take(pa.array(begins, pa.int32())), w], ["doc", "page", "line", "y", "w"])
+            of_words = pa.ListArray.from_arrays(pa.array([*begins, at], pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array([*firsts, len(begins)], pa.int32()), of_words)], ["doc", "page", "lines"])
+
+    return pages.select("doc", "page", "words").mapInArrow(cluster, "doc string, page int, lines array<array<struct<x:double,word:string,y:double>>>")
 
-    found = pages.select("doc", "page", "words").mapInArrow(cluster, "doc string, page int, line long, y double, w array<struct<x:double,word:string,y:double>>")
-    return found.withColumn("w", F.sort_array("w"))
+
+def gathered(pages: DataFrame, tolerance: float) -> DataFrame:
+    """Lines of pages (of :func:`pages_of`, or words) as :func:`lined` finds them: doc, page, line, y (the least of the line) and w, its words from the left."""
+    if "words" not in pages.columns:
+        pages = pages_of(pages)
+    found = lined(pages, tolerance).select("doc", "page", F.posexplode("lines").alias("line", "w"))
+    return found.select("doc", "page", F.col("line").cast("long").alias("line"), F.get("w", F.lit(0))["y"].alias("y"), F.sort_array("w").alias("w"))
 
 
 def lines(words: DataFrame, tolerance: float) -> DataFrame:

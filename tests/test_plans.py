@@ -1,6 +1,7 @@
 """Scenarios of the assessment, the catalogue and ingest."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -344,3 +345,12 @@ def test_words_are_dealt_before_they_are_gathered(spark, monkeypatch):
     plan = next(df for name, df in kept.items() if "page" in name)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ObjectHashAggregate") < plan.rindex("ObjectHashAggregate") < plan.index("Exchange hashpartitioning(doc") and plan.count("Exchange") == 1
     assert "REPARTITION_BY_NUM" in plan and ", 6), REPARTITION" in plan  # 21 words
+
+
+def test_pages_stay_rows_when_they_are_routed(spark, monkeypatch):
+    """Texts and words of a page are found together, and routes are hashed for pages that no join sorts, by page and not by document."""
+    kept, found = plans_of_routed(spark, monkeypatch, WORDS_ROUTED_A_TASK=4)
+    made, joined = (df._jdf.queryExecution().executedPlan().toString() for df in (kept["pages"], found))
+    assert "Join" not in made and made.count("Exchange") == 1
+    assert joined.count("Join") == 1 and "ShuffledHashJoin [doc" in joined and "Sort [" not in joined
+    assert joined.count("Exchange") == 3 and len(re.findall(r"Exchange hashpartitioning\(doc#\d+, page#\d+, 6\)", joined)) == 2  # 21 words
