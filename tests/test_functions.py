@@ -29,6 +29,24 @@ def test_parse_range(spark):
     assert [(g.low, g.high) for g in got] == [p[2:] for p in pairs]
 
 
+def test_parse_range_odd_texts(spark):
+    """Other dashes, blanks of any kind, numbers that are none, missing texts and units, limits named more than once."""
+    pairs = [
+        (None, "", None, None), ("", None, None, None), ("70—110", None, 70, 110), ("70 − 1,5", "", 70, 1.5), ("1,  5 – 2,\t75", "", 1.5, 2.75), ("7\n-\t8", "", 7, 8), (". - .", "", None, None), ("..,5 - 9.", "", 5, 9), ("hasta\t 5 menor\na 7", "", None, 7), ("Mayor a 3 hasta 9", "", None, 9), ("SUPERIOR  A\n4 > 6,0", "", 6, None),
+        ("hasta .", "", None, None), ("> ,", "", None, None), ("mayor a 1.500", "/µL", 1500, None), ("1.500 a 2,5", "10e3/µL", 1.5, 2.5), ("1\u00a0- 2", "", None, None), ("5 -", "", None, None), ("1 - 2 - 3", "", 1, 2), ("1.2.3 - 4 hasta 5", "", None, 4), ("37.5 - 40.5", "U/L", 375, 405),
+    ]
+    got = column(spark, [p[:2] for p in pairs], "string string", numbers.parse_range)
+    assert [(g.low, g.high) for g in got] == [p[2:] for p in pairs]
+    assert column(spark, [("37.5 - 40.5", "U/L")], "string string", lambda t, u: numbers.parse_range(t, u, corrected=True)) == [(37.5, 40.5)]
+
+
+def test_parse_range_parses_two_numbers(spark):
+    """Limits are chosen as texts, so a number is parsed for each of both, not for each way to write them."""
+    text = spark.createDataFrame([("1 - 2",)], "t string")
+    number, limits = (text.select(f(F.col("t"), F.lit("")).alias("r"))._jdf.queryExecution().optimizedPlan().toString().count(r"(\d[\d.,]*)") for f in (numbers.parse_number, numbers.parse_range))
+    assert number > 0 and limits <= 2 * number
+
+
 def test_dates(spark):
     shown = column(spark, ["31/07/2026 07:13", "5/3/24", "31/02/2024", "12/31/2024", "2024-01-05"], "string", lambda c: dates.iso(dates.parse_date(c)))
     assert shown == ["2026-07-31T07:13:00", "2024-03-05T00:00:00", None, None, None]
